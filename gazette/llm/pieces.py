@@ -195,15 +195,19 @@ _CUT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
 class _Chunks(dict):
-    """Encoded chunks as bytes, forgotten all at once when there are too many."""
+    """Encoded chunks as bytes, in two generations: what was not asked for during one is forgotten."""
 
     def __init__(self, model: PieceModel):
         self.model = model
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = np.array(self.model.chunk(text), "<i4").tobytes()
+        ids = self.old.get(text)
+        if ids is None:
+            ids = np.array(self.model.chunk(text), "<i4").tobytes()
         if len(text) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[text] = ids
         return ids

@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gazette.llm.exact_dedup import exact_duplicates
+from gazette.llm.pieces import encode_documents
+from gazette.llm.simhash import near_duplicates
 from gazette.tables import load
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file; GAZETTE_TOKENIZERS names another folder that all machines have."""
+    folder = os.environ.get("GAZETTE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_documents(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_sentencepiece": op4_sentencepiece,
+    "op7_simhash": op7_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
