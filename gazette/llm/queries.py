@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.llm.chat import format_conversations, read_back
 from gazette.llm.exact_dedup import exact_duplicates
 from gazette.llm.pieces import encode_documents
 from gazette.llm.simhash import near_duplicates
+from gazette.llm.warc import read_archives, write_pages
 from gazette.tables import load
 
 
@@ -34,21 +36,61 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.unionByName(probe)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(write_pages(load(spark, sf_dir, "pages")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_chat_format": r"""
+        WITH rows_in AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        turns AS (
+            SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS prev,
+                   lead(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS next,
+                   length(regexp_replace(text, '\\|<s>|</s>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<\|answer\|>|<\|role\|>|<\|text\|>|<\|end\|>', '\0#', 'g'))
+                   + CASE role WHEN 'system' THEN 8 + 11 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 11 + 5
+                     ELSE 8 + length(regexp_replace(role, '\\|<s>|</s>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<\|answer\|>|<\|role\|>|<\|text\|>|<\|end\|>', '\0#', 'g')) + 8 + 7 END AS chars
+            FROM rows_in)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS LAST, role, text)) AS loss_sha256,
+               CAST(3 + sum(chars) AS BIGINT) AS formatted_chars,
+               bool_and(CASE WHEN prev IS NULL THEN role IN ('system', 'user')
+                             ELSE (prev, role) IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) END)
+                   AND bool_and(next IS NOT NULL OR role = 'assistant') AS valid
+        FROM turns GROUP BY conv_id""",
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+        FROM f""",
     "op9_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS s FROM documents)
