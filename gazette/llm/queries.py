@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm.chat import format_conversations, read_back
 from gazette.llm.exact_dedup import exact_duplicates
+from gazette.llm.licenses import scan_licenses
 from gazette.llm.pieces import encode_documents
 from gazette.llm.simhash import near_duplicates
 from gazette.llm.warc import read_archives, write_pages
@@ -26,6 +27,22 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(load(spark, sf_dir, "documents"))
+    base, own, starts = F.col("places.label"), F.col("detections.label"), F.col("places.start")
+    sure = F.when(F.size("places") > 0, F.lit(0.75)).otherwise(F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
+        F.greatest(F.coalesce(F.array_max(F.col("detections.score")), F.lit(0.0)), sure).alias("score"),
+    )
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return found.select(
@@ -56,6 +73,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
