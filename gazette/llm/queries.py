@@ -13,6 +13,7 @@ from gazette.llm.exact_dedup import exact_duplicates
 from gazette.llm.licenses import scan_licenses
 from gazette.llm.pieces import encode_documents
 from gazette.llm.simhash import near_duplicates
+from gazette.llm.toxicity import score_documents
 from gazette.llm.warc import read_archives, write_pages
 from gazette.tables import load
 
@@ -72,6 +73,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op4_sentencepiece": op4_sentencepiece,
@@ -79,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {

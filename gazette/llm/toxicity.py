@@ -314,15 +314,14 @@ class _Ids(dict):
         return row
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORER: list[Scorer] = []
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _SCORERS.get(shared._jid if hasattr(shared, "_jid") else id(shared))
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[shared._jid if hasattr(shared, "_jid") else id(shared)] = Scorer(shared.value)
+        if not _SCORER or _SCORER[0].model is not shared.value:
+            _SCORER[:] = [Scorer(shared.value)]
+        scorer = _SCORER[0]
         for b in batches:
             names = [n for n in b.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(scorer.score(b.column("_text").to_pylist()))], [*names, "_score"])
