@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.chat import format_conversations, read_back
+from gazette.llm.decontam import NUMBERS, UNITS, contaminated
 from gazette.llm.exact_dedup import exact_duplicates
 from gazette.llm.licenses import scan_licenses
 from gazette.llm.pieces import encode_documents
@@ -44,6 +45,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_documents(load(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return found.select(
@@ -83,8 +88,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_words(table: str, key: str) -> str:
+    """DuckDB: key, raw and canon (words, and words with placeholders) of a table."""
+    listed = lambda x: "(" + ", ".join(f"'{v}'" for v in x) + ")"
+    number = lambda w: f"(({w} >= '0' AND {w} < ':') OR {w} IN {listed(NUMBERS)})"
+    return f"""
+        SELECT {key}, raw, list_transform(raw, lambda w, i: CASE WHEN {number('w')} THEN '#' WHEN starts_with(w, chr(57344)) THEN '@'
+                   WHEN i > 1 AND w IN {listed(UNITS)} AND {number('raw[i - 1]')} THEN '%' ELSE w END) AS canon
+        FROM (SELECT {key}, regexp_extract_all(lower(regexp_replace(replace(coalesce(text, ''), chr(57344), ' '),
+                  '([\\p{{Ll}}\\p{{N}},;:] )(\\p{{Lu}}\\p{{L}}+)', '\\1' || chr(57344) || '\\2', 'g')),
+                  chr(57344) || '?[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*') AS raw FROM {table})"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op3_decontaminate": op3_decontaminate,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
@@ -94,6 +112,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_decontaminate": f"""
+        WITH d AS ({_sql_words('documents', 'doc_id')}),
+        b AS ({_sql_words('benchmark', 'item_id')}),
+        bw AS (SELECT item_id, part, min(pos) AS own FROM (
+                   SELECT item_id, pos, canon[pos : pos + least(8, len(canon)) - 1] AS part
+                   FROM b, unnest(range(1, greatest(len(canon) - 8, 0) + 2)) AS u(pos) WHERE len(canon) >= 5)
+               WHERE len(list_filter(part, lambda w: w NOT IN ('#', '@', '%'))) >= least(5, len(part)) GROUP BY item_id, part),
+        sizes AS (SELECT DISTINCT len(part) AS n FROM bw UNION SELECT 8),
+        dw AS (SELECT doc_id, pos, canon[pos : pos + n - 1] AS part FROM d, sizes, unnest(range(1, len(canon) - n + 2)) AS u(pos)),
+        hits AS (SELECT doc_id, item_id, own, pos - own AS shift FROM dw JOIN bw USING (part)),
+        aligned AS (SELECT doc_id, item_id, shift, count(*) AS n FROM hits GROUP BY ALL),
+        best AS (SELECT doc_id, item_id, shift FROM aligned QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, shift) = 1),
+        total AS (SELECT item_id, count(*) AS item_windows FROM bw GROUP BY item_id),
+        found AS (SELECT doc_id, item_id, count(DISTINCT own) AS n_windows FROM hits GROUP BY ALL),
+        slots AS (SELECT f.doc_id, f.item_id, n_windows, item_windows,
+                      list_transform(list_filter(range(1, len(b.canon) + 1), lambda k: b.canon[k] IN ('#', '@', '%') AND k + shift BETWEEN 1 AND len(d.canon)
+                                     AND d.canon[k + shift] = b.canon[k]),
+                                     lambda k: [b.canon[k], b.raw[k], d.raw[k + shift]]) AS s
+                  FROM found f JOIN total USING (item_id) JOIN best USING (doc_id, item_id) JOIN d USING (doc_id) JOIN b USING (item_id)
+                  WHERE n_windows >= least(6, item_windows))
+        SELECT doc_id, item_id, n_windows, item_windows, len(s) AS n_slots,
+               CASE WHEN len(list_filter(s, lambda x: x[2] <> x[3])) = 0 THEN 'copy' ELSE 'reparameterised' END AS kind
+        FROM slots
+        WHERE len(list_distinct(s)) = len(list_distinct(list_transform(s, lambda x: [x[1], x[2]])))
+          AND len(list_distinct(list_filter(s, lambda x: x[1] = '@'))) = len(list_distinct(list_transform(list_filter(s, lambda x: x[1] = '@'), lambda x: x[3])))""",
     "op6_chat_format": r"""
         WITH rows_in AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazette.staging import small_batches, stage
 
@@ -343,16 +344,20 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Classifier:
     return train([r["text"] for r in sample], [r["toxic"] for r in sample])
 
 
-def with_scores(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with the column _score, a float from 0 to 1."""
+def scored_rows(docs: DataFrame, model: Classifier) -> DataFrame:
+    """row (a struct of all columns of docs), _score (a float from 0 to 1)."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and NGRAMS
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("_text"))
-    kind = whole.schema["row"].dataType.simpleString()
-    return whole.mapInArrow(_score(shared), f"row {kind}, _score double").select("row.*", "_score")
+    return whole.mapInArrow(_score(shared), T.StructType([whole.schema["row"], T.StructField("_score", T.DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score of every row."""
-    scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train_on(docs, labels))
-    return scored.select("doc_id", F.col("_score").alias("score"))
+    scored = scored_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train_on(docs, labels))
+    return scored.select("row.doc_id", F.col("_score").alias("score"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, all columns as they are."""
+    return scored_rows(docs, train_on(docs, labels)).where(F.col("_score") < threshold).select("row.*")
