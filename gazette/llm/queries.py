@@ -12,6 +12,7 @@ from gazette.llm.chat import format_conversations, read_back
 from gazette.llm.decontam import NUMBERS, UNITS, contaminated
 from gazette.llm.exact_dedup import exact_duplicates
 from gazette.llm.licenses import scan_licenses
+from gazette.llm.pii import find_personal_data
 from gazette.llm.pieces import encode_documents
 from gazette.llm.simhash import near_duplicates
 from gazette.llm.toxicity import score_documents
@@ -45,6 +46,13 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(load(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(F.expr(f"transform({c}, s -> concat_ws(':', s.kind, s.start, s.end))"), ",")
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -102,6 +110,7 @@ def _sql_words(table: str, key: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_chat_format": op6_chat_format,
