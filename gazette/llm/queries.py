@@ -15,6 +15,7 @@ from gazette.llm.licenses import scan_licenses
 from gazette.llm.pii import find_personal_data
 from gazette.llm.pieces import encode_documents
 from gazette.llm.simhash import near_duplicates
+from gazette.llm.token_counts import apply_edits, tree_table
 from gazette.llm.toxicity import score_documents
 from gazette.llm.warc import read_archives, write_pages
 from gazette.tables import load
@@ -67,6 +68,20 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Three edits of every document: an insertion, a deletion and a replacement, at a quarter, half and three quarters of its length.
+EDITS = """array(
+    named_struct('start', cast(length(text) div 4 AS bigint), 'end', cast(length(text) div 4 AS bigint), 'text', concat(' [note ', coalesce(doc_id, 0), '] ')),
+    named_struct('start', cast(length(text) div 2 AS bigint), 'end', cast(length(text) div 2 + 12 AS bigint), 'text', ''),
+    named_struct('start', cast(length(text) * 3 div 4 AS bigint), 'end', cast(length(text) * 3 div 4 + 5 AS bigint), 'text', 'REDACTED'))"""
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    trees = tree_table(load(spark, sf_dir, "documents"), path).withColumn("edits", F.expr(EDITS))
+    found = apply_edits(trees, path)
+    return found.select("doc_id", "n_tokens", "n_tokens_edited", "n_reencoded", F.sha2("text", 256).alias("edited_sha256"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -113,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_token_counts": op5_token_counts,
     "op6_chat_format": op6_chat_format,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
