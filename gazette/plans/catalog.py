@@ -1,10 +1,516 @@
-"""The registered queries over the test tables, each with its SQL."""
+"""The registered queries over the test tables, each with its SQL.
+
+The tables are no news, so concepts are mapped by role: events are articles (type: category, user: source), documents are
+texts by source, with NEWS_DAY ids to a day's edition, orders are dated items with a priority, lineitem gives price series.
+"Now" is always the latest date of a table, never the clock.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gazette.functions import dates, jsonx, numeric, pagekey, text, urls
+from gazette.functions.htmlx import body
+from gazette.operators import dedup, joins, metrics, ranking, series
+from gazette.tables import load
+
+#: Documents of an edition: ids from one multiple of this to the next.
+NEWS_DAY = 300
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "events")
+
+
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_totalprice", "o_custkey")
+
+
+# --- filters and projections
+
+
+@query("""WITH c AS (SELECT max(ts) - INTERVAL 3 DAY AS cutoff FROM events)
+          SELECT event_id, ts, event_type FROM events, c WHERE ts >= cutoff OR event_type = 'view'""")
+def stale_filter(spark, d):
+    e = _events(spark, d)
+    cutoff = e.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("cutoff"))  # one row
+    return e.join(F.broadcast(cutoff), (F.col("ts") >= F.col("cutoff")) | (F.col("event_type") == "view")).select("event_id", "ts", "event_type")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name, '^(green|blue|red)\\s*\\w+$') AND NOT regexp_matches(p_type, '^\\s*[0-9]{1,2}월\\s*[0-9]{1,2}일\\s*(궂긴\\s*소식|인사|동정|부고|알림|일정)\\s*$')")
+def wire_pattern_filter(spark, d):
+    p = load(spark, d, "part")
+    return p.where(~F.col("p_name").rlike(r"^(green|blue|red)\s*\w+$") & ~text.is_bulletin(F.col("p_type"))).select("p_partkey", "p_name")
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE '' END AS link FROM pages")
+def url_scheme_guard(spark, d):
+    return load(spark, d, "pages").select("page_id", urls.guarded(F.col("url")).alias("link"))
+
+
+@query("""SELECT doc_id, length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) < 300 OR ends_with(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '...') OR ends_with(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '…') AS needs_body,
+                 len(regexp_extract_all(text, '[.!?]|다\\s|음\\s|죠\\s')) / greatest(length(text) / 100.0::DOUBLE, 1.0::DOUBLE) AS prose FROM documents""")
+def prose_score(spark, d):
+    t = F.col("text")
+    return load(spark, d, "documents").select("doc_id", text.needs_body(t).alias("needs_body"), text.prose_score(t).alias("prose"))
+
+
+@query("""SELECT doc_id, left(text, 80) AS gist, CASE WHEN starts_with(text, left(text, 20)) AND length(text) > 20 THEN trim(ltrim(substr(trim(text), length(trim(left(text, 20))) + 1), ' -–—:·')) END AS rest,
+                 regexp_replace(left(text, 60), '\\s+-\\s+[^-]{1,30}$', '') AS title FROM documents WHERE NOT regexp_matches(left(text, 60), '^\\s|\\s$') AND text = trim(text) AND NOT regexp_matches(text, '[\\t\\n\\r]')""")
+def gist_projection(spark, d):
+    t = F.col("text")
+    one = load(spark, d, "documents").where(~F.substring(t, 1, 60).rlike(r"^\s|\s$") & (t == F.trim(t)) & ~t.rlike(r"[\t\n\r]"))
+    rest = F.when(F.length(t) > 20, text.strip_title_prefix(t, F.substring(t, 1, 20)))
+    return one.select("doc_id", F.substring(t, 1, 80).alias("gist"), rest.alias("rest"), text.strip_suffix(F.substring(t, 1, 60)).alias("title"))
+
+
+# --- joins
+
+
+@query("""WITH m AS (SELECT max(ts)::DATE AS day FROM events),
+          recent AS (SELECT DISTINCT user_id || ':' || event_type AS k FROM events, m WHERE ts::DATE < day AND ts::DATE >= day - 7 AND value > 0)
+          SELECT event_id, user_id || ':' || event_type AS k FROM events, m WHERE ts::DATE = day AND user_id || ':' || event_type NOT IN (SELECT k FROM recent)""")
+def seen_last7_anti(spark, d):
+    e = _events(spark, d).select("event_id", "value", F.concat_ws(":", "user_id", "event_type").alias("k"), F.to_date("ts").alias("date"))
+    last = e.agg(F.max("date").alias("d")).first()["d"]
+    return joins.unseen(e.where(F.col("date") == F.lit(last)).select("event_id", "k"), e.where("value > 0"), "k", 7, F.lit(last)).select("event_id", "k")
+
+
+@query("""SELECT d.doc_id, coalesce(l.quality, -1) AS quality, CASE WHEN l.doc_id IS NULL THEN left(d.text, 40) ELSE coalesce(nullif(trim(substr(d.text, 41, 40)), ''), left(d.text, 40)) END AS summary
+          FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0""")
+def left_join_fallback(spark, d):
+    answers = load(spark, d, "labels").withColumn("pos", F.lit(0))
+    one = joins.with_answers(load(spark, d, "documents"), answers.withColumn("found", F.lit(True)), "doc_id", "pos").where(~(F.coalesce("toxic", F.lit(0)) == 1))
+    own, given = F.substring("text", 1, 40), F.nullif(F.trim(F.substring("text", 41, 40)), F.lit(""))
+    return one.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.when(F.col("found").isNull(), own).otherwise(F.coalesce(given, own)).alias("summary"))
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS id FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 48)),
+          picks AS (SELECT l_orderkey % 60 - 5 AS id, min(l_linenumber) AS rank, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY 1)
+          SELECT c.id, o_orderkey, rank::BIGINT AS rank FROM picks JOIN c USING (id) ORDER BY rank, pos LIMIT 10""")
+def index_lookup_top10(spark, d):
+    order = [F.col("o_totalprice").desc(), F.col("o_orderkey")]
+    best = load(spark, d, "orders").orderBy(*order).limit(48)
+    best = best.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long"))  # over 48 rows
+    said = load(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 60 - 5).alias("id")).agg(F.min("l_linenumber").cast("long").alias("rank"), F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return joins.looked_up(said, best.select("id", "o_orderkey"), 10).select("id", "o_orderkey", "rank")
+
+
+@query("""SELECT s_suppkey, n_name, r_name, CASE r_name WHEN 'ASIA' THEN 'domestic' WHEN 'EUROPE' THEN 'overseas' ELSE r_name END AS label
+          FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def dim_lookup(spark, d):
+    n = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    labels = F.create_map(F.lit("ASIA"), F.lit("domestic"), F.lit("EUROPE"), F.lit("overseas"))
+    return load(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "r_name", F.coalesce(F.element_at(labels, F.col("r_name")), F.col("r_name")).alias("label"))
+
+
+@query("""WITH old AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, min(o_orderkey) AS first_key FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1),
+          new AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, max(o_orderkey) AS first_key FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01' GROUP BY 1)
+          SELECT * FROM old UNION ALL SELECT * FROM new WHERE day NOT IN (SELECT day FROM old)""")
+def insert_if_absent(spark, d):
+    o = _dated(spark, d)
+    old = o.where("day < date'1998-01-01'").groupBy("day").agg(F.min("o_orderkey").alias("first_key"))
+    new = o.where("day >= date'1997-06-01'").groupBy("day").agg(F.max("o_orderkey").alias("first_key"))
+    return joins.insert_if_absent(old, new, "day").withColumn("day", F.col("day").cast("string"))
+
+
+@query("""SELECT 'customer' AS side, c_custkey AS key, c_name AS name FROM customer WHERE c_acctbal < 0
+          UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier WHERE s_acctbal < 0""")
+def union_regions(spark, d):
+    c = load(spark, d, "customer").where("c_acctbal < 0").select(F.lit("customer").alias("side"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return c.unionByName(load(spark, d, "supplier").where("s_acctbal < 0").select(F.lit("supplier").alias("side"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")))
+
+
+# --- deduplication
+
+_NORM = "regexp_replace(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+@query(f"""WITH k AS (SELECT doc_id, source, n_chars, {_NORM.format('left(text, 60)')} AS k FROM documents)
+           SELECT doc_id, source, min(doc_id) OVER (PARTITION BY source, k) AS pos FROM k
+           QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY n_chars DESC, doc_id) = 1""")
+def exact_dedup_longest(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 60).alias("title"), "text")
+    return dedup.exact_longest(docs, ["source"], "title", "text", "doc_id").select("doc_id", "source", "pos")
+
+
+_WORDS = "list_distinct(regexp_extract_all({}, '[가-힣A-Za-z0-9]{{2,}}'))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, doc_id // {NEWS_DAY} AS day, source, n_chars AS len, {_WORDS.format('left(text, 80)')} AS w,
+                                row_number() OVER (PARTITION BY doc_id // {NEWS_DAY}, source ORDER BY doc_id) AS i FROM documents),
+           s AS (SELECT day, source, 1 AS i, [{{'o': doc_id, 'len': len, 'w': w, 'id': doc_id}}] AS kept FROM d WHERE i = 1
+             UNION ALL
+             SELECT s.day, s.source, d.i, CASE
+                 WHEN list_position(list_transform(kept, lambda k: len(list_intersect(k.w, d.w)) >= 0.5 * len(list_distinct(list_concat(k.w, d.w))) AND len(list_concat(k.w, d.w)) > 0), true) IS NULL
+                   THEN list_append(kept, {{'o': d.doc_id, 'len': d.len, 'w': d.w, 'id': d.doc_id}})
+                 ELSE list_transform(kept, lambda k, j: CASE WHEN j = list_position(list_transform(kept, lambda k2: len(list_intersect(k2.w, d.w)) >= 0.5 * len(list_distinct(list_concat(k2.w, d.w))) AND len(list_concat(k2.w, d.w)) > 0), true)
+                       AND d.len > k.len THEN {{'o': k.o, 'len': d.len, 'w': k.w, 'id': d.doc_id}} ELSE k END) END
+             FROM s JOIN d ON s.day = d.day AND s.source = d.source AND d.i = s.i + 1),
+           f AS (SELECT day, source, unnest(kept) AS k FROM s QUALIFY row_number() OVER (PARTITION BY day, source ORDER BY i DESC) = 1)
+           SELECT source, k.id AS doc_id, k.o AS kept_pos FROM f""")
+def near_dup_greedy(spark, d):
+    docs = load(spark, d, "documents").select(F.floor(F.col("doc_id") / NEWS_DAY).alias("day"), "doc_id", "source", "n_chars", F.substring("text", 1, 80).alias("title"))
+    return dedup.near_greedy(docs, ["day", "source"], "title", pos="doc_id", length=F.col("n_chars")).select("source", "doc_id", "kept_pos")
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id // {NEWS_DAY} AS day, source, {_WORDS.format('left(text, 80)')} AS w FROM documents),
+           p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS jaccard
+                 FROM d a JOIN d b ON a.day = b.day AND a.source = b.source AND a.doc_id < b.doc_id WHERE len(list_concat(a.w, b.w)) > 0)
+           SELECT a, b, jaccard FROM p WHERE jaccard >= 0.3""")
+def jaccard_pairs(spark, d):
+    w = load(spark, d, "documents").select(F.floor(F.col("doc_id") / NEWS_DAY).alias("day"), "source", "doc_id", text.tokens(F.substring("text", 1, 80)).alias("w"))
+    a, b = w.select("day", "source", F.col("doc_id").alias("a"), F.col("w").alias("wa")), w.select("day", "source", F.col("doc_id").alias("b"), F.col("w").alias("wb"))
+    # An edition has few items of a source, so the pairs of one are few.
+    return a.join(b, ["day", "source"]).where("a < b").select("a", "b", numeric.jaccard(F.col("wa"), F.col("wb")).alias("jaccard")).where("jaccard >= 0.3")
+
+
+@query(f"SELECT doc_id, len({_WORDS.format('left(text, 200)')}) AS n, list_aggregate(list_sort({_WORDS.format('left(text, 200)')}), 'string_agg', ' ') AS words FROM documents")
+def title_tokens(spark, d):
+    w = text.tokens(F.substring("text", 1, 200))
+    joined = F.array_join(F.array_sort(w), " ")
+    return load(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.when(joined != "", joined).alias("words"))
+
+
+_CANON = r"""(WITH u AS (SELECT page_id, regexp_extract(trim(url), '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$', ['scheme', 'host', 'path', 'query']) AS p FROM pages),
+    q AS (SELECT page_id, p, list_transform(list_filter(string_split(p.query, '&'), lambda x: x <> '' AND lower(regexp_replace(x, '=.*$', '')) NOT IN
+        ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'igshid', 'ref', 'source', 'from', 'at_medium', 'at_campaign')),
+        lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END) AS kept FROM u)
+    SELECT page_id, CASE WHEN p.scheme <> '' THEN lower(p.scheme) || ':' ELSE '' END || CASE WHEN p.host <> '' THEN '//' || p.host ELSE '' END || regexp_replace(p.path, '/+$', '')
+        || CASE WHEN len(kept) > 0 THEN '?' || list_aggregate(kept, 'string_agg', '&') ELSE '' END AS link FROM q)"""
+
+
+@query(f"SELECT page_id, link FROM {_CANON}")
+def canonical_url(spark, d):
+    return load(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("link"))
+
+
+@query(f"SELECT link, count(*) AS n, min(page_id) AS first_page FROM {_CANON} GROUP BY link")
+def distinct_urls(spark, d):
+    return load(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
+
+
+# --- rankings
+
+
+@query("""WITH r AS (SELECT event_id, event_type, user_id, ts, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id) AS rn,
+                     max(ts) OVER (PARTITION BY event_type, user_id) AS mx, min(event_id) OVER (PARTITION BY event_type, user_id) AS s0
+                     FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 3 DAY FROM events))
+          SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type ORDER BY rn, mx DESC, s0) AS position FROM r
+          QUALIFY position <= 20""")
+def balanced_top20(spark, d):
+    e = _events(spark, d)
+    cutoff = e.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("cutoff"))  # one row
+    fresh = e.join(F.broadcast(cutoff), F.col("ts") >= F.col("cutoff"))
+    return ranking.round_robin(fresh, ["event_type"], "user_id", "ts", "event_id").select("event_type", "user_id", "event_id", F.col("position").cast("long"))
+
+
+@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY month ORDER BY important DESC, o_orderdate DESC, o_orderkey) AS place, important
+          FROM (SELECT *, o_orderpriority IN ('1-URGENT', '2-HIGH') AS important, strftime(o_orderdate, '%Y-%m') AS month FROM orders)""")
+def important_recent_order(spark, d):
+    o = load(spark, d, "orders").withColumns({"important": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "month": dates.month_key(F.col("o_orderdate"))})
+    order = Window.partitionBy("month").orderBy(F.col("important").desc(), F.col("o_orderdate").desc(), "o_orderkey")
+    return o.select("o_orderkey", F.row_number().over(order).cast("long").alias("place"), "important")
+
+
+@query("""WITH b AS (SELECT *, o_orderpriority = '1-URGENT' AS important FROM orders),
+          c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY important DESC, o_orderdate DESC, o_orderkey) <= 6)
+          SELECT o_orderkey, row_number() OVER (ORDER BY important DESC, o_orderdate DESC, o_orderkey) AS rank FROM c QUALIFY rank <= 10""")
+def top6_then_top10(spark, d):
+    o = load(spark, d, "orders").withColumn("important", F.col("o_orderpriority") == "1-URGENT")
+    order = [F.col("important").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey")]
+    return ranking.top_overall(o, ["o_orderpriority"], order, 6, 10).select("o_orderkey", F.col("rank").cast("long"))
+
+
+@query("SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, ts DESC, event_id) AS rank FROM events QUALIFY rank <= 5")
+def top5_preview(spark, d):
+    order = [F.col("value").desc(), F.col("ts").desc(), F.col("event_id")]
+    return ranking.top_of_each(_events(spark, d), ["event_type"], order, 5).select("event_type", "event_id", F.col("rank").cast("long"))
+
+
+@query("""SELECT event_type, event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') AS published FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 3""")
+def top3_feed(spark, d):
+    best = ranking.top_of_each(_events(spark, d), ["event_type"], [F.col("ts").desc(), F.col("event_id")], 3)
+    return best.orderBy(F.col("ts").desc(), "event_id").select("event_type", "event_id", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss '+0000'").alias("published"))
+
+
+@query("""WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source, doc_id // 300 ORDER BY doc_id) - 1 AS n, doc_id // 300 AS day FROM documents)
+          SELECT doc_id, n // 8 AS chunk, n % 8 + 1 AS id FROM n""")
+def chunk_assign(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / NEWS_DAY).alias("day"))
+    return ranking.chunks(docs, ["source", "day"], ["doc_id"], 8).select("doc_id", "chunk", "id")
+
+
+@query("""WITH n AS (SELECT doc_id, source, text, doc_id // 300 AS day, row_number() OVER (PARTITION BY source, doc_id // 300 ORDER BY doc_id) - 1 AS n FROM documents)
+          SELECT source, day, n // 8 AS chunk, string_agg((n % 8 + 1)::VARCHAR || '. ' || trim(regexp_replace(left(text, 120), '\\s+', ' ', 'g')), chr(10) ORDER BY n) AS listing FROM n GROUP BY 1, 2, 3""")
+def chunk_listing(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / NEWS_DAY).alias("day"), F.substring("text", 1, 120).alias("t"))
+    line = F.concat(F.col("id").cast("string"), F.lit(". "), text.one_line(F.col("t")))
+    numbered = ranking.chunks(docs, ["source", "day"], ["doc_id"], 8).select("source", "day", "chunk", F.struct("id", line.alias("line")).alias("s"))
+    return numbered.groupBy("source", "day", "chunk").agg(F.array_join(F.sort_array(F.collect_list("s"))["line"], "\n").alias("listing"))
+
+
+# --- series
+
+_PRICES = """p AS (SELECT p_brand AS symbol, l_shipdate::DATE AS date, sum(round(l_extendedprice * 100)::BIGINT) / count(*)::DOUBLE AS close, sum(l_quantity::BIGINT)::DOUBLE AS volume
+             FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+
+
+def _prices(spark: SparkSession, d: str) -> DataFrame:
+    """A mean price and an amount for each brand and day; cents, so that sums are exact."""
+    p = load(spark, d, "part").select("p_partkey", "p_brand")
+    x = load(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return x.groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(
+        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.count(F.lit(1)).cast("double")).alias("close"), F.sum(F.col("l_quantity").cast("long")).cast("double").alias("volume")
+    )
+
+
+_ENTRIES = f"""WITH {_PRICES},
+    n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS i FROM p),
+    h AS (SELECT symbol, list(close ORDER BY i) FILTER (i <= 21) AS c, list(volume ORDER BY i) FILTER (i <= 21) AS v FROM n GROUP BY symbol HAVING count(*) >= 6),
+    e AS (SELECT symbol, c[1] AS price, CASE WHEN c[2] <> 0 THEN (c[1] - c[2]) / c[2] * 100 END AS daily,
+                 CASE WHEN c[least(6, len(c))] <> 0 THEN (c[1] - c[least(6, len(c))]) / c[least(6, len(c))] * 100 END AS weekly,
+                 CASE WHEN c[least(21, len(c))] <> 0 THEN (c[1] - c[least(21, len(c))]) / c[least(21, len(c))] * 100 END AS monthly,
+                 CASE WHEN list_sum(v[2:6]) <> 0 THEN v[1] / (list_sum(v[2:6]) / len(v[2:6])) END AS volume_ratio FROM h)"""
+_R = "floor({} * 10000 + 0.5) / 10000"
+
+
+@query(f"{_ENTRIES} SELECT symbol, {_R.format('daily')} AS daily, {_R.format('weekly')} AS weekly, {_R.format('monthly')} AS monthly FROM e")
+def pct_change_clamped(spark, d):
+    e = series.candidates(_prices(spark, d), ["symbol"])
+    return e.select("symbol", *[numeric.round_half_up(F.col(f"{h}_change_pct"), 4).alias(h) for h in series.OFFSETS])
+
+
+@query(f"{_ENTRIES} SELECT symbol, {_R.format('price')} AS price, {_R.format('volume_ratio')} AS volume_ratio FROM e")
+def volume_ratio(spark, d):
+    e = series.candidates(_prices(spark, d), ["symbol"])
+    return e.select("symbol", numeric.round_half_up(F.col("price"), 4).alias("price"), numeric.round_half_up(F.col("volume_ratio"), 4).alias("volume_ratio"))
+
+
+@query(f"""{_ENTRIES}, m AS (SELECT *, CASE WHEN symbol < 'Brand#3' THEN 'domestic' ELSE 'overseas' END AS market FROM e),
+           u AS (SELECT market, symbol, 'daily' AS horizon, daily AS change_pct FROM m UNION ALL SELECT market, symbol, 'weekly', weekly FROM m UNION ALL SELECT market, symbol, 'monthly', monthly FROM m)
+           SELECT market, horizon, symbol, row_number() OVER (PARTITION BY market, horizon ORDER BY change_pct DESC, symbol) AS rank FROM u WHERE change_pct IS NOT NULL QUALIFY rank <= 2""")
+def horizon_picks_top2(spark, d):
+    e = series.candidates(_prices(spark, d), ["symbol"]).withColumn("market", F.when(F.col("symbol") < "Brand#3", "domestic").otherwise("overseas"))
+    return series.picks(e, ["market"], "symbol").select("market", "horizon", "symbol", F.col("rank").cast("long"))
+
+
+_TOTALS = "t AS (SELECT o_orderpriority AS k, o_orderdate::DATE AS day, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE AS total FROM orders GROUP BY 1, 2)"
+
+
+def _totals(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("k"), F.to_date("o_orderdate").alias("day")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double").alias("total"))
+
+
+@query(f"""WITH {_TOTALS}, b AS (SELECT *, lag(total) OVER (PARTITION BY k ORDER BY day) AS prev FROM t)
+           SELECT k, day::VARCHAR AS day, floor(CASE WHEN prev = 0 THEN 0.0 ELSE (total - prev) / prev * 100 END * 10000 + 0.5) / 10000 AS pct FROM b""")
+def day_over_day(spark, d):
+    return series.day_over_day(_totals(spark, d), ["k"], "day", "total").select("k", F.col("day").cast("string").alias("day"), numeric.round_half_up(F.col("pct"), 4).alias("pct"))
+
+
+_LAST7 = f"""WITH {_TOTALS}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY day DESC) AS i FROM t),
+             h AS (SELECT k, list(total ORDER BY day) AS history FROM n WHERE i <= 7 GROUP BY k HAVING count(*) >= 2)"""
+
+
+@query(f"{_LAST7} SELECT k, len(history) AS n, history[1] AS oldest, history[-1] AS latest, list_min(history) AS low, list_max(history) AS high FROM h")
+def last7_history(spark, d):
+    h = series.latest_history(_totals(spark, d), ["k"], "day", "total")
+    x = F.col("history")
+    return h.select("k", F.size(x).cast("long").alias("n"), F.element_at(x, 1).alias("oldest"), F.element_at(x, -1).alias("latest"), F.array_min(x).alias("low"), F.array_max(x).alias("high"))
+
+
+@query(f"""{_LAST7}, s AS (SELECT k, history AS v, list_min(history) AS lo, CASE WHEN list_max(history) = list_min(history) THEN 1.0 ELSE list_max(history) - list_min(history) END AS span FROM h)
+           SELECT k, list_aggregate(list_transform(v, lambda x, i: printf('%.1f,%.1f', ((i - 1) * (84.0::DOUBLE / (len(v) - 1)))::DOUBLE, (25.0::DOUBLE - (x - lo) / span * 22.0::DOUBLE)::DOUBLE)), 'string_agg', ' ') AS points FROM s""")
+def sparkline_points(spark, d):
+    return series.latest_history(_totals(spark, d), ["k"], "day", "total").select("k", numeric.sparkline_points(F.col("history")).alias("points"))
+
+
+@query(f"""WITH {_TOTALS}, b AS (SELECT *, lag(total) OVER (PARTITION BY k ORDER BY day) AS prev FROM t)
+           SELECT k, CASE WHEN prev IS NULL THEN 'flat' WHEN total > prev THEN 'up' WHEN total < prev THEN 'down' ELSE 'flat' END AS dir, count(*) AS n FROM b GROUP BY ALL""")
+def direction_label(spark, d):
+    x = series.day_over_day(_totals(spark, d), ["k"], "day", "total")
+    return x.groupBy("k", numeric.direction(F.col("pct")).alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- archive
+
+
+@query("""WITH k AS (SELECT o_orderkey, o_orderpriority AS category, o_orderdate::DATE AS day, strftime(o_orderdate, '%Y-%m') AS ym, 'title ' || (o_custkey % 50)::VARCHAR AS title FROM orders
+                     WHERE o_orderdate::DATE < (SELECT max(o_orderdate)::DATE - 90 FROM orders)),
+          f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY ym, category, title ORDER BY day, o_orderkey) = 1)
+          SELECT ym, category, count(*) AS article_count, min(o_orderkey) AS first_key, count(DISTINCT day) AS days FROM f GROUP BY ym, category""")
+def month_compaction(spark, d):
+    o = _dated(spark, d)
+    last = o.agg(F.max("day").alias("d")).first()["d"]
+    old = o.where(F.col("day") < F.date_sub(F.lit(last), 90)).select("o_orderkey", F.col("o_orderpriority").alias("category"), "day", dates.month_key(F.col("day")).alias("ym"), F.concat(F.lit("title "), (F.col("o_custkey") % 50).cast("string")).alias("title"))
+    first = dedup.month_first(old, ["ym", "category"], ["day", "o_orderkey"])
+    return first.groupBy("ym", "category").agg(F.count(F.lit(1)).alias("article_count"), F.min("o_orderkey").alias("first_key"), F.count_distinct("day").alias("days"))
+
+
+@query("""WITH m AS (SELECT max(o_orderdate)::DATE - 90 AS cutoff FROM orders)
+          SELECT CASE WHEN o_orderdate::DATE < cutoff THEN 'compact' ELSE 'keep' END AS action, count(*) AS n, min(o_orderdate::DATE)::VARCHAR AS first_day, max(o_orderdate::DATE)::VARCHAR AS last_day FROM orders, m GROUP BY 1""")
+def retention_split(spark, d):
+    o = _dated(spark, d)
+    cutoff = o.agg(F.date_sub(F.max("day"), 90).alias("cutoff"))  # one row
+    action = F.when(F.col("day") < F.col("cutoff"), "compact").otherwise("keep")
+    return o.join(F.broadcast(cutoff)).groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
+
+
+@query(f"""WITH {_PRICES} SELECT strftime(date, '%Y-%m-%d') AS date, symbol, floor(close * 100 + 0.5) / 100 AS price_at_pick FROM p
+           WHERE symbol = 'Brand#13' AND date >= DATE '1997-03-15'""")
+def stock_history_query(spark, d):
+    from gazette.plans.archive import stock_history
+
+    p = _prices(spark, d).select(dates.month_key(F.col("date")).alias("year_month"), F.date_format("date", "yyyy-MM-dd").alias("date"), F.lit("domestic").alias("market"), "symbol", numeric.round_half_up(F.col("close")).alias("price_at_pick"))
+    return stock_history(p, "Brand#13", "domestic", "1997-03-15").select("date", "symbol", "price_at_pick")
+
+
+# --- texts
+
+
+@query("""SELECT page_id, regexp_replace(html, '<[^<]+?>', '', 'g') AS text FROM pages""")
+def html_strip(spark, d):
+    return load(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
+
+
+@query()
+def html_clean(spark, d):
+    return load(spark, d, "pages").select("page_id", text.clean_html(F.col("html")).alias("text"))
+
+
+@query()
+def body_extract(spark, d):
+    return load(spark, d, "pages").select("page_id", body(F.col("html")).alias("body"), dates.page_published(F.col("html")).alias("published"))
+
+
+_TRIMMED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TRIMMED.format('text')} AS t FROM documents), w AS (SELECT doc_id, t, left(t, 110) AS w FROM t),
+           x AS (SELECT *, regexp_extract(w, '(?s)^(.*(?:[.!?]\\s|[다요]\\.$))', 1) AS s, regexp_extract(w, '(?s)^(.*) ', 1) AS b FROM w)
+           SELECT doc_id, CASE WHEN length(t) <= 110 THEN t WHEN length(s) >= 55 THEN regexp_replace({_TRIMMED.format('s')}, '&[#a-zA-Z0-9]{{0,7}}$', '')
+               ELSE regexp_replace(regexp_replace(CASE WHEN contains(w, ' ') AND length(b) >= 55 THEN b ELSE w END, '[ ,·-]+$', ''), '&[#a-zA-Z0-9]{{0,7}}$', '') || '…' END AS blurb FROM x""")
+def trim_boundary(spark, d):
+    return load(spark, d, "documents").select("doc_id", text.trim_at_boundary(F.col("text"), 110).alias("blurb"))
+
+
+def _any_of(words: list[str], c: str) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w.lower()}')" for w in dict.fromkeys(words)) + ")"
+
+
+@query(f"SELECT doc_id, {_any_of([w for x in text.IMPORTANT.values() for w in x], 'lower(text)')} AS important, {_any_of(text.AI_WORDS, 'lower(concat(chr(32), text, chr(32)))')} AS ai FROM documents")
+def keyword_importance(spark, d):
+    t = F.col("text")
+    return load(spark, d, "documents").select("doc_id", text.is_important(F.lit(""), t).alias("important"), text.is_ai_related(F.lit(""), t).alias("ai"))
+
+
+@query("""WITH h AS (SELECT doc_id, sha256('salt|' || doc_id::VARCHAR || '|page.html') AS h FROM documents),
+          b AS (SELECT doc_id, list_transform(range(0, 10), lambda i: ('0x' || substr(h, (i * 2 + 1)::INT, 2))::INT % 62) AS b FROM h)
+          SELECT doc_id, list_aggregate(list_transform(b, lambda x: substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', (x + 1)::INT, 1)), 'string_agg', '') AS token FROM b""")
+def page_token(spark, d):
+    return load(spark, d, "documents").select("doc_id", pagekey.page_token("salt", F.col("doc_id").cast("string"), F.lit("page.html")).alias("token"))
+
+
+@query("""SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS message,
+                 md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), chr(39), '&#39;')) AS page FROM pages""")
+def escape_text(spark, d):
+    h = F.col("html")
+    return load(spark, d, "pages").select("page_id", text.escape_message(h).alias("message"), F.md5(text.escape_html(h)).alias("page"))
+
+
+@query("""SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS shown, ts - to_minutes(event_id % 15) AS approximate,
+                 ['월', '화', '수', '목', '금', '토', '일'][isodow(ts + INTERVAL 9 HOUR)] AS weekday FROM events""")
+def kst_format(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    day = F.element_at(F.array(*[F.lit(w) for w in dates.WEEKDAYS]), F.weekday(dates.local(ts)) + 1)
+    near = dates.choose_date(F.lit(None).cast("timestamp"), F.lit(None).cast("string"), ts, F.col("event_id") % 15)
+    return _events(spark, d).select("event_id", dates.local_minute(ts).alias("shown"), near["published"].cast("timestamp_ntz").alias("approximate"), day.alias("weekday"))
+
+
+# --- JSON
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_props(spark, d):
+    return _events(spark, d).select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("""WITH o AS (SELECT user_id, event_type, list(event_id ORDER BY event_id) AS ids FROM events WHERE event_id % 3 = 0 GROUP BY user_id, event_type)
+          SELECT user_id, event_type, (len(ids) - 1)::BIGINT AS n, CASE WHEN len(ids) > 1 THEN ids[len(ids) - 1] END AS last_id FROM o""")
+def json_truncated_salvage(spark, d):
+    item = F.to_json(F.struct(F.col("event_id").alias("id"), F.lit('brace } "quote').alias("title")))
+    one = _events(spark, d).where("event_id % 3 = 0").groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("j"))))["j"].alias("a"))
+    cut = one.select("user_id", "event_type", F.concat(F.lit("["), F.array_join("a", ","))).toDF("user_id", "event_type", "raw").withColumn("raw", F.expr("left(raw, length(raw) - 3)"))
+    found = cut.select("user_id", "event_type", F.coalesce(jsonx.items(F.col("raw")), F.array().cast("array<string>")).alias("a"))
+    return found.select("user_id", "event_type", F.size("a").cast("long").alias("n"), F.get_json_object(F.try_element_at("a", F.lit(-1)), "$.id").cast("long").alias("last_id"))
+
+
+@query("""SELECT o_orderpriority AS category, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1""")
+def poly_flatten(spark, d):
+    """Snapshots of two shapes, lists and objects of lists by region, flattened to the same articles."""
+    o = _dated(spark, d).withColumn("a", F.struct(F.col("o_orderkey").alias("id")))
+    lists = o.where("o_orderkey % 2 = 0").groupBy("day", F.col("o_orderpriority").alias("category")).agg(F.to_json(F.collect_list("a")).alias("entry"))
+    by_region = o.where("o_orderkey % 2 = 1").groupBy("day", F.col("o_orderpriority").alias("category"), F.when(F.col("o_custkey") % 2 == 0, "domestic").otherwise("overseas").alias("region")).agg(F.collect_list("a").alias("l"))
+    maps = by_region.groupBy("day", "category").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("region", "l")))).alias("entry"))
+    flat = lists.unionByName(maps).select("category", F.explode(jsonx.flattened(F.col("entry"), "struct<id:bigint>")).alias("a"))
+    return flat.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("a.id").alias("keys"))
+
+
+@query("""SELECT r_name AS market, n_name AS horizon, s_suppkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def nested_explode(spark, d):
+    """Picks nested by market and horizon, and exploded again."""
+    n = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = load(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    inner = s.groupBy("r_name", "n_name").agg(F.collect_list("s_suppkey").alias("ids"))
+    nested = inner.groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "ids"))).alias("m"))
+    return nested.select(F.col("r_name").alias("market"), F.explode("m").alias("horizon", "ids")).select("market", "horizon", F.explode("ids").alias("id"))
+
+
+# --- counters and streams
+
+
+@query("""SELECT source, count(*) AS total, count(*) FILTER (l.doc_id IS NULL) AS failed, count(*) FILTER (l.doc_id IS NULL) * 100 // count(*) AS pct,
+                 CASE WHEN count(*) FILTER (l.doc_id IS NULL) = count(*) THEN 'all_failed' WHEN count(*) FILTER (l.doc_id IS NULL) * 100 // count(*) >= 10 THEN 'degraded' ELSE 'ok' END AS headline
+          FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY source""")
+def fallback_rate(spark, d):
+    known = load(spark, d, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
+    return metrics.fallback_rate(load(spark, d, "documents").select("doc_id", "source").join(known, "doc_id", "left"), F.col("known").isNull(), ["source"])
+
+
+@query("""SELECT event_type, count(*) FILTER (user_id % 2 = 0) AS domestic, count(*) FILTER (user_id % 2 = 1) AS overseas FROM events GROUP BY event_type""")
+def region_pivot_counts(spark, d):
+    e = _events(spark, d).withColumn("region", F.when(F.col("user_id") % 2 == 0, "domestic").otherwise("overseas"))
+    return metrics.group_counts(e, "event_type", "region", ["domestic", "overseas"])
+
+
+@query("""WITH c AS (SELECT max(ts) - INTERVAL 3 DAY AS cutoff FROM events)
+          SELECT count(*) FILTER (ts < cutoff) AS stale, count(*) FILTER (value <= 0) AS empty, count(*) FILTER (event_type = 'view') AS views FROM events, c""")
+def drop_counts(spark, d):
+    e = _events(spark, d)
+    cutoff = e.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("cutoff"))  # one row
+    return metrics.drop_counts(e.join(F.broadcast(cutoff)), {"stale": F.col("ts") < F.col("cutoff"), "empty": F.col("value") <= 0, "views": F.col("event_type") == "view"})
+
+
+@query("""SELECT event_type, start, value FROM (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS start, value,
+              row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 15 MINUTE, ts) ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def refresh_15m(spark, d):
+    """The latest value of each quarter of an hour, as the intraday refresh leaves it."""
+    e = _events(spark, d).groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "15 minutes").alias("w"))
+    return e.agg(F.max(F.struct("ts", "event_id", "value")).alias("m")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "m.value")
