@@ -20,6 +20,7 @@ Empty table: empty result. Other columns are ignored, and never inputs.
 
 from __future__ import annotations
 
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,8 +37,9 @@ MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 800, 1600, 6000
 VOCABULARY, NGRAMS, SIZES = 20_000, 60_000, (3, 4, 5)
 EPOCHS, BATCH, RATE = 10, 128, 0.02
 #: Words that a worker remembers, and windows that run at once.
-REMEMBERED, BLOCK = 150_000, 2048
+REMEMBERED, BLOCK = 500_000, 2048
 PAD = 0
+EDGES = string.punctuation + "«»“”„‘’…–—¡¿"
 
 
 def ngrams(word: str) -> list[str]:
@@ -46,9 +48,15 @@ def ngrams(word: str) -> list[str]:
 
 
 def words_of(text: str | None) -> list[str]:
+    """Words in lower case as white space parts them, punctuation at their edges still on them."""
     return (text or "").lower().split()
 
 
+def bare(word: str) -> str:
+    """What the network sees of a word: without punctuation at its edges, unless it is nothing else."""
+    return word.strip(EDGES) or word
+
+
 def window_starts(n: int) -> np.ndarray:
     """Every STEP words, and last the window that ends with the text."""
     if n <= WINDOW:
@@ -180,7 +188,7 @@ class Classifier:
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> Classifier:
     """Learns from whole texts with a label each."""
-    bags = [words_of(t) for t in texts]
+    bags = [[bare(w) for w in words_of(t)] for t in texts]
     model = Classifier(bags)
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
@@ -254,7 +262,8 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        self.table = np.empty((1024, 6 * HIDDEN), np.float32)
+        # Pages of the table are touched only as words come.
+        self.table = np.empty((REMEMBERED + 50_000, 6 * HIDDEN), np.float32)
         self.table[0] = self.model.project(self.model.padding())[0]
         self.ids = _Ids()
 
@@ -264,7 +273,7 @@ class Scorer:
             part = new[at : at + 20_000]
             to = self.ids.done + len(part) + 1
             while to > len(self.table):
-                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+                self.table = np.concatenate([self.table, np.empty((to, 6 * HIDDEN), np.float32)])
             self.table[self.ids.done + 1 : to] = self.model.project(self.model.inputs(self.model.rows(part)))
             self.ids.done += len(part)
         self.ids.new = []
@@ -285,7 +294,8 @@ class Scorer:
         for k, text in enumerate(texts):
             words = words_of(text)
             ids = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
-            self._learn()
+            if self.ids.new:
+                self._learn()
             ids = np.pad(ids, (0, max(0, WINDOW - len(ids))))
             starts = window_starts(len(words))
             for at in range(0, len(starts), 8 * BLOCK):
@@ -295,7 +305,7 @@ class Scorer:
                 n += len(part)
                 if n >= 2 * BLOCK:
                     flush()
-            if len(self.ids) > REMEMBERED:
+            if self.ids.done > REMEMBERED or len(self.ids) > 2 * REMEMBERED:
                 flush()
                 self._forget()
         flush()
@@ -303,15 +313,19 @@ class Scorer:
 
 
 class _Ids(dict):
-    """Rows of words from 1 on; new ones are noted."""
+    """Rows of words, from 1 on; words that differ in punctuation at the edges share one. New ones are noted."""
 
     def __init__(self):
         self.new: list[str] = []
         self.done = 0
 
     def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        row = self[word] = len(self) + 1
+        core = bare(word)
+        row = self.get(core)
+        if row is None:
+            self.new.append(core)
+            row = self[core] = self.done + len(self.new)
+        self[word] = row
         return row
 
 
