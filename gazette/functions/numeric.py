@@ -59,7 +59,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(c, F.lit(high)), F.lit(low))
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(high)), F.lit(low)))
 
 
 def retry_after(header: Column, most: int = 30) -> Column:

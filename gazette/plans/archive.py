@@ -35,3 +35,39 @@ def stock_history(picks: DataFrame, symbol: str, market: str, since: str) -> Dat
     """
     day = F.expr("try_to_date(date, 'yyyy-MM-dd')")
     return picks.where(F.col("year_month") >= F.lit(since[:7])).where((F.col("symbol") == symbol) & (F.col("market") == market)).where(day >= F.lit(since).cast("date"))
+
+
+def compact(spark, snapshots: DataFrame, archive: str, today: Column, keep: int = RETENTION_DAYS) -> list[str]:
+    """Moves days before the retention into the month tables below archive, and returns these days.
+
+    The month tables are written before anything may be deleted; a second run finds the days included and changes nothing.
+    """
+    from gazette.sinks.files import replace_partitions
+    from gazette.sources.snapshots import articles, picks
+    from gazette.staging import stage
+
+    old = expired(snapshots, today, keep)
+    days = [r["date"].isoformat() for r in old.select("date").distinct().orderBy("date").collect()]  # days, not articles
+    if not days:
+        return []
+    schema = "year_month string, date date, category string, seq long, title string, gist string, source string, link string"
+    headlines = _table(spark, f"{archive}/headlines", schema)
+    merged = stage(new_headlines(articles(old), headlines), "archive-headlines")
+    kept = _table(spark, f"{archive}/picks", "year_month string, date string, market string, horizon string, symbol string, name string, reason string, price_at_pick double")
+    fresh = picks(old).join(kept.select("date").distinct(), "date", "left_anti")
+    all_picks = stage(kept.join(fresh.select("year_month").distinct(), "year_month", "left_semi").unionByName(fresh), "archive-picks")
+    replace_partitions(merged, f"{archive}/headlines", ["year_month"])
+    replace_partitions(all_picks, f"{archive}/picks", ["year_month"])
+    return days
+
+
+def _table(spark, folder: str, schema: str) -> DataFrame:
+    """The table in folder, empty if it is not there yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+
+
+def month_counts(headlines: DataFrame) -> DataFrame:
+    """article_count of each month and category."""
+    return headlines.groupBy("year_month", "category").agg(F.count(F.lit(1)).alias("article_count"))
