@@ -44,7 +44,7 @@ NUMBERS = (
 
 def words(text: Column) -> Column:
     """Words in lower case and numbers; names begin with a private-use mark."""
-    marked = F.regexp_replace(F.translate(text, NAME, " "), r"([\p{Ll}\p{N},;:] )(\p{Lu}\p{L}+)", f"$1{NAME}$2")
+    marked = F.regexp_replace(F.translate(text, NAME, " "), r"([\p{Ll}\p{N},;:][ \t\r\n])(\p{Lu}\p{Ll}\p{L}*)", f"$1{NAME}$2")
     return F.regexp_extract_all(F.lower(marked), F.lit(NAME + r"?[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
 
 

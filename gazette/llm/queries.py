@@ -119,7 +119,7 @@ def _sql_words(table: str, key: str) -> str:
         SELECT {key}, raw, list_transform(raw, lambda w, i: CASE WHEN {number('w')} THEN '#' WHEN starts_with(w, chr(57344)) THEN '@'
                    WHEN i > 1 AND w IN {listed(UNITS)} AND {number('raw[i - 1]')} THEN '%' ELSE w END) AS canon
         FROM (SELECT {key}, regexp_extract_all(lower(regexp_replace(replace(coalesce(text, ''), chr(57344), ' '),
-                  '([\\p{{Ll}}\\p{{N}},;:] )(\\p{{Lu}}\\p{{L}}+)', '\\1' || chr(57344) || '\\2', 'g')),
+                  '([\\p{{Ll}}\\p{{N}},;:][ \\t\\r\\n])(\\p{{Lu}}\\p{{Ll}}\\p{{L}}*)', '\\1' || chr(57344) || '\\2', 'g')),
                   chr(57344) || '?[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*') AS raw FROM {table})"""
 
 
