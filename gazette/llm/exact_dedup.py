@@ -155,7 +155,8 @@ def verified_classes(docs: DataFrame, marked: DataFrame) -> DataFrame:
 def exact_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
     marked = exchange(docs, owners)
-    classes = verified_classes(docs, marked)
+    # Written, so that the join below reads both sides by an exchange of its own and a hot digest's rows can be split.
+    classes = stage(verified_classes(docs, marked), "exact-classes")
     stays = (F.col("keep.pid") == F.col("pid")) & (F.col("keep.seq") == F.col("seq"))
     found = marked.where("suspect").join(classes, "sha", "left")
     alone = marked.where("not suspect")
