@@ -514,3 +514,183 @@ def refresh_15m(spark, d):
     """The latest value of each quarter of an hour, as the intraday refresh leaves it."""
     e = _events(spark, d).groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "15 minutes").alias("w"))
     return e.agg(F.max(F.struct("ts", "event_id", "value")).alias("m")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "m.value")
+
+
+# --- formats
+
+
+@query("""WITH b AS (SELECT event_type, event_id, value, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 15)
+          SELECT event_type, 'Item & <' || event_id::VARCHAR || '>' AS title, 'https://site.example/e?id=' || event_id::VARCHAR AS link, date_trunc('second', ts) AS published FROM b""")
+def feed_roundtrip(spark, d):
+    """Feeds of the newest items written as XML, and read again by Spark's XML functions."""
+    best = ranking.top_of_each(_events(spark, d), ["event_type"], [F.col("ts").desc(), F.col("event_id")], 15)
+    title = text.escape_html(F.concat(F.lit("Item & <"), F.col("event_id").cast("string"), F.lit(">")))
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://site.example/e?id="), F.col("event_id").cast("string"), F.lit("</link><pubDate>"), dates.rfc822(F.col("ts").cast("timestamp")), F.lit("</pubDate></item>"))
+    feeds = best.groupBy("event_type").agg(F.concat(F.lit("<channel>"), F.array_join(F.sort_array(F.collect_list(F.struct("rank", item.alias("x"))))["x"], ""), F.lit("</channel>")).alias("xml"))
+    parsed = feeds.select("event_type", F.explode(F.from_xml("xml", "item array<struct<title:string,link:string,pubDate:string>>")["item"]).alias("i"))
+    return parsed.select("event_type", "i.title", "i.link", dates.parse_date(F.col("i.pubDate")).cast("timestamp_ntz").alias("published"))
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS utc, date_trunc('second', ts) AS shifted, event_id % 5 = 0 AS approximate FROM events")
+def parsed_dates(spark, d):
+    e = _events(spark, d).withColumn("s", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"))
+    east = F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 9 HOURS"), "dd MMM yyyy HH:mm:ss"), F.lit(" +0900"))
+    raw = F.when(F.col("event_id") % 5 == 0, "not a date").otherwise(F.concat("s", F.lit(" GMT")))
+    chosen = dates.choose_date(F.lit(None).cast("timestamp"), raw, F.date_trunc("second", F.col("ts").cast("timestamp")), F.lit(0))
+    return e.select("event_id", chosen["published"].cast("timestamp_ntz").alias("utc"), dates.parse_date(east).cast("timestamp_ntz").alias("shifted"), chosen["is_approximate"].alias("approximate"))
+
+
+@query("""SELECT o_orderkey, format('{:,}', (round(o_totalprice * 100)::BIGINT) // 100) AS shown, (round(o_totalprice * 100)::BIGINT // 100)::DOUBLE AS parsed,
+                 CASE WHEN o_custkey % 50 < 1 THEN NULL ELSE least(greatest(o_custkey % 50, 1), 30)::INT END AS wait FROM orders""")
+def number_formats(spark, d):
+    whole = F.floor(F.round(F.col("o_totalprice") * 100).cast("long") / 100)
+    shown = numeric.thousands(whole, 0)
+    header = F.when(F.col("o_custkey") % 50 < 1, "soon").otherwise((F.col("o_custkey") % 50).cast("string"))
+    return load(spark, d, "orders").select("o_orderkey", shown.alias("shown"), numeric.comma_number(shown).alias("parsed"), numeric.retry_after(header).alias("wait"))
+
+
+@query("""SELECT page_id, regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', '') AS base, 'https://site.example/x/' || regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '^/+', '') AS full_url FROM pages""")
+def url_paths(spark, d):
+    path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return load(spark, d, "pages").select("page_id", urls.base_path(F.col("url")).alias("base"), urls.joined(F.lit("https://site.example/x/"), path).alias("full_url"))
+
+
+@query("""SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)), lambda p: p <> ''))::BIGINT AS paragraphs,
+                 left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 18) AS line1 FROM documents""")
+def paragraphs_and_lines(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.size(text.paragraphs(F.col("text"))).cast("long").alias("paragraphs"), F.coalesce(F.try_element_at(text.wrap(F.col("text"), 18, 3), F.lit(1)), F.lit("")).alias("line1"))
+
+
+# --- the daily run over documents as articles
+
+_ARTICLES = """a AS (SELECT doc_id AS article_seq, (['politics', 'economy', 'society', 'life', 'culture', 'it', 'science', 'world'])[doc_id % 8 + 1] AS category,
+                     CASE WHEN lang = 'en' THEN 'overseas' ELSE 'domestic' END AS region, source, left(text, 60) AS title, substr(text, 61, 300) AS summary,
+                     TIMESTAMP '2026-08-14 00:00:00' + to_minutes(doc_id) AS published FROM documents)"""
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as articles, a minute apart; a thousandth part of them have neither link nor exact date."""
+    names = F.array(*[F.lit(c) for c in "politics economy society life culture it science world".split()])
+    docs = load(spark, d, "documents")
+    link = F.when(F.col("doc_id") % 1000 == 999, "").otherwise(F.concat(F.lit("https://site.example/a?id="), F.col("doc_id").cast("string")))
+    return docs.select(
+        F.col("doc_id").alias("article_seq"), F.element_at(names, (F.col("doc_id") % 8 + 1).cast("int")).alias("category"), F.when(F.col("lang") == "en", "overseas").otherwise("domestic").alias("region"), "source",
+        F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 300).alias("summary"), link.alias("link"), link.alias("canonical_link"),
+        F.timestamp_add("MINUTE", F.col("doc_id"), F.lit("2026-08-14 00:00:00").cast("timestamp")).alias("published"), (F.col("doc_id") % 1000 == 999).alias("date_is_approximate"),
+    )
+
+
+def _now(articles: DataFrame):
+    return F.lit(articles.agg(F.max("published").alias("t")).first()["t"])
+
+
+@query()
+def daily_edition(spark, d):
+    """Filters, deduplication, balance and the rules in place of a model, over the articles of the last days."""
+    from gazette.plans import daily
+
+    a = _articles(spark, d)
+    return daily.edition(a, None, None, _now(a)).select("article_seq", "category", "region", "position", "is_important", "is_ai", "llm_failed", "title", "summary")
+
+
+@query(f"""WITH {_ARTICLES}, i AS (SELECT *, {_any_of([w for x in text.IMPORTANT.values() for w in x], "lower(title || ' ' || summary)")} AS important FROM a WHERE published >= (SELECT max(published) - INTERVAL 3 DAY FROM a)),
+           c AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY region, category ORDER BY important DESC, published DESC, article_seq) <= 6)
+           SELECT region, article_seq, category, row_number() OVER (PARTITION BY region ORDER BY important DESC, published DESC, article_seq) AS rank FROM c QUALIFY rank <= 10""")
+def top10_cards(spark, d):
+    a = _articles(spark, d)
+    fresh = a.where(F.col("published") >= _now(a) - F.expr("INTERVAL 3 DAYS")).withColumn("is_important", text.is_important(F.col("title"), F.col("summary")))
+    order = [F.col("is_important").desc(), F.col("published").desc(), F.col("article_seq")]
+    both = [ranking.top_overall(fresh.where(F.col("region") == r), ["category"], order, 6, 10) for r in ("domestic", "overseas")]
+    return both[0].unionByName(both[1]).select("region", "article_seq", "category", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {_ARTICLES} SELECT region, {_any_of(text.AI_WORDS, "lower(' ' || title || ' ' || summary || ' ')")} AS is_ai, count(*) AS n FROM a WHERE category = 'it' GROUP BY ALL""")
+def ai_split(spark, d):
+    from gazette.plans import model
+
+    a = _articles(spark, d).where("category = 'it'")
+    return model.with_ai_tags(a).groupBy("region", "is_ai").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def home_and_pages(spark, d):
+    """Paths and contents of the category pages, detail pages, home page and feed."""
+    from gazette.plans import daily, model
+    from gazette.sinks import render
+    from gazette.sources import registry
+    from gazette.staging import stage
+
+    a = _articles(spark, d)
+    e = stage(daily.edition(a, None, None, _now(a)).withColumn("detail_summary", F.when(F.col("region") == "overseas", F.col("summary"))), "edition")
+    e = render.with_detail_paths(e, "salt", "2026-08-14")
+    cards = model.top_cards(e, registry.categories(spark), "domestic").unionByName(model.top_cards(e, registry.categories(spark), "overseas"))
+    site = "https://site.example"
+    pages = render.category_pages(e, "salt", "2026-08-14", site).drop("category")
+    for more in (render.detail_pages(e, site), render.home_page(e, cards, "2026-08-14", site), render.feed_xml(e, site)):
+        pages = pages.unionByName(more)
+    return pages
+
+
+@query()
+def lead_message(spark, d):
+    from gazette.plans import daily, model
+    from gazette.sinks import render
+    from gazette.sources import registry
+    from gazette.staging import stage
+
+    a = _articles(spark, d)
+    e = render.with_detail_paths(stage(daily.edition(a, None, None, _now(a)).withColumn("detail_summary", F.lit(None).cast("string")), "edition"), "salt", "2026-08-14")
+    c = registry.categories(spark)
+    cards = model.top_cards(e, c, "domestic").unionByName(model.top_cards(e, c, "overseas"))
+    return render.lead_message(cards, render.category_pages(e, "salt", "2026-08-14", "https://site.example"), c, "https://site.example", "2026-08-14")
+
+
+@query(f"""{_LAST7} SELECT k AS name, CASE WHEN history[-2] = 0 THEN 'flat' WHEN history[-1] > history[-2] THEN 'up' WHEN history[-1] < history[-2] THEN 'down' ELSE 'flat' END AS dir,
+           CASE WHEN history[-1] > history[-2] THEN '#ef4444' WHEN history[-1] < history[-2] THEN '#3b82f6' ELSE '#8890a3' END AS color, len(history)::BIGINT AS points FROM h""")
+def market_indicators(spark, d):
+    """Indicators as the intraday refresh shows them; the line's colour follows the shown movement."""
+    i = series.indicators(_totals(spark, d), ["k"], "day", "total")
+    color, points = F.regexp_extract("sparkline_svg", 'stroke="(#[0-9a-f]+)"', 1), F.regexp_extract("sparkline_svg", 'points="([^"]*)"', 1)
+    return i.select(F.col("k").alias("name"), "dir", color.alias("color"), F.size(F.split(points, " ")).cast("long").alias("points"))
+
+
+@query(f"""{_ENTRIES}, m AS (SELECT *, CASE WHEN symbol < 'Brand#3' THEN 'domestic' ELSE 'overseas' END AS market FROM e)
+           SELECT market, symbol, count(*) OVER (PARTITION BY market) AS n FROM m""")
+def stock_candidates(spark, d):
+    e = series.candidates(_prices(spark, d), ["symbol"]).withColumn("market", F.when(F.col("symbol") < "Brand#3", "domestic").otherwise("overseas"))
+    return e.select("market", "symbol", F.count(F.lit(1)).over(Window.partitionBy("market")).alias("n"))
+
+
+@query()
+def stock_reasons(spark, d):
+    from gazette.plans import model
+
+    e = series.candidates(_prices(spark, d), ["symbol"]).withColumn("market", F.when(F.col("symbol") < "Brand#3", "domestic").otherwise("overseas"))
+    return model.with_reasons(series.picks(e, ["market"], "symbol")).select("market", "horizon", "rank", "symbol", "reason")
+
+
+@query("""WITH o AS (SELECT n_name AS category, n_nationkey AS category_seq, 'key' || n_regionkey::VARCHAR AS key FROM nation), g AS (SELECT * FROM o WHERE key IN ('key1', 'key3')),
+          s AS (SELECT arg_min(key, category_seq) AS spare FROM g)
+          SELECT category, CASE WHEN key IN ('key1', 'key3') THEN key ELSE spare END AS key FROM o, s""")
+def key_reroute(spark, d):
+    owners = load(spark, d, "nation").select(F.col("n_name").alias("category"), F.col("n_nationkey").alias("category_seq"), F.concat(F.lit("key"), F.col("n_regionkey").cast("string")).alias("key"))
+    usable = load(spark, d, "region").where("r_regionkey in (1, 3)").select(F.concat(F.lit("key"), F.col("r_regionkey").cast("string")).alias("key"))
+    return joins.reroute(owners, usable)
+
+
+@query("""WITH s AS (SELECT (200 + (o_orderkey % 9) * 50)::INT AS status FROM orders)
+          SELECT status, status NOT IN (400, 401, 403, 404) AS usable, count(*) AS n FROM s GROUP BY ALL""")
+def key_status(spark, d):
+    from gazette.plans import model
+
+    s = load(spark, d, "orders").select((F.lit(200) + (F.col("o_orderkey") % 9) * 50).cast("int").alias("status"))
+    return s.groupBy("status", model.usable_status(F.col("status")).alias("usable")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT source_id, count(*) AS feeds FROM (VALUES ('bbc', 5), ('guardian', 8), ('nyt', 5), ('donga', 7)) v(source_id, n), unnest(range(n)) GROUP BY source_id""")
+def registry_feeds(spark, d):
+    """Scan jobs of the four largest overseas and domestic sources, from the registry."""
+    from gazette.sources import registry
+
+    f = registry.feeds(spark)
+    return f.where(F.col("source_id").isin("bbc", "guardian", "nyt", "donga")).groupBy("source_id").agg(F.count(F.lit(1)).alias("feeds"))
