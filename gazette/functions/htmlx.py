@@ -22,7 +22,7 @@ def _flat(parts: list[str], glue: str = "") -> str:
 
 
 def prose(text: str) -> float:
-    return len(_ENDS.findall(text)) / max(len(text) / 100, 1)
+    return 100 * sum(1 for _ in _ENDS.finditer(text)) / max(len(text), 100)
 
 
 class _Page(HTMLParser):
