@@ -22,3 +22,19 @@ def obfuscated(filename: Column, salt: str, *parts: Column) -> Column:
     stem = F.regexp_replace(filename, r"\.[^.]*$", "")
     ext = F.when(filename.contains("."), F.element_at(F.split(filename, r"\."), -1)).otherwise("html")
     return F.concat(stem, F.lit("-"), page_token(salt, *parts, filename), F.lit("."), ext)
+
+
+def ensure_salt(folder: str) -> str:
+    """The salt kept in folder (a URI); created once, so that names of older pages stay."""
+    import secrets
+
+    import pyarrow.fs
+
+    store, base = pyarrow.fs.FileSystem.from_uri(folder)
+    path = f"{base}/.salt"
+    if store.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+        store.create_dir(base)
+        with store.open_output_stream(path) as out:
+            out.write(secrets.token_hex(16).encode())
+    with store.open_input_stream(path) as source:
+        return source.read().decode()

@@ -22,3 +22,23 @@ def group_counts(df: DataFrame, row: str, column: str, values: list[str]) -> Dat
 def drop_counts(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     """How many rows each filter would drop, in one pass before they are applied."""
     return df.agg(*[F.count_if(c).alias(name) for name, c in reasons.items()])
+
+
+def observed(df: DataFrame, name: str, reasons: dict[str, Column]):
+    """df and its Observation: rows and counts of reasons, gathered while df is written, without a pass of their own."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in reasons.items()]), seen
+
+
+def first_errors(df: DataFrame, error: str, order: str, n: int = 5) -> DataFrame:
+    """The first few error texts, cut to 150 characters."""
+    return df.where(F.col(error).isNotNull()).orderBy(order).limit(n).select(F.substring(error, 1, 150).alias("error"))
+
+
+def key_report(owners: DataFrame) -> DataFrame:
+    """line: each different key with its sorted owners, keys padded to the longest; owners: category, key."""
+    keys = owners.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("owners"))
+    width = keys.agg(F.max(F.length("key")).alias("width"))  # one row
+    return keys.join(F.broadcast(width)).select("key", F.concat(F.expr("rpad(key, width, ' ')"), F.lit("  "), "owners").alias("line"))

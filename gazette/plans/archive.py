@@ -71,3 +71,24 @@ def _table(spark, folder: str, schema: str) -> DataFrame:
 def month_counts(headlines: DataFrame) -> DataFrame:
     """article_count of each month and category."""
     return headlines.groupBy("year_month", "category").agg(F.count(F.lit(1)).alias("article_count"))
+
+
+def month_summary(spark, archive: str, year_month: str) -> DataFrame:
+    """A month's headlines, pruned to its partition; empty if there are none."""
+    schema = "year_month string, date date, category string, seq long, title string, gist string, source string, link string"
+    return _table(spark, f"{archive}/headlines", schema).where(F.col("year_month") == year_month)
+
+
+INDEX = "date string, categories array<struct<name:string,path:string>>"
+
+
+def read_index(spark, path: str) -> DataFrame:
+    """The archive index from its JSON file; empty if it is not there yet."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(INDEX).option("multiLine", True).json(path) if there else spark.createDataFrame([], INDEX)
+
+
+def without_days(index: DataFrame, days: DataFrame) -> DataFrame:
+    """The index without days that were removed."""
+    return index.join(days.select(F.col("date").cast("string").alias("date")).distinct(), "date", "left_anti")

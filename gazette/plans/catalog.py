@@ -694,3 +694,41 @@ def registry_feeds(spark, d):
 
     f = registry.feeds(spark)
     return f.where(F.col("source_id").isin("bbc", "guardian", "nyt", "donga")).groupBy("source_id").agg(F.count(F.lit(1)).alias("feeds"))
+
+
+@query(f"""{_ENTRIES}, w AS (SELECT symbol, (row_number() OVER (ORDER BY symbol))::INT AS seq FROM (SELECT DISTINCT p_brand AS symbol FROM part)),
+           m AS (SELECT e.*, seq, CASE WHEN seq <= 12 THEN 'domestic' ELSE 'overseas' END AS market FROM e JOIN w USING (symbol)),
+           u AS (SELECT market, seq, symbol, 'daily' AS horizon, daily AS c FROM m UNION ALL SELECT market, seq, symbol, 'weekly', weekly FROM m UNION ALL SELECT market, seq, symbol, 'monthly', monthly FROM m)
+           SELECT market, horizon, symbol, 'Name of ' || symbol AS name, row_number() OVER (PARTITION BY market, horizon ORDER BY c DESC, seq) AS rank FROM u WHERE c IS NOT NULL QUALIFY rank <= 2""")
+def watch_list_picks(spark, d):
+    from gazette.plans.stocks import market_picks
+
+    symbols = load(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()  # two dozen brands
+    w = symbols.withColumn("seq", F.row_number().over(Window.orderBy("symbol"))).withColumns({"market": F.when(F.col("seq") <= 12, "domestic").otherwise("overseas"), "name": F.concat(F.lit("Name of "), "symbol")})
+    return market_picks(_prices(spark, d), w).select("market", "horizon", "symbol", "name", F.col("rank").cast("long"))
+
+
+@query("""WITH k AS (SELECT 'key' || n_regionkey::VARCHAR || repeat('x', n_regionkey) AS key, string_agg(DISTINCT n_name, ', ' ORDER BY n_name) AS owners FROM nation GROUP BY 1)
+          SELECT key, rpad(key, (SELECT max(length(key)) FROM k)::INT, ' ') || '  ' || owners AS line FROM k""")
+def key_report(spark, d):
+    n = load(spark, d, "nation")
+    return metrics.key_report(n.select(F.col("n_name").alias("category"), F.concat(F.lit("key"), F.col("n_regionkey").cast("string"), F.expr("repeat('x', n_regionkey)")).alias("key")))
+
+
+@query("""WITH i AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders), gone AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderdate::DATE < (SELECT max(o_orderdate)::DATE - 90 FROM orders))
+          SELECT date FROM i WHERE date NOT IN (SELECT date FROM gone)""")
+def archive_index_cleanup(spark, d):
+    from gazette.plans import archive
+
+    o = _dated(spark, d)
+    last = o.agg(F.max("day").alias("t")).first()["t"]
+    index = o.select(F.col("day").cast("string").alias("date")).distinct()
+    return archive.without_days(index, archive.expired(o.select(F.col("day").alias("date")), F.lit(last)))
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (value <= 0) AS empty, count(*) FILTER (event_type = 'view') AS views FROM events")
+def observed_counts(spark, d):
+    """Counters gathered while the rows pass, by an Observation."""
+    df, seen = metrics.observed(_events(spark, d).select("value", "event_type"), "events", {"empty": F.col("value") <= 0, "views": F.col("event_type") == "view"})
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[k] for k in ("rows", "empty", "views"))], "rows long, empty long, views long")

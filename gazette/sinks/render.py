@@ -157,3 +157,8 @@ def run_summary(counts: DataFrame) -> DataFrame:
     return one.select(F.concat(F.lit("| counter | value |\n|---|---|\n"), "rows").alias("content"))
 
 
+
+
+def static_files(spark) -> DataFrame:
+    """path, content of what does not depend on the day."""
+    return spark.createDataFrame([("robots.txt", "User-agent: *\nDisallow: /\n")], "path string, content string")

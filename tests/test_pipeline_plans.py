@@ -194,3 +194,36 @@ def test_streams(spark, sf, tmp_path):
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o2")).count() == batch.select("user_id").distinct().count()
     assert refresh.drop_late(stream).isStreaming
+
+
+def test_stock_picks_and_budget(spark):
+    from gazette.plans.stocks import market_picks
+
+    day = dt.date(2026, 8, 1)
+    rows = [(s, day + dt.timedelta(i), 100.0 + k * i, 10.0, 30.0 * k) for k, s in enumerate(("AAPL", "MSFT", "V", "KO")) for i in range(8)]
+    prices = spark.createDataFrame(rows, "symbol string, date date, close double, volume double, began double")
+    got = market_picks(prices, registry.watched(spark), "began", 60.0).where("horizon = 'daily'").orderBy("rank").collect()
+    assert [(r["symbol"], r["name"]) for r in got] == [("V", "Visa"), ("MSFT", "Microsoft")] and "거래량 평균 대비 1.0배" in got[0]["reason"]
+
+
+def test_small_things(spark, tmp_path):
+    from gazette.config import logger, settings
+    from gazette.functions.pagekey import ensure_salt
+    from gazette.operators import metrics
+
+    assert settings({"GAZETTE_RETENTION_DAYS": "x", "GAZETTE_MODEL_BUDGET": "5"}).model_budget == 5.0
+    assert settings({"GAZETTE_RETENTION_DAYS": "x"}).retention_days == 90
+    assert len(logger("a").handlers) == len(logger("a").handlers) == 1
+    salt = ensure_salt(f"file://{tmp_path}/s")
+    assert len(salt) == 32 and ensure_salt(f"file://{tmp_path}/s") == salt
+    files.write_pages(render.static_files(spark), f"file://{tmp_path}/site")
+    assert (tmp_path / "site" / "robots.txt").read_text().startswith("User-agent")
+    index = spark.createDataFrame([("2026-08-13", [("정치", "a.html")]), ("2026-08-14", [])], archive.INDEX)
+    files.write_pages(render.archive_index(index), f"file://{tmp_path}/site")
+    back = archive.read_index(spark, f"file://{tmp_path}/site/archive_data.json")
+    assert archive.without_days(back, spark.createDataFrame([("2026-08-13",)], "date string")).first()["date"] == "2026-08-14"
+    assert archive.read_index(spark, f"file://{tmp_path}/none.json").count() == 0
+    assert archive.month_summary(spark, f"file://{tmp_path}/none", "2026-08").count() == 0
+    errors = spark.createDataFrame([(i, "e" * 200 if i % 2 else None) for i in range(20)], "n int, e string")
+    got = metrics.first_errors(errors, "e", "n").collect()
+    assert len(got) == 5 and all(len(r["error"]) == 150 for r in got)
