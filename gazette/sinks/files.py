@@ -9,6 +9,13 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 
 
+def put_in_place(store: pyarrow.fs.FileSystem, own: str, final: str) -> None:
+    """Renames a finished file; one that an earlier attempt left there goes first, as some stores don't rename over files."""
+    if store.get_file_info(final).type != pyarrow.fs.FileType.NotFound:
+        store.delete_file(final)
+    store.move(own, final)
+
+
 def write_pages(pages: DataFrame, folder: str) -> int:
     """Writes each row's content to its path below folder (a URI); a file is renamed into place whole. Returns how many."""
 
@@ -20,7 +27,7 @@ def write_pages(pages: DataFrame, folder: str) -> int:
                 store.create_dir(target.rpartition("/")[0])
                 with store.open_output_stream(target + ".part", compression=None) as out:
                     out.write(content.encode())
-                store.move(target + ".part", target)
+                put_in_place(store, target + ".part", target)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
 
     done = pages.select("path", "content").mapInArrow(run, "n long")
