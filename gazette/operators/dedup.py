@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.text import normalize_title, tokens
@@ -16,9 +16,9 @@ def exact_longest(df: DataFrame, keys: list[str], title: str = "title", summary:
     Blank titles are equal to each other.
     """
     own = df.withColumn("_key", normalize_title(F.coalesce(F.col(title), F.lit(""))))
-    group = Window.partitionBy(*keys, "_key")
-    best = group.orderBy(F.length(F.coalesce(F.col(summary), F.lit(""))).desc(), F.col(seq))
-    return own.withColumns({"pos": F.min(seq).over(group), "_n": F.row_number().over(best)}).where("_n = 1").drop("_key", "_n")
+    best = F.max_by(F.struct(*df.columns), F.struct(F.length(F.coalesce(F.col(summary), F.lit(""))), -F.col(seq)))
+    # An aggregate, not a window: each task keeps one row of a title before anything is shuffled.
+    return own.groupBy(*keys, "_key").agg(best.alias("row"), F.min(seq).alias("pos")).select("row.*", "pos")
 
 
 def near_greedy(df: DataFrame, group: list[str], title: str = "title", summary: str = "summary", pos: str = "pos", threshold: float = NEAR, words: Column | None = None, length: Column | None = None) -> DataFrame:
@@ -48,4 +48,4 @@ def _array_of(folded: DataFrame) -> str:
 def month_first(df: DataFrame, keys: list[str], order: list[str], title: str = "title") -> DataFrame:
     """The first row of each normalised title within keys (month and category)."""
     own = df.withColumn("_key", normalize_title(F.coalesce(F.col(title), F.lit(""))))
-    return own.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_key").orderBy(*order))).where("_n = 1").drop("_key", "_n")
+    return own.groupBy(*keys, "_key").agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("row")).select("row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,13 +17,14 @@ def unseen(today: DataFrame, history: DataFrame, key: str, days: int, today_date
 
 def with_answers(df: DataFrame, answers: DataFrame, id: str = "id", pos: str = "pos") -> DataFrame:
     """df with the last answer to each id; rows without one have nulls."""
-    last = answers.withColumn("_n", F.row_number().over(Window.partitionBy(id).orderBy(F.col(pos).desc()))).where("_n = 1").drop("_n", pos)
+    rest = [c for c in answers.columns if c not in (id, pos)]
+    last = answers.groupBy(id).agg(F.max_by(F.struct(*rest), pos).alias("_last")).select(id, "_last.*")
     return df.join(last, id, "left")
 
 
 def looked_up(picks: DataFrame, candidates: DataFrame, n: int, id: str = "id", rank: str = "rank", pos: str = "pos") -> DataFrame:
     """Candidates in the order of the picks' ranks, the first n; ids that name none are left out, repeated ones count once."""
-    first = picks.withColumn("_n", F.row_number().over(Window.partitionBy(id).orderBy(pos))).where("_n = 1").drop("_n")
+    first = picks.groupBy(id).agg(F.min_by(F.struct(*[c for c in picks.columns if c != id]), pos).alias("_first")).select(id, "_first.*")
     return first.join(candidates, id).orderBy(F.col(rank).asc_nulls_last(), pos).limit(n)
 
 
