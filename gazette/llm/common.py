@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 FILTER_BITS = 26
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What an operator keeps in a Python worker between tasks (tables, caches); another operator's goes when it comes, so that workers hold one at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

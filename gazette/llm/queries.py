@@ -15,7 +15,7 @@ from gazette.llm.licenses import scan_licenses
 from gazette.llm.pii import find_personal_data
 from gazette.llm.pieces import encode_documents
 from gazette.llm.simhash import near_duplicates
-from gazette.llm.token_counts import apply_edits, tree_table
+from gazette.llm.token_counts import count_with_edits
 from gazette.llm.toxicity import score_documents
 from gazette.llm.warc import read_archives, write_pages
 from gazette.tables import load
@@ -76,9 +76,8 @@ EDITS = """array(
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer("byte_bpe_50k.tiktoken")
-    trees = tree_table(load(spark, sf_dir, "documents"), path).withColumn("edits", F.expr(EDITS))
-    found = apply_edits(trees, path)
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = count_with_edits(docs.withColumn("edits", F.expr(EDITS)), tokenizer("byte_bpe_50k.tiktoken"))
     return found.select("doc_id", "n_tokens", "n_tokens_edited", "n_reencoded", F.sha2("text", 256).alias("edited_sha256"))
 
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazette.llm.common import held
 from gazette.staging import small_batches
 
 # The tokenizer's white space (Unicode White_Space) and the pre-token pattern over it.
@@ -34,7 +34,7 @@ _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 LIBRARY_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens that a worker remembers at most, and the longest one.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 200_000, 48
 
 split = regex.compile(PATTERN).findall
 
@@ -60,10 +60,9 @@ class Counter(dict):
         return n
 
 
-@lru_cache(2)
 def counter(path: str) -> Counter:
     """One for each worker."""
-    return Counter(path)
+    return held(("tokens", path), lambda: Counter(path))
 
 
 def leaves(text: str, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -182,32 +181,55 @@ def tree_table(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_build(path), TREES)
 
 
-def _edit(path: str):
+EDITED = TREES + ", n_tokens long, n_tokens_edited long, n_reencoded long"
+_NAMES = ["doc_id", "text", "chars", "tokens", "n_tokens", "n_tokens_edited", "n_reencoded"]
+
+
+def _edited(ids: pa.Array, trees: Iterator[Tree], edits: pa.Array) -> pa.RecordBatch:
+    texts, chars, tokens, before, after, encoded = [], [], [], [], [], []
+    for tree, todo in zip(trees, edits):
+        before.append(tree.tokens)
+        for e in todo.as_py() or ():
+            if e is not None and e["start"] is not None:
+                tree.edit(e["start"], e["start"] if e["end"] is None else e["end"], e["text"] or "")
+        texts.append(tree.text)
+        chars.append(tree.levels[0][0])
+        tokens.append(tree.levels[0][1])
+        after.append(tree.tokens)
+        encoded.append(tree.encoded)
+    longs = [pa.array(x, pa.int64()) for x in (before, after, encoded)]
+    return pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), _ints(chars), _ints(tokens), *longs], _NAMES)
+
+
+def _edit(path: str, build: bool):
+    """build: leaves are made from the text, else they come with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
         for b in batches:
-            texts, chars, tokens, before, after, encoded = [], [], [], [], [], []
-            for text, c, t, edits in zip(*(b.column(n) for n in ("text", "chars", "tokens", "edits"))):
-                tree = Tree(text.as_py(), c.values.to_numpy(), t.values.to_numpy(), counts)
-                before.append(tree.tokens)
-                for e in edits.as_py() or ():
-                    if e is not None and e["start"] is not None:
-                        tree.edit(e["start"], e["start"] if e["end"] is None else e["end"], e["text"] or "")
-                texts.append(tree.text)
-                chars.append(tree.levels[0][0])
-                tokens.append(tree.levels[0][1])
-                after.append(tree.tokens)
-                encoded.append(tree.encoded)
-            longs = [pa.array(x, pa.int64()) for x in (before, after, encoded)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), _ints(chars), _ints(tokens), *longs], ["doc_id", "text", "chars", "tokens", "n_tokens", "n_tokens_edited", "n_reencoded"])
+            if build:
+                trees = (Tree(t, *leaves(t, counts), counts) for t in (x.as_py() or "" for x in b.column("text")))
+            else:
+                trees = (Tree(t.as_py(), c.values.to_numpy(), n.values.to_numpy(), counts) for t, c, n in zip(*(b.column(k) for k in ("text", "chars", "tokens"))))
+            yield _edited(b.column("doc_id"), trees, b.column("edits"))
 
     return run
 
 
+def _edits():
+    return F.col("edits").cast("array<struct<start:bigint,end:bigint,text:string>>").alias("edits")
+
+
 def apply_edits(trees: DataFrame, path: str) -> DataFrame:
     """trees: tree_table()'s columns and edits (array of struct start, end, text; code points, end exclusive).
 
     The edited text and leaves, n_tokens before, n_tokens_edited after, n_reencoded: pre-tokens that were encoded for the edits.
     """
-    edits = F.col("edits").cast("array<struct<start:bigint,end:bigint,text:string>>").alias("edits")
-    return trees.select("doc_id", "text", "chars", "tokens", edits).mapInArrow(_edit(path), TREES + ", n_tokens long, n_tokens_edited long, n_reencoded long")
+    return trees.select("doc_id", "text", "chars", "tokens", _edits()).mapInArrow(_edit(path, False), EDITED)
+
+
+def count_with_edits(docs: DataFrame, path: str) -> DataFrame:
+    """As apply_edits() on tree_table(docs), in one pass where the trees needn't be kept; docs: doc_id, text, edits."""
+    small_batches(docs.sparkSession, 64)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _edits())
+    return own.mapInArrow(_edit(path, True), EDITED)

@@ -219,3 +219,20 @@ def test_count_odd(odd, empty):
     none = token_counts.tree_table(odd, BYTES).withColumn("edits", F.lit(None).cast("array<struct<start:bigint,end:bigint,text:string>>"))
     assert all(r["n_reencoded"] == 0 for r in token_counts.apply_edits(none, BYTES).collect())
     assert token_counts.tree_table(empty, BYTES).count() == 0
+
+
+def test_one_pass_equals_two(odd):
+    from pyspark.sql import functions as F
+
+    edits = F.array(F.struct(F.lit(2).alias("start"), F.lit(4).alias("end"), F.lit("new words").alias("text")))
+    two = token_counts.apply_edits(token_counts.tree_table(odd, BYTES).withColumn("edits", edits), BYTES)
+    one = token_counts.count_with_edits(odd.withColumn("edits", edits), BYTES)
+    key = lambda r: (str(r["doc_id"]), r["text"])
+    assert sorted(two.collect(), key=key) == sorted(one.collect(), key=key)
+
+
+def test_workers_hold_one_thing():
+    from gazette.llm.common import held
+
+    first = held("a", object)
+    assert held("a", object) is first and held("b", object) is not first and held("a", object) is not first
