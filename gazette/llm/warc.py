@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.common import key_filter, mark_possible
+from gazette.sinks.files import put_in_place
 from gazette.staging import new_path, small_batches, stage
 
 MAGIC = 0x184D2A5D
@@ -142,7 +143,7 @@ def _write(folder: str):
         with store.open_output_stream(own, compression=None) as out:
             n = write_archive(out, all_records())
         size = store.get_file_info(own).size
-        store.move(own, final)
+        put_in_place(store, own, final)
         yield pa.RecordBatch.from_arrays([pa.array([final.removeprefix(base + "/")]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
 
     return run
@@ -155,6 +156,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     whole = whole.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
     narrow = whole.select("page_id", "url", "size", "digest").where(f"size >= {LEAST_REVISIT}")
     firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("last > first").drop("last")
+    firsts = stage(firsts, "warc-firsts")  # read by an exchange of its own, so that a hot digest's rows can be split
     revisits = stage(narrow.join(firsts, "digest").where("page_id > first").select("page_id", "url", "size", "digest", F.col("first").alias("refers_to")), "warc-revisits")
     key = F.concat_ws(":", "page_id", "digest")
     bitmap = stage(key_filter(revisits.select(key.alias("key")), "key"), "warc-filter")
