@@ -13,7 +13,8 @@ _STAGED: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests), a fresh local one."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_gazette_dir", None)
+    key = "spark.checkpoint.dir"
+    folder = spark.conf.get(key, None) or sc.getConf().get(key) or getattr(sc, "_gazette_dir", None)
     if not folder:
         folder = sc._gazette_dir = "file://" + tempfile.mkdtemp(prefix="gazette-")
         sc.setCheckpointDir(folder)
