@@ -100,9 +100,9 @@ def snapshot_json(articles: DataFrame, picks: DataFrame, date: str) -> DataFrame
     cats = lists.groupBy("category").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("region", "l")))).alias("r")).groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", F.to_json("r").alias("r"))))).alias("c"))
     horizons = picks.groupBy("market", "horizon").agg(F.sort_array(F.collect_list(F.struct("rank", F.struct("symbol", "name", "price", "reason").alias("p"))))["p"].alias("l"))
     markets = horizons.groupBy("market").agg(F.map_from_entries(F.collect_list(F.struct("horizon", "l"))).alias("h")).groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("market", "h")))).alias("s"))
-    inner = F.array_join(F.transform(F.map_entries("c"), lambda kv: F.concat(F.to_json(F.array(kv["key"])).substr(F.lit(2), F.length(F.to_json(F.array(kv["key"]))) - 2), F.lit(":"), kv["value"])), ",")
-    body = _fill('<"date":"{d}","categories":<{c}>,"stock_picks":{s}>'.replace("<", "\x01").replace(">", "\x02"), d=F.lit(date), c=F.coalesce(inner, F.lit("")), s=F.coalesce("s", F.lit("{}")))
-    body = F.translate(body, "\x01\x02", "{}")
+    name = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")  # noqa: E731  a JSON string
+    inner = F.array_join(F.transform(F.map_entries("c"), lambda kv: F.concat(name(kv["key"]), F.lit(":"), kv["value"])), ",")
+    body = F.concat(F.lit('{"date":"' + date + '","categories":{'), F.coalesce(inner, F.lit("")), F.lit('},"stock_picks":'), F.coalesce("s", F.lit("{}")), F.lit("}"))
     return cats.join(F.broadcast(markets)).select(F.lit(date.replace("-", "/") + ".json").alias("path"), body.alias("content"))
 
 
