@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +20,20 @@ def held(key, make):
     """What an operator keeps in a Python worker between tasks (tables, caches); another operator's goes when it comes, so that workers hold one at a time."""
     if key not in _HELD:
         _HELD.clear()
+        tidy()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the machine; called when a partition is done, as workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries need not
+    if trim is not None:
+        trim(0)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazette.llm.common import held
 from gazette.staging import small_batches
 
 # The base phrases and their labels.
@@ -306,9 +307,8 @@ def settle(spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int,
     return sorted(accepted, key=lambda s: (s[1], s[2], s[0], s[3]))
 
 
-@lru_cache(1)
 def scanner() -> Scanner:
-    return Scanner()
+    return held("licenses", Scanner)
 
 
 SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])

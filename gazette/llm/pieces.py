@@ -20,7 +20,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -29,11 +28,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazette.llm.common import held, tidy
 from gazette.staging import small_batches
 
 MARK = "▁"
 #: Chunks and pairs that one worker remembers at most, and the longest chunk it remembers.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 150_000, 40
 
 
 class PieceModel:
@@ -69,8 +69,10 @@ class PieceModel:
             if not all(c in self.ids for c in piece):
                 raise ValueError(f"a character of piece {piece!r} is no piece itself")
         self.piece = {i: p for p, i in self.ids.items()}
+        self.chars = {c for c in self.ids if len(c) == 1}
         self.automaton = ahocorasick.Automaton()
-        self.shorter: dict[int, int] = {}
+        self.shorter = [-1] * len(self.raw)  # the longest piece that is a shorter prefix
+        self.size = [len(self.piece.get(i, "")) for i in range(len(self.raw))]
         whole = {p for p in self.ids if set(p) != {MARK} and self.merge(p) == [self.ids[p]]} | {MARK}
         for p in whole:
             self.automaton.add_word(p, (self.ids[p], len(p)))
@@ -114,7 +116,8 @@ class PieceModel:
         if (known := self.fits.get(key)) is None:
             if len(self.fits) >= REMEMBERED:
                 self.fits.clear()
-            known = self.fits[key] = self.merge(self.piece[a] + self.piece[b]) == [a, b]
+            both = self.piece[a] + self.piece[b]
+            known = self.fits[key] = both not in self.ids and self.merge(both) == [a, b]
         return known
 
     def backtrack(self, text: str) -> list[int]:
@@ -126,25 +129,33 @@ class PieceModel:
                 longest[end - size + 1], best[end - size + 1] = size, piece
         failed = bytearray((n >> 3) + 1)
         out: list[int] = []
-        at, piece, length = 0, best[0], self.piece
+        fits, size, shorter = self.fits, self.size, self.shorter
+        at, piece, last = 0, best[0], -1
         while True:
-            size = len(length[piece])
-            end = at + size
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], piece)):
+            end = at + size[piece]
+            good = not failed[end >> 3] >> (end & 7) & 1
+            if good and last >= 0:
+                good = fits.get(last << 32 | piece)
+                if good is None:
+                    good = self.compatible(last, piece)
+            if good:
                 out.append(piece)
                 if end == n:
                     return out
-                at, piece = end, best[end]
-            elif piece in self.shorter:
-                piece = self.shorter[piece]
+                at, last, piece = end, piece, best[end]
+            elif (cut := shorter[piece]) >= 0:
+                piece = cut
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
-                at -= len(length[piece])
+                at -= size[piece]
+                last = out[-1] if out else -1
 
     def chunk(self, text: str) -> list[int]:
         if text[:2] == MARK * 2:
             return self.merge(text)
+        if self.chars.issuperset(text):
+            return self.backtrack(text)
         out: list[int] = []
         begin = 0
         for k, c in enumerate(text):
@@ -213,10 +224,9 @@ class _Chunks(dict):
         return ids
 
 
-@lru_cache(2)
 def model(path: str) -> PieceModel:
     """One for each worker."""
-    return PieceModel(path)
+    return held(("pieces", path), lambda: PieceModel(path))
 
 
 def _encode(path: str):
@@ -232,6 +242,7 @@ def _encode(path: str):
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        tidy()
 
     return run
 

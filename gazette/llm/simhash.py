@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import key_filter, mark_possible
+from gazette.llm.common import key_filter, mark_possible, tidy
 from gazette.llm.components import components
 from gazette.staging import small_batches, stage
 
@@ -60,6 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts = b.column("text").cast(pa.binary())
         values = np.array([fingerprint(t.as_py() or b"") for t in texts], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+    tidy()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import held
+from gazette.llm.common import held, tidy
 from gazette.staging import small_batches
 
 # The tokenizer's white space (Unicode White_Space) and the pre-token pattern over it.
@@ -212,6 +212,7 @@ def _edit(path: str, build: bool):
             else:
                 trees = (Tree(t.as_py(), c.values.to_numpy(), n.values.to_numpy(), counts) for t, c, n in zip(*(b.column(k) for k in ("text", "chars", "tokens"))))
             yield _edited(b.column("doc_id"), trees, b.column("edits"))
+        tidy()
 
     return run
 

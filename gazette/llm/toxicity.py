@@ -30,21 +30,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazette.llm.common import held, tidy
 from gazette.staging import small_batches, stage
 
 WINDOW, STEP, HIDDEN, WORD_DIM, CHAR_DIM = 32, 16, 8, 8, 8
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 800, 1600, 6000
 VOCABULARY, NGRAMS, SIZES = 20_000, 60_000, (3, 4, 5)
 EPOCHS, BATCH, RATE = 10, 128, 0.02
+#: Small samples are gone through more often, until about so many steps are made, EPOCHS times MOST at most.
+STEPS, MOST = 200, 4
 #: Words that a worker remembers, and windows that run at once.
-REMEMBERED, BLOCK = 500_000, 2048
+REMEMBERED, BLOCK = 200_000, 1024
 PAD = 0
 EDGES = string.punctuation + "«»“”„‘’…–—¡¿"
 
 
-def ngrams(word: str) -> list[str]:
+def ngrams(word: str, sizes: tuple[int, ...] = SIZES) -> list[str]:
     marked = f"^{word[:64]}$"
-    return [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
+    return [marked[i : i + n] for n in sizes for i in range(len(marked) - n + 1)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -151,16 +154,18 @@ class Net:
 class Classifier:
     """Vocabularies and a net; row 0 of projections is the padding, words outside the vocabulary share word row 1."""
 
-    def __init__(self, texts: list[list[str]]):
-        count, grams = Counter(), Counter()
-        for t in texts:
-            count.update(set(t))
-        for w, n in count.items():
-            for x in set(ngrams(w)):
-                grams[x] += n
-        first = lambda c, least, most: [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least]
-        self.vocabulary = {w: i + 2 for i, w in enumerate(first(count, 2, VOCABULARY))}
-        self.grams = {w: i + 1 for i, w in enumerate(first(grams, 2, NGRAMS))}
+    def __init__(self, count: dict[str, int]):
+        """count: in how many documents each word is."""
+        first = lambda c, least, most: sorted((x for x in c.items() if x[1] >= least), key=lambda x: (-x[1], x[0]))[:most]
+        found: list[tuple[str, int]] = []
+        for size in SIZES:  # one size at a time, as most n-grams occur once
+            grams: Counter = Counter()
+            for w, n in count.items():
+                for x in set(ngrams(w, (size,))):
+                    grams[x] += n
+            found += first(grams, 2, NGRAMS)
+        self.vocabulary = {w: i + 2 for i, (w, _) in enumerate(first(count, 2, VOCABULARY))}
+        self.grams = {w: i + 1 for i, (w, _) in enumerate(first(dict(found), 2, NGRAMS))}
         self.net = Net(len(self.vocabulary) + 2, len(self.grams) + 1)
         self.constant: float | None = None
 
@@ -168,14 +173,17 @@ class Classifier:
         """Word rows, and n-gram rows of all words in a line with each one's count."""
         grams = [[self.grams[x] for x in ngrams(w) if x in self.grams] or [0] for w in words]
         sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-        flat = np.fromiter((x for g in grams for x in g), np.int64, int(sizes.sum()))
+        flat = np.fromiter((x for g in grams for x in g), np.int32, int(sizes.sum()))
         return np.array([self.vocabulary.get(w, 1) for w in words], np.int64), flat, sizes
 
     def inputs(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         word, flat, sizes = rows
         if not len(word):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
-        sums = np.add.reduceat(self.net.p["char"][flat], np.cumsum(sizes) - sizes, axis=0)
+        ends, sums = np.cumsum(sizes), np.empty((len(word), CHAR_DIM), np.float32)
+        for k in range(0, len(word), 8192):  # n-grams of some words at a time
+            begin, end = ends[k] - sizes[k], ends[min(k + 8192, len(word)) - 1]
+            sums[k : k + 8192] = np.add.reduceat(self.net.p["char"][flat[begin:end]], ends[k : k + 8192] - sizes[k : k + 8192] - begin, axis=0)
         return np.concatenate([self.net.p["word"][word], sums / np.sqrt(sizes)[:, None].astype(np.float32)], axis=1).astype(np.float32)
 
     def padding(self) -> np.ndarray:
@@ -186,23 +194,24 @@ class Classifier:
         return np.concatenate([inputs @ p["w0"] + p["b0"], inputs @ p["w1"] + p["b1"]], axis=1)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> Classifier:
+def train(texts: list[str], labels: list[int], epochs: int | None = None, seed: int = 11) -> Classifier:
     """Learns from whole texts with a label each."""
-    bags = [[bare(w) for w in words_of(t)] for t in texts]
-    model = Classifier(bags)
+    epochs = epochs or min(max(EPOCHS, STEPS * BATCH // (2 * max(len(texts), 1))), EPOCHS * MOST)
+    at: dict[str, int] = {}  # words from 1 on, in order of appearance
+    bags = [np.array([at.setdefault(bare(w), len(at) + 1) for w in words_of(t)], np.int32) for t in texts]
+    words = list(at)
+    seen = np.bincount(np.concatenate([np.unique(b) for b in bags] or [np.zeros(0, np.int32)]), minlength=len(words) + 1)[1:]
+    model = Classifier(dict(zip(words, seen.tolist())))
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         model.constant = 0.0
         return model
     rng, net = np.random.default_rng(seed), model.net
-    words = sorted({w for b in bags for w in b})
-    at = {w: i + 1 for i, w in enumerate(words)}
     word, flat, sizes = model.rows(words)
     begin = np.concatenate(([0, 0], np.cumsum(sizes)))  # begin[i] of word i, from 1
     owner, windows = [], []
     for k, b in enumerate(bags):
-        ids = np.fromiter((at[w] for w in b), np.int64, len(b))
-        ids = np.pad(ids, (0, max(0, WINDOW - len(ids))))
+        ids = np.pad(b, (0, max(0, WINDOW - len(b))))
         cut = ids[window_starts(len(b))[:, None] + np.arange(WINDOW)]
         windows.append(cut)
         owner.append(np.full(len(cut), k))
@@ -329,17 +338,13 @@ class _Ids(dict):
         return row
 
 
-_SCORER: list[Scorer] = []
-
-
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _SCORER or _SCORER[0].model is not shared.value:
-            _SCORER[:] = [Scorer(shared.value)]
-        scorer = _SCORER[0]
+        scorer = held(("toxicity", shared.value), lambda: Scorer(shared.value))
         for b in batches:
             names = [n for n in b.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(scorer.score(b.column("_text").to_pylist()))], [*names, "_score"])
+        tidy()
 
     return run
 
