@@ -33,7 +33,7 @@ from gazette.staging import small_batches
 
 MARK = "▁"
 #: Chunks and pairs that one worker remembers at most, and the longest chunk it remembers.
-REMEMBERED, LONGEST = 150_000, 40
+REMEMBERED, LONGEST = 200_000, 40
 
 
 class PieceModel:
