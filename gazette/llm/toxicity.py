@@ -40,7 +40,7 @@ EPOCHS, BATCH, RATE = 10, 128, 0.02
 #: Small samples are gone through more often, until about so many steps are made, EPOCHS times MOST at most.
 STEPS, MOST = 200, 4
 #: Words that a worker remembers, and windows that run at once.
-REMEMBERED, BLOCK = 200_000, 1024
+REMEMBERED, BLOCK = 250_000, 1024
 PAD = 0
 EDGES = string.punctuation + "«»“”„‘’…–—¡¿"
 
@@ -268,14 +268,25 @@ class Scorer:
 
     def __init__(self, model: Classifier):
         self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        # Pages of the table are touched only as words come.
+        # Pages of the tables are touched only as words come.
         self.table = np.empty((REMEMBERED + 50_000, 6 * HIDDEN), np.float32)
-        self.table[0] = self.model.project(self.model.padding())[0]
+        self.uses = np.zeros(len(self.table), np.int32)
+        self.table[0] = model.project(model.padding())[0]
         self.ids = _Ids()
 
+    def _forget(self) -> None:
+        """Drops words that were met only once or twice since the last time."""
+        done = self.ids.done
+        kept = np.flatnonzero(self.uses[1 : done + 1] > 2) + 1
+        kept = kept if len(kept) <= REMEMBERED // 2 else kept[:0]
+        row = np.zeros(done + 1, np.int64)
+        row[kept] = np.arange(1, len(kept) + 1)
+        old, self.ids = self.ids, _Ids()
+        self.ids.update((w, int(row[i])) for w, i in old.items() if row[i])
+        self.ids.done = len(kept)
+        self.table[1 : len(kept) + 1] = self.table[kept]
+        self.uses[:] = 0
+
     def _learn(self) -> None:
         new = self.ids.new
         for at in range(0, len(new), 20_000):
@@ -283,6 +294,7 @@ class Scorer:
             to = self.ids.done + len(part) + 1
             while to > len(self.table):
                 self.table = np.concatenate([self.table, np.empty((to, 6 * HIDDEN), np.float32)])
+                self.uses = np.concatenate([self.uses, np.zeros(to, np.int32)])
             self.table[self.ids.done + 1 : to] = self.model.project(self.model.inputs(self.model.rows(part)))
             self.ids.done += len(part)
         self.ids.new = []
@@ -305,6 +317,7 @@ class Scorer:
             ids = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
             if self.ids.new:
                 self._learn()
+            np.add.at(self.uses, ids, 1)
             ids = np.pad(ids, (0, max(0, WINDOW - len(ids))))
             starts = window_starts(len(words))
             for at in range(0, len(starts), 8 * BLOCK):
