@@ -102,9 +102,12 @@ def trim_at_boundary(c: Column, limit: int) -> Column:
 
 
 def _holds_any(text: Column, words: list[str]) -> Column:
-    """Whether the lower-cased text holds one of the words, in any place; one alternation, so one pass."""
-    quoted = "|".join(sorted({w.lower() for w in words}, key=lambda w: (-len(w), w)))
-    return F.lower(text).rlike(quoted)
+    """Whether the lower-cased text holds one of the words, in any place: plain searches, which a regular expression of a hundred words is far slower than."""
+    low = F.lower(text)
+    found = F.lit(False)
+    for w in dict.fromkeys(x.lower() for x in words):
+        found = found | low.contains(w)
+    return found
 
 
 def is_important(title: Column, summary: Column) -> Column:
