@@ -12,6 +12,12 @@ or ruled out by the bound: the result is exact.
 Defined cases. Null text: the empty text, fingerprint 0. Null doc_id: a row like any
 other, never the smallest id. Repeated rows: same fingerprint, same component. Empty
 table: empty result. Other columns are ignored. Texts are read whole.
+
+drop_near_duplicates(), the pipeline's stage, has another contract: texts are near copies from a Jaccard similarity of
+SIMILAR of their sets of NEAR_SHINGLE-word shingles on. These often differ in 4 to 11 bits, a radius at which the tiles
+would rule out next to nothing. Its candidates are documents that agree in one of BANDS bands of MinHash values; each
+is linked to the smallest id of its band, and every link is verified on the whole texts. A pair at the threshold shares
+a band with a probability of 0.99995.
 """
 
 from __future__ import annotations
@@ -32,22 +38,34 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Nodes of a tile at most (on average, as they are dealt by hash).
 TILE = 65536
 _BLOCK = 1 << 20  # pairs that are compared at once
+#: Near copies in the pipeline: words of a shingle, least similarity; bands of the MinHash values, values of a band.
+NEAR_SHINGLE, SIMILAR, BANDS, BAND = 5, 0.8, 25, 5
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Links of one document that are verified in one group of rows.
+STAR = 500
 
 
-def fingerprint(text: bytes) -> int:
-    """64 bits: 1 where over half of the shingles' XXH64 values have a 1; words end at ASCII white space."""
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """XXH64 values of the runs of size words, all words if there are fewer; words end at ASCII white space."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if n <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    if n <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    begins = np.concatenate(([0], ends[:-1] + 1))[: n - SHINGLE + 1].tolist()
-    ends = ends[SHINGLE - 1 :].tolist()
+    begins = np.concatenate(([0], ends[:-1] + 1))[: n - size + 1].tolist()
+    ends = ends[size - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(begins, ends)], np.uint64, len(begins))
+    return np.fromiter([digest(joined[a:b], SEED) for a, b in zip(begins, ends)], np.uint64, len(begins))
+
+
+def fingerprint(text: bytes) -> int:
+    """64 bits: 1 where over half of the shingles' XXH64 values have a 1."""
+    hashes = shingles(text, SHINGLE)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 8192):
         part = hashes[k : k + 8192]
@@ -176,10 +194,64 @@ def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, all columns as they are; rows without doc_id stay."""
-    found = near_duplicates(docs, tile)
-    gone = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
+def bands(own: np.ndarray) -> list[int]:
+    """A key for each band of the MinHash values of a set of shingles; equal sets have equal keys."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 2048):
+        least = np.minimum(least, (own[k : k + 2048, None] * _FACTORS).min(axis=0))
+    return [xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, BAND))]
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.unique(shingles(t.as_py() or b"", NEAR_SHINGLE)) for t in b.column("text").cast(pa.binary())]
+        keys = np.array([bands(x) for x in sets], np.uint64).reshape(-1).view(np.int64)
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), keys], ["doc_id", "n", "keys"])
+    tidy()
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles, sorted, reach the least similarity; two empty ones do."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, own = None, np.zeros(0, np.uint64)
+    for b in batches:
+        kept = []
+        for one, other in zip(b.column("text_a").cast(pa.binary()), b.column("text_b").cast(pa.binary())):
+            one, other = one.as_py() or b"", other.as_py() or b""
+            if one != last:
+                last, own = one, np.unique(shingles(one, NEAR_SHINGLE))
+            kept.append(similar(own, np.unique(shingles(other, NEAR_SHINGLE))))
+        yield b.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+    tidy()
+
+
+def near_links(docs: DataFrame) -> DataFrame:
+    """a, b: verified links (doc_ids, a the smaller) between near copies, for each band they share at most one a document."""
+    small_batches(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = stage(own.mapInArrow(_banded, "doc_id long, n long, keys array<long>").select("doc_id", "n", F.explode("keys").alias("key")), "near-bands")
+    groups = stage(rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last").select("key", "first"), "near-groups")
+    # Sets whose sizes differ too much cannot be similar enough; the bound is a little lower, for the division.
+    near = rows.join(groups, "key").where(f"doc_id <> first.doc_id and least(n, first.n) >= {SIMILAR - 1e-6} * greatest(n, first.n)")
+    pairs = stage(near.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-pairs")
+    # The first text of a star goes out once for each STAR links, so that no task has to verify all of a large one.
+    stars = stage(pairs.groupBy("a").agg(F.expr(f"count(*) div {STAR} + 1").alias("parts")), "near-stars")
+    pairs = pairs.join(stars, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
+    found = stage(key_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"), "near-filter")
+    texts = mark_possible(own, found, "doc_id", "near").where("near").drop("near")
+    ones = texts.withColumnRenamed("doc_id", "a").join(stars, "a").select("a", F.col("text").alias("text_a"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(ones, ["a", "part"])
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component of near copies, all columns as they are; rows without doc_id stay."""
+    gone = stage(components(near_links(docs)).where("node <> root").select(F.col("node").alias("doc_id")).distinct(), "near-gone")
     return without(docs, gone)
 
 

@@ -119,3 +119,40 @@ def test_simhash_odd(odd, empty):
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and 2 not in {r["doc_id"] for r in kept.collect()}
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def five_word_sets(texts):
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    return {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+
+
+def test_near_copies_beyond_the_radius(spark):
+    rng = random.Random(5)
+    texts = {}
+    for k in range(0, 200, 2):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        texts[k] = " ".join(words)
+        words[rng.randrange(5, 115)] = "changed"
+        words[rng.randrange(5, 115)] = "changed"
+        texts[k + 1] = " ".join(words)
+    sets, prints = five_word_sets(texts), {i: simhash.fingerprint(t.encode()) for i, t in texts.items()}
+    near = {k for k in texts if k % 2 and len(sets[k] & sets[k - 1]) >= 0.8 * len(sets[k] | sets[k - 1])}
+    assert sum((prints[k] ^ prints[k - 1]).bit_count() > simhash.RADIUS for k in near) > 50
+    out = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.collect()} == set(texts) - near
+
+
+def test_near_copies_of_the_table(docs, texts):
+    sets, up = five_word_sets(texts), {i: i for i in texts}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == {i for i in texts if up[i] == i}
