@@ -5,6 +5,8 @@ numbers become typed placeholders. Windows of WINDOW canonical words of every do
 by hash with those of the benchmark. Where enough windows of an item agree, the two texts are
 aligned and the slots checked: an item's value must stand for one value in the document wherever it occurs, and
 different names for different names. Equal slots make a copy, other consistent ones a re-parameterised question.
+If the slots of the whole item are not consistent where most windows agree, every other alignment counts too, by the
+slots under its own windows alone: a passage, a second variant, or the parts around an insertion taken together.
 
 The benchmark's windows are broadcast if there are at most BROADCAST_ROWS of them (24 bytes each);
 beyond that a fixed-size filter of their hashes goes before a shuffled join. Only texts of candidates are
@@ -99,10 +101,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     aligned = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("own")).alias("shift")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("own").alias("own"))
     total = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
     found = aligned.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("own")))).cast("long").alias("n_windows"), F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("best")
+        F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("best"), F.collect_list(F.struct("n", (-F.col("shift")).alias("back"), "own")).alias("alignments")
     )
+    found = found.withColumn("n_windows", F.size(F.array_distinct(F.flatten("alignments.own"))).cast("long"))
     found = found.join(total, "item_id").where(f"doc_id is not null and n_windows >= least({NEEDED}, item_windows)")
-    candidates = stage(found.select("doc_id", "item_id", "n_windows", "item_windows", (-F.col("best.back")).alias("shift")), "bench-candidates")
+    candidates = stage(found.select("doc_id", "item_id", "n_windows", "item_windows", (-F.col("best.back")).alias("shift"), F.sort_array("alignments", asc=False).alias("alignments")), "bench-candidates")
     bitmap = stage(key_filter(candidates.select("doc_id"), "doc_id"), "bench-docs")
     texts = mark_possible(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), bitmap, "doc_id", "near").where("near")
     texts = _tokens(texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
@@ -110,17 +113,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return _checked(pairs)
 
 
+def _consistent(slots: str) -> str:
+    return (
+        f"size(array_distinct({slots})) = size(array_distinct(transform({slots}, s -> struct(s.kind, s.theirs)))) AND "
+        f"size(array_distinct(filter({slots}, s -> s.kind = '@'))) = size(array_distinct(transform(filter({slots}, s -> s.kind = '@'), s -> s.ours)))"
+    )
+
+
 def _checked(pairs: DataFrame) -> DataFrame:
-    slots = F.expr(
+    """Pairs with consistent slots: those of the whole item where most windows agree; else those under the windows of any alignment
+    that has enough of them, the fullest first; else those under all windows together (a text with an insertion)."""
+    slot = "struct(item_canon[k - 1] AS kind, item_raw[k - 1] AS theirs, raw[k + {0} - 1] AS ours)"
+    whole = (
         "transform(filter(sequence(1, size(item_canon)), k -> item_canon[k - 1] IN ('#', '@', '%') AND k + shift BETWEEN 1 AND size(canon) "
-        "AND get(canon, k + shift - 1) = item_canon[k - 1]), k -> struct(item_canon[k - 1] AS kind, item_raw[k - 1] AS theirs, raw[k + shift - 1] AS ours))"
-    )
-    out = pairs.withColumn("slots", slots)
-    consistent = (
-        "size(array_distinct(slots)) = size(array_distinct(transform(slots, s -> struct(s.kind, s.theirs)))) AND "
-        "size(array_distinct(filter(slots, s -> s.kind = '@'))) = size(array_distinct(transform(filter(slots, s -> s.kind = '@'), s -> s.ours)))"
+        f"AND get(canon, k + shift - 1) = item_canon[k - 1]), k -> {slot.format('shift')})"
     )
-    out = out.where(consistent).withColumn("same", F.expr("forall(slots, s -> s.theirs = s.ours)"))
+    # A repeated doc_id has several texts: windows that this one does not have at their place do not count.
+    width = f"least({WINDOW}, size(item_canon))"
+    here = f"filter(a.own, o -> o - a.back >= 1 AND slice(canon, cast(greatest(o - a.back, 1) AS int), {width}) = slice(item_canon, cast(o AS int), {width}))"
+    covered = f"array_distinct(flatten(transform(a.own, o -> sequence(o, o + {width} - 1))))"
+    under = f"transform(filter({covered}, k -> item_canon[k - 1] IN ('#', '@', '%')), k -> {slot.format('(-a.back)')})"
+    out = pairs.withColumn("whole", F.expr(whole)).withColumn("enough", F.expr(f"least({NEEDED}, item_windows)"))
+    out = out.withColumn("first", F.expr(_consistent("whole")))
+    out = out.withColumn("alignments", F.expr(f"filter(transform(filter(alignments, a -> NOT first), a -> struct(a.back AS back, {here} AS own)), a -> size(a.own) > 0)"))
+    out = out.withColumn("under", F.expr(f"transform(alignments, a -> struct(size(a.own) AS n, {under} AS slots))"))
+    out = out.withColumn("single", F.expr(f"get(filter(under, u -> u.n >= enough AND {_consistent('u.slots')}), 0).slots"))
+    out = out.withColumn("joint", F.expr("IF(size(array_distinct(flatten(alignments.own))) >= enough, array_distinct(flatten(under.slots)), NULL)"))
+    out = out.withColumn("slots", F.expr(f"CASE WHEN first THEN whole WHEN single IS NOT NULL THEN single WHEN {_consistent('joint')} THEN joint END"))
+    out = out.where("slots is not null").withColumn("same", F.expr("forall(slots, s -> s.theirs = s.ours)"))
     return out.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"),
         F.max("item_windows").alias("item_windows"),

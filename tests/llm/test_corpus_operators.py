@@ -34,6 +34,20 @@ def test_reparameterised(spark):
     assert got == {1: "copy", 2: "reparameterised", 5: "copy"}
 
 
+def test_every_alignment_counts(spark):
+    item = "A baker fills 12 trays with fresh rolls every single morning and carries them to the old market square where 12 people buy bread"
+    part = "A baker fills 12 trays with fresh rolls every single morning and carries them to the old market square where "
+    altered = item.replace("12 people", "30 people")
+    rows = [
+        (1, part + "there were 30 people buy bread"),
+        (3, altered + ". Then again: " + item.replace("A baker", "a baker")),
+        (4, altered),
+        (5, "so a baker fills 12 trays with fresh rolls every single morning and well carries them to the old market square where 12 people buy bread"),
+    ]
+    got = {r["doc_id"]: r["kind"] for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert got == {1: "copy", 3: "copy", 5: "copy"}
+
+
 def test_short_items_and_shuffled_join(spark, monkeypatch):
     b = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "too short"), (3, None), (4, " ".join(f"w{chr(97 + i)}" for i in range(20)))], "item_id long, text string")
     d = spark.createDataFrame([(1, "x alpha beta gamma delta epsilon zeta y"), (2, "too short"), (3, "q " + " ".join(f"w{chr(97 + i)}" for i in range(15)))], "doc_id long, text string")
