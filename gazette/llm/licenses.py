@@ -180,7 +180,7 @@ def _keywords(pattern: str) -> tuple[str, ...]:
     found = []
     for p in parts:
         outside = re.sub(r"\((?:[^()]|\([^()]*\))*\)[?*+]?(?:\{[^}]*\})?|\[[^\]]*\]\??", "\0", p)
-        words = [w for w in re.split(r"[ \0]", re.sub(r"\w\?|\\w\+?", "\0", outside)) if len(w) > 1]
+        words = [w for w in re.split(r"[ \0]", re.sub(r"[\w ]\?|\\w\+?", "\0", outside)) if len(w) > 1]
         if not words:
             return ()
         found.append(max(words, key=len))

@@ -50,6 +50,13 @@ def test_license_rules(text, labels):
     assert {d[3] for d in licenses.scanner().scan(text)["found"]} == labels
 
 
+def test_license_keywords_are_words():
+    assert all(re.fullmatch(r"\w+", k) for r in licenses.rules() for k in r.keywords)
+    for text in ("Llama 3.1 Community License Agreement", "the LLaMA 2 community license", "Llama Community License"):
+        assert {d[3] for d in licenses.scanner().scan(text)["found"]} == {"llama"}
+    assert {d[3] for d in licenses.scanner().scan("a Beer-Ware License, or beerware license")["found"]} == {"beerware"}
+
+
 def test_license_settling():
     rules = licenses.rules()
     assert len(rules) > 400 and all(r.keywords for r in rules)
