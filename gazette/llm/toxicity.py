@@ -10,7 +10,8 @@ Workers remember the input projections of words, up to a bound; the recurrent pa
 thousands of windows at once. Memory follows the batch, not the text: windows are made in blocks.
 
 Training sample (a documented bound): at most MAX_POSITIVE and MAX_NEGATIVE labelled rows of
-up to MAX_CHARS characters, those with the smallest hashes of doc_id. Every document is scored, whole.
+up to MAX_CHARS characters, those with the smallest hashes of doc_id. Every document is scored, whole: words of more than
+LONG characters (scripts without spaces, glued text) are pieces that overlap, each a word of the windows.
 
 Defined cases. Null text: the empty text; empty texts get the score of an empty window. Null
 label: not used to learn. Several labels for one doc_id: toxic if any is. No toxic or no
@@ -42,17 +43,28 @@ STEPS, MOST = 200, 4
 #: Words that a worker remembers, and windows that run at once.
 REMEMBERED, BLOCK = 250_000, 1024
 PAD = 0
+#: Characters of a word at most; texts without spaces are pieces of this length.
+LONG = 64
 EDGES = string.punctuation + "«»“”„‘’…–—¡¿"
 
 
 def ngrams(word: str, sizes: tuple[int, ...] = SIZES) -> list[str]:
-    marked = f"^{word[:64]}$"
+    marked = f"^{word}$"
     return [marked[i : i + n] for n in sizes for i in range(len(marked) - n + 1)]
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words in lower case as white space parts them, punctuation at their edges still on them."""
-    return (text or "").lower().split()
+    """Words in lower case as white space parts them, punctuation at their edges still on them; longer ones than LONG in pieces."""
+    words = (text or "").lower().split()
+    if not words or len(max(words, key=len)) <= LONG:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= LONG else pieces(w))]
+
+
+def pieces(word: str) -> list[str]:
+    """Parts of LONG characters that overlap, so that each n-gram of the word lies in one of them."""
+    over = max(SIZES) - 1
+    return [word[i : i + LONG] for i in range(0, len(word) - over, LONG - over)]
 
 
 def bare(word: str) -> str:

@@ -187,6 +187,17 @@ def test_learns_words_and_spelling(model):
     assert again.score([long])[0] > 0.5 and abs(again.score([bad])[0] - s[1]) < 1e-5
 
 
+def test_long_words_are_read_to_their_end(model):
+    word = "".join(chr(0x4E00 + k) for k in range(1000))
+    for n in (1, 64, 65, 66, 124, 125, 1000):
+        parts = toxicity.words_of(word[:n])
+        assert max(map(len, parts)) <= 64 and (n > 64 or parts == [word[:n]])
+        assert {word[i : i + 5] for i in range(n - 4)} <= {g for p in parts for g in toxicity.ngrams(p)}
+    glued = "".join(model[1])[:600]
+    a, b = toxicity.Scorer(model[0]).score([glued, glued[:300] + "nastyword" + glued[300:]])
+    assert a != b
+
+
 def test_toxicity_query(spark, sf, texts):
     rows = op10_toxicity(spark, sf).collect()
     assert len(rows) == len(texts)
