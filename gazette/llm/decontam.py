@@ -7,6 +7,8 @@ aligned and the slots checked: an item's value must stand for one value in the d
 different names for different names. Equal slots make a copy, other consistent ones a re-parameterised question.
 If the slots of the whole item are not consistent where most windows agree, every other alignment counts too, by the
 slots under its own windows alone: a passage, a second variant, or the parts around an insertion taken together.
+Then windows of an item's beginning also count as they read behind a colon or a lower-case word, where the first word becomes
+a name; it must be the item's own. Items of which no window has LITERAL literal words are found by all their words, unchanged.
 
 The benchmark's windows are broadcast if there are at most BROADCAST_ROWS of them (24 bytes each);
 beyond that a fixed-size filter of their hashes goes before a shuffled join. Only texts of candidates are
@@ -79,16 +81,24 @@ def _windows(tokens: DataFrame, key: str, sizes: list[int]) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, at, hash: each item's different windows with enough literal words; short items are one window."""
+    """item_id, at, hash: each item's different windows with enough literal words; short items are one window.
+
+    Behind a colon or a lower-case word the item's first words can become other placeholders: windows that differ
+    there are given once more, as they read then, with a negative at."""
     sized = items.where(f"size(canon) >= {LEAST}").withColumn("n", F.least(F.size("canon"), F.lit(WINDOW)))
-    slices = sized.select("item_id", F.posexplode(F.expr("transform(sequence(1, size(canon) - n + 1), i -> slice(canon, i, n))")).alias("at", "part"))
+    each = "transform(sequence(1, size(canon) - n + 1), i -> struct(slice(canon, i, n) AS part, slice(led_canon, i, n) AS led))"
+    slices = sized.select("item_id", F.posexplode(F.expr(each)).alias("at", "w")).select("item_id", "at", "w.*")
     literal = F.expr(f"size(filter(part, w -> w NOT IN ('#', '@', '%'))) >= least({LITERAL}, size(part))")
-    return slices.where(literal).groupBy("item_id", F.xxhash64("part").alias("hash")).agg((F.min("at") + 1).alias("at"))
+    own = slices.where(literal).groupBy("item_id", F.xxhash64("part").alias("hash")).agg((F.min("at") + 1).alias("at"))
+    led = slices.where(literal).where("part <> led").groupBy("item_id", F.xxhash64("led").alias("hash")).agg((-F.min("at") - 1).alias("at"))
+    return own.unionByName(led)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (of the item, found), item_windows, n_slots, kind (copy or reparameterised) of each document and item it holds."""
-    items = stage(_tokens(benchmark, "item_id").where("item_id is not null and size(canon) > 0").dropDuplicates(["item_id"]), "bench-items")
+    led = words(F.concat(F.lit(": "), F.regexp_replace(text_of(), r"^\s+", ""))).alias("led_raw")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(text_of()).alias("raw"), led).withColumn("canon", canonical("raw")).withColumn("led_canon", canonical("led_raw"))
+    items = stage(items.where("item_id is not null and size(canon) > 0").dropDuplicates(["item_id"]), "bench-items")
     known = stage(benchmark_windows(items), "bench-windows")
     facts = known.agg(F.count(F.lit(1)).alias("n")).first()
     sizes = [r[0] for r in items.where(f"size(canon) between {LEAST} and {WINDOW - 1}").select(F.size("canon")).distinct().collect()]  # at most WINDOW - LEAST values
@@ -98,19 +108,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     else:
         likely = mark_possible(rows, stage(key_filter(known, "hash"), "bench-filter"), "hash", "near").where("near").drop("near")
         hits = likely.join(known.withColumnRenamed("at", "own"), "hash")
-    aligned = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("own")).alias("shift")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("own").alias("own"))
-    total = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    aligned = hits.groupBy("doc_id", "item_id", (F.col("at") - F.abs("own")).alias("shift")).agg(F.expr("count_if(own > 0)").alias("n"), F.collect_set("own").alias("own"))
+    total = known.where("at > 0").groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
     found = aligned.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("best"), F.collect_list(F.struct("n", (-F.col("shift")).alias("back"), "own")).alias("alignments")
+        F.max(F.struct("n", (-F.col("shift")).alias("back"))).alias("best"), F.collect_list(F.struct(F.size("own").alias("n"), (-F.col("shift")).alias("back"), "own")).alias("alignments")
     )
-    found = found.withColumn("n_windows", F.size(F.array_distinct(F.flatten("alignments.own"))).cast("long"))
-    found = found.join(total, "item_id").where(f"doc_id is not null and n_windows >= least({NEEDED}, item_windows)")
+    found = found.withColumn("every", F.flatten("alignments.own")).withColumn("n_windows", F.expr("cast(size(array_distinct(filter(every, o -> o > 0))) AS bigint)"))
+    found = found.join(total, "item_id").where(f"doc_id is not null and size(array_distinct(transform(every, o -> abs(o)))) >= least({NEEDED}, item_windows)")
     candidates = stage(found.select("doc_id", "item_id", "n_windows", "item_windows", (-F.col("best.back")).alias("shift"), F.sort_array("alignments", asc=False).alias("alignments")), "bench-candidates")
     bitmap = stage(key_filter(candidates.select("doc_id"), "doc_id"), "bench-docs")
     texts = mark_possible(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), bitmap, "doc_id", "near").where("near")
     texts = _tokens(texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    pairs = candidates.join(texts, "doc_id").join(items.select("item_id", F.col("raw").alias("item_raw"), F.col("canon").alias("item_canon")), "item_id")
-    return _checked(pairs)
+    own = items.select("item_id", F.col("raw").alias("item_raw"), F.col("canon").alias("item_canon"), "led_raw", "led_canon")
+    out = _checked(candidates.join(texts, "doc_id").join(own, "item_id"))
+    rest = stage(items.where(f"size(canon) >= {LEAST}").join(total, "item_id", "left_anti").select("item_id", _bare(), "canon"), "bench-rest")
+    n = rest.count()
+    return out.unionByName(_verbatim(docs, rest, n)) if n else out
+
+
+def _bare() -> Column:
+    return F.expr(f"transform(raw, w -> replace(w, '{NAME}', ''))").alias("bare")
+
+
+def _verbatim(docs: DataFrame, rest: DataFrame, n: int) -> DataFrame:
+    """The pairs of items without any window of enough literal words, whose words must all stand in the document as they are."""
+    first = rest.select("item_id", F.expr(f"slice(bare, 1, {WINDOW})").alias("canon"))
+    sizes = [r[0] for r in first.select(F.size("canon")).distinct().collect()]  # at most WINDOW - LEAST + 1 values
+    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(text_of()).alias("raw")).where("doc_id is not null").select("doc_id", _bare())
+    keys = first.select("item_id", F.xxhash64("canon").alias("hash"))
+    rows = _windows(tokens.withColumnRenamed("bare", "canon"), "doc_id", sorted(sizes))
+    if n > BROADCAST_ROWS:
+        rows = mark_possible(rows, stage(key_filter(keys, "hash"), "bench-filter"), "hash", "near").where("near").drop("near")
+    hits = rows.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "hash")
+    places = stage(hits.groupBy("doc_id", "item_id").agg(F.collect_set("at").alias("places")), "bench-places")
+    texts = tokens.join(places.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = places.join(texts, "doc_id").join(rest.withColumnRenamed("bare", "item_bare"), "item_id")
+    pairs = pairs.where("exists(places, at -> slice(bare, at, size(item_bare)) = item_bare)")
+    slots = F.expr("cast(size(filter(canon, w -> w IN ('#', '@', '%'))) AS bigint)")
+    one = F.lit(1).cast("long")
+    return pairs.select("doc_id", "item_id", one.alias("n_windows"), one.alias("item_windows"), slots.alias("n_slots"), F.lit("copy").alias("kind")).distinct()
 
 
 def _consistent(slots: str) -> str:
@@ -123,23 +159,31 @@ def _consistent(slots: str) -> str:
 def _checked(pairs: DataFrame) -> DataFrame:
     """Pairs with consistent slots: those of the whole item where most windows agree; else those under the windows of any alignment
     that has enough of them, the fullest first; else those under all windows together (a text with an insertion)."""
-    slot = "struct(item_canon[k - 1] AS kind, item_raw[k - 1] AS theirs, raw[k + {0} - 1] AS ours)"
+    slot = "struct({1}_canon[k - 1] AS kind, {1}_raw[k - 1] AS theirs, raw[k + {0} - 1] AS ours)"
     whole = (
         "transform(filter(sequence(1, size(item_canon)), k -> item_canon[k - 1] IN ('#', '@', '%') AND k + shift BETWEEN 1 AND size(canon) "
-        f"AND get(canon, k + shift - 1) = item_canon[k - 1]), k -> {slot.format('shift')})"
+        f"AND get(canon, k + shift - 1) = item_canon[k - 1]), k -> {slot.format('shift', 'item')})"
     )
     # A repeated doc_id has several texts: windows that this one does not have at their place do not count.
     width = f"least({WINDOW}, size(item_canon))"
-    here = f"filter(a.own, o -> o - a.back >= 1 AND slice(canon, cast(greatest(o - a.back, 1) AS int), {width}) = slice(item_canon, cast(o AS int), {width}))"
-    covered = f"array_distinct(flatten(transform(a.own, o -> sequence(o, o + {width} - 1))))"
-    under = f"transform(filter({covered}, k -> item_canon[k - 1] IN ('#', '@', '%')), k -> {slot.format('(-a.back)')})"
+    here = (
+        f"filter(a.own, o -> abs(o) - a.back >= 1 AND slice(canon, cast(greatest(abs(o) - a.back, 1) AS int), {width}) = slice(IF(o > 0, item_canon, led_canon), cast(abs(o) AS int), {width}) "
+        "AND (o <> -1 OR get(raw, cast(-a.back AS int)) = led_raw[0]))"
+    )
+
+    def under(sign: str, form: str) -> str:
+        covered = f"array_distinct(flatten(transform(filter(a.own, o -> o {sign} 0), o -> sequence(abs(o), abs(o) + {width} - 1))))"
+        return f"transform(filter({covered}, k -> {form}_canon[k - 1] IN ('#', '@', '%')), k -> {slot.format('(-a.back)', form)})"
+
+    distinct = "size(array_distinct(transform(flatten(alignments.own), o -> abs(o))))"
     out = pairs.withColumn("whole", F.expr(whole)).withColumn("enough", F.expr(f"least({NEEDED}, item_windows)"))
-    out = out.withColumn("first", F.expr(_consistent("whole")))
+    out = out.withColumn("first", F.expr(f"n_windows >= enough AND {_consistent('whole')}"))
     out = out.withColumn("alignments", F.expr(f"filter(transform(filter(alignments, a -> NOT first), a -> struct(a.back AS back, {here} AS own)), a -> size(a.own) > 0)"))
-    out = out.withColumn("under", F.expr(f"transform(alignments, a -> struct(size(a.own) AS n, {under} AS slots))"))
+    out = out.withColumn("under", F.expr(f"transform(alignments, a -> struct(size(array_distinct(transform(a.own, o -> abs(o)))) AS n, concat({under('>', 'item')}, {under('<', 'led')}) AS slots))"))
     out = out.withColumn("single", F.expr(f"get(filter(under, u -> u.n >= enough AND {_consistent('u.slots')}), 0).slots"))
-    out = out.withColumn("joint", F.expr("IF(size(array_distinct(flatten(alignments.own))) >= enough, array_distinct(flatten(under.slots)), NULL)"))
+    out = out.withColumn("joint", F.expr(f"IF({distinct} >= enough, array_distinct(flatten(under.slots)), NULL)"))
     out = out.withColumn("slots", F.expr(f"CASE WHEN first THEN whole WHEN single IS NOT NULL THEN single WHEN {_consistent('joint')} THEN joint END"))
+    out = out.withColumn("n_windows", F.expr(f"IF(first, n_windows, cast({distinct} AS bigint))"))
     out = out.where("slots is not null").withColumn("same", F.expr("forall(slots, s -> s.theirs = s.ours)"))
     return out.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"),

@@ -48,6 +48,22 @@ def test_every_alignment_counts(spark):
     assert got == {1: "copy", 3: "copy", 5: "copy"}
 
 
+def test_copies_behind_other_words(spark):
+    items = {1: "What is the capital of France?", 2: "Which planet in the solar system has the most known moons?", 3: "Compute 12 + 7 - 3 + 15 * 4 and give 9 numbers.", 4: "Does Maria Lopez often walk to the old harbour?"}
+    rows = [
+        (1, "Question: What is the capital of France?"),
+        (2, "quiz, Which planet in the solar system has the most known moons?"),
+        (3, "They asked: Compute 12 + 7 - 3 + 15 * 4 and give 9 numbers."),
+        (4, "Next: Does Maria Lopez often walk to the old harbour?"),
+        (5, "we know that Paris is the capital of France"),
+        (6, "They asked: Compute 12 + 7 - 3 + 15 * 5 and give 9 numbers."),
+        (7, "What is the capital of France?"),
+    ]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontam.contaminated(d, b).collect()}
+    assert got == {(1, 1, "copy"), (2, 2, "copy"), (3, 3, "copy"), (4, 4, "copy"), (7, 1, "copy")}
+
+
 def test_short_items_and_shuffled_join(spark, monkeypatch):
     b = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "too short"), (3, None), (4, " ".join(f"w{chr(97 + i)}" for i in range(20)))], "item_id long, text string")
     d = spark.createDataFrame([(1, "x alpha beta gamma delta epsilon zeta y"), (2, "too short"), (3, "q " + " ".join(f"w{chr(97 + i)}" for i in range(15)))], "doc_id long, text string")
