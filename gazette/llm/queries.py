@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.chat import format_conversations, read_back
-from gazette.llm.decontam import NUMBERS, UNITS, contaminated
+from gazette.llm.decontam import COMMON, NUMBERS, UNITS, contaminated
 from gazette.llm.exact_dedup import exact_duplicates
 from gazette.llm.licenses import scan_licenses
 from gazette.llm.pii import find_personal_data
@@ -111,15 +111,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_words(table: str, key: str) -> str:
-    """DuckDB: key, raw and canon (words, and words with placeholders) of a table."""
+    """DuckDB: id (of a key and a text), key, raw and canon (words, and words with placeholders) of a table's different rows."""
     listed = lambda x: "(" + ", ".join(f"'{v}'" for v in x) + ")"
     number = lambda w: f"(({w} >= '0' AND {w} < ':') OR {w} IN {listed(NUMBERS)})"
     return f"""
-        SELECT {key}, raw, list_transform(raw, lambda w, i: CASE WHEN {number('w')} THEN '#' WHEN starts_with(w, chr(57344)) THEN '@'
+        SELECT row_number() OVER () AS id, {key}, raw, list_transform(raw, lambda w, i: CASE WHEN {number('w')} THEN '#' WHEN starts_with(w, chr(57344)) THEN '@'
                    WHEN i > 1 AND w IN {listed(UNITS)} AND {number('raw[i - 1]')} THEN '%' ELSE w END) AS canon
-        FROM (SELECT {key}, regexp_extract_all(lower(regexp_replace(replace(coalesce(text, ''), chr(57344), ' '),
-                  '([\\p{{Ll}}\\p{{N}},;:][ \\t\\r\\n])(\\p{{Lu}}\\p{{Ll}}\\p{{L}}*)', '\\1' || chr(57344) || '\\2', 'g')),
-                  chr(57344) || '?[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*') AS raw FROM {table})"""
+        FROM (SELECT {key}, list_transform(regexp_extract_all(lower(regexp_replace(replace(text, chr(57344), ' '),
+                  '(^|[^\\p{{L}}\\p{{M}}])(\\p{{Lu}}\\p{{Ll}})', '\\1' || chr(57344) || '\\2', 'g')),
+                  chr(57344) || '?[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*'),
+                  lambda w: CASE WHEN starts_with(w, chr(57344)) AND w[2:] IN {listed(dict.fromkeys([*COMMON, *NUMBERS, *UNITS]))} THEN w[2:] ELSE w END) AS raw
+              FROM (SELECT DISTINCT {key}, coalesce(text, '') AS text FROM {table} WHERE {key} IS NOT NULL))"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -136,31 +138,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    # Each word of an item is laid on each equal one of a document; a window stands where all its words do.
     "op3_decontaminate": f"""
         WITH d AS ({_sql_words('documents', 'doc_id')}),
-        b AS ({_sql_words('benchmark', 'item_id')}),
-        bw AS (SELECT item_id, part, min(pos) AS own FROM (
-                   SELECT item_id, pos, canon[pos : pos + least(8, len(canon)) - 1] AS part
-                   FROM b, unnest(range(1, greatest(len(canon) - 8, 0) + 2)) AS u(pos) WHERE len(canon) >= 5)
-               WHERE len(list_filter(part, lambda w: w NOT IN ('#', '@', '%'))) >= least(5, len(part)) GROUP BY item_id, part),
-        sizes AS (SELECT DISTINCT len(part) AS n FROM bw UNION SELECT 8),
-        dw AS (SELECT doc_id, pos, canon[pos : pos + n - 1] AS part FROM d, sizes, unnest(range(1, len(canon) - n + 2)) AS u(pos)),
-        hits AS (SELECT doc_id, item_id, own, pos - own AS shift FROM dw JOIN bw USING (part)),
-        aligned AS (SELECT doc_id, item_id, shift, count(*) AS n FROM hits GROUP BY ALL),
-        best AS (SELECT doc_id, item_id, shift FROM aligned QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, shift) = 1),
-        total AS (SELECT item_id, count(*) AS item_windows FROM bw GROUP BY item_id),
-        found AS (SELECT doc_id, item_id, count(DISTINCT own) AS n_windows FROM hits GROUP BY ALL),
-        slots AS (SELECT f.doc_id, f.item_id, n_windows, item_windows,
-                      list_transform(list_filter(range(1, len(b.canon) + 1), lambda k: b.canon[k] IN ('#', '@', '%') AND k + shift BETWEEN 1 AND len(d.canon)
-                                     AND d.canon[k + shift] = b.canon[k]),
-                                     lambda k: [b.canon[k], b.raw[k], d.raw[k + shift]]) AS s
-                  FROM found f JOIN total USING (item_id) JOIN best USING (doc_id, item_id) JOIN d USING (doc_id) JOIN b USING (item_id)
-                  WHERE n_windows >= least(6, item_windows))
-        SELECT doc_id, item_id, n_windows, item_windows, len(s) AS n_slots,
-               CASE WHEN len(list_filter(s, lambda x: x[2] <> x[3])) = 0 THEN 'copy' ELSE 'reparameterised' END AS kind
-        FROM slots
-        WHERE len(list_distinct(s)) = len(list_distinct(list_transform(s, lambda x: [x[1], x[2]])))
-          AND len(list_distinct(list_filter(s, lambda x: x[1] = '@'))) = len(list_distinct(list_transform(list_filter(s, lambda x: x[1] = '@'), lambda x: x[3])))""",
+        b AS (SELECT *, least(8, len(canon)) AS width FROM ({_sql_words('benchmark', 'item_id')}) WHERE len(canon) >= 5),
+        cut AS (SELECT id AS item, width, unnest(range(1, len(canon) - width + 2)) AS k, canon FROM b),
+        windows AS (SELECT item, min(k) AS k FROM cut WHERE len(list_filter(canon[k : k + width - 1], lambda w: w NOT IN ('#', '@', '%'))) >= least(5, width)
+                    GROUP BY item, canon[k : k + width - 1]),
+        total AS (SELECT item, count(*) AS item_windows FROM windows GROUP BY item),
+        theirs AS (SELECT id AS item, width, unnest(range(1, len(canon) + 1)) AS k, unnest(canon) AS word, unnest(raw) AS value FROM b WHERE id IN (SELECT item FROM total)),
+        ours AS (SELECT id AS doc, unnest(range(1, len(canon) + 1)) AS pos, unnest(canon) AS word, unnest(raw) AS value FROM d),
+        same AS (SELECT doc, item, width, pos - k AS shift, k, t.word, t.value AS theirs, o.value AS ours FROM ours o JOIN theirs t USING (word)
+                 UNION ALL SELECT doc, item, width, pos - k, k, o.word, o.value, o.value FROM ours o JOIN theirs t ON k = 1 AND t.word = '@' AND o.word = t.value[2:]),
+        stands AS (SELECT *, count(*) OVER (PARTITION BY doc, item, shift ORDER BY k RANGE BETWEEN CURRENT ROW AND (width - 1) FOLLOWING) = width AS whole FROM same),
+        hits AS (SELECT s.* FROM stands s JOIN windows USING (item, k) WHERE whole),
+        placed AS (SELECT *, 0 AS kind, shift AS place FROM hits UNION ALL SELECT *, 1, floor(shift / 16) FROM hits UNION ALL SELECT *, 2, floor((shift + 8) / 16) FROM hits),
+        enough AS (SELECT doc, item, kind, place, count(DISTINCT k) AS n_windows, any_value(item_windows) AS item_windows FROM placed JOIN total USING (item)
+                   GROUP BY ALL HAVING count(DISTINCT k) >= least(6, any_value(item_windows))),
+        slots AS (SELECT DISTINCT p.doc, p.item, p.kind, p.place, s.k, s.word, s.theirs, s.ours FROM placed p JOIN enough e ON (p.doc, p.item, p.kind, p.place) = (e.doc, e.item, e.kind, e.place)
+                  JOIN same s ON (s.doc, s.item, s.shift) = (p.doc, p.item, p.shift) AND s.k BETWEEN p.k AND p.k + p.width - 1 AND s.word IN ('#', '@', '%')),
+        judged AS (SELECT e.*, count(DISTINCT k) AS n_slots, coalesce(bool_and(theirs = ours), true) AS equal FROM enough e LEFT JOIN slots USING (doc, item, kind, place)
+                   GROUP BY ALL HAVING count(DISTINCT CASE WHEN k IS NOT NULL THEN [word, theirs, ours] END) = count(DISTINCT CASE WHEN k IS NOT NULL THEN [word, theirs] END)
+                       AND count(DISTINCT theirs) FILTER (word = '@') = count(DISTINCT ours) FILTER (word = '@')),
+        line AS (SELECT id, doc_id, ' ' || replace(array_to_string(raw, ' '), chr(57344), '') || ' ' AS t FROM d),
+        bare AS (SELECT item_id, ' ' || replace(array_to_string(raw, ' '), chr(57344), '') || ' ' AS t, len(list_filter(canon, lambda w: w IN ('#', '@', '%'))) AS n_slots
+                 FROM b WHERE id NOT IN (SELECT item FROM total)),
+        found AS (SELECT doc_id, item_id, n_windows, item_windows, n_slots, equal FROM judged JOIN d ON d.id = doc JOIN b ON b.id = item
+                  UNION ALL SELECT doc_id, item_id, 1, 1, n_slots, true FROM line JOIN bare ON contains(line.t, bare.t))
+        SELECT doc_id, item_id, max(n_windows) AS n_windows, max(struct_pack(n := n_windows, s := n_slots, i := item_windows)).i AS item_windows,
+               max(struct_pack(n := n_windows, s := n_slots, i := item_windows)).s AS n_slots, CASE WHEN bool_or(equal) THEN 'copy' ELSE 'reparameterised' END AS kind
+        FROM found GROUP BY doc_id, item_id""",
     "op6_chat_format": r"""
         WITH rows_in AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gazette.llm import chat, decontam, toxicity, warc
 from gazette.llm.queries import ORACLE, op3_decontaminate, op6_chat_format, op8_warc, op10_toxicity
@@ -64,6 +65,43 @@ def test_copies_behind_other_words(spark):
     assert got == {(1, 1, "copy"), (2, 2, "copy"), (3, 3, "copy"), (4, 4, "copy"), (7, 1, "copy")}
 
 
+def test_rows_and_items_stand_for_themselves(spark):
+    """Windows of two rows of one doc_id are not added up; texts that share an item_id are all searched; scattered phrases don't count together."""
+    words = [f"w{chr(97 + i)}{chr(97 + i)}" for i in range(26)]
+    item, other = " ".join(words[:16]), " ".join(words[10:])  # nine windows each
+    half = [" ".join(words[:12]), "so " + " ".join(words[4:16])]  # five windows each, eight together
+    far = half[0] + " and" * 40 + " " + half[1]
+    docs = spark.createDataFrame([(1, half[0]), (1, half[1]), (2, item), (3, other), (4, far), (5, half[0] + " " + half[1])], "doc_id long, text string")
+    for order in ([(9, item), (9, other)], [(9, other), (9, item)]):
+        got = {r["doc_id"]: r["n_windows"] for r in decontam.contaminated(docs, spark.createDataFrame([*order, (9, other), (None, item)], "item_id long, text string")).collect()}
+        assert got == {2: 9, 3: 9, 5: 9}
+
+
+def test_planted_variants_against_sql(spark, tmp_path):
+    """Copies, excerpts, texts with insertions and other parameters of every item, some of them inconsistent, as SQL finds them."""
+    import random
+
+    rng = random.Random(5)
+    names, some = ["Anna", "Bella", "Carlos", "Dora"], "the old baker walked slowly over green hills with seven cats while rain fell upon quiet towns near rivers".split()
+    items, docs = [], []
+    for i in range(30):
+        body = [rng.choice([*some, rng.choice(names), str(rng.randint(2, 9)), f"{rng.randint(2, 9)} km"]) if rng.random() < 0.6 else rng.choice(some) for _ in range(rng.randint(4, 40))]
+        items.append((i if i % 7 else 7, " ".join(body).capitalize() if i % 2 else " ".join(body)))
+        change = {n: m for n, m in zip(names, rng.sample(names, 4))} | {str(n): str(m) for n, m in zip(range(2, 10), rng.sample(range(2, 10), 8))}
+        other = " ".join(change.get(w, w) for w in items[-1][1].split())
+        once = items[-1][1].replace("3", "8", 1).replace("Anna", "Bella", 1)
+        cut = items[-1][1].split()
+        for k, t in enumerate([items[-1][1], other, once, once + ". " + other, " ".join(cut[len(cut) // 3 :]), " ".join([*cut[: len(cut) // 2], "oh", "well", *cut[len(cut) // 2 :]]), items[-1][1].lower(), " ".join(rng.sample(cut, len(cut)))]):
+            docs.append((1000 * k + i, f"Words before: {t}, and behind it."))
+    docs += [(5, docs[3][1]), (6, None), (None, docs[0][1]), (8, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    found = op3_decontaminate(spark, str(tmp_path))
+    assert_same(found, ORACLE["op3_decontaminate"], str(tmp_path))
+    kinds = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds["copy"] > 60 and kinds["reparameterised"] > 20
+
+
 def test_short_items_and_shuffled_join(spark, monkeypatch):
     b = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "too short"), (3, None), (4, " ".join(f"w{chr(97 + i)}" for i in range(20)))], "item_id long, text string")
     d = spark.createDataFrame([(1, "x alpha beta gamma delta epsilon zeta y"), (2, "too short"), (3, "q " + " ".join(f"w{chr(97 + i)}" for i in range(15)))], "doc_id long, text string")
