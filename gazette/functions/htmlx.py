@@ -10,11 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazette.functions.text import ENDS
+
 # Elements that hold no article text; what a body must have, and at most keeps.
 DROPPED = frozenset("script style noscript nav header footer aside form iframe figure figcaption".split())
 LEAST_CHARS, LEAST_PROSE, MOST_CHARS = 400, 0.75, 1500
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ENDS = re.compile(r"[.!?]|다\s|음\s|죠\s")
+_ENDS = re.compile(ENDS)
 
 
 def _flat(parts: list[str], glue: str = "") -> str:
@@ -22,6 +24,7 @@ def _flat(parts: list[str], glue: str = "") -> str:
 
 
 def prose(text: str) -> float:
+    """text.prose_score() of one text."""
     return 100 * sum(1 for _ in _ENDS.finditer(text)) / max(len(text), 100)
 
 
@@ -90,12 +93,15 @@ class _Page(HTMLParser):
 
 
 def body_of(page: str | None) -> str | None:
-    """The shortest container that is long and prosy enough, else all paragraphs if they are long enough; null otherwise."""
+    """The shortest container that is long and prosy enough, else all paragraphs if they are long enough; null otherwise, and for pages that the parser cannot read."""
     if not page:
         return None
     tree = _Page()
-    tree.feed(page)
-    tree.close()
+    try:
+        tree.feed(page)
+        tree.close()
+    except Exception:  # broken mark-up, for one "<![foo["; it must not take the other pages with it
+        return None
     fit = []
     for texts, paragraphs in tree.containers:
         text = _flat(["".join(p) for p in paragraphs], " ")

@@ -46,6 +46,17 @@ def complete_objects(text: str | None) -> list[str] | None:
     return found or None
 
 
+def readable(text: str | None) -> bool:
+    """Whether items() finds an object in a text."""
+    for part in filter(None, (text, (m := re.search(r"\[.*\]|\{.*\}", text or "", re.S)) and m.group())):
+        try:
+            if isinstance(found := json.loads(part), list) and found:
+                return True
+        except ValueError:
+            pass
+    return complete_objects(text) is not None
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def salvage(s: pd.Series) -> pd.Series:
     return s.map(complete_objects)

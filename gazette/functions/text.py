@@ -11,16 +11,16 @@ from pyspark.sql import types as T
 
 # Keywords of importance, in Korean and English, by subject.
 IMPORTANT = {
-    "critical": "전쟁 사망 사고 재난 붕괴 폭발 화재 지진 태풍 위기 비상 긴급 경보 파산 부도 폐쇄 중단 금리 인상 인하 정책 법안 통과 탄핵 사퇴 북한 미사일 핵 테러 감염 확진 팬데믹".split()
+    "critical": ["전쟁", "사망", "사고", "재난", "붕괴", "폭발", "화재", "지진", "태풍", "위기", "비상", "긴급", "경보", "파산", "부도", "폐쇄", "중단", "금리", "인상", "인하", "정책", "법안", "통과", "탄핵", "사퇴", "북한", "미사일", "핵", "테러", "감염", "확진", "팬데믹"]
     + ["war", "death", "accident", "disaster", "collapse", "explosion", "fire", "earthquake", "crisis", "emergency", "urgent", "alert", "bankruptcy", "shutdown", "suspended"]
     + ["interest rate", "policy", "bill", "impeachment", "resignation", "missile", "nuclear", "terror", "pandemic", "outbreak", "conflict"],
-    "economic": "금리 환율 주가 폭락 급등 GDP 실업률 인플레이션 경기침체 부동산 가격 상승 하락 무역 적자 흑자".split()
+    "economic": ["금리", "환율", "주가", "폭락", "급등", "GDP", "실업률", "인플레이션", "경기침체", "부동산", "가격", "상승", "하락", "무역", "적자", "흑자"]
     + ["interest rate", "exchange rate", "stock", "crash", "surge", "GDP", "unemployment", "inflation", "recession", "real estate", "price", "trade", "deficit", "surplus"],
-    "political": "대통령 국회 법안 선거 투표 정책 개혁 논란 탄핵 사퇴 임명 해임 여당 야당 정부".split()
+    "political": ["대통령", "국회", "법안", "선거", "투표", "정책", "개혁", "논란", "탄핵", "사퇴", "임명", "해임", "여당", "야당", "정부"]
     + ["president", "congress", "parliament", "bill", "election", "vote", "policy", "reform", "controversy", "impeachment", "resignation", "appointment", "government"],
 }
 # Keywords of articles on artificial intelligence.
-AI_WORDS = "인공지능 AI 생성형 챗봇 거대언어모델 딥러닝 머신러닝 LLM GPT 오픈AI 앤스로픽 제미나이 클로드 코파일럿".split() + [
+AI_WORDS = ["인공지능", "AI", "생성형", "챗봇", "거대언어모델", "딥러닝", "머신러닝", "LLM", "GPT", "오픈AI", "앤스로픽", "제미나이", "클로드", "코파일럿"] + [
     "artificial intelligence", " ai ", "chatbot", "large language model", "deep learning", "machine learning", "llm", "gpt", "openai", "anthropic", "gemini", "claude", "copilot"
 ]
 # Labels of AI subtypes and the badge of important items.
@@ -31,6 +31,10 @@ BULLETIN = r"^\s*[0-9]{1,2}월\s*[0-9]{1,2}일\s*(궂긴\s*소식|인사|동정|
 #: A description that only wraps a link and a source name.
 WRAPPER = r"(?is)^\s*<a[^>]*>.*?</a>\s*(?:&nbsp;)+\s*<font[^>]*>.*?</font>\s*$"
 TOKEN = "[가-힣A-Za-z0-9]{2,}"
+#: The first sentence or line of a text.
+FIRST = r"^[ \t\r\n]*([^\n.!?]*[.!?]?)"
+# Fixed value: what ends a sentence, in Korean too.
+ENDS = r"[.!?]|다\s|음\s|죠\s"
 
 
 def blank_if_null(c: Column) -> Column:
@@ -75,6 +79,17 @@ def strip_title_prefix(summary: Column, title: Column) -> Column:
     return F.when((F.length(summary) > 0) & (F.length(t) > 0) & F.startswith(s, t), rest).otherwise(summary)
 
 
+def first_sentence(c: Column) -> Column:
+    """A text's first sentence or line, with the mark that ends it: the title of texts that have none."""
+    return F.regexp_extract(blank_if_null(c), FIRST, 1)
+
+
+def after_first_sentence(c: Column) -> Column:
+    """The rest of a text behind its first sentence or line."""
+    c = blank_if_null(c)
+    return F.substring(c, F.length(F.regexp_extract(c, FIRST, 0)) + 1, F.length(c))
+
+
 def normalize_title(c: Column) -> Column:
     """Letters and digits of the lower-cased title; what titles are compared by."""
     return F.regexp_replace(F.lower(strip(c)), r"[^\p{L}\p{N}]+", "")
@@ -148,7 +163,7 @@ def paragraphs(c: Column) -> Column:
 
 def prose_score(c: Column) -> Column:
     """Ends of sentences for each hundred characters."""
-    return F.regexp_count(blank_if_null(c), F.lit(r"[.!?]|다\s|음\s|죠\s")) / F.greatest(F.length(blank_if_null(c)) / 100.0, F.lit(1.0))
+    return F.regexp_count(blank_if_null(c), F.lit(ENDS)) / F.greatest(F.length(blank_if_null(c)) / 100.0, F.lit(1.0))
 
 
 def needs_body(summary: Column) -> Column:
@@ -159,7 +174,10 @@ def needs_body(summary: Column) -> Column:
 
 def wrap(c: Column, width: int, lines: int) -> Column:
     """Lines of width characters, the last of them with an ellipsis if text is left over."""
-    t = one_line(c)
-    parts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(lines - 1)), lambda i: F.substring(t, i * width + 1, F.lit(width))), lambda x: x != "")
-    last = F.concat(F.substring(t, (lines - 1) * width + 1, width - 1), F.lit("…"))
-    return F.when(F.length(t) > width * lines, F.concat(F.slice(parts, 1, lines - 1), F.array(last))).otherwise(parts)
+
+    def cut(t: Column) -> Column:
+        parts = F.filter(F.array(*[F.substring(t, i * width + 1, width) for i in range(lines)]), lambda x: x != "")
+        last = F.concat(F.substring(t, (lines - 1) * width + 1, width - 1), F.lit("…"))
+        return F.when(F.length(t) > width * lines, F.concat(F.slice(parts, 1, lines - 1), F.array(last))).otherwise(parts)
+
+    return F.transform(F.array(one_line(c)), cut)[0]  # a single-element array, so that the text is put on one line once

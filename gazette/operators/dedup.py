@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.text import normalize_title, tokens
+from gazette.operators.similar import first_kept, set_classes, similar_pairs
+from gazette.staging import stage
 
 NEAR = 0.5
 
@@ -22,27 +24,20 @@ def exact_longest(df: DataFrame, keys: list[str], title: str = "title", summary:
 
 
 def near_greedy(df: DataFrame, group: list[str], title: str = "title", summary: str = "summary", pos: str = "pos", threshold: float = NEAR, words: Column | None = None, length: Column | None = None) -> DataFrame:
-    """In the order of pos, each row joins the first kept row of its group with a Jaccard similarity of threshold or more, or is kept.
+    """In the order of pos (unique), each row joins the first kept row of its group with a Jaccard similarity of threshold or more, or is kept.
 
-    A longer summary takes a kept row's place, but not its words and position. Groups must be small: one source's items of
-    one edition (a feed gives ten or fifteen); the fold over a group is one row's work.
+    A longer summary takes a kept row's place, but not its words and position (kept_pos). Rows with equal words follow the
+    first of them, so only different word sets are paired; no group is ever collected. Rows without words, or with a null in group, are kept.
     """
     words = tokens(F.col(title)) if words is None else words
     length = F.length(F.coalesce(F.col(summary), F.lit(""))) if length is None else length
-    rest = [c for c in df.columns if c not in group]
-    item = F.struct(F.col(pos).alias("o"), length.cast("long").alias("len"), words.alias("w"), F.struct(*rest).alias("row"))
-    folded = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("o"), item.alias("i")))).alias("a"))
-    alike = "aggregate(acc, struct(-1 AS at, 0 AS n), (s, k) -> IF(s.at < 0 AND size(array_union(k.w, x.i.w)) > 0 AND size(array_intersect(k.w, x.i.w)) / size(array_union(k.w, x.i.w)) >= {t}, struct(s.n AS at, s.n + 1 AS n), struct(s.at AS at, s.n + 1 AS n))).at".format(t=threshold)
-    step = (
-        f"transform(array({alike}), at -> IF(at < 0, concat(acc, array(x.i)), IF(x.i.len > acc[at].len, "
-        "transform(acc, (k, j) -> IF(j = at, named_struct('o', k.o, 'len', x.i.len, 'w', k.w, 'row', x.i.row), k)), acc)))[0]"
-    )
-    kept = folded.withColumn("k", F.expr(f"explode(aggregate(a, cast(array() AS {_array_of(folded)}), (acc, x) -> {step}))"))
-    return kept.select(*group, "k.row.*", F.col("k.o").alias("kept_pos"))
-
-
-def _array_of(folded: DataFrame) -> str:
-    return f"array<{folded.schema['a'].dataType.elementType['i'].dataType.simpleString()}>"
+    own = stage(df.withColumns({"_words": F.array_sort(words), "_length": length}), "greedy-rows")
+    classes = stage(set_classes(own, group, pos, "_words"), "greedy-sets")
+    moved = first_kept(similar_pairs(classes, group, threshold), group)
+    openers = classes.join(moved.withColumnRenamed("b", "rep"), [*group, "rep"], "left").select(*group, F.col("words").alias("_words"), F.coalesce("a", "rep").alias("_opener"))
+    placed = own.join(openers, [*group, "_words"], "left").withColumn("kept_pos", F.coalesce("_opener", F.col(pos)))
+    best = F.max_by(F.struct(*[c for c in df.columns if c not in group]), F.struct("_length", -F.col(pos)))
+    return placed.groupBy(*group, "kept_pos").agg(best.alias("row")).select(*group, "row.*", "kept_pos")
 
 
 def month_first(df: DataFrame, keys: list[str], order: list[str], title: str = "title") -> DataFrame:

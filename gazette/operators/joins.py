@@ -36,6 +36,6 @@ def insert_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def reroute(owners: DataFrame, usable: DataFrame, category: str = "category", key: str = "key") -> DataFrame:
     """Each category's own key if it is usable, else the first usable one in order of category_seq."""
     good = owners.join(usable, key, "left_semi")
-    spare = good.agg(F.min_by(key, "category_seq").alias("spare"))
+    spare = good.agg(F.min_by(key, "category_seq")).scalar()
     own = good.select(category, F.col(key).alias("own"))
-    return owners.join(own, category, "left").join(F.broadcast(spare)).select(category, F.coalesce("own", "spare").alias(key))  # spare is one row
+    return owners.join(own, category, "left").select(category, F.coalesce("own", spare).alias(key))

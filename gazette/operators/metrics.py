@@ -40,5 +40,5 @@ def first_errors(df: DataFrame, error: str, order: str, n: int = 5) -> DataFrame
 def key_report(owners: DataFrame) -> DataFrame:
     """line: each different key with its sorted owners, keys padded to the longest; owners: category, key."""
     keys = owners.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("owners"))
-    width = keys.agg(F.max(F.length("key")).alias("width"))  # one row
-    return keys.join(F.broadcast(width)).select("key", F.concat(F.expr("rpad(key, width, ' ')"), F.lit("  "), "owners").alias("line"))
+    width = keys.agg(F.max(F.length("key"))).scalar()
+    return keys.select("key", F.concat(F.rpad("key", width, F.lit(" ")), F.lit("  "), "owners").alias("line"))

@@ -1,8 +1,8 @@
 """The registered queries over the test tables, each with its SQL.
 
 The tables are no news, so concepts are mapped by role: events are articles (type: category, user: source), documents are
-texts by source, with NEWS_DAY ids to a day's edition, orders are dated items with a priority, lineitem gives price series.
-"Now" is always the latest date of a table, never the clock.
+articles by source whose title is their first sentence or line and whose summary is the rest, orders are dated items with a
+priority, lineitem gives price series. "Now" is always the latest date of a table, never the clock: a scalar subquery.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from gazette.functions import dates, jsonx, numeric, pagekey, text, urls
 from gazette.functions.htmlx import body
-from gazette.operators import dedup, joins, metrics, ranking, series
+from gazette.operators import dedup, joins, metrics, ranking, series, similar
+from gazette.sources import registry
+from gazette.staging import new_path, stage
+from gazette.streaming import refresh
 from gazette.tables import load
 
-#: Documents of an edition: ids from one multiple of this to the next.
-NEWS_DAY = 300
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -42,21 +42,52 @@ def _dated(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_orderpriority", "o_totalprice", "o_custkey")
 
 
+#: DuckDB: white space of all scripts, as text.strip() drops it; a text's first sentence or line, and the rest behind it.
+_SPACE = "[\\t-\\r \\x{85}\\p{Z}]"
+_FIRST = "regexp_extract({}, '^[ \\t\\r\\n]*([^\\n.!?]*[.!?]?)', {})"
+_TITLE = _FIRST.format("text", 1)
+_REST = f"substr(text, length({_FIRST.format('text', 0)}) + 1)"
+
+
+def _strip(sql: str) -> str:
+    return f"regexp_replace({sql}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+def _latest(df: DataFrame, column: str):
+    """The latest value of a column of df, as a scalar subquery."""
+    return df.agg(F.max(column)).scalar()
+
+
+def _titled(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """doc_id, title and summary of documents, and further columns of theirs."""
+    t = F.col("text")
+    return load(spark, d, "documents").select("doc_id", *columns, text.first_sentence(t).alias("title"), text.after_first_sentence(t).alias("summary"))
+
+
 # --- filters and projections
 
 
 @query("""WITH c AS (SELECT max(ts) - INTERVAL 3 DAY AS cutoff FROM events)
           SELECT event_id, ts, event_type FROM events, c WHERE ts >= cutoff OR event_type = 'view'""")
 def stale_filter(spark, d):
-    e = _events(spark, d)
-    cutoff = e.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("cutoff"))  # one row
-    return e.join(F.broadcast(cutoff), (F.col("ts") >= F.col("cutoff")) | (F.col("event_type") == "view")).select("event_id", "ts", "event_type")
+    """Old events go, unless their date is approximate, as those of views are here."""
+    from gazette.plans import daily
+
+    e = _events(spark, d).withColumns({"title": F.col("event_type"), "published": F.col("ts"), "date_is_approximate": F.col("event_type") == "view"})
+    return daily.fresh(e, _latest(_events(spark, d), "ts")).select("event_id", "ts", "event_type")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name, '^(green|blue|red)\\s*\\w+$') AND NOT regexp_matches(p_type, '^\\s*[0-9]{1,2}월\\s*[0-9]{1,2}일\\s*(궂긴\\s*소식|인사|동정|부고|알림|일정)\\s*$')")
+_BULLETIN = "CASE WHEN p_partkey % 7 = 0 THEN ' ' || (p_size % 12 + 1)::VARCHAR || '월 ' || (p_partkey % 28 + 1)::VARCHAR || '일 ' || (['부고', '인사', '궂긴 소식', '날씨'])[p_partkey % 4 + 1] || CASE WHEN p_partkey % 3 = 0 THEN ' 외' ELSE '' END ELSE p_name END"
+
+
+@query(f"SELECT p_partkey, {_BULLETIN} AS title FROM part WHERE NOT regexp_matches({_BULLETIN}, '^\\s*[0-9]{{1,2}}월\\s*[0-9]{{1,2}}일\\s*(궂긴\\s*소식|인사|동정|부고|알림|일정)\\s*$')")
 def wire_pattern_filter(spark, d):
-    p = load(spark, d, "part")
-    return p.where(~F.col("p_name").rlike(r"^(green|blue|red)\s*\w+$") & ~text.is_bulletin(F.col("p_type"))).select("p_partkey", "p_name")
+    """Part names as titles, every seventh one a bulletin's or nearly so."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("부고", "인사", "궂긴 소식", "날씨")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    more = F.when(F.col("p_partkey") % 3 == 0, " 외").otherwise("")
+    dated = F.concat(F.lit(" "), (F.col("p_size") % 12 + 1).cast("string"), F.lit("월 "), (F.col("p_partkey") % 28 + 1).cast("string"), F.lit("일 "), kind, more)
+    title = F.when(F.col("p_partkey") % 7 == 0, dated).otherwise(F.col("p_name"))
+    return load(spark, d, "part").select("p_partkey", title.alias("title")).where(~text.is_bulletin(F.col("title")))
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE '' END AS link FROM pages")
@@ -71,13 +102,14 @@ def prose_score(spark, d):
     return load(spark, d, "documents").select("doc_id", text.needs_body(t).alias("needs_body"), text.prose_score(t).alias("prose"))
 
 
-@query("""SELECT doc_id, left(text, 80) AS gist, CASE WHEN starts_with(text, left(text, 20)) AND length(text) > 20 THEN trim(ltrim(substr(trim(text), length(trim(left(text, 20))) + 1), ' -–—:·')) END AS rest,
-                 regexp_replace(left(text, 60), '\\s+-\\s+[^-]{1,30}$', '') AS title FROM documents WHERE NOT regexp_matches(left(text, 60), '^\\s|\\s$') AND text = trim(text) AND NOT regexp_matches(text, '[\\t\\n\\r]')""")
+@query(f"""WITH t AS (SELECT doc_id, text, {_TITLE} AS title FROM documents),
+                c AS (SELECT *, {_strip('title')} AS t, {_strip('text')} AS s FROM t)
+           SELECT doc_id, left(text, 80) AS gist, CASE WHEN t <> '' AND starts_with(s, t) THEN {_strip("regexp_replace(substr(s, length(t) + 1), '^[  –—:·-]+', '')")} ELSE text END AS rest,
+                  {_strip("regexp_replace(title || ' - ' || source, '[ \\t\\n\\x0B\\f\\r]+-[ \\t\\n\\x0B\\f\\r]+[^-]{1,30}$', '')")} AS title FROM c JOIN documents USING (doc_id, text)""")
 def gist_projection(spark, d):
-    t = F.col("text")
-    one = load(spark, d, "documents").where(~F.substring(t, 1, 60).rlike(r"^\s|\s$") & (t == F.trim(t)) & ~t.rlike(r"[\t\n\r]"))
-    rest = F.when(F.length(t) > 20, text.strip_title_prefix(t, F.substring(t, 1, 20)))
-    return one.select("doc_id", F.substring(t, 1, 80).alias("gist"), rest.alias("rest"), text.strip_suffix(F.substring(t, 1, 60)).alias("title"))
+    """The archive's gist (a prefix, as the archive keeps it), the text without its title, and the title without its source."""
+    one = load(spark, d, "documents").withColumn("title", text.first_sentence(F.col("text")))
+    return one.select("doc_id", F.substring("text", 1, 80).alias("gist"), text.strip_title_prefix(F.col("text"), F.col("title")).alias("rest"), text.strip_suffix(F.concat_ws(" - ", "title", "source")).alias("title"))
 
 
 # --- joins
@@ -88,17 +120,17 @@ def gist_projection(spark, d):
           SELECT event_id, user_id || ':' || event_type AS k FROM events, m WHERE ts::DATE = day AND user_id || ':' || event_type NOT IN (SELECT k FROM recent)""")
 def seen_last7_anti(spark, d):
     e = _events(spark, d).select("event_id", "value", F.concat_ws(":", "user_id", "event_type").alias("k"), F.to_date("ts").alias("date"))
-    last = e.agg(F.max("date").alias("d")).first()["d"]
-    return joins.unseen(e.where(F.col("date") == F.lit(last)).select("event_id", "k"), e.where("value > 0"), "k", 7, F.lit(last)).select("event_id", "k")
+    last = _latest(_events(spark, d).select(F.to_date("ts").alias("date")), "date")
+    return joins.unseen(e.where(F.col("date") == last).select("event_id", "k"), e.where("value > 0"), "k", 7, last).select("event_id", "k")
 
 
-@query("""SELECT d.doc_id, coalesce(l.quality, -1) AS quality, CASE WHEN l.doc_id IS NULL THEN left(d.text, 40) ELSE coalesce(nullif(trim(substr(d.text, 41, 40)), ''), left(d.text, 40)) END AS summary
+@query(f"""SELECT d.doc_id, coalesce(l.quality, -1) AS quality, CASE WHEN l.doc_id IS NULL THEN {_TITLE} ELSE coalesce(nullif(trim({_REST}), ''), {_TITLE}) END AS summary
           FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0""")
 def left_join_fallback(spark, d):
     answers = load(spark, d, "labels").withColumn("pos", F.lit(0))
-    one = joins.with_answers(load(spark, d, "documents"), answers.withColumn("found", F.lit(True)), "doc_id", "pos").where(~(F.coalesce("toxic", F.lit(0)) == 1))
-    own, given = F.substring("text", 1, 40), F.nullif(F.trim(F.substring("text", 41, 40)), F.lit(""))
-    return one.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.when(F.col("found").isNull(), own).otherwise(F.coalesce(given, own)).alias("summary"))
+    one = joins.with_answers(_titled(spark, d), answers.withColumn("found", F.lit(True)), "doc_id", "pos").where(~(F.coalesce("toxic", F.lit(0)) == 1))
+    given = F.nullif(F.trim("summary"), F.lit(""))
+    return one.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.when(F.col("found").isNull(), F.col("title")).otherwise(F.coalesce(given, F.col("title"))).alias("summary"))
 
 
 @query("""WITH c AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS id FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 48)),
@@ -139,71 +171,73 @@ def union_regions(spark, d):
 
 # --- deduplication
 
-_NORM = "regexp_replace(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
-
-
-@query(f"""WITH k AS (SELECT doc_id, source, n_chars, {_NORM.format('left(text, 60)')} AS k FROM documents)
+@query(f"""WITH k AS (SELECT doc_id, source, {_REST} AS rest, regexp_replace(lower({_strip(_TITLE)}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM documents)
            SELECT doc_id, source, min(doc_id) OVER (PARTITION BY source, k) AS pos FROM k
-           QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY n_chars DESC, doc_id) = 1""")
+           QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY length(rest) DESC, doc_id) = 1""")
 def exact_dedup_longest(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 60).alias("title"), "text")
-    return dedup.exact_longest(docs, ["source"], "title", "text", "doc_id").select("doc_id", "source", "pos")
+    return dedup.exact_longest(_titled(spark, d, "source"), ["source"], seq="doc_id").select("doc_id", "source", "pos")
 
 
-_WORDS = "list_distinct(regexp_extract_all({}, '[가-힣A-Za-z0-9]{{2,}}'))"
+_WORDS = "list_sort(list_distinct(regexp_extract_all(text, '[가-힣A-Za-z0-9]{2,}')))"
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT doc_id, doc_id // {NEWS_DAY} AS day, source, n_chars AS len, {_WORDS.format('left(text, 80)')} AS w,
-                                row_number() OVER (PARTITION BY doc_id // {NEWS_DAY}, source ORDER BY doc_id) AS i FROM documents),
-           s AS (SELECT day, source, 1 AS i, [{{'o': doc_id, 'len': len, 'w': w, 'id': doc_id}}] AS kept FROM d WHERE i = 1
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, source, length(text) AS len, {_WORDS} AS w, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+           p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.source = b.source AND a.doc_id < b.doc_id
+                 WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.5 * len(list_distinct(list_concat(a.w, b.w)))),
+           s AS (SELECT source, 0 AS i, []::BIGINT[] AS kept FROM d GROUP BY source
              UNION ALL
-             SELECT s.day, s.source, d.i, CASE
-                 WHEN list_position(list_transform(kept, lambda k: len(list_intersect(k.w, d.w)) >= 0.5 * len(list_distinct(list_concat(k.w, d.w))) AND len(list_concat(k.w, d.w)) > 0), true) IS NULL
-                   THEN list_append(kept, {{'o': d.doc_id, 'len': d.len, 'w': d.w, 'id': d.doc_id}})
-                 ELSE list_transform(kept, lambda k, j: CASE WHEN j = list_position(list_transform(kept, lambda k2: len(list_intersect(k2.w, d.w)) >= 0.5 * len(list_distinct(list_concat(k2.w, d.w))) AND len(list_concat(k2.w, d.w)) > 0), true)
-                       AND d.len > k.len THEN {{'o': k.o, 'len': d.len, 'w': k.w, 'id': d.doc_id}} ELSE k END) END
-             FROM s JOIN d ON s.day = d.day AND s.source = d.source AND d.i = s.i + 1),
-           f AS (SELECT day, source, unnest(kept) AS k FROM s QUALIFY row_number() OVER (PARTITION BY day, source ORDER BY i DESC) = 1)
-           SELECT source, k.id AS doc_id, k.o AS kept_pos FROM f""")
+             SELECT s.source, s.i + 1, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.source = s.source AND p.b = d.doc_id AND list_contains(s.kept, p.a)) THEN s.kept ELSE list_append(s.kept, d.doc_id) END
+             FROM s JOIN d ON s.source = d.source AND d.i = s.i + 1),
+           k AS (SELECT source, unnest(kept) AS kept_pos FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY i DESC) = 1),
+           m AS (SELECT source, kept_pos, kept_pos AS doc_id FROM k
+                 UNION ALL SELECT p.source, min(a), b FROM p JOIN k ON k.source = p.source AND k.kept_pos = a WHERE b NOT IN (SELECT kept_pos FROM k) GROUP BY p.source, b)
+           SELECT m.source, m.doc_id, kept_pos FROM m JOIN d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY m.source, kept_pos ORDER BY len DESC, m.doc_id) = 1""")
 def near_dup_greedy(spark, d):
-    docs = load(spark, d, "documents").select(F.floor(F.col("doc_id") / NEWS_DAY).alias("day"), "doc_id", "source", "n_chars", F.substring("text", 1, 80).alias("title"))
-    return dedup.near_greedy(docs, ["day", "source"], "title", pos="doc_id", length=F.col("n_chars")).select("source", "doc_id", "kept_pos")
+    """By the words of whole texts, within each source."""
+    docs = load(spark, d, "documents").select("doc_id", "source", "text")
+    return dedup.near_greedy(docs, ["source"], "text", pos="doc_id", length=F.length("text")).select("source", "doc_id", "kept_pos")
 
 
-@query(f"""WITH d AS (SELECT doc_id, doc_id // {NEWS_DAY} AS day, source, {_WORDS.format('left(text, 80)')} AS w FROM documents),
-           p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS jaccard
-                 FROM d a JOIN d b ON a.day = b.day AND a.source = b.source AND a.doc_id < b.doc_id WHERE len(list_concat(a.w, b.w)) > 0)
+@query(f"""WITH d AS (SELECT source, {_WORDS} AS w, min(doc_id) AS id FROM documents GROUP BY 1, 2 HAVING len(w) > 0),
+           p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS jaccard FROM d a JOIN d b ON a.source = b.source AND a.id < b.id)
            SELECT a, b, jaccard FROM p WHERE jaccard >= 0.3""")
 def jaccard_pairs(spark, d):
-    w = load(spark, d, "documents").select(F.floor(F.col("doc_id") / NEWS_DAY).alias("day"), "source", "doc_id", text.tokens(F.substring("text", 1, 80)).alias("w"))
-    a, b = w.select("day", "source", F.col("doc_id").alias("a"), F.col("w").alias("wa")), w.select("day", "source", F.col("doc_id").alias("b"), F.col("w").alias("wb"))
-    # An edition has few items of a source, so the pairs of one are few.
-    return a.join(b, ["day", "source"]).where("a < b").select("a", "b", numeric.jaccard(F.col("wa"), F.col("wb")).alias("jaccard")).where("jaccard >= 0.3")
+    """Different word sets of a source's whole texts that are alike; the first document stands for those with equal words."""
+    docs = load(spark, d, "documents").select("doc_id", "source", text.tokens(F.col("text")).alias("w"))
+    return similar.similar_pairs(similar.set_classes(docs, ["source"], "doc_id", "w"), ["source"], 0.3).select("a", "b", "jaccard")
 
 
-@query(f"SELECT doc_id, len({_WORDS.format('left(text, 200)')}) AS n, list_aggregate(list_sort({_WORDS.format('left(text, 200)')}), 'string_agg', ' ') AS words FROM documents")
+@query(f"SELECT doc_id, len({_WORDS}) AS n, list_aggregate({_WORDS}, 'string_agg', ' ') AS words FROM documents")
 def title_tokens(spark, d):
-    w = text.tokens(F.substring("text", 1, 200))
+    w = text.tokens(F.col("text"))
     joined = F.array_join(F.array_sort(w), " ")
     return load(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.when(joined != "", joined).alias("words"))
 
 
-_CANON = r"""(WITH u AS (SELECT page_id, regexp_extract(trim(url), '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$', ['scheme', 'host', 'path', 'query']) AS p FROM pages),
-    q AS (SELECT page_id, p, list_transform(list_filter(string_split(p.query, '&'), lambda x: x <> '' AND lower(regexp_replace(x, '=.*$', '')) NOT IN
-        ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'igshid', 'ref', 'source', 'from', 'at_medium', 'at_campaign')),
-        lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END) AS kept FROM u)
+#: Links as sources give them: with other ways of writing the same parameters, and tracking ones in disguise.
+_LINK = "url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || (['no=%EA%B0%80&q=a%20b', 'no=가&q=a+b', '%75tm_source=x&no=%EA%B0%80', 'a=%zz&b&=c*~', ''])[page_id % 5 + 1]"
+_CANON = rf"""(WITH u AS (SELECT page_id, regexp_extract({_strip(_LINK)}, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$', ['scheme', 'host', 'path', 'query']) AS p FROM pages),
+    q AS (SELECT page_id, p, list_filter(list_transform(list_filter(string_split(p.query, '&'), lambda x: x <> ''),
+        lambda x: [url_decode(replace(regexp_extract(x, '^[^=]*'), '+', ' ')), url_decode(replace(regexp_extract(x, '(?s)=(.*)$', 1), '+', ' '))]),
+        lambda x: lower(x[1]) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'igshid', 'ref', 'source', 'from', 'at_medium', 'at_campaign')) AS kept FROM u)
     SELECT page_id, CASE WHEN p.scheme <> '' THEN lower(p.scheme) || ':' ELSE '' END || CASE WHEN p.host <> '' THEN '//' || p.host ELSE '' END || regexp_replace(p.path, '/+$', '')
-        || CASE WHEN len(kept) > 0 THEN '?' || list_aggregate(kept, 'string_agg', '&') ELSE '' END AS link FROM q)"""
+        || CASE WHEN len(kept) > 0 THEN '?' || list_aggregate(list_transform(kept, lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), 'string_agg', '&') ELSE '' END AS link FROM q)"""
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    ways = F.array(*[F.lit(x) for x in ("no=%EA%B0%80&q=a%20b", "no=가&q=a+b", "%75tm_source=x&no=%EA%B0%80", "a=%zz&b&=c*~", "")])
+    link = F.concat("url", F.when(F.col("url").contains("?"), "&").otherwise("?"), F.element_at(ways, (F.col("page_id") % 5 + 1).cast("int")))
+    return load(spark, d, "pages").select("page_id", urls.canonical(link).alias("link"))
 
 
 @query(f"SELECT page_id, link FROM {_CANON}")
 def canonical_url(spark, d):
-    return load(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("link"))
+    return _links(spark, d)
 
 
 @query(f"SELECT link, count(*) AS n, min(page_id) AS first_page FROM {_CANON} GROUP BY link")
 def distinct_urls(spark, d):
-    return load(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
+    return _links(spark, d).groupBy("link").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
 
 
 # --- rankings
@@ -216,8 +250,7 @@ def distinct_urls(spark, d):
           QUALIFY position <= 20""")
 def balanced_top20(spark, d):
     e = _events(spark, d)
-    cutoff = e.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("cutoff"))  # one row
-    fresh = e.join(F.broadcast(cutoff), F.col("ts") >= F.col("cutoff"))
+    fresh = e.where(F.col("ts") >= _latest(e, "ts") - F.expr("INTERVAL 3 DAYS"))
     return ranking.round_robin(fresh, ["event_type"], "user_id", "ts", "event_id").select("event_type", "user_id", "event_id", F.col("position").cast("long"))
 
 
@@ -225,8 +258,8 @@ def balanced_top20(spark, d):
           FROM (SELECT *, o_orderpriority IN ('1-URGENT', '2-HIGH') AS important, strftime(o_orderdate, '%Y-%m') AS month FROM orders)""")
 def important_recent_order(spark, d):
     o = load(spark, d, "orders").withColumns({"important": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "month": dates.month_key(F.col("o_orderdate"))})
-    order = Window.partitionBy("month").orderBy(F.col("important").desc(), F.col("o_orderdate").desc(), "o_orderkey")
-    return o.select("o_orderkey", F.row_number().over(order).cast("long").alias("place"), "important")
+    order = [F.col("important").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey")]
+    return ranking.numbered(o.select("o_orderkey", "month", "important", "o_orderdate"), ["month"], order).select("o_orderkey", F.col("place").cast("long"), "important")
 
 
 @query("""WITH b AS (SELECT *, o_orderpriority = '1-URGENT' AS important FROM orders),
@@ -250,20 +283,22 @@ def top3_feed(spark, d):
     return best.orderBy(F.col("ts").desc(), "event_id").select("event_type", "event_id", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss '+0000'").alias("published"))
 
 
-@query("""WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source, doc_id // 300 ORDER BY doc_id) - 1 AS n, doc_id // 300 AS day FROM documents)
+@query("""WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)
           SELECT doc_id, n // 8 AS chunk, n % 8 + 1 AS id FROM n""")
 def chunk_assign(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / NEWS_DAY).alias("day"))
-    return ranking.chunks(docs, ["source", "day"], ["doc_id"], 8).select("doc_id", "chunk", "id")
+    return ranking.chunks(load(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 8).select("doc_id", "chunk", "id")
 
 
-@query("""WITH n AS (SELECT doc_id, source, text, doc_id // 300 AS day, row_number() OVER (PARTITION BY source, doc_id // 300 ORDER BY doc_id) - 1 AS n FROM documents)
-          SELECT source, day, n // 8 AS chunk, string_agg((n % 8 + 1)::VARCHAR || '. ' || trim(regexp_replace(left(text, 120), '\\s+', ' ', 'g')), chr(10) ORDER BY n) AS listing FROM n GROUP BY 1, 2, 3""")
+@query(f"""WITH n AS (SELECT doc_id, source, lang, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)
+          SELECT source, n // 8 AS chunk, md5(string_agg((n % 8 + 1)::VARCHAR || '. [' || source || '/' || lang || '] ' || trim(regexp_replace({_TITLE}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))
+                     || ' — ' || trim(regexp_replace({_REST}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), chr(10) ORDER BY n)) AS listing_md5 FROM n GROUP BY 1, 2""")
 def chunk_listing(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / NEWS_DAY).alias("day"), F.substring("text", 1, 120).alias("t"))
-    line = F.concat(F.col("id").cast("string"), F.lit(". "), text.one_line(F.col("t")))
-    numbered = ranking.chunks(docs, ["source", "day"], ["doc_id"], 8).select("source", "day", "chunk", F.struct("id", line.alias("line")).alias("s"))
-    return numbered.groupBy("source", "day", "chunk").agg(F.array_join(F.sort_array(F.collect_list("s"))["line"], "\n").alias("listing"))
+    """The numbered lists that the model is asked about, of eight documents of a source each."""
+    from gazette.plans import model
+
+    docs = _titled(spark, d, "source", F.col("lang").alias("language"))
+    numbered = ranking.chunks(docs, ["source"], ["doc_id"], 8)
+    return numbered.groupBy("source", "chunk").agg(F.md5(model.listing(model.listing_line())).alias("listing_md5"))
 
 
 # --- series
@@ -358,8 +393,7 @@ def direction_label(spark, d):
           SELECT ym, category, count(*) AS article_count, min(o_orderkey) AS first_key, count(DISTINCT day) AS days FROM f GROUP BY ym, category""")
 def month_compaction(spark, d):
     o = _dated(spark, d)
-    last = o.agg(F.max("day").alias("d")).first()["d"]
-    old = o.where(F.col("day") < F.date_sub(F.lit(last), 90)).select("o_orderkey", F.col("o_orderpriority").alias("category"), "day", dates.month_key(F.col("day")).alias("ym"), F.concat(F.lit("title "), (F.col("o_custkey") % 50).cast("string")).alias("title"))
+    old = o.where(F.col("day") < F.date_sub(_latest(o, "day"), 90)).select("o_orderkey", F.col("o_orderpriority").alias("category"), "day", dates.month_key(F.col("day")).alias("ym"), F.concat(F.lit("title "), (F.col("o_custkey") % 50).cast("string")).alias("title"))
     first = dedup.month_first(old, ["ym", "category"], ["day", "o_orderkey"])
     return first.groupBy("ym", "category").agg(F.count(F.lit(1)).alias("article_count"), F.min("o_orderkey").alias("first_key"), F.count_distinct("day").alias("days"))
 
@@ -368,9 +402,8 @@ def month_compaction(spark, d):
           SELECT CASE WHEN o_orderdate::DATE < cutoff THEN 'compact' ELSE 'keep' END AS action, count(*) AS n, min(o_orderdate::DATE)::VARCHAR AS first_day, max(o_orderdate::DATE)::VARCHAR AS last_day FROM orders, m GROUP BY 1""")
 def retention_split(spark, d):
     o = _dated(spark, d)
-    cutoff = o.agg(F.date_sub(F.max("day"), 90).alias("cutoff"))  # one row
-    action = F.when(F.col("day") < F.col("cutoff"), "compact").otherwise("keep")
-    return o.join(F.broadcast(cutoff)).groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
+    action = F.when(F.col("day") < F.date_sub(_latest(o, "day"), 90), "compact").otherwise("keep")
+    return o.groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
 
 
 @query(f"""WITH {_PRICES} SELECT strftime(date, '%Y-%m-%d') AS date, symbol, floor(close * 100 + 0.5) / 100 AS price_at_pick FROM p
@@ -447,40 +480,50 @@ def kst_format(spark, d):
 # --- JSON
 
 
-@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+@query("SELECT event_id, ((props->>'$.k')::BIGINT)::INT AS k, 1 AS n FROM events UNION ALL SELECT event_id, NULL, 2 FROM events WHERE event_id % 4 > 0")
 def json_props(spark, d):
-    return _events(spark, d).select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """The objects in a model's answer: alone, in prose, beside one whose field is no number, or in an array that is cut off."""
+    props, other = F.col("props"), F.lit(', {"k": "none"}')
+    ways = F.array(F.concat(F.lit("["), props, F.lit("]")), F.concat(F.lit("Here you are: ["), props, other, F.lit("] (two)")), F.concat(F.lit("["), props, other, F.lit("]")), F.concat(F.lit("["), props, other, F.lit(', {"k": 3')))
+    raw = F.element_at(ways, (F.col("event_id") % 4 + 1).cast("int"))
+    one = _events(spark, d).select("event_id", F.posexplode(jsonx.items(raw)).alias("n", "item"))
+    return one.select("event_id", jsonx.safe_int(F.get_json_object("item", "$.k")).alias("k"), (F.col("n") + 1).alias("n"))
 
 
-@query("""WITH o AS (SELECT user_id, event_type, list(event_id ORDER BY event_id) AS ids FROM events WHERE event_id % 3 = 0 GROUP BY user_id, event_type)
-          SELECT user_id, event_type, (len(ids) - 1)::BIGINT AS n, CASE WHEN len(ids) > 1 THEN ids[len(ids) - 1] END AS last_id FROM o""")
+@query("""WITH o AS (SELECT event_type, event_id // 64 AS chunk, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY 1, 2)
+          SELECT event_type, chunk, (len(ids) - 1)::BIGINT AS n, CASE WHEN len(ids) > 1 THEN ids[len(ids) - 1] END AS last_id FROM o""")
 def json_truncated_salvage(spark, d):
+    """Answers on up to 64 events each, cut off within the last object."""
     item = F.to_json(F.struct(F.col("event_id").alias("id"), F.lit('brace } "quote').alias("title")))
-    one = _events(spark, d).where("event_id % 3 = 0").groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("j"))))["j"].alias("a"))
-    cut = one.select("user_id", "event_type", F.concat(F.lit("["), F.array_join("a", ","))).toDF("user_id", "event_type", "raw").withColumn("raw", F.expr("left(raw, length(raw) - 3)"))
-    found = cut.select("user_id", "event_type", F.coalesce(jsonx.items(F.col("raw")), F.array().cast("array<string>")).alias("a"))
-    return found.select("user_id", "event_type", F.size("a").cast("long").alias("n"), F.get_json_object(F.try_element_at("a", F.lit(-1)), "$.id").cast("long").alias("last_id"))
+    one = _events(spark, d).groupBy("event_type", F.expr("event_id div 64").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("j"))))["j"].alias("a"))
+    cut = one.select("event_type", "chunk", F.concat(F.lit("["), F.array_join("a", ",")).alias("raw")).withColumn("raw", F.expr("left(raw, length(raw) - 3)"))
+    found = cut.select("event_type", "chunk", F.coalesce(jsonx.items(F.col("raw")), F.array().cast("array<string>")).alias("a"))
+    return found.select("event_type", "chunk", F.size("a").cast("long").alias("n"), F.get_json_object(F.try_element_at("a", F.lit(-1)), "$.id").cast("long").alias("last_id"))
 
 
 @query("""SELECT o_orderpriority AS category, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1""")
 def poly_flatten(spark, d):
-    """Snapshots of two shapes, lists and objects of lists by region, flattened to the same articles."""
-    o = _dated(spark, d).withColumn("a", F.struct(F.col("o_orderkey").alias("id")))
-    lists = o.where("o_orderkey % 2 = 0").groupBy("day", F.col("o_orderpriority").alias("category")).agg(F.to_json(F.collect_list("a")).alias("entry"))
-    by_region = o.where("o_orderkey % 2 = 1").groupBy("day", F.col("o_orderpriority").alias("category"), F.when(F.col("o_custkey") % 2 == 0, "domestic").otherwise("overseas").alias("region")).agg(F.collect_list("a").alias("l"))
-    maps = by_region.groupBy("day", "category").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("region", "l")))).alias("entry"))
+    """Snapshots of two shapes, lists and objects of lists by region, of up to 256 orders each, flattened to the same articles."""
+    o = _dated(spark, d).withColumns({"a": F.struct(F.col("o_orderkey").alias("id")), "file": F.expr("o_orderkey div 256")})
+    lists = o.where("o_orderkey % 2 = 0").groupBy("file", F.col("o_orderpriority").alias("category")).agg(F.to_json(F.collect_list("a")).alias("entry"))
+    by_region = o.where("o_orderkey % 2 = 1").groupBy("file", F.col("o_orderpriority").alias("category"), F.when(F.col("o_custkey") % 2 == 0, "domestic").otherwise("overseas").alias("region")).agg(F.collect_list("a").alias("l"))
+    maps = by_region.groupBy("file", "category").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("region", "l")))).alias("entry"))
     flat = lists.unionByName(maps).select("category", F.explode(jsonx.flattened(F.col("entry"), "struct<id:bigint>")).alias("a"))
     return flat.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("a.id").alias("keys"))
 
 
 @query("""SELECT r_name AS market, n_name AS horizon, s_suppkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def nested_explode(spark, d):
-    """Picks nested by market and horizon, and exploded again."""
+    """Picks nested by market and horizon, as a snapshot of up to 1,000 suppliers holds them, read back by the reader of snapshots."""
+    from gazette.sources import snapshots
+
     n = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    s = load(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    inner = s.groupBy("r_name", "n_name").agg(F.collect_list("s_suppkey").alias("ids"))
-    nested = inner.groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "ids"))).alias("m"))
-    return nested.select(F.col("r_name").alias("market"), F.explode("m").alias("horizon", "ids")).select("market", "horizon", F.explode("ids").alias("id"))
+    s = load(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("file", F.expr("s_suppkey div 1000"))
+    pick = F.struct(F.col("s_suppkey").cast("string").alias("symbol"))
+    inner = s.groupBy("file", "r_name", "n_name").agg(F.collect_list(pick).alias("l"))
+    nested = inner.groupBy("file", "r_name").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "l"))).alias("h")).groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", "h")))).alias("j"))
+    read = nested.select(F.date_add(F.lit("2026-01-01").cast("date"), F.col("file").cast("int")).alias("date"), F.from_json("j", f"map<string,map<string,array<{snapshots.PICK}>>>").alias("stock_picks"))
+    return snapshots.picks(read).select("market", "horizon", F.col("symbol").cast("long").alias("id"))
 
 
 # --- counters and streams
@@ -504,16 +547,26 @@ def region_pivot_counts(spark, d):
           SELECT count(*) FILTER (ts < cutoff) AS stale, count(*) FILTER (value <= 0) AS empty, count(*) FILTER (event_type = 'view') AS views FROM events, c""")
 def drop_counts(spark, d):
     e = _events(spark, d)
-    cutoff = e.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("cutoff"))  # one row
-    return metrics.drop_counts(e.join(F.broadcast(cutoff)), {"stale": F.col("ts") < F.col("cutoff"), "empty": F.col("value") <= 0, "views": F.col("event_type") == "view"})
+    cutoff = _latest(e, "ts") - F.expr("INTERVAL 3 DAYS")
+    return metrics.drop_counts(e, {"stale": F.col("ts") < cutoff, "empty": F.col("value") <= 0, "views": F.col("event_type") == "view"})
 
 
 @query("""SELECT event_type, start, value FROM (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS start, value,
               row_number() OVER (PARTITION BY event_type, time_bucket(INTERVAL 15 MINUTE, ts) ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def refresh_15m(spark, d):
-    """The latest value of each quarter of an hour, as the intraday refresh leaves it."""
-    e = _events(spark, d).groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "15 minutes").alias("w"))
-    return e.agg(F.max(F.struct("ts", "event_id", "value")).alias("m")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "m.value")
+    """The latest value of each quarter of an hour, by the function that the stream uses."""
+    return refresh.latest_values(_events(spark, d), ["event_type"]).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "value")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_once(spark, d):
+    """The events as a stream, of which each key passes once within the time that keys are remembered; run to its end into a table."""
+    path = new_path(spark, "stream-once")
+    schema = _events(spark, d).schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    passed = refresh.once(events, ["user_id", "event_type"], ttl="3650 days").select("user_id", "event_type")
+    passed.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id bigint, event_type string").parquet(f"{path}/rows")
 
 
 # --- formats
@@ -522,13 +575,22 @@ def refresh_15m(spark, d):
 @query("""WITH b AS (SELECT event_type, event_id, value, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 15)
           SELECT event_type, 'Item & <' || event_id::VARCHAR || '>' AS title, 'https://site.example/e?id=' || event_id::VARCHAR AS link, date_trunc('second', ts) AS published FROM b""")
 def feed_roundtrip(spark, d):
-    """Feeds of the newest items written as XML, and read again by Spark's XML functions."""
+    """Feeds of the newest items written as XML files, and read again by the feed source; one more feed is broken and gives nothing."""
+    from gazette.sinks import files
+    from gazette.sources import rss
+
     best = ranking.top_of_each(_events(spark, d), ["event_type"], [F.col("ts").desc(), F.col("event_id")], 15)
     title = text.escape_html(F.concat(F.lit("Item & <"), F.col("event_id").cast("string"), F.lit(">")))
     item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://site.example/e?id="), F.col("event_id").cast("string"), F.lit("</link><pubDate>"), dates.rfc822(F.col("ts").cast("timestamp")), F.lit("</pubDate></item>"))
-    feeds = best.groupBy("event_type").agg(F.concat(F.lit("<channel>"), F.array_join(F.sort_array(F.collect_list(F.struct("rank", item.alias("x"))))["x"], ""), F.lit("</channel>")).alias("xml"))
-    parsed = feeds.select("event_type", F.explode(F.from_xml("xml", "item array<struct<title:string,link:string,pubDate:string>>")["item"]).alias("i"))
-    return parsed.select("event_type", "i.title", "i.link", dates.parse_date(F.col("i.pubDate")).cast("timestamp_ntz").alias("published"))
+    xml = best.groupBy("event_type").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.sort_array(F.collect_list(F.struct("rank", item.alias("x"))))["x"], ""), F.lit("</channel></rss>")).alias("content"))
+    broken = spark.createDataFrame([("broken", "<rss><channel><item>")], "event_type string, content string")
+    folder = new_path(spark, "feeds")
+    pages = stage(xml.unionByName(broken).withColumn("path", F.concat("event_type", F.lit(".xml"))), "feed-pages")
+    files.write_pages(pages, folder)
+    seq = F.row_number().over(Window.orderBy("event_type"))  # five types
+    feeds = pages.select(F.lit(0).alias("source_seq"), seq.alias("feed_seq"), F.lit(15).alias("entry_limit"), F.concat(F.lit(f"{folder}/"), "path").alias("url"), "event_type")
+    entries = rss.read_feeds(spark, feeds).join(F.broadcast(feeds.select("feed_seq", "event_type")), "feed_seq")
+    return entries.select("event_type", "title", "link", dates.parse_date(F.col("date")).cast("timestamp_ntz").alias("published"))
 
 
 @query("SELECT event_id, date_trunc('second', ts) AS utc, date_trunc('second', ts) AS shifted, event_id % 5 = 0 AS approximate FROM events")
@@ -563,25 +625,26 @@ def paragraphs_and_lines(spark, d):
 
 # --- the daily run over documents as articles
 
-_ARTICLES = """a AS (SELECT doc_id AS article_seq, (['politics', 'economy', 'society', 'life', 'culture', 'it', 'science', 'world'])[doc_id % 8 + 1] AS category,
-                     CASE WHEN lang = 'en' THEN 'overseas' ELSE 'domestic' END AS region, source, left(text, 60) AS title, substr(text, 61, 300) AS summary,
+_ARTICLES = f"""a AS (SELECT doc_id AS article_seq, (['politics', 'economy', 'society', 'life', 'culture', 'it', 'science', 'world'])[doc_id % 8 + 1] AS category,
+                     CASE WHEN lang = 'en' THEN 'overseas' ELSE 'domestic' END AS region, source, {_TITLE} AS title, {_REST} AS summary,
                      TIMESTAMP '2026-08-14 00:00:00' + to_minutes(doc_id) AS published FROM documents)"""
 
 
 def _articles(spark: SparkSession, d: str) -> DataFrame:
     """Documents as articles, a minute apart; a thousandth part of them have neither link nor exact date."""
     names = F.array(*[F.lit(c) for c in "politics economy society life culture it science world".split()])
-    docs = load(spark, d, "documents")
     link = F.when(F.col("doc_id") % 1000 == 999, "").otherwise(F.concat(F.lit("https://site.example/a?id="), F.col("doc_id").cast("string")))
-    return docs.select(
+    return _titled(spark, d, "source", "lang").select(
         F.col("doc_id").alias("article_seq"), F.element_at(names, (F.col("doc_id") % 8 + 1).cast("int")).alias("category"), F.when(F.col("lang") == "en", "overseas").otherwise("domestic").alias("region"), "source",
-        F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 300).alias("summary"), link.alias("link"), link.alias("canonical_link"),
+        F.col("lang").alias("language"), "title", "summary", link.alias("link"), link.alias("canonical_link"),
         F.timestamp_add("MINUTE", F.col("doc_id"), F.lit("2026-08-14 00:00:00").cast("timestamp")).alias("published"), (F.col("doc_id") % 1000 == 999).alias("date_is_approximate"),
     )
 
 
-def _now(articles: DataFrame):
-    return F.lit(articles.agg(F.max("published").alias("t")).first()["t"])
+def _now(spark: SparkSession, d: str):
+    """The time of the last article, from the ids alone."""
+    last = load(spark, d, "documents").select(F.timestamp_add("MINUTE", F.col("doc_id"), F.lit("2026-08-14 00:00:00").cast("timestamp")).alias("t"))
+    return _latest(last, "t")
 
 
 @query()
@@ -590,18 +653,29 @@ def daily_edition(spark, d):
     from gazette.plans import daily
 
     a = _articles(spark, d)
-    return daily.edition(a, None, None, _now(a)).select("article_seq", "category", "region", "position", "is_important", "is_ai", "llm_failed", "title", "summary")
+    return daily.edition(a, None, None, _now(spark, d)).select("article_seq", "category", "region", "position", "is_important", "is_ai", "llm_failed", "title", "summary")
+
+
+def _blurb(column: str, limit: int) -> str:
+    """DuckDB: text.trim_at_boundary()."""
+    t, w = _strip(column), f"left({_strip(column)}, {limit})"
+    s, b = f"regexp_extract({w}, '(?s)^(.*(?:[.!?]\\s|[다요]\\.$))', 1)", f"regexp_extract({w}, '(?s)^(.*) ', 1)"
+    entity = "regexp_replace({}, '&[#a-zA-Z0-9]{{0,7}}$', '')"
+    kept = f"CASE WHEN contains({w}, ' ') AND length({b}) >= {limit / 2} THEN {b} ELSE {w} END"
+    return f"CASE WHEN length({t}) <= {limit} THEN {t} WHEN length({s}) >= {limit / 2} THEN {entity.format(_strip(s))} ELSE {entity.format(f"regexp_replace({kept}, '[ ,·-]+$', '')")} || '…' END"
 
 
-@query(f"""WITH {_ARTICLES}, i AS (SELECT *, {_any_of([w for x in text.IMPORTANT.values() for w in x], "lower(title || ' ' || summary)")} AS important FROM a WHERE published >= (SELECT max(published) - INTERVAL 3 DAY FROM a)),
-           c AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY region, category ORDER BY important DESC, published DESC, article_seq) <= 6)
-           SELECT region, article_seq, category, row_number() OVER (PARTITION BY region ORDER BY important DESC, published DESC, article_seq) AS rank FROM c QUALIFY rank <= 10""")
+@query(f"""WITH {_ARTICLES}, i AS (SELECT *, {_any_of([w for x in text.IMPORTANT.values() for w in x], "lower(title || ' ' || summary)")} AS is_important FROM a WHERE published >= (SELECT max(published) - INTERVAL 3 DAY FROM a)),
+           c AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY region, category ORDER BY is_important DESC, published DESC, article_seq) <= 6)
+           SELECT region, category, CASE WHEN article_seq % 1000 = 999 THEN '' ELSE 'https://site.example/a?id=' || article_seq::VARCHAR END AS link, {_blurb('title', 40)} AS card_headline, {_blurb('summary', 110)} AS card_blurb,
+                  row_number() OVER (PARTITION BY region ORDER BY is_important DESC, published DESC, article_seq) AS rank FROM c QUALIFY rank <= 10""")
 def top10_cards(spark, d):
-    a = _articles(spark, d)
-    fresh = a.where(F.col("published") >= _now(a) - F.expr("INTERVAL 3 DAYS")).withColumn("is_important", text.is_important(F.col("title"), F.col("summary")))
-    order = [F.col("is_important").desc(), F.col("published").desc(), F.col("article_seq")]
-    both = [ranking.top_overall(fresh.where(F.col("region") == r), ["category"], order, 6, 10) for r in ("domestic", "overseas")]
-    return both[0].unionByName(both[1]).select("region", "article_seq", "category", F.col("rank").cast("long"))
+    from gazette.plans import model
+
+    fresh = _articles(spark, d).where(F.col("published") >= _now(spark, d) - F.expr("INTERVAL 3 DAYS"))
+    fresh = fresh.withColumns({"is_important": text.is_important(F.col("title"), F.col("summary")), "detail_path": F.lit(""), "detail_rel": F.lit("")})
+    cards = [model.top_cards(fresh, registry.categories(spark), r) for r in ("domestic", "overseas")]
+    return cards[0].unionByName(cards[1]).select("region", "category", "link", "card_headline", "card_blurb", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {_ARTICLES} SELECT region, {_any_of(text.AI_WORDS, "lower(' ' || title || ' ' || summary || ' ')")} AS is_ai, count(*) AS n FROM a WHERE category = 'it' GROUP BY ALL""")
@@ -617,11 +691,9 @@ def home_and_pages(spark, d):
     """Paths and contents of the category pages, detail pages, home page and feed."""
     from gazette.plans import daily, model
     from gazette.sinks import render
-    from gazette.sources import registry
-    from gazette.staging import stage
 
     a = _articles(spark, d)
-    e = stage(daily.edition(a, None, None, _now(a)).withColumn("detail_summary", F.when(F.col("region") == "overseas", F.col("summary"))), "edition")
+    e = stage(daily.edition(a, None, None, _now(spark, d)).withColumn("detail_summary", F.when(F.col("region") == "overseas", F.col("summary"))), "edition")
     e = render.with_detail_paths(e, "salt", "2026-08-14")
     cards = model.top_cards(e, registry.categories(spark), "domestic").unionByName(model.top_cards(e, registry.categories(spark), "overseas"))
     site = "https://site.example"
@@ -635,11 +707,9 @@ def home_and_pages(spark, d):
 def lead_message(spark, d):
     from gazette.plans import daily, model
     from gazette.sinks import render
-    from gazette.sources import registry
-    from gazette.staging import stage
 
     a = _articles(spark, d)
-    e = render.with_detail_paths(stage(daily.edition(a, None, None, _now(a)).withColumn("detail_summary", F.lit(None).cast("string")), "edition"), "salt", "2026-08-14")
+    e = render.with_detail_paths(stage(daily.edition(a, None, None, _now(spark, d)).withColumn("detail_summary", F.lit(None).cast("string")), "edition"), "salt", "2026-08-14")
     c = registry.categories(spark)
     cards = model.top_cards(e, c, "domestic").unionByName(model.top_cards(e, c, "overseas"))
     return render.lead_message(cards, render.category_pages(e, "salt", "2026-08-14", "https://site.example"), c, "https://site.example", "2026-08-14")
@@ -687,13 +757,11 @@ def key_status(spark, d):
     return s.groupBy("status", model.usable_status(F.col("status")).alias("usable")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT source_id, count(*) AS feeds FROM (VALUES ('bbc', 5), ('guardian', 8), ('nyt', 5), ('donga', 7)) v(source_id, n), unnest(range(n)) GROUP BY source_id""")
+@query("SELECT source_id, count(*) AS feeds, min(place) AS first_job FROM (VALUES " + ", ".join(f"({i}, '{r[2]}')" for i, r in enumerate(registry.feed_rows())) + ") v(place, source_id) GROUP BY source_id")
 def registry_feeds(spark, d):
-    """Scan jobs of the four largest overseas and domestic sources, from the registry."""
-    from gazette.sources import registry
-
-    f = registry.feeds(spark)
-    return f.where(F.col("source_id").isin("bbc", "guardian", "nyt", "donga")).groupBy("source_id").agg(F.count(F.lit(1)).alias("feeds"))
+    """Scan jobs of every source of the registry, in order."""
+    place = F.row_number().over(Window.orderBy("source_seq", "feed_seq")) - 1  # some dozens of feeds
+    return registry.feeds(spark).withColumn("place", place).groupBy("source_id").agg(F.count(F.lit(1)).alias("feeds"), F.min("place").alias("first_job"))
 
 
 @query(f"""{_ENTRIES}, w AS (SELECT symbol, (row_number() OVER (ORDER BY symbol))::INT AS seq FROM (SELECT DISTINCT p_brand AS symbol FROM part)),
@@ -721,9 +789,8 @@ def archive_index_cleanup(spark, d):
     from gazette.plans import archive
 
     o = _dated(spark, d)
-    last = o.agg(F.max("day").alias("t")).first()["t"]
     index = o.select(F.col("day").cast("string").alias("date")).distinct()
-    return archive.without_days(index, archive.expired(o.select(F.col("day").alias("date")), F.lit(last)))
+    return archive.without_days(index, archive.expired(o.select(F.col("day").alias("date")), _latest(o, "day")))
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (value <= 0) AS empty, count(*) FILTER (event_type = 'view') AS views FROM events")

@@ -44,5 +44,6 @@ def edition(articles: DataFrame, history: DataFrame | None, pages: DataFrame | N
     """The day's articles in their final form; order them by category, region, important and newest first."""
     own = balanced(articles, history, now)
     own = with_bodies(own, pages) if pages is not None else own.withColumn("body", F.lit(None).cast("string"))
-    done = model.with_retry(own, model.summarized(own, call), call)
+    limits = {} if call is None else {"clock": model.new_clock(articles.sparkSession)}  # one clock for the whole run
+    done = model.with_retry(own, model.summarized(own, call, **limits), call, **limits)
     return model.with_ai_tags(done)

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def put_in_place(store: pyarrow.fs.FileSystem, own: str, final: str) -> None:
-    """Renames a finished file; one that an earlier attempt left there goes first, as some stores don't rename over files."""
-    if store.get_file_info(final).type != pyarrow.fs.FileType.NotFound:
+    """Renames a finished file over the one that was there; stores that cannot rename over files lose the old one just before."""
+    try:
+        store.move(own, final)
+    except OSError:
+        if store.get_file_info(final).type == pyarrow.fs.FileType.NotFound:
+            raise
         store.delete_file(final)
-    store.move(own, final)
+        store.move(own, final)
 
 
 def write_pages(pages: DataFrame, folder: str) -> int:

@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 from gazette.functions import dates, pagekey, text, urls
 from gazette.sources.registry import CATEGORIES
 
-_HEAD = '<!doctype html><html lang="ko"><head><meta charset="utf-8"><title>{t}</title><meta property="og:title" content="{t}"><meta property="og:url" content="{u}"></head><body>'
+_HEAD = (
+    '<!doctype html><html lang="ko"><head><meta charset="utf-8"><title>{t}</title><meta property="og:title" content="{t}"><meta property="og:description" content="{x}">'
+    '<meta property="og:url" content="{u}"><link rel="stylesheet" href="/style.css"><script src="/site.js" defer></script></head><body>'
+)
+#: Articles of a category and on AI in the home page's previews.
+PREVIEW, AI_PREVIEW = 5, 3
+HORIZONS = {"daily": "일간", "weekly": "주간", "monthly": "월간"}
+STYLE = "body{font-family:sans-serif;margin:auto;max-width:60em}.up{color:#ef4444}.down{color:#3b82f6}.flat{color:#8890a3}.badge{font-size:.8em}[hidden]{display:none}\n"
+SCRIPT = """document.querySelectorAll("[data-tab]").forEach(b => b.addEventListener("click", () => {
+  for (const p of b.closest("[data-tabs]").querySelectorAll("[data-panel]")) p.hidden = p.dataset.panel !== b.dataset.tab;
+}));
+"""
 
 
 def _fill(pattern: str, **values: Column) -> Column:
@@ -41,7 +52,7 @@ def detail_pages(articles: DataFrame, base: str) -> DataFrame:
     original = F.when(F.length(F.coalesce("original_title", F.lit(""))) > 0, F.concat(F.lit("<details><p>"), e(F.col("original_title")), F.lit("</p></details>"))).otherwise("")
     page = _fill(
         _HEAD + '<article><h1>{t}</h1><span class="news-date">{d}</span><div class="article-body">{b}</div>{o}<a href="{l}" rel="noopener">원문 보기 ({s})</a></article></body></html>',
-        t=e(F.col("title")), u=urls.joined(F.lit(base), F.col("detail_rel")), d=dates.local_minute(F.col("published")), b=body, o=original, l=e(F.col("link")), s=e(F.col("source")),
+        t=e(F.col("title")), x=e(text.trim_at_boundary(F.col("summary"), 160)), u=urls.joined(F.lit(base), F.col("detail_rel")), d=dates.local_minute(F.col("published")), b=body, o=original, l=e(F.col("link")), s=e(F.col("source")),
     )
     return articles.where("detail_rel <> ''").select(F.col("detail_rel").alias("path"), page.alias("content"))
 
@@ -56,27 +67,74 @@ def _item(limit: int | None = None) -> Column:
     )
 
 
+def menu(pages: DataFrame, categories: DataFrame) -> DataFrame:
+    """menu: links to the home page and the categories in order; pages: category, path."""
+    link = _fill('<a href="/{p}">{i} {n}</a>', p=text.escape_html(F.col("path")), i=F.col("icon"), n=text.escape_html(F.col("category_name")))
+    one = pages.select("category", "path").join(F.broadcast(categories), "category").groupBy().agg(_ordered(link, ["category_seq"]).alias("links"))
+    return one.select(F.concat(F.lit('<nav><a href="/index.html">🏠</a>'), F.coalesce("links", F.lit("")), F.lit("</nav>")).alias("menu"))
+
+
+def tabs(rows: DataFrame, tab: str, label: str, order: list[str], piece: Column) -> DataFrame:
+    """box: the pieces of each tab in a panel of its own, tabs in order; the first is open. No row if there are none."""
+    panels = rows.groupBy(tab, label).agg(_ordered(piece, order).alias("pieces"), F.min(F.struct(*order)).alias("_at"))
+    button = _fill('<button data-tab="{t}">{l}</button>', t=F.col(tab), l=text.escape_html(F.col(label)))
+    panel = _fill('<div data-panel="{t}">{p}</div>', t=F.col(tab), p=F.col("pieces"))
+    one = panels.groupBy().agg(_ordered(button, ["_at"]).alias("buttons"), F.sort_array(F.collect_list(F.struct("_at", panel.alias("piece"))))["piece"].alias("panels"))
+    hidden = F.transform("panels", lambda p, i: F.when(i > 0, F.replace(p, F.lit("<div data-panel"), F.lit("<div hidden data-panel"))).otherwise(p))
+    return one.where("buttons <> ''").select(F.concat(F.lit('<div data-tabs="">'), "buttons", F.array_join(hidden, ""), F.lit("</div>")).alias("box"))
+
+
+def indicator_box(indicators: DataFrame) -> DataFrame:
+    """box: indices and exchange rates in two tabs; indicators as intraday.market_indicators() gives them. No row if there are none."""
+    e = text.escape_html
+    item = _fill('<div data-key="{k}"><span>{n}</span> <strong>{v}</strong> <em class="{d}">{p}</em>{s}</div>', k=e(F.col("key")), n=e(F.col("name")), v=F.col("value"), d=F.col("dir"), p=F.col("pct"), s=F.coalesce("sparkline_svg", F.lit("")))
+    named = indicators.withColumns({"_label": F.when(F.col("group") == "main", "주요 지표").otherwise("환율"), "_place": F.when(F.col("group") == "main", 0).otherwise(1)})
+    return tabs(named, "group", "_label", ["_place", "seq"], item)
+
+
+def economy_dashboard(picks: DataFrame) -> DataFrame:
+    """box: the picks of each horizon in a tab, domestic before overseas ones; picks: market, horizon, rank, symbol, name, price, change_pct, reason."""
+    e = text.escape_html
+    change = F.coalesce(F.format_string("%+.2f%%", F.col("change_pct")), F.lit(""))
+    item = _fill('<div><strong>{n} ({s})</strong> {p} <em class="{d}">{c}</em><p>{r}</p></div>', n=e(F.col("name")), s=e(F.col("symbol")), p=F.format_number("price", 2), d=F.when(F.col("change_pct") > 0, "up").otherwise("down"), c=change, r=e(F.col("reason")))
+    labels, places = F.create_map(*[F.lit(x) for kv in HORIZONS.items() for x in kv]), F.create_map(*[F.lit(x) for i, h in enumerate(HORIZONS) for x in (h, i)])
+    named = picks.withColumns({"_label": F.element_at(labels, F.col("horizon")), "_place": F.element_at(places, F.col("horizon"))})
+    box = tabs(named, "horizon", "_label", ["_place", "market", "rank"], item)
+    return box.select(F.concat(F.lit("<section><p>⚠️ 투자 자문이 아닌 정보입니다.</p>"), "box", F.lit("</section>")).alias("box"))
+
+
 def category_pages(articles: DataFrame, salt: str, date: str, base: str) -> DataFrame:
-    """category, path, content: the page of each category, regions in order; IT has its articles on AI first."""
+    """category, path, content: the page of each category, regions in order; IT has its articles on AI first, in a section of their own."""
     ranked = articles.withColumn("_ai", F.when((F.col("category") == "it") & F.coalesce("is_ai", F.lit(False)), 0).otherwise(1))
     order = Window.partitionBy("category", "region").orderBy("_ai", F.col("is_important").desc(), F.col("published").desc(), "article_seq")
     ranked = ranked.withColumn("_n", F.row_number().over(order))
-    one = ranked.groupBy("category").agg(_ordered(_item(), ["region", "_ai", "_n"], "\n").alias("items"), F.count(F.lit(1)).alias("n"))
+    ai = F.col("_ai") == 0
+    one = ranked.groupBy("category").agg(_ordered(F.when(~ai, _item()), ["region", "_n"], "\n").alias("items"), _ordered(F.when(ai, _item()), ["region", "_n"], "\n").alias("ai_items"))
+    section = F.when(F.col("ai_items") != "", _fill("<section><h2>🤖 AI</h2>{a}</section>", a=F.col("ai_items"))).otherwise("")
     path = F.concat(F.lit(date.replace("-", "/") + "/"), pagekey.obfuscated(F.concat("category", F.lit(".html")), salt, F.lit(date)))
-    page = _fill(_HEAD + "{i}</body></html>", t=text.escape_html(F.col("category")), u=urls.joined(F.lit(base), F.col("path")), i=F.col("items"))
+    page = _fill(_HEAD + "{i}</body></html>", t=text.escape_html(F.col("category")), x=F.concat(F.lit(f"{date} · "), text.escape_html(F.col("category"))), u=urls.joined(F.lit(base), F.col("path")), i=F.concat(section, "items"))
     return one.withColumn("path", path).select("category", "path", page.alias("content"))
 
 
-def home_page(articles: DataFrame, cards: DataFrame, date: str, base: str, each: int = 5) -> DataFrame:
-    """path, content: the best cards, then the first few of each category."""
+def previews(articles: DataFrame, each: int = PREVIEW, of_ai: int = AI_PREVIEW) -> DataFrame:
+    """The first few articles of each category by importance and date, with place: IT without those on AI, which have a preview of their own (category ai)."""
+    on_ai = (F.col("category") == "it") & F.coalesce("is_ai", F.lit(False))
+    shown = articles.withColumn("category", F.when(on_ai, "ai").otherwise(F.col("category")))
     order = Window.partitionBy("category").orderBy(F.col("is_important").desc(), F.col("published").desc(), "article_seq")
-    seq = F.create_map(*[F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c[0], i)])
-    best = articles.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= each).withColumn("_c", F.element_at(seq, F.col("category")))
-    previews = best.groupBy().agg(_ordered(_item(120), ["_c", "_n"], "\n").alias("previews"))  # a few of each category
+    best = shown.withColumn("place", F.row_number().over(order))
+    return best.where(F.col("place") <= F.when(F.col("category") == "ai", of_ai).otherwise(each))
+
+
+def home_page(articles: DataFrame, cards: DataFrame, date: str, base: str, each: int = PREVIEW, boxes: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """path, content: the menu (of menu()) and indicators (of indicator_box()) if given, the best cards, the first few of each category, and those on AI."""
+    seq = F.create_map(*[F.lit(x) for i, c in enumerate([*(c[0] for c in CATEGORIES), "ai"]) for x in (c, i)])
+    best = previews(articles, each).withColumn("_c", F.element_at(seq, F.col("category")))
+    shown = best.groupBy().agg(_ordered(_item(120), ["_c", "place"], "\n").alias("previews"))  # a few of each category
     card = _fill("<li><b>{h}</b> {b} <i>{c}</i></li>", h=text.escape_html(F.col("card_headline")), b=text.escape_html(F.col("card_blurb")), c=text.escape_html(F.col("category_name")))
-    top = cards.groupBy().agg(_ordered(card, ["region", "rank"], "\n").alias("cards"))
-    page = _fill(_HEAD + "<ol>{c}</ol>{p}</body></html>", t=F.lit(f"오늘의 기사 {date}"), u=F.lit(base), c=F.coalesce("cards", F.lit("")), p=F.coalesce("previews", F.lit("")))
-    return previews.join(F.broadcast(top)).select(F.lit("index.html").alias("path"), page.alias("content"))  # one row each
+    top = cards.groupBy().agg(_ordered(card, ["region", "rank"], "\n")).scalar()
+    head = F.concat(*[F.coalesce(x.scalar(), F.lit("")) if x is not None else F.lit("") for x in (links, boxes)])
+    page = _fill(_HEAD + "{m}<ol>{c}</ol>{p}</body></html>", t=F.lit(f"오늘의 기사 {date}"), x=F.lit(f"{date}의 기사를 한눈에"), u=F.lit(base), m=head, c=F.coalesce(top, F.lit("")), p=F.coalesce("previews", F.lit("")))
+    return shown.select(F.lit("index.html").alias("path"), page.alias("content"))
 
 
 def feed_xml(articles: DataFrame, base: str, each: int = 3) -> DataFrame:
@@ -99,11 +157,11 @@ def snapshot_json(articles: DataFrame, picks: DataFrame, date: str) -> DataFrame
     lists = articles.groupBy("category", "region").agg(F.sort_array(F.collect_list(F.struct("article_seq", art.alias("a"))))["a"].alias("l"))
     cats = lists.groupBy("category").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("region", "l")))).alias("r")).groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", F.to_json("r").alias("r"))))).alias("c"))
     horizons = picks.groupBy("market", "horizon").agg(F.sort_array(F.collect_list(F.struct("rank", F.struct("symbol", "name", "price", "reason").alias("p"))))["p"].alias("l"))
-    markets = horizons.groupBy("market").agg(F.map_from_entries(F.collect_list(F.struct("horizon", "l"))).alias("h")).groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("market", "h")))).alias("s"))
+    markets = horizons.groupBy("market").agg(F.map_from_entries(F.collect_list(F.struct("horizon", "l"))).alias("h")).groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("market", "h"))))).scalar()
     name = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")  # noqa: E731  a JSON string
     inner = F.array_join(F.transform(F.map_entries("c"), lambda kv: F.concat(name(kv["key"]), F.lit(":"), kv["value"])), ",")
-    body = F.concat(F.lit('{"date":"' + date + '","categories":{'), F.coalesce(inner, F.lit("")), F.lit('},"stock_picks":'), F.coalesce("s", F.lit("{}")), F.lit("}"))
-    return cats.join(F.broadcast(markets)).select(F.lit(date.replace("-", "/") + ".json").alias("path"), body.alias("content"))
+    body = F.concat(F.lit('{"date":"' + date + '","categories":{'), F.coalesce(inner, F.lit("")), F.lit('},"stock_picks":'), F.coalesce(markets, F.lit("{}")), F.lit("}"))
+    return cats.select(F.lit(date.replace("-", "/") + ".json").alias("path"), body.alias("content"))
 
 
 def archive_index(index: DataFrame) -> DataFrame:
@@ -138,10 +196,10 @@ def lead_message(cards: DataFrame, pages: DataFrame, categories: DataFrame, base
     label = F.when(F.col("region") == "domestic", "국내").otherwise("해외")
     blocks = cards.groupBy("region").agg(_ordered(line, ["rank"], "\n").alias("lines"))
     blocks = blocks.groupBy().agg(_ordered(_fill("🔥 <b>오늘의 {r} Top 10</b>\n{l}\n", r=label, l=F.col("lines")), ["region"], "\n").alias("blocks"))
-    nav = pages.join(F.broadcast(categories), "category").groupBy().agg(_ordered(link(urls.joined(F.lit(base), F.col("path")), F.concat("icon", F.lit(" "), e(F.col("category_name")))), ["category_seq"], " · ").alias("nav"))
+    nav = pages.join(F.broadcast(categories), "category").groupBy().agg(_ordered(link(urls.joined(F.lit(base), F.col("path")), F.concat("icon", F.lit(" "), e(F.col("category_name")))), ["category_seq"], " · ")).scalar()
     tail = f'\n\n🏠 <a href="{base.rstrip("/")}/index.html">홈</a>'
-    whole = _fill("<b>📰 오늘의 기사 ({d})</b>\n\n{b}\n📂 <b>분야별 바로가기</b>\n{n}{t}", d=F.lit(date), b=F.coalesce("blocks", F.lit("")), n=F.coalesce("nav", F.lit("")), t=F.lit(tail))
-    return blocks.join(F.broadcast(nav)).select(whole.alias("message"))
+    whole = _fill("<b>📰 오늘의 기사 ({d})</b>\n\n{b}\n📂 <b>분야별 바로가기</b>\n{n}{t}", d=F.lit(date), b=F.coalesce("blocks", F.lit("")), n=F.coalesce(nav, F.lit("")), t=F.lit(tail))
+    return blocks.select(whole.alias("message"))
 
 
 def card_grid(cards: DataFrame, width: int = 18, lines: int = 2) -> DataFrame:
@@ -157,8 +215,6 @@ def run_summary(counts: DataFrame) -> DataFrame:
     return one.select(F.concat(F.lit("| counter | value |\n|---|---|\n"), "rows").alias("content"))
 
 
-
-
 def static_files(spark) -> DataFrame:
     """path, content of what does not depend on the day."""
-    return spark.createDataFrame([("robots.txt", "User-agent: *\nDisallow: /\n")], "path string, content string")
+    return spark.createDataFrame([("robots.txt", "User-agent: *\nDisallow: /\n"), ("style.css", STYLE), ("site.js", SCRIPT)], "path string, content string")

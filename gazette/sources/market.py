@@ -1,23 +1,77 @@
-"""Price histories and exchange rates from saved answers of their services."""
+"""Price histories, indices and exchange rates: scans of their services' pages, and the tables in them."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.numeric import comma_number
+from gazette.sources import fetch as fetching
+
+#: Pages of a series at most, newest first; seconds for one page, and for the scan of all series.
+PAGES, TIMEOUT, BUDGET = 3, 10.0, 90.0
+Fetch = Callable[[str], bytes]
+_ROW = r"(?s)<tr[^>]*>.*?</tr>"
+_CELL = r"(?s)<td[^>]*>\s*(?:<[^>]+>\s*)*([^<]*?)\s*(?:<[^>]+>\s*)*</td>"
+
+
+def _get(url: str) -> bytes:
+    return fetching.fetch(url, TIMEOUT)
+
+
+def scan(series: DataFrame, url: str, pages: int = PAGES, fetch: Fetch = _get, encoding: str = "utf-8", budget: float = BUDGET, at_once: int = 1) -> DataFrame:
+    """symbol, page, html of the pages of each series (column symbol), page by page until one has no row of cells; url holds {symbol} and {page}.
+
+    A series of which a page fails has no pages, and the others theirs. Series that would begin after the budget are left
+    out; each of the at_once tasks has a clock of its own.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        began = time.monotonic()
+        for f in frames:
+            rows = []
+            for symbol in f["symbol"]:
+                if time.monotonic() - began > budget:
+                    break
+                own = []
+                try:
+                    for page in range(1, pages + 1):
+                        html = fetch(url.format(symbol=symbol, page=page)).decode(encoding, errors="replace")
+                        if not re.search(r"<td[^>]*>[^<]*[0-9]", html):
+                            break
+                        own.append((symbol, page, html))
+                except Exception:  # a series that cannot be had is left out
+                    continue
+                rows += own
+            yield pd.DataFrame(rows, columns=["symbol", "page", "html"])
+
+    return series.select("symbol").repartition(at_once).mapInPandas(run, "symbol string, page int, html string")
+
+
+def _cells(pages: DataFrame, html: str) -> DataFrame:
+    rows = pages.select("symbol", F.explode(F.regexp_extract_all(html, F.lit(_ROW), F.lit(0))).alias("tr"))
+    cells = rows.select("symbol", F.regexp_extract_all("tr", F.lit(_CELL), F.lit(1)).alias("c"))
+    return cells.withColumn("date", F.expr("try_to_date(replace(trim(get(c, 0)), '.', '-'), 'yyyy-MM-dd')"))
 
 
 def price_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     """symbol, date, close, volume from tables of daily prices: columns symbol, page and html of each page; rows without numbers are left out."""
-    cell = r"(?s)<td[^>]*>\s*(?:<[^>]+>\s*)*([^<]*?)\s*(?:<[^>]+>\s*)*</td>"
-    rows = pages.select("symbol", F.explode(F.regexp_extract_all(html, F.lit(r"(?s)<tr[^>]*>.*?</tr>"), F.lit(0))).alias("tr"))
-    cells = rows.select("symbol", F.regexp_extract_all("tr", F.lit(cell), F.lit(1)).alias("c"))
-    day = F.expr("try_to_date(replace(trim(get(c, 0)), '.', '-'), 'yyyy-MM-dd')")
-    out = cells.select("symbol", day.alias("date"), comma_number(F.expr("get(c, 1)")).alias("close"), comma_number(F.expr("get(c, size(c) - 1)")).alias("volume"))
+    cells = _cells(pages, html)
+    out = cells.select("symbol", "date", comma_number(F.expr("get(c, 1)")).alias("close"), comma_number(F.expr("get(c, size(c) - 1)")).alias("volume"))
     return out.na.drop().dropDuplicates(["symbol", "date"])
 
 
+def index_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+    """symbol, date, value from tables of an index's last days."""
+    return _cells(pages, html).select("symbol", "date", comma_number(F.expr("get(c, 1)")).alias("value")).na.drop().dropDuplicates(["symbol", "date"])
+
+
 def rates(answers: DataFrame, json: str = "json") -> DataFrame:
     """currency, seq, rate (newest first) from JSON answers with a result list of closePrice texts; a broken answer gives no rows."""
     parsed = F.from_json(json, "result array<struct<localTradedAt:string,closePrice:string>>")
@@ -25,6 +79,15 @@ def rates(answers: DataFrame, json: str = "json") -> DataFrame:
     return one.select("currency", F.col("seq").cast("long"), F.col("r.localTradedAt").alias("date"), comma_number(F.col("r.closePrice")).alias("rate")).where("rate is not null")
 
 
-def within_budget(histories: DataFrame, seconds: Column, budget: float = 90.0) -> DataFrame:
+def chart_rows(answers: DataFrame, json: str = "json") -> DataFrame:
+    """symbol, date, close, volume from JSON answers on many symbols at once, arrays by field as chart services send them; a broken or half answer gives no rows."""
+    shape = "chart struct<result:array<struct<meta:struct<symbol:string>,timestamp:array<bigint>,indicators:struct<quote:array<struct<close:array<double>,volume:array<double>>>>>>>"
+    one = answers.select(F.explode(F.from_json(json, shape)["chart"]["result"]).alias("r"))
+    quote = F.col("r.indicators.quote")[0]
+    each = one.select(F.col("r.meta.symbol").alias("symbol"), F.explode(F.arrays_zip(F.col("r.timestamp").alias("t"), quote["close"].alias("close"), quote["volume"].alias("volume"))).alias("x"))
+    return each.select("symbol", F.to_date(F.timestamp_seconds("x.t")).alias("date"), "x.close", "x.volume").na.drop().dropDuplicates(["symbol", "date"])
+
+
+def within_budget(histories: DataFrame, seconds: Column, budget: float = BUDGET) -> DataFrame:
     """Series whose download began before the budget was used up; seconds: when each began. What was had by then is kept."""
     return histories.where(seconds <= budget)

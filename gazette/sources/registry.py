@@ -11,113 +11,143 @@ CATEGORIES = [
 ]
 REGIONS = [("domestic", "국내", "🇰🇷"), ("overseas", "해외", "🌐")]
 
-# Sources (id, name, language, region, entries read of a feed) and below each its feeds by category.
-FEEDS = """
-yonhap|연합뉴스TV|ko|domestic|15
-  politics https://www.yonhapnewstv.co.kr/category/news/politics/feed/
-  economy https://www.yonhapnewstv.co.kr/category/news/economy/feed/
-  society https://www.yonhapnewstv.co.kr/category/news/society/feed/
-  world https://www.yonhapnewstv.co.kr/category/news/international/feed/
-googlenews|구글 뉴스|ko|domestic|15
-  politics https://news.google.com/rss/topics/CAAqIQgKIhtDQkFTRGdvSUwyMHZNRFZ4ZERBU0FtdHZLQUFQAQ?hl=ko&gl=KR&ceid=KR:ko
-  economy https://news.google.com/rss/topics/CAAqIggKIhxDQkFTRHdvSkwyMHZNR2RtY0hNekVnSnJieWdBUAE?hl=ko&gl=KR&ceid=KR:ko
-  world https://news.google.com/rss/topics/CAAqJggKIiBDQkFTRWdvSUwyMHZNRGx1YlY4U0FtdHZHZ0pMVWlnQVAB?hl=ko&gl=KR&ceid=KR:ko
-  it https://news.google.com/rss/topics/CAAqJggKIiBDQkFTRWdvSUwyMHZNRGRqTVhZU0FtdHZHZ0pMVWlnQVAB?hl=ko&gl=KR&ceid=KR:ko
-bbc|BBC News|en|overseas|10
-  world http://feeds.bbci.co.uk/news/world/rss.xml
-  economy http://feeds.bbci.co.uk/news/business/rss.xml
-  politics http://feeds.bbci.co.uk/news/politics/rss.xml
-  it http://feeds.bbci.co.uk/news/technology/rss.xml
-  science http://feeds.bbci.co.uk/news/science_and_environment/rss.xml
-nyt|New York Times|en|overseas|10
-  world https://rss.nytimes.com/services/xml/rss/nyt/World.xml
-  economy https://rss.nytimes.com/services/xml/rss/nyt/Business.xml
-  politics https://rss.nytimes.com/services/xml/rss/nyt/Politics.xml
-  it https://rss.nytimes.com/services/xml/rss/nyt/Technology.xml
-  science https://rss.nytimes.com/services/xml/rss/nyt/Science.xml
-guardian|The Guardian|en|overseas|10
-  world https://www.theguardian.com/world/rss
-  economy https://www.theguardian.com/uk/business/rss
-  politics https://www.theguardian.com/politics/rss
-  it https://www.theguardian.com/uk/technology/rss
-  science https://www.theguardian.com/science/rss
-  culture https://www.theguardian.com/uk/culture/rss
-  society https://www.theguardian.com/society/rss
-  life https://www.theguardian.com/uk/lifeandstyle/rss
-aljazeera|Al Jazeera|en|overseas|15
-  world https://www.aljazeera.com/xml/rss/all.xml
-hani|한겨레|ko|domestic|15
-  politics https://www.hani.co.kr/rss/politics
-  economy https://www.hani.co.kr/rss/economy
-  society https://www.hani.co.kr/rss/society
-  world https://www.hani.co.kr/rss/international
-  culture https://www.hani.co.kr/rss/culture
-  science https://www.hani.co.kr/rss/science
-hankyung|한국경제|ko|domestic|15
-  politics https://www.hankyung.com/feed/politics
-  economy https://www.hankyung.com/feed/economy
-  it https://www.hankyung.com/feed/it
-yna|연합뉴스|ko|domestic|15
-  politics https://www.yna.co.kr/rss/politics.xml
-  economy https://www.yna.co.kr/rss/economy.xml
-  society https://www.yna.co.kr/rss/society.xml
-  world https://www.yna.co.kr/rss/international.xml
-  culture https://www.yna.co.kr/rss/culture.xml
-  life https://www.yna.co.kr/rss/health.xml
-khan|경향신문|ko|domestic|15
-  politics https://www.khan.co.kr/rss/rssdata/politic_news.xml
-  economy https://www.khan.co.kr/rss/rssdata/economy_news.xml
-  society https://www.khan.co.kr/rss/rssdata/society_news.xml
-  culture https://www.khan.co.kr/rss/rssdata/culture_news.xml
-  it https://www.khan.co.kr/rss/rssdata/it_news.xml
-  life https://www.khan.co.kr/rss/rssdata/life_news.xml
-donga|동아일보|ko|domestic|15
-  politics https://rss.donga.com/politics.xml
-  economy https://rss.donga.com/economy.xml
-  society https://rss.donga.com/national.xml
-  world https://rss.donga.com/international.xml
-  culture https://rss.donga.com/culture.xml
-  science https://rss.donga.com/science.xml
-  life https://rss.donga.com/lifeinfo.xml
-donga_health|동아일보|ko|domestic|15
-  life https://rss.donga.com/health.xml
-wsj|WSJ Markets|en|overseas|10
-  economy https://feeds.a.dj.com/rss/RSSMarketsMain.xml
-cnn|CNN|en|overseas|10
-  world http://rss.cnn.com/rss/edition_world.rss
-khan_sci|경향신문|ko|domestic|15
-  science https://www.khan.co.kr/rss/rssdata/kh_science.xml
-asiae|아시아경제|ko|domestic|15
-  economy https://www.asiae.co.kr/rss/stock.htm
-einfomax|연합인포맥스|ko|domestic|15
-  economy https://news.einfomax.co.kr/rss/allArticle.xml
-etnews|전자신문|ko|domestic|15
-  it https://rss.etnews.com/04.xml
-etnews_sci|전자신문|ko|domestic|15
-  science https://rss.etnews.com/20.xml
-zdnetkr|ZDNet Korea|ko|domestic|15
-  it https://feeds.feedburner.com/zdkorea
-nocut|노컷뉴스|ko|domestic|15
-  society https://rss.nocutnews.co.kr/nocutnews.xml
-sbs|SBS 뉴스|ko|domestic|15
-  society https://news.sbs.co.kr/news/SectionRssFeed.do?sectionId=03
-ohmynews|오마이뉴스|ko|domestic|15
-  society http://rss.ohmynews.com/rss/ohmynews.xml
-pressian|프레시안|ko|domestic|15
-  society https://www.pressian.com/api/v3/site/rss/news
-ft|Financial Times|en|overseas|10
-  economy https://www.ft.com/rss/home
-nature|Nature|en|overseas|10
-  science https://www.nature.com/nature.rss
-sciencedaily|ScienceDaily|en|overseas|10
-  science https://www.sciencedaily.com/rss/all.xml
-wired|WIRED|en|overseas|10
-  it https://www.wired.com/feed/rss
-techcrunch|TechCrunch|en|overseas|10
-  it https://techcrunch.com/feed/
-arstechnica|Ars Technica|en|overseas|10
-  it https://feeds.arstechnica.com/arstechnica/index
-"""
+# Sources (id, name, language, region, entries read of a feed) with their feeds by category, in order.
+FEEDS = [
+    ("yonhap", "연합뉴스TV", "ko", "domestic", 15, [
+        ("politics", "https://www.yonhapnewstv.co.kr/category/news/politics/feed/"),
+        ("economy", "https://www.yonhapnewstv.co.kr/category/news/economy/feed/"),
+        ("society", "https://www.yonhapnewstv.co.kr/category/news/society/feed/"),
+        ("world", "https://www.yonhapnewstv.co.kr/category/news/international/feed/"),
+    ]),
+    ("googlenews", "구글 뉴스", "ko", "domestic", 15, [
+        ("politics", "https://news.google.com/rss/topics/CAAqIQgKIhtDQkFTRGdvSUwyMHZNRFZ4ZERBU0FtdHZLQUFQAQ?hl=ko&gl=KR&ceid=KR:ko"),
+        ("economy", "https://news.google.com/rss/topics/CAAqIggKIhxDQkFTRHdvSkwyMHZNR2RtY0hNekVnSnJieWdBUAE?hl=ko&gl=KR&ceid=KR:ko"),
+        ("world", "https://news.google.com/rss/topics/CAAqJggKIiBDQkFTRWdvSUwyMHZNRGx1YlY4U0FtdHZHZ0pMVWlnQVAB?hl=ko&gl=KR&ceid=KR:ko"),
+        ("it", "https://news.google.com/rss/topics/CAAqJggKIiBDQkFTRWdvSUwyMHZNRGRqTVhZU0FtdHZHZ0pMVWlnQVAB?hl=ko&gl=KR&ceid=KR:ko"),
+    ]),
+    ("bbc", "BBC News", "en", "overseas", 10, [
+        ("world", "http://feeds.bbci.co.uk/news/world/rss.xml"),
+        ("economy", "http://feeds.bbci.co.uk/news/business/rss.xml"),
+        ("politics", "http://feeds.bbci.co.uk/news/politics/rss.xml"),
+        ("it", "http://feeds.bbci.co.uk/news/technology/rss.xml"),
+        ("science", "http://feeds.bbci.co.uk/news/science_and_environment/rss.xml"),
+    ]),
+    ("nyt", "New York Times", "en", "overseas", 10, [
+        ("world", "https://rss.nytimes.com/services/xml/rss/nyt/World.xml"),
+        ("economy", "https://rss.nytimes.com/services/xml/rss/nyt/Business.xml"),
+        ("politics", "https://rss.nytimes.com/services/xml/rss/nyt/Politics.xml"),
+        ("it", "https://rss.nytimes.com/services/xml/rss/nyt/Technology.xml"),
+        ("science", "https://rss.nytimes.com/services/xml/rss/nyt/Science.xml"),
+    ]),
+    ("guardian", "The Guardian", "en", "overseas", 10, [
+        ("world", "https://www.theguardian.com/world/rss"),
+        ("economy", "https://www.theguardian.com/uk/business/rss"),
+        ("politics", "https://www.theguardian.com/politics/rss"),
+        ("it", "https://www.theguardian.com/uk/technology/rss"),
+        ("science", "https://www.theguardian.com/science/rss"),
+        ("culture", "https://www.theguardian.com/uk/culture/rss"),
+        ("society", "https://www.theguardian.com/society/rss"),
+        ("life", "https://www.theguardian.com/uk/lifeandstyle/rss"),
+    ]),
+    ("aljazeera", "Al Jazeera", "en", "overseas", 15, [
+        ("world", "https://www.aljazeera.com/xml/rss/all.xml"),
+    ]),
+    ("hani", "한겨레", "ko", "domestic", 15, [
+        ("politics", "https://www.hani.co.kr/rss/politics"),
+        ("economy", "https://www.hani.co.kr/rss/economy"),
+        ("society", "https://www.hani.co.kr/rss/society"),
+        ("world", "https://www.hani.co.kr/rss/international"),
+        ("culture", "https://www.hani.co.kr/rss/culture"),
+        ("science", "https://www.hani.co.kr/rss/science"),
+    ]),
+    ("hankyung", "한국경제", "ko", "domestic", 15, [
+        ("politics", "https://www.hankyung.com/feed/politics"),
+        ("economy", "https://www.hankyung.com/feed/economy"),
+        ("it", "https://www.hankyung.com/feed/it"),
+    ]),
+    ("yna", "연합뉴스", "ko", "domestic", 15, [
+        ("politics", "https://www.yna.co.kr/rss/politics.xml"),
+        ("economy", "https://www.yna.co.kr/rss/economy.xml"),
+        ("society", "https://www.yna.co.kr/rss/society.xml"),
+        ("world", "https://www.yna.co.kr/rss/international.xml"),
+        ("culture", "https://www.yna.co.kr/rss/culture.xml"),
+        ("life", "https://www.yna.co.kr/rss/health.xml"),
+    ]),
+    ("khan", "경향신문", "ko", "domestic", 15, [
+        ("politics", "https://www.khan.co.kr/rss/rssdata/politic_news.xml"),
+        ("economy", "https://www.khan.co.kr/rss/rssdata/economy_news.xml"),
+        ("society", "https://www.khan.co.kr/rss/rssdata/society_news.xml"),
+        ("culture", "https://www.khan.co.kr/rss/rssdata/culture_news.xml"),
+        ("it", "https://www.khan.co.kr/rss/rssdata/it_news.xml"),
+        ("life", "https://www.khan.co.kr/rss/rssdata/life_news.xml"),
+    ]),
+    ("donga", "동아일보", "ko", "domestic", 15, [
+        ("politics", "https://rss.donga.com/politics.xml"),
+        ("economy", "https://rss.donga.com/economy.xml"),
+        ("society", "https://rss.donga.com/national.xml"),
+        ("world", "https://rss.donga.com/international.xml"),
+        ("culture", "https://rss.donga.com/culture.xml"),
+        ("science", "https://rss.donga.com/science.xml"),
+        ("life", "https://rss.donga.com/lifeinfo.xml"),
+    ]),
+    ("donga_health", "동아일보", "ko", "domestic", 15, [
+        ("life", "https://rss.donga.com/health.xml"),
+    ]),
+    ("wsj", "WSJ Markets", "en", "overseas", 10, [
+        ("economy", "https://feeds.a.dj.com/rss/RSSMarketsMain.xml"),
+    ]),
+    ("cnn", "CNN", "en", "overseas", 10, [
+        ("world", "http://rss.cnn.com/rss/edition_world.rss"),
+    ]),
+    ("khan_sci", "경향신문", "ko", "domestic", 15, [
+        ("science", "https://www.khan.co.kr/rss/rssdata/kh_science.xml"),
+    ]),
+    ("asiae", "아시아경제", "ko", "domestic", 15, [
+        ("economy", "https://www.asiae.co.kr/rss/stock.htm"),
+    ]),
+    ("einfomax", "연합인포맥스", "ko", "domestic", 15, [
+        ("economy", "https://news.einfomax.co.kr/rss/allArticle.xml"),
+    ]),
+    ("etnews", "전자신문", "ko", "domestic", 15, [
+        ("it", "https://rss.etnews.com/04.xml"),
+    ]),
+    ("etnews_sci", "전자신문", "ko", "domestic", 15, [
+        ("science", "https://rss.etnews.com/20.xml"),
+    ]),
+    ("zdnetkr", "ZDNet Korea", "ko", "domestic", 15, [
+        ("it", "https://feeds.feedburner.com/zdkorea"),
+    ]),
+    ("nocut", "노컷뉴스", "ko", "domestic", 15, [
+        ("society", "https://rss.nocutnews.co.kr/nocutnews.xml"),
+    ]),
+    ("sbs", "SBS 뉴스", "ko", "domestic", 15, [
+        ("society", "https://news.sbs.co.kr/news/SectionRssFeed.do?sectionId=03"),
+    ]),
+    ("ohmynews", "오마이뉴스", "ko", "domestic", 15, [
+        ("society", "http://rss.ohmynews.com/rss/ohmynews.xml"),
+    ]),
+    ("pressian", "프레시안", "ko", "domestic", 15, [
+        ("society", "https://www.pressian.com/api/v3/site/rss/news"),
+    ]),
+    ("ft", "Financial Times", "en", "overseas", 10, [
+        ("economy", "https://www.ft.com/rss/home"),
+    ]),
+    ("nature", "Nature", "en", "overseas", 10, [
+        ("science", "https://www.nature.com/nature.rss"),
+    ]),
+    ("sciencedaily", "ScienceDaily", "en", "overseas", 10, [
+        ("science", "https://www.sciencedaily.com/rss/all.xml"),
+    ]),
+    ("wired", "WIRED", "en", "overseas", 10, [
+        ("it", "https://www.wired.com/feed/rss"),
+    ]),
+    ("techcrunch", "TechCrunch", "en", "overseas", 10, [
+        ("it", "https://techcrunch.com/feed/"),
+    ]),
+    ("arstechnica", "Ars Technica", "en", "overseas", 10, [
+        ("it", "https://feeds.arstechnica.com/arstechnica/index"),
+    ]),
+]
 
 # Watch-lists of stocks in order.
 WATCHED = {
@@ -138,21 +168,13 @@ WATCHED = {
 SCHEMA = "source_seq int, feed_seq int, source_id string, source string, language string, region string, entry_limit int, category string, url string"
 
 
-def parse_feeds(text: str = FEEDS) -> list[tuple]:
-    """One row for each feed, in order; a source's feeds follow it, indented."""
-    rows, head, source_seq, feed_seq = [], None, -1, 0
-    for line in filter(str.strip, text.split("\n")):
-        if line.startswith(" "):
-            category, url = line.split()
-            rows.append((source_seq, feed_seq, *head[:4], int(head[4]), category, url))
-            feed_seq += 1
-        else:
-            head, source_seq, feed_seq = line.split("|"), source_seq + 1, 0
-    return rows
+def feed_rows(sources: list[tuple] = FEEDS) -> list[tuple]:
+    """One row for each feed, in order."""
+    return [(i, k, *head, category, url) for i, (*head, own) in enumerate(sources) for k, (category, url) in enumerate(own)]
 
 
-def feeds(spark: SparkSession, text: str = FEEDS) -> DataFrame:
-    return spark.createDataFrame(parse_feeds(text), SCHEMA)
+def feeds(spark: SparkSession, sources: list[tuple] = FEEDS) -> DataFrame:
+    return spark.createDataFrame(feed_rows(sources), SCHEMA)
 
 
 def categories(spark: SparkSession) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import urllib.request
 import xml.etree.ElementTree as ET
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gazette.functions import dates, text, urls
+from gazette.sources.fetch import fetch
 
 SCHEMA = "source_seq int, feed_seq int, entry_seq int, title string, link string, description string, date string, feed_date string"
 _NAMES = {"title": "title", "description": "description", "summary": "description", "encoded": "content", "pubDate": "date", "published": "date", "updated": "updated", "date": "date", "link": "link"}
@@ -62,12 +62,7 @@ class FeedReader(DataSourceReader):
     def read(self, partition):
         f = partition.feed
         try:
-            if "://" in f["url"]:
-                with urllib.request.urlopen(urllib.request.Request(f["url"], headers={"User-Agent": "gazette"}), timeout=self.timeout) as r:
-                    data = r.read()
-            else:
-                with open(f["url"], "rb") as r:
-                    data = r.read()
+            data = fetch(f["url"], self.timeout)
         except Exception:  # a feed that cannot be had gives no entries, and the others theirs
             return
         for i, row in enumerate(parse_feed(data, f["limit"])):

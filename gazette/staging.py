@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -11,11 +13,13 @@ _STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a fresh local one."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a fresh local one, if all work is on this machine (tests)."""
     sc = spark.sparkContext
     key = "spark.checkpoint.dir"
     folder = spark.conf.get(key, None) or sc.getConf().get(key) or getattr(sc, "_gazette_dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = sc._gazette_dir = "file://" + tempfile.mkdtemp(prefix="gazette-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -23,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _STAGED:
+        atexit.register(_at_exit, spark)
     _STAGED.append(path)
     return path
 
@@ -34,18 +40,40 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what stage() has written in this process; results still to be read must be read before."""
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stage() that nothing reads any more, as those of earlier rounds of a loop."""
+    for t in tables:
+        path = getattr(t, "staged_at", None)
+        if path in _STAGED:
+            _STAGED.remove(path)
+            _delete(t.sparkSession, [path])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what stage() has written in this process; results still to be read must be read before."""
+    paths, _STAGED[:] = list(_STAGED), []
+    _delete(spark, paths)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    """What is still there when the program ends goes with it, if Spark still runs."""
+    with contextlib.suppress(Exception):
+        release(spark)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound what one Arrow batch holds, so that very long texts do not fill a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -22,6 +22,11 @@ def one(spark, column, **values):
         ("https://s.kr/n/?fbclid=1#top", "https://s.kr/n", True),
         ("https://o.kr/a?CNTN_CD=1&ref=x", "https://o.kr/a?CNTN_CD=2&ref=x", False),
         ("http://o.kr/a", "https://o.kr/a", False),
+        ("https://z.kr/v?no=%EA%B0%80", "https://z.kr/v?no=가", True),
+        ("https://z.kr/v?q=a%20b", "https://z.kr/v?q=a+b", True),
+        ("https://z.kr/v?%75tm_source=x&no=1", "https://z.kr/v?no=1", True),
+        ("https://z.kr/v?a=%zz", "https://z.kr/v?a=%25zz", True),
+        ("https://z.kr/v?a=b%26c", "https://z.kr/v?a=b&c", False),
     ],
 )
 def test_canonical_links(spark, a, b, same):
@@ -143,4 +148,16 @@ def test_body():
     assert htmlx.body_of("<p>short</p>") is None
     assert htmlx.body_of(f"<p>{prose}<p>{prose}") is not None  # no container: all paragraphs
     assert htmlx.body_of(None) is None
+    assert htmlx.body_of("<![foo[ bar ]]>") is None and htmlx.body_of("<![ [") is None
     assert htmlx.body_of("<div class='content'>" + "제목만 나열 " * 100 + "</div>") is None
+
+
+def test_broken_pages_take_no_others_with_them(spark):
+    prose = "정부가 새 정책을 발표했다. 시장은 크게 반응했다. " * 20
+    got = spark.createDataFrame([(1, "<![foo[ bar ]]>"), (2, f"<article><p>{prose}</p></article>"), (3, None)], "i long, h string").select("i", htmlx.body(F.col("h")).alias("b")).collect()
+    assert {r["i"]: r["b"] is not None for r in got} == {1: False, 2: True, 3: False}
+
+
+def test_first_sentence(spark):
+    for t, first, rest in (("One. Two", "One.", " Two"), (" \nHead line\nBody.", "Head line", "\nBody."), ("no end", "no end", ""), ("", "", ""), (None, "", ""), ("?!", "?", "!")):
+        assert one(spark, text.first_sentence(F.col("t")), t=t) == first and one(spark, text.after_first_sentence(F.col("t")), t=t) == rest

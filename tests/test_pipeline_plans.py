@@ -25,8 +25,12 @@ def feeds(spark, tmp_path):
     (tmp_path / "a.xml").write_text(feed(many), encoding="utf-8")
     (tmp_path / "b.xml").write_text(feed([("8월 14일 인사", "https://b.kr/1", "x", date.format(0)), ("Old news", "https://b.kr/2", "x", "Mon, 03 Aug 2026 00:00:00 +0000"), ("Seen &amp; known", "https://b.kr/3?utm_source=q", "x", date.format(1)), ("Fresh &amp; new", "https://b.kr/4", "&lt;b&gt;Fresh &amp;amp; new&lt;/b&gt; - more", "")]), encoding="utf-8")
     (tmp_path / "bad.xml").write_text("<rss><channel><item>", encoding="utf-8")
-    text = f"a|A|ko|domestic|15\n  politics {tmp_path}/a.xml\nb|B|en|domestic|10\n  politics {tmp_path}/b.xml\nbad|C|en|overseas|10\n  it {tmp_path}/bad.xml\n  world {tmp_path}/none.xml"
-    return registry.feeds(spark, text)
+    sources = [
+        ("a", "A", "ko", "domestic", 15, [("politics", f"{tmp_path}/a.xml")]),
+        ("b", "B", "en", "domestic", 10, [("politics", f"{tmp_path}/b.xml")]),
+        ("bad", "C", "en", "overseas", 10, [("it", f"{tmp_path}/bad.xml"), ("world", f"{tmp_path}/none.xml")]),
+    ]
+    return registry.feeds(spark, sources)
 
 
 def test_feeds_to_edition(spark, feeds):
@@ -45,7 +49,7 @@ def test_feeds_to_edition(spark, feeds):
 
 
 def test_registry():
-    rows = registry.parse_feeds()
+    rows = registry.feed_rows()
     assert len(rows) == 74 and len({r[2] for r in rows}) == 30 and len({r[3] for r in rows}) == 27
     assert len(registry.CATEGORIES) == 8 and all(len(x) == 20 for x in registry.WATCHED.values())
 
@@ -56,8 +60,11 @@ def _articles(spark, n, region="domestic"):
 
 
 def test_model_answers_and_isolation(spark):
-    def call(prompt):
-        ids = [int(line.split(".")[0]) for line in prompt.split("\n")]
+    def call(rules, prompt):
+        assert "Category: politics." in rules and "detail_600" not in rules
+        lines = prompt.split("\n")
+        assert all(f"[S/ko] title" in line and " — summary" in line for line in lines)
+        ids = [int(line.split(".")[0]) for line in lines]
         if "title0 " in prompt:
             raise OSError("down")
         return json.dumps([{"id": i, "paraphrased_title": f"new {i}", "summary_250": "s &amp; t", "is_important": True, "exclude": i == 2} for i in ids])
@@ -66,24 +73,71 @@ def test_model_answers_and_isolation(spark):
     assert all(got[i]["llm_failed"] and got[i]["title"] == f"title{i}" for i in range(8))
     assert not got[8]["llm_failed"] and got[8]["title"] == "new 1" and got[8]["summary"] == "s & t" and got[8]["original_title"] == "title8"
     assert 9 not in got and len(got) == 15
-    again = model.with_retry(_articles(spark, 16), model.summarized(_articles(spark, 16), call), lambda p: call(p.replace("title0 ", "")))
+    again = model.with_retry(_articles(spark, 16), model.summarized(_articles(spark, 16), call), lambda r, p: call(r, p.replace("title0 ", "title00 ")))
     assert again.where("llm_failed").count() == 0
 
 
 def test_model_budget(spark):
-    calls = spark.createDataFrame([("k", f"p{i}") for i in range(3)], "k string, prompt string").coalesce(1)
-    got = [r["raw"] for r in model.ask(calls, lambda p: "[1]", budget=-1.0).collect()]
+    calls = spark.createDataFrame([("k", "", f"p{i}") for i in range(3)], "k string, rules string, prompt string")
+    clock = model.new_clock(spark)
+    got = [r["raw"] for r in model.ask(calls, lambda r, p: "[1]", budget=-1.0, at_once=1, clock=clock).collect()]
     assert got.count("[1]") == 1  # the first always passes
+    assert [r["raw"] for r in model.ask(calls, lambda r, p: "[1]", budget=-1.0, at_once=1, clock=clock).collect()] == [None] * 3  # one clock for the run
     assert [r["raw"] for r in model.ask(calls, None).collect()] == [None] * 3
 
 
+@pytest.mark.parametrize(
+    "errors, waits, answered",
+    [
+        ([], [], True),
+        ([model.Refused(429, "3")], [3], True),
+        ([model.Refused(429, "9999")], [30], True),
+        ([model.Refused(429, "Wed, 21 Oct 2026 07:28:00 GMT"), model.Refused(429)], [5, 15], True),
+        ([model.Refused(429), model.Refused(429), model.Refused(429)], [5, 15], False),
+        ([model.Refused(503), OSError("down")], [1, 2], True),
+        ([OSError()] * 3, [1, 2], False),
+        ([model.Refused(400)], [], False),
+        ([model.Refused(404)], [], False),
+    ],
+)
+def test_model_attempts(errors, waits, answered):
+    left, waited = list(errors), []
+
+    def call(rules, prompt):
+        if left:
+            raise left.pop(0)
+        return "ok"
+
+    assert model.answer_to(call, "", "", 2, waited.append) == ("ok" if answered else None) and waited == waits
+
+
+def test_model_asks_again_for_json(spark):
+    one = spark.createDataFrame([("", "p")], "rules string, prompt string")
+    answers = {"p": "I cannot [yet] say.", "p\n\nJSON only, without explanation.": '[{"id": 1}]'}
+    assert model.ask(one, lambda r, p: answers[p]).first()["raw"] == '[{"id": 1}]'
+    assert model.ask(one, lambda r, p: '[{"id": 1}, {"id": 2').first()["raw"] == '[{"id": 1}, {"id": 2'  # can be salvaged
+
+
+def test_probe(spark):
+    def probe(key):
+        if key == "slow":
+            raise TimeoutError
+        if key == "busy":
+            raise model.Refused(429)
+        return 401 if key == "bad" else 200
+
+    keys = spark.createDataFrame([(k,) for k in ("good", "good", "bad", "slow", "busy", "", None)], "key string")
+    got = {r["key"]: (r["status"], r["usable"]) for r in model.probed(keys, probe).collect()}
+    assert got == {"good": (200, True), "bad": (401, False), "slow": (None, True), "busy": (429, True)}
+
+
 def test_cards(spark):
     arts = model.with_ai_tags(model.summarized(_articles(spark, 12))).withColumns({"detail_path": F.lit(""), "detail_rel": F.lit("")})
     cats = registry.categories(spark)
     cards = model.top_cards(arts, cats, "domestic").orderBy("rank").collect()
     assert [c["rank"] for c in cards] == list(range(1, 7))  # six of a category at most
     said = '[{"id": 0, "rank": 1}, {"id": 3, "rank": "2", "card_headline": "H"}, {"id": 2, "rank": 1}, {"id": 99, "rank": 3}]'
-    chosen = model.top_cards(arts, cats, "domestic", lambda p: said).orderBy("rank").collect()
+    chosen = model.top_cards(arts, cats, "domestic", lambda r, p: said).orderBy("rank").collect()
     assert [c["card_headline"] for c in chosen] == ["title1", "H"]
 
 
@@ -171,6 +225,35 @@ def test_intraday_keeps_last_good(spark, tmp_path):
     assert (tmp_path / "indicators.json").read_text() == first
 
 
+def test_market_scan(spark):
+    """Pages until an empty one; a series of which a page fails is left out."""
+
+    def page(rows):
+        return ("<table>" + "".join(f"<tr><td>{d}</td><td>{c}</td><td>x</td><td>{v}</td></tr>" for d, c, v in rows) + "<tr><td>&nbsp;</td></tr></table>").encode("euc-kr")
+
+    def fetch(url):
+        symbol, number = url.split("?")[1].split(",")
+        if symbol == "down" and number == "2":
+            raise OSError("down")
+        if symbol == "short" and number == "2":
+            return b"<table><tr><td>&nbsp;</td></tr></table>"
+        return page([(f"2026.08.{10 - int(number):02d}", f"1,{number}00", "5,000")])
+
+    series = spark.createDataFrame([("long",), ("short",), ("down",)], "symbol string")
+    pages = market.scan(series, "https://x/day?{symbol},{page}", fetch=fetch, encoding="euc-kr")
+    assert sorted((r["symbol"], r["page"]) for r in pages.collect()) == [("long", 1), ("long", 2), ("long", 3), ("short", 1)]
+    prices = {(r["symbol"], str(r["date"])): (r["close"], r["volume"]) for r in market.price_rows(pages).collect()}
+    assert prices[("long", "2026-08-07")] == (1300.0, 5000.0) and len(prices) == 4
+    assert market.index_rows(pages).where("symbol = 'short'").first()["value"] == 1100.0
+    assert market.scan(series, "https://x/day?{symbol},{page}", fetch=fetch, encoding="euc-kr", budget=-1).count() == 0
+
+
+def test_chart_rows(spark):
+    one = {"meta": {"symbol": "AAPL"}, "timestamp": [1786600800, 1786687200], "indicators": {"quote": [{"close": [1.5, None], "volume": [10, 20]}]}}
+    df = spark.createDataFrame([(json.dumps({"chart": {"result": [one]}}),), ("{",), ('{"chart": {"result": null}}',)], "json string")
+    assert [(r["symbol"], r["close"], r["volume"]) for r in market.chart_rows(df).collect()] == [("AAPL", 1.5, 10.0)]
+
+
 def test_market_sources(spark):
     html = "<table><tr><th>d</th></tr><tr><td><span>2026.08.13</span></td><td><span>1,200</span></td><td>0</td><td>3,000</td></tr><tr><td>&nbsp;</td><td></td></tr></table>"
     rows = market.price_rows(spark.createDataFrame([("X", html)], "symbol string, html string")).collect()
@@ -227,3 +310,70 @@ def test_small_things(spark, tmp_path):
     errors = spark.createDataFrame([(i, "e" * 200 if i % 2 else None) for i in range(20)], "n int, e string")
     got = metrics.first_errors(errors, "e", "n").collect()
     assert len(got) == 5 and all(len(r["error"]) == 150 for r in got)
+
+
+def test_previews_and_boxes(spark):
+    rows = [(i, "it" if i < 9 else "world", "domestic", f"title{i}", f"https://x/{i}", NOW - dt.timedelta(minutes=i), f"summary{i}", "S", i % 2 == 0, False, None) for i in range(20)]
+    arts = spark.createDataFrame(rows, "article_seq long, category string, region string, title string, link string, published timestamp, summary string, source string, is_ai boolean, is_important boolean, ai_subtype_label string")
+    got = {}
+    for r in render.previews(arts).collect():
+        got.setdefault(r["category"], []).append(r["article_seq"])
+    assert {k: sorted(v) for k, v in got.items()} == {"ai": [0, 2, 4], "it": [1, 3, 5, 7], "world": [9, 10, 11, 12, 13]}
+    pages = {r["category"]: r for r in render.category_pages(arts, "s", "2026-08-14", "https://b").collect()}
+    it = pages["it"]["content"]
+    assert it.index("title8") < it.index("</section>") < it.index("title1<") and "<section>" not in pages["world"]["content"] and "og:description" in it
+    nav = render.menu(spark.createDataFrame([("world", "w.html"), ("it", "i.html")], "category string, path string"), registry.categories(spark)).first()["menu"]
+    assert nav.index("i.html") < nav.index("w.html")
+    ind = spark.createDataFrame([("fx", 0, "USD", "달러", "1,300", "+0.10%", "up", ""), ("main", 1, "B", "b", "2", "-1.00%", "down", ""), ("main", 0, "A", "a<", "1", "+1.00%", "up", "<svg/>")], "group string, seq int, key string, name string, value string, pct string, dir string, sparkline_svg string")
+    box = render.indicator_box(ind).first()["box"]
+    assert box.index("a&lt;") < box.index(">b<") < box.index("달러") and box.count("hidden") == 1 and "<svg/>" in box
+    assert render.indicator_box(ind.where("false")).count() == 0
+    picks = spark.createDataFrame([("overseas", "daily", 1, "X", "x", 10.5, 1.25, "r"), ("domestic", "daily", 1, "Y", "y", 1000.0, None, "q"), ("domestic", "weekly", 1, "Z", "z", 1.0, -2.0, "p")], "market string, horizon string, rank int, symbol string, name string, price double, change_pct double, reason string")
+    dash = render.economy_dashboard(picks).first()["box"]
+    assert dash.index("y (Y)") < dash.index("x (X)") < dash.index("z (Z)") and "+1.25%" in dash and "일간" in dash
+    home = render.home_page(arts, spark.createDataFrame([], "region string, rank int, card_headline string, card_blurb string, category_name string"), "2026-08-14", "https://b", boxes=render.indicator_box(ind), links=render.menu(spark.createDataFrame([("it", "i.html")], "category string, path string"), registry.categories(spark)))
+    page = home.first()["content"]
+    assert "i.html" in page and "달러" in page and page.index("title9<") < page.index("title0<")
+
+
+def test_similar_pairs_against_loop(spark):
+    import random
+
+    from gazette.operators import similar
+
+    rng = random.Random(2)
+    rows = [(i, f"g{i % 2}", [f"w{int(abs(rng.gauss(0, 8)))}" for _ in range(rng.randint(0, 9))]) for i in range(160)]
+    classes = similar.set_classes(spark.createDataFrame(rows, "id long, g string, w array<string>"), ["g"], "id", "w")
+    first = {}
+    for i, g, w in rows:
+        if w:
+            first.setdefault((g, frozenset(w)), i)
+    for t in (0.3, 0.5, 0.8, 1.0):
+        want = {(a, b) for (g, x), a in first.items() for (h, y), b in first.items() if g == h and a < b and len(x & y) >= t * len(x | y)}
+        pairs = similar.similar_pairs(classes, ["g"], t)
+        assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+        kept, joined = [], {}
+        for b in sorted(first.values()):
+            a = next((a for a in kept if (a, b) in want), None)
+            kept.append(b) if a is None else joined.update({b: a})
+        assert {r["b"]: r["a"] for r in similar.first_kept(pairs, ["g"]).collect()} == joined
+
+
+def test_numbered(spark):
+    from gazette.operators import ranking
+
+    df = spark.createDataFrame([(i, "a" if i % 10 else None, (i * 37) % 100) for i in range(100)], "i long, k string, o long").repartition(5)
+    got = {r["i"]: r["place"] for r in ranking.numbered(df, ["k"], [F.col("o").desc(), F.col("i")]).collect()}
+    for k in (True, False):
+        own = sorted((-((i * 37) % 100), i) for i in range(100) if (i % 10 == 0) == k)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+
+
+def test_entry_survives_what_is_missing():
+    """Without a library of the corpus operators the other queries are still there."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'balanced_top20' in q and 'op1_licenses' not in q and set(e.oracle_sql()) <= set(q)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=root)
