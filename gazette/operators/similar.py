@@ -18,21 +18,24 @@ def similar_pairs(classes: DataFrame, group: list[str], threshold: float) -> Dat
     """group, a, b (reps, a < b), jaccard of the different word sets of a group that reach the threshold (above 0).
 
     Two sets can reach it only if they share one of the rarest words of each, n - ceil(threshold n) + 1 of n in an order of
-    frequency that all share; the places of such a word bound how many words the sets can have in common. Only rows that pass
-    both bounds are paired; the pairs are verified on the whole sets. Nothing is lost, and no group is collected.
+    frequency that all share; the places of such a word, and the number of those they share, bound how many words the sets can
+    have in common. Only pairs within the bounds are verified on the whole sets. Nothing is lost, and no group is collected.
     """
     classes = stage(classes, "similar-sets")
     each = classes.select(*group, "rep", F.size("words").alias("n"), F.explode("words").alias("word"))
     often = each.groupBy(*group, "word").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # Words that only one set has can never be shared: they take the first places of the order, without a row of their own.
     shared = each.join(often, [*group, "word"]).groupBy(*group, "rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "word")))["word"].alias("shared"))
-    place = F.expr("n - size(shared) + at + 1")
-    prefix = shared.select(*group, "rep", "n", "shared", F.posexplode("shared").alias("at", "word")).select(*group, "rep", "n", "word", place.alias("at"))
-    prefix = stage(prefix.where(f"at <= n - ceil({threshold} * n - 1e-9) + 1"), "similar-prefixes")
+    # Only the words that can stand in the prefix are looked at again.
+    first = f"cast(greatest(size(shared) - ceil({threshold} * n - 1e-9) + 1, 0) AS int)"
+    prefix = shared.select(*group, "rep", "n", F.expr("n - size(shared) + 1").alias("begin"), F.posexplode(F.expr(f"slice(shared, 1, {first})")).alias("at", "word"))
+    prefix = stage(prefix.select(*group, "rep", "n", F.xxhash64("word").alias("word"), (F.col("begin") + F.col("at")).alias("at")), "similar-prefixes")
     left = prefix.select(*group, "word", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     right = prefix.select(*group, "word", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     possible = f"a < b AND least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9 AND 1 + least(n_a - at_a, n_b - at_b) + least(at_a, at_b) - 1 >= {threshold} / (1 + {threshold}) * (n_a + n_b) - 1e-9"
-    pairs = left.join(right, [*group, "word"]).where(possible).select(*group, "a", "b").distinct()
+    # Words in common are those of both prefixes and at most the words behind one of the prefixes.
+    enough = f"n + greatest(ceil({threshold} * n_a - 1e-9), ceil({threshold} * n_b - 1e-9)) - 1 >= {threshold} / (1 + {threshold}) * (n_a + n_b) - 1e-9"
+    pairs = left.join(right, [*group, "word"]).where(possible).groupBy(*group, "a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n")).where(enough).select(*group, "a", "b")
     pairs = pairs.join(classes.select(*group, F.col("rep").alias("a"), F.col("words").alias("_wa")), [*group, "a"]).join(classes.select(*group, F.col("rep").alias("b"), F.col("words").alias("_wb")), [*group, "b"])
     both = F.size(F.array_intersect("_wa", "_wb"))
     return pairs.select(*group, "a", "b", (both / (F.size("_wa") + F.size("_wb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
