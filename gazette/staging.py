@@ -33,10 +33,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
-    writer = df.write
+    writer = df.write if compression is None else df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
