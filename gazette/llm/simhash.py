@@ -1,7 +1,7 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Equal fingerprints are one node. Nodes are dealt into tiles by population count;
-two tiles meet only if their population counts differ by no more than the radius,
+Equal fingerprints are one node. Nodes are dealt into tiles by population count, and each tile is packed once (8 bytes a
+node) and written; only packed tiles go to the pairs of tiles that meet, never single nodes. Two tiles meet only if their population counts differ by no more than the radius,
 since each differing bit changes the count by one. Inside a pair of tiles the same
 bound, taken over the four 16-bit quarters, skips blocks before numpy compares
 the rest by exclusive-or and bit counts. A pair of tiles reports a spanning forest
@@ -13,7 +13,7 @@ Defined cases. Null text: the empty text, fingerprint 0. Null doc_id: a row like
 other, never the smallest id. Repeated rows: same fingerprint, same component. Empty
 table: empty result. Other columns are ignored. Texts are read whole.
 
-drop_near_duplicates(), the pipeline's stage, has another contract: texts are near copies from a Jaccard similarity of
+drop_near_duplicates(), the pipeline's stage (rows that share a doc_id are one document to it, and stay or go together), has another contract: texts are near copies from a Jaccard similarity of
 SIMILAR of their sets of NEAR_SHINGLE-word shingles on. These often differ in 4 to 11 bits, a radius at which the tiles
 would rule out next to nothing. Its candidates are documents that agree in one of BANDS bands of MinHash values; each
 is linked to the smallest id of its band, and every link is verified on the whole texts. A pair at the threshold shares
@@ -35,8 +35,8 @@ from gazette.llm.components import components
 from gazette.staging import small_batches, stage
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-#: Nodes of a tile at most (on average, as they are dealt by hash).
-TILE = 65536
+#: Nodes of a tile at most (on average, as they are dealt by hash): 1 MB.
+TILE = 1 << 17
 _BLOCK = 1 << 20  # pairs that are compared at once
 #: Near copies in the pipeline: words of a shingle, least similarity; bands of the MinHash values, values of a band.
 NEAR_SHINGLE, SIMILAR, BANDS, BAND = 5, 0.8, 25, 5
@@ -148,16 +148,25 @@ def tile_links(a: np.ndarray, b: np.ndarray | None = None, radius: int = RADIUS)
     return both[moved], both[root[moved]]
 
 
+def _pack(tile: pa.Table) -> pa.Table:
+    """One row for a tile: its nodes' fingerprints, 8 bytes each."""
+    return pa.table({"pop": tile.column("pop")[:1], "salt": tile.column("salt")[:1], "nodes": pa.array([tile.column("fp").to_numpy().tobytes()], pa.binary())})
+
+
 def _compare(pair: pa.Table) -> pa.Table:
-    fp = pair.column("fp").to_numpy().view(np.uint64)
-    second = pair.column("second").to_numpy(zero_copy_only=False)
-    same = pair.column("same")[0].as_py()
-    u, v = tile_links(fp) if same else tile_links(fp[~second], fp[second])
+    """A spanning forest between two packed tiles, or within one."""
+    first, second = ([np.frombuffer(t, np.uint64) for t, two in zip(pair.column("nodes").to_pylist(), pair.column("second").to_pylist()) if two is side] for side in (False, True))
+    if pair.column("same")[0].as_py():
+        u, v = tile_links(first[0])
+    elif first and second:
+        u, v = tile_links(first[0], second[0])
+    else:
+        u = v = np.zeros(0, np.uint64)
     return pa.table({"a": pa.array(u.view(np.int64)), "b": pa.array(v.view(np.int64))})
 
 
-def links(nodes: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
-    """a, b: for each pair of tiles a spanning forest of the pairs of nodes (fp, distinct) within the radius.
+def tile_pairs(nodes: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
+    """p, q, s, t (tile s of population count p and tile t of q), second (which of the two), same, nodes: a row for each packed tile in each pair it is part of.
 
     The number of nodes of each population count (65 rows) sets into how many tiles they are dealt.
     """
@@ -165,21 +174,23 @@ def links(nodes: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame
     counted = nodes.withColumn("pop", F.bit_count("fp"))
     sizes = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count(F.lit(1)).alias("n")).collect()}
     salts = {p: -(-n // tile) for p, n in sizes.items()}
+    own = F.create_map(*[F.lit(x) for p, n in (salts or {0: 1}).items() for x in (p, n)])
+    dealt = counted.withColumn("salt", F.pmod(F.xxhash64("fp"), own[F.col("pop")]))
+    packed = stage(dealt.groupBy("pop", "salt").applyInArrow(_pack, "pop int, salt long, nodes binary"), "simhash-tiles")
     plan = [(p, q, salts[p], salts[q]) for p in sorted(salts) for q in sorted(salts) if 0 <= q - p <= radius]
-    if not plan:
-        return spark.createDataFrame([], "a long, b long")
     # One row for each way a tile of a population count takes part; at most 65 * (2 * radius + 2).
     roles = spark.createDataFrame([(p, p, q, False, m) for p, q, n, m in plan] + [(q, p, q, True, n) for p, q, n, m in plan], "pop int, p int, q int, second boolean, others long")
-    dealt = counted.join(F.broadcast(roles), "pop")
-    own = F.create_map(*[F.lit(x) for p, n in salts.items() for x in (p, n)])
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("fp"), own[F.col("pop")]))
-    dealt = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    met = packed.join(F.broadcast(roles), "pop").withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     # Within one population count each unordered pair of tiles meets once; a tile meets itself once.
-    dealt = dealt.where("p <> q or (not second and salt <= mate) or (second and salt > mate)")
+    met = met.where("p <> q or (not second and salt <= mate) or (second and salt > mate)")
     s = F.when(F.col("second"), F.col("mate")).otherwise(F.col("salt"))
     t = F.when(F.col("second"), F.col("salt")).otherwise(F.col("mate"))
-    dealt = dealt.select("fp", "second", "p", "q", s.alias("s"), t.alias("t"), ((F.col("p") == F.col("q")) & (s == t)).alias("same"))
-    return dealt.groupBy("p", "q", "s", "t").applyInArrow(_compare, "a long, b long")
+    return met.select("p", "q", s.alias("s"), t.alias("t"), "second", ((F.col("p") == F.col("q")) & (s == t)).alias("same"), "nodes")
+
+
+def links(nodes: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
+    """a, b: for each pair of tiles a spanning forest of the pairs of nodes (fp, distinct) within the radius."""
+    return tile_pairs(nodes, tile, radius).groupBy("p", "q", "s", "t").applyInArrow(_compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
