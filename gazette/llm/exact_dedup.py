@@ -1,7 +1,7 @@
 """Exact deduplication by a Golomb-coded fingerprint exchange.
 
 Every input partition sorts the 48-bit fingerprints of its texts and sends each
-owner (a range of fingerprints) its share as Golomb-Rice coded gaps. The owner
+owner (a range of fingerprints, OWNED of them at most) its share as Golomb-Rice coded gaps. The owner
 answers with a bitmap of those that occur more than once anywhere. Only rows
 marked so, the suspects, have their texts shuffled: a map-side aggregate on
 (digest, text) verifies byte by byte that a digest stands for one text, and
@@ -10,7 +10,8 @@ suspect's mark never leave their place.
 
 Defined cases. Null text: the empty text. Null doc_id: an ordinary row, chosen as
 the one that stays only in a group without any doc_id. Repeated rows and ties on
-doc_id: every row counts and exactly one of them stays. Empty table: empty result.
+doc_id: every row counts and exactly one of them stays; of rows that share the doc_id that stays and the normalised text,
+drop_exact_duplicates() keeps the first by their columns as JSON. Empty table: empty result.
 Other columns are ignored, whatever their names. Texts of any length are read whole.
 """
 
@@ -28,6 +29,8 @@ from gazette.llm.common import key_filter, mark_possible, text_of
 from gazette.staging import small_batches, stage
 
 FINGERPRINT_BITS = 48
+#: Fingerprints of an owner at most, on average: what one task sorts. There are as many owners as that takes.
+OWNED = 8_000_000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -95,7 +98,8 @@ def _answer(table: pa.Table) -> pa.Table:
     sent = [golomb_decode(m) for m in table.column("message").to_pylist()]
     values, counts = np.unique(np.concatenate(sent), return_counts=True)
     twice = values[counts > 1]
-    marks = [np.packbits(np.isin(s, twice)).tobytes() for s in sent]
+    twice = np.append(twice, np.uint64(1 << FINGERPRINT_BITS))  # above every fingerprint, so that each has a place
+    marks = [np.packbits(twice[np.searchsorted(twice, s)] == s).tobytes() for s in sent]
     return pa.table({"pid": table.column("pid"), "owner": table.column("owner"), "bitmap": pa.array(marks, pa.binary())})
 
 
@@ -125,7 +129,7 @@ def normalised(column: str = "text"):
 def exchange(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """doc_id, pid and seq (a row's place), sha (of the normalised text), suspect; one row per input row."""
     spark = docs.sparkSession
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNED))
     small_batches(spark, 2048)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).select(
         "doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.shiftrightunsigned(F.xxhash64("norm"), 64 - FINGERPRINT_BITS).alias("print")
@@ -184,5 +188,5 @@ def drop_exact_duplicates(docs: DataFrame, owners: int | None = None) -> DataFra
     near = whole.where("near").withColumn("sha", F.unhex(F.sha2(F.regexp_replace(F.coalesce("row.text", F.lit("")), SPACES, " "), 256)))
     near = near.join(classes, "sha", "left")
     free = near.where("none is null")
-    first = near.where("none is not null and id <=> keep_id").dropDuplicates(["sha"])
+    first = near.where("none is not null and id <=> keep_id").groupBy("sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return whole.where("not near").select("row.*").unionByName(free.select("row.*")).unionByName(first.select("row.*"))
