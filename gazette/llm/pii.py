@@ -7,7 +7,8 @@ stand beside instances, weighted by their scores; an instance's score is its bes
 confidence, a seed's is 1. Patterns that end with CONFIDENCE and SUPPORT discover the other instances beside
 them as spans of kind "id". Sums are of whole millionths, so that results don't depend on the order of addition.
 
-Only (pattern, instance) counts and word counts are shuffled, both summed before; texts never are.
+Instances are tokens of LENGTH characters or more with DIGITS digits or more; others are never discovered. Only (pattern,
+instance) counts and counts of the patterns' words are shuffled, both summed before; texts never are.
 
 The expressions are those of the definition, made possessive or anchored where this cannot change a match,
 so that long runs of letters or digits take linear time.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import text_of
+from gazette.llm.common import key_filter, mark_possible, text_of
 from gazette.staging import stage
 
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -36,6 +37,8 @@ BASE = {
 #: Instances: tokens with digits. Their least length and number of digits.
 TOKEN, LENGTH, DIGITS = r"(?<!\S)\S*[0-9]\S*", 5, 2
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 500_000  # of a million
+#: Words beside instances that are broadcast at most (some 20 bytes each); more of them go by a filter of fixed size.
+BROADCAST_ROWS = 500_000
 _BLOCK = 32
 
 SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string,left:string,right:string>>"
@@ -44,8 +47,9 @@ SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string,left:string,r
 def _found(kind: int, m: str, g: str) -> Column:
     """Spans of the matches in column m with the texts between them in column g. Single-element arrays bind values once."""
     word = r"regexp_replace(lower({}), r'[^\p{{L}}\p{{N}}:#]+', '')"
-    left = word.format(r"regexp_extract(right(p.g[i], 80), r'(\S+)\s*$', 1)")
-    right = word.format(r"regexp_extract(left(p.g[i + 1], 80), r'^\s*(\S+)', 1)")
+    # From the end of the text between two matches back to the beginning of its last word, however far that is.
+    left = word.format(r"regexp_extract(p.g[i], r'(?s)^.*(?<!\S)(\S+)\s*$', 1)")
+    right = word.format(r"regexp_extract(p.g[i + 1], r'^\s*(\S+)', 1)")
     ends = f"B[cast(i div {_BLOCK} AS int)] + aggregate(slice(L, cast(i div {_BLOCK} AS int) * {_BLOCK} + 1, i % {_BLOCK} + 1), 0L, (a, y) -> a + y)"
     blocks = f"transform(sequence(0, cast((size(L) - 1) div {_BLOCK} AS int)), b -> aggregate(slice(L, b * {_BLOCK} + 1, {_BLOCK}), 0L, (a, x) -> a + x))"
     bases = f"aggregate({blocks}, array(0L), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))"
@@ -83,8 +87,12 @@ def spans(docs: DataFrame) -> DataFrame:
     # Punctuation around a token does not belong to it.
     lead, bare = r"length(regexp_extract(s.value, r'^[\p{Punct}&&[^+@#]]*', 0))", r"regexp_replace(s.value, r'^[\p{Punct}&&[^+@#]]+|\p{Punct}+$', '')"
     trimmed = f"transform(_s{len(BASE)}, s -> struct(s.kind AS kind, s.start + {lead} AS start, s.start + {lead} + length({bare}) AS end, {bare} AS value, s.left AS left, s.right AS right))"
-    fit = f"length(s.value) >= {LENGTH} AND length({_DIGITS}) >= {DIGITS} AND NOT exists(base, b -> b.start < s.end AND s.start < b.end)"
-    out = out.withColumn("tokens", F.expr(f"filter({trimmed}, s -> {fit})"))
+    # Base spans go by blocks in their order, so that a token looks into those blocks alone that reach over it.
+    blocks = f"transform(sequence(0, cast((size(base) - 1) div {_BLOCK} AS int)), k -> struct(slice(base, k * {_BLOCK} + 1, {_BLOCK}) AS part, base[k * {_BLOCK}].start AS start, array_max(transform(slice(base, k * {_BLOCK} + 1, {_BLOCK}), b -> b.end)) AS end))"
+    free = "NOT exists(K, k -> k.start < s.end AND s.start < k.end AND exists(k.part, b -> b.start < s.end AND s.start < b.end))"
+    fit = f"length(s.value) >= {LENGTH} AND length({_DIGITS}) >= {DIGITS}"
+    fitting = f"filter({trimmed}, s -> {fit})"
+    out = out.withColumn("tokens", F.expr(f"CASE WHEN size(base) = 0 THEN {fitting} ELSE transform(array({blocks}), K -> filter({fitting}, s -> {free}))[0] END"))
     return out.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "base", "tokens")
 
 
@@ -95,20 +103,27 @@ def _beside(spans_: DataFrame, column: str, seed: int) -> DataFrame:
     return one.select("rid", "s", F.explode(sides).alias("pattern"), F.lower("s.value").alias("value"), F.lit(seed).alias("seed"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, total over the whole corpus."""
+def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """word, total over the whole corpus, of the given words; others are not shuffled."""
     plain = F.regexp_replace(F.lower(text_of()), r"[^\p{L}\p{N}:#\s]+", "")
-    return docs.select(F.explode(F.split(plain, r"\s+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    each = docs.select(F.explode(F.split(plain, r"\s+")).alias("word"))
+    if words.count() <= BROADCAST_ROWS:
+        each = each.join(F.broadcast(words), "word", "left_semi")
+    else:
+        each = mark_possible(each, stage(key_filter(words, "word"), "pii-filter"), "word", "near").where("near").join(words, "word", "left_semi")
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("total"))
 
 
 def accepted_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
     """pattern, confidence (of a million) of the patterns that hold after the last round."""
     both = _beside(found, "base", 1).unionByName(_beside(found, "tokens", 0))
     edges = both.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    # A pattern that no seed stands beside can never be accepted by way of SUPPORT in the first round; later ones may join it.
     edges = stage(edges, "pii-edges")
-    words = edges.select(F.expr("substring(pattern, 3)").alias("word")).distinct()
-    totals = stage(word_counts(docs).join(words, "word", "left_semi"), "pii-totals")
+    # A pattern beside fewer than SUPPORT instances can never be accepted, whatever their scores.
+    wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= SUPPORT).select("pattern")
+    edges = stage(edges.join(wide, "pattern", "left_semi"), "pii-wide")
+    words = stage(edges.select(F.expr("substring(pattern, 3)").alias("word")).distinct(), "pii-words")
+    totals = stage(word_counts(docs, words), "pii-totals")
     edges = stage(edges.join(totals, F.expr("substring(pattern, 3) = word")).drop("word"), "pii-graph")
     held = None
     for _ in range(ROUNDS):
