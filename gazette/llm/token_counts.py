@@ -6,8 +6,8 @@ characters, re-scans from up to two pre-tokens before it (whose matches may have
 to the first boundary behind it that the old text has too, encodes only what is new there, and updates the sums above.
 The shape of a tree stays: a leaf that takes in several pre-tokens holds them all, leaves merged away become empty.
 
-tree_table() gives the leaves of all documents as columns, to be kept in a table; apply_edits() takes them with the
-edits and gives the edited text, its leaves and counts without encoding the rest again.
+tree_table() gives the trees of all documents, inner sums too, as columns to be kept in a table; apply_edits() takes them with the
+edits and gives the edited texts, trees and counts without encoding or summing the rest again.
 
 Defined cases. Null or empty text: no pre-tokens, 0 tokens. Edits beyond the end of the text: moved to its end; null edits or
 edit texts: none, empty. Edits are applied one after another, each to the text that the former ones left. Null doc_id and
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.common import held, tidy
-from gazette.staging import small_batches
+from gazette.staging import small_batches, stage
 
 # The tokenizer's white space (Unicode White_Space) and the pre-token pattern over it.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -35,6 +35,8 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p
 LIBRARY_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens that a worker remembers at most, and the longest one.
 REMEMBERED, LONGEST = 200_000, 48
+#: Children of an inner node.
+ARITY = 8
 
 split = regex.compile(PATTERN).findall
 
@@ -72,16 +74,48 @@ def leaves(text: str, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(len, pieces), np.int32, n), np.fromiter(map(counts.__getitem__, pieces), np.int32, n)
 
 
+def _summed(x: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, np.arange(0, len(x), ARITY))
+
+
+def level_sizes(total: int) -> list[int]:
+    """Nodes of each level, leaves first, of a tree with so many nodes in all."""
+    low, high = 0, total
+    while True:  # the number of leaves whose levels add up to the total
+        n = (low + high + 1) // 2
+        sizes = [n]
+        while sizes[-1] > 1:
+            sizes.append(-(-sizes[-1] // ARITY))
+        if sum(sizes) == total:
+            return sizes
+        low, high = (n, high) if sum(sizes) < total else (low, n - 1)
+
+
 class Tree:
-    """Sums of characters and tokens over leaves; level 0 are the leaves, each next level sums pairs."""
+    """Sums of characters and tokens over leaves; level 0 are the leaves, each next level sums ARITY nodes at a time."""
 
-    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, counts: Counter):
-        self.text, self.counts = text, counts
-        self.levels = [(np.array(chars, np.int64), np.array(tokens, np.int64))]
-        while len(self.levels[-1][0]) > 1:
-            self.levels.append(tuple(np.add.reduceat(x, np.arange(0, len(x), 2)) for x in self.levels[-1]))
+    def __init__(self, text: str, levels: list[tuple[np.ndarray, np.ndarray]], counts: Counter):
+        self.text, self.levels, self.counts = text, levels, counts
         self.encoded = 0  # pre-tokens that edits have encoded
 
+    @classmethod
+    def over(cls, text: str, chars: np.ndarray, tokens: np.ndarray, counts: Counter) -> Tree:
+        """The tree over these leaves."""
+        levels = [(np.array(chars, np.int64), np.array(tokens, np.int64))]
+        while len(levels[-1][0]) > 1:
+            levels.append(tuple(_summed(x) for x in levels[-1]))
+        return cls(text, levels, counts)
+
+    @classmethod
+    def kept(cls, text: str, chars: np.ndarray, tokens: np.ndarray, counts: Counter) -> Tree:
+        """A tree from its table row: the sums of all levels in a line, leaves first, as they were written."""
+        sizes, levels = level_sizes(len(chars)), []
+        at = 0
+        for n in sizes:
+            levels.append((np.array(chars[at : at + n], np.int64), np.array(tokens[at : at + n], np.int64)))
+            at += n
+        return cls(text, levels, counts)
+
     @property
     def tokens(self) -> int:
         return int(self.levels[-1][1].sum())
@@ -90,8 +124,9 @@ class Tree:
         """The leaf that holds character at, and the character it begins with."""
         k, before = 0, 0
         for chars, _ in reversed(self.levels[:-1]):
-            k *= 2
-            if at - before >= chars[k] and k + 1 < len(chars):
+            k *= ARITY
+            last = min(k + ARITY, len(chars)) - 1
+            while k < last and at - before >= chars[k]:
                 before += int(chars[k])
                 k += 1
         return k, before
@@ -102,11 +137,9 @@ class Tree:
             values[first : last + 1] = 0
             values[first] = new
         for below, above in zip(self.levels, self.levels[1:]):
-            first, last = first // 2, last // 2
+            first, last = first // ARITY, last // ARITY
             for x, y in zip(below, above):
-                y[first : last + 1] = x[2 * first : 2 * last + 2 : 2]
-                odd = x[2 * first + 1 : 2 * last + 2 : 2]
-                y[first : first + len(odd)] += odd
+                y[first : last + 1] = _summed(x[ARITY * first : ARITY * (last + 1)])
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces the characters from start up to end by new."""
@@ -115,9 +148,8 @@ class Tree:
         text = self.text
         self.text = text[:start] + new + text[end:]
         if not len(self.levels[0][0]):
-            chars, tokens = leaves(self.text, self.counts)
-            self.encoded += len(chars)
-            self.__init_from(chars, tokens)
+            self.levels = Tree.over(self.text, *leaves(self.text, self.counts), self.counts).levels
+            self.encoded += len(self.levels[0][0])
             return
         # A run of white space looks past its last character, at the next pre-token's first one: hence one leaf more.
         first, begin = self.find(max(start - 1, 0))
@@ -150,10 +182,9 @@ class Tree:
                 return
             width *= 4
 
-    def __init_from(self, chars: np.ndarray, tokens: np.ndarray) -> None:
-        encoded = self.encoded
-        self.__init__(self.text, chars, tokens, self.counts)
-        self.encoded = encoded
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of all levels in a line, leaves first."""
+        return tuple(np.concatenate(x) for x in zip(*self.levels))
 
 
 def _ints(arrays: list[np.ndarray]) -> pa.Array:
@@ -166,8 +197,10 @@ def _build(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
         for b in batches:
-            built = [leaves(t.as_py() or "", counts) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), _ints([x[0] for x in built]), _ints([x[1] for x in built])], ["doc_id", "text", "chars", "tokens"])
+            built = [Tree.over(t, *leaves(t, counts), counts).columns() for t in (x.as_py() or "" for x in b.column("text"))]
+            rest = [n for n in b.schema.names if n not in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), _ints([x[0] for x in built]), _ints([x[1] for x in built]), *[b.column(n) for n in rest]], ["doc_id", "text", "chars", "tokens", *rest])
+        tidy()
 
     return run
 
@@ -175,62 +208,49 @@ def _build(path: str):
 TREES = "doc_id long, text string, chars array<int>, tokens array<int>"
 
 
-def tree_table(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, text, chars, tokens: the leaves of each document's tree."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_build(path), TREES)
+def tree_table(docs: DataFrame, path: str, *keep: str) -> DataFrame:
+    """doc_id, text, chars, tokens: each document's tree, the sums of all its levels in a line, leaves first; keep: further columns to carry."""
+    small_batches(docs.sparkSession, 64)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in own.schema.fields[2:])
+    return own.mapInArrow(_build(path), TREES + more)
 
 
 EDITED = TREES + ", n_tokens long, n_tokens_edited long, n_reencoded long"
 _NAMES = ["doc_id", "text", "chars", "tokens", "n_tokens", "n_tokens_edited", "n_reencoded"]
 
 
-def _edited(ids: pa.Array, trees: Iterator[Tree], edits: pa.Array) -> pa.RecordBatch:
-    texts, chars, tokens, before, after, encoded = [], [], [], [], [], []
-    for tree, todo in zip(trees, edits):
-        before.append(tree.tokens)
-        for e in todo.as_py() or ():
-            if e is not None and e["start"] is not None:
-                tree.edit(e["start"], e["start"] if e["end"] is None else e["end"], e["text"] or "")
-        texts.append(tree.text)
-        chars.append(tree.levels[0][0])
-        tokens.append(tree.levels[0][1])
-        after.append(tree.tokens)
-        encoded.append(tree.encoded)
-    longs = [pa.array(x, pa.int64()) for x in (before, after, encoded)]
-    return pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), _ints(chars), _ints(tokens), *longs], _NAMES)
-
-
-def _edit(path: str, build: bool):
-    """build: leaves are made from the text, else they come with it."""
-
+def _edit(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
         for b in batches:
-            if build:
-                trees = (Tree(t, *leaves(t, counts), counts) for t in (x.as_py() or "" for x in b.column("text")))
-            else:
-                trees = (Tree(t.as_py(), c.values.to_numpy(), n.values.to_numpy(), counts) for t, c, n in zip(*(b.column(k) for k in ("text", "chars", "tokens"))))
-            yield _edited(b.column("doc_id"), trees, b.column("edits"))
+            trees, before = [], []
+            for t, c, n, todo in zip(*(b.column(k) for k in ("text", "chars", "tokens", "edits"))):
+                tree = Tree.kept(t.as_py(), c.values.to_numpy(), n.values.to_numpy(), counts)
+                before.append(tree.tokens)
+                for e in todo.as_py() or ():
+                    if e is not None and e["start"] is not None:
+                        tree.edit(e["start"], e["start"] if e["end"] is None else e["end"], e["text"] or "")
+                trees.append(tree)
+            sums = [t.columns() for t in trees]
+            longs = [pa.array(x, pa.int64()) for x in (before, [t.tokens for t in trees], [t.encoded for t in trees])]
+            texts = pa.array([t.text for t in trees], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), texts, _ints([x[0] for x in sums]), _ints([x[1] for x in sums]), *longs], _NAMES)
         tidy()
 
     return run
 
 
-def _edits():
-    return F.col("edits").cast("array<struct<start:bigint,end:bigint,text:string>>").alias("edits")
-
-
 def apply_edits(trees: DataFrame, path: str) -> DataFrame:
     """trees: tree_table()'s columns and edits (array of struct start, end, text; code points, end exclusive).
 
-    The edited text and leaves, n_tokens before, n_tokens_edited after, n_reencoded: pre-tokens that were encoded for the edits.
+    The edited text and its tree, n_tokens before, n_tokens_edited after, n_reencoded: pre-tokens that were encoded for the edits.
     """
-    return trees.select("doc_id", "text", "chars", "tokens", _edits()).mapInArrow(_edit(path, False), EDITED)
+    small_batches(trees.sparkSession, 64)
+    edits = F.col("edits").cast("array<struct<start:bigint,end:bigint,text:string>>").alias("edits")
+    return trees.select("doc_id", "text", "chars", "tokens", edits).mapInArrow(_edit(path), EDITED)
 
 
 def count_with_edits(docs: DataFrame, path: str) -> DataFrame:
-    """As apply_edits() on tree_table(docs), in one pass where the trees needn't be kept; docs: doc_id, text, edits."""
-    small_batches(docs.sparkSession, 64)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _edits())
-    return own.mapInArrow(_edit(path, True), EDITED)
+    """apply_edits() on the kept trees of docs (doc_id, text, edits): the table is written to the shared folder, and edits are applied to what is read from it."""
+    return apply_edits(stage(tree_table(docs, path, "edits"), "token-trees", compression="zstd"), path)
