@@ -252,6 +252,57 @@ def test_long_words_are_read_to_their_end(model):
     assert a != b
 
 
+def plain_score(model, text):
+    """One window after another, one word after another."""
+    p, h = model.net.p, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.float64(x)))
+    words = [toxicity.bare(w) for w in toxicity.words_of(text)]
+    words += [None] * (toxicity.WINDOW - len(words))
+    scores = []
+    for at in sorted({*range(0, max(len(words) - toxicity.WINDOW, 0), toxicity.STEP), len(words) - toxicity.WINDOW}):
+        inputs = []
+        for w in words[at : at + toxicity.WINDOW]:
+            if w is None:
+                inputs.append(np.concatenate([p["word"][0], np.zeros(toxicity.CHAR_DIM)]))
+                continue
+            grams = [model.grams[g] for n in toxicity.SIZES for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in model.grams] or [0]
+            inputs.append(np.concatenate([p["word"][model.vocabulary.get(w, 1)], sum(p["char"][g] for g in grams) / np.sqrt(len(grams))]))
+        states = []
+        for k in (0, 1):
+            state, own = np.zeros(h), []
+            for x in inputs if not k else inputs[::-1]:
+                a, b = x @ p[f"w{k}"] + p[f"b{k}"], state @ p[f"u{k}"]
+                z, r = sigmoid(a[:h] + b[:h]), sigmoid(a[h : 2 * h] + b[h : 2 * h])
+                new = np.tanh(a[2 * h :] + r * b[2 * h :])
+                state = (1 - z) * new + z * state
+                own.append(state)
+            states.append(own if not k else own[::-1])
+        both = [np.concatenate(s) for s in zip(*states)]
+        weight = np.array([np.exp(s @ p["attend"] - (30 if w is None else 0)) for s, w in zip(both, words[at:])])
+        scores.append(sigmoid(sum(w * s for w, s in zip(weight / weight.sum(), both)) @ p["out"] + p["bias"][0]))
+    return max(scores)
+
+
+def test_scores_against_plain_passes(model):
+    net, plain = model
+    texts = ["", plain[0], " ".join(plain[:20]), " ".join(plain[:33]), " ".join(plain[:40] + ["Nastyword!"] + plain[40:77]), "".join(plain[:60]) + " zzvile x", "¿… — «»"]
+    got = toxicity.Scorer(net).score(texts)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_held_out_recall_and_precision(spark):
+    """On documents whose labels were never learnt from; sf0.1 has enough labels for a floor."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    model = toxicity.train_on(docs, labels)
+    held = docs.join(labels.where("toxic is not null"), "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0").select("text", "toxic").collect()
+    says = toxicity.Scorer(model).score([r["text"] for r in held]) >= 0.5
+    toxic = np.array([r["toxic"] == 1 for r in held])
+    print("recall", (says & toxic).sum() / toxic.sum(), "precision", (says & toxic).sum() / says.sum(), "of", len(held), toxic.sum())
+    assert (says & toxic).sum() >= 0.85 * toxic.sum() and (says & toxic).sum() >= 0.85 * says.sum()
+
+
 def test_toxicity_query(spark, sf, texts):
     rows = op10_toxicity(spark, sf).collect()
     assert len(rows) == len(texts)

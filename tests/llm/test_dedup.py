@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gazette.llm import exact_dedup, simhash
 from gazette.llm.common import key_filter, mark_possible
@@ -48,6 +49,24 @@ def test_exact_many_partitions(spark):
     assert got == {i: first[t] for i, t in rows}
 
 
+def test_owners_follow_the_rows(spark, monkeypatch):
+    """No owner has more fingerprints than it may hold; the result does not depend on their number."""
+    monkeypatch.setattr(exact_dedup, "OWNED", 20)
+    seen = []
+    send = exact_dedup._send
+    monkeypatch.setattr(exact_dedup, "_send", lambda owners: seen.append(owners) or send(owners))
+    rows = [(i, f"text {i % 150}") for i in range(400)]
+    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen == [20] and got == {i: i % 150 for i, _ in rows}
+
+
+def test_one_of_rows_with_the_same_id_stays(spark):
+    rows = [(1, "a b", "z"), (1, "a  b", "y"), (1, "a b", "x"), (2, "a b", "w")]
+    for order in (rows, rows[::-1]):
+        kept = exact_dedup.drop_exact_duplicates(spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)).collect()
+        assert [tuple(r) for r in kept] == [(1, "a  b", "y")]
+
+
 def test_key_filter(spark):
     keys = spark.createDataFrame([(i,) for i in range(0, 500, 5)], "k long")
     got = {r["k"]: r["near"] for r in mark_possible(spark.range(500).withColumnRenamed("id", "k"), key_filter(keys, "k"), "k", "near").collect()}
@@ -95,6 +114,18 @@ def test_links_and_components(spark, tile):
         assert {got.get(x, x) for x in g} == {min(g)}
 
 
+def test_nodes_are_not_copied_for_each_pair_of_tiles(spark):
+    """At several tiles a population count, rows for pairs are those of packed tiles: far below ten a node."""
+    prints = np.random.default_rng(4).integers(0, 2**63, 6000, dtype=np.uint64)
+    met = simhash.tile_pairs(spark.createDataFrame([(int(x),) for x in prints], "fp long"), tile=40).select("p", "q", "s", "t", "second", "same", F.length("nodes").alias("bytes")).collect()
+    assert len({(r["p"], r["s"]) for r in met}) > 100 and len(met) / len(prints) < 10
+    pairs = {}
+    for r in met:
+        pairs.setdefault((r["p"], r["q"], r["s"], r["t"]), []).append(r)
+    assert all(len(x) == (1 if x[0]["same"] else 2) for x in pairs.values())
+    assert sum(r["bytes"] for r in met if r["same"]) == 8 * len(prints)
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
