@@ -6,8 +6,8 @@ present; a rule's regular expression runs only if one of its keywords is. Detect
 by priority: from the highest level down, a detection that lies within one already
 accepted is suppressed, so that "gpl-3.0-or-later" silences "gpl-3.0" and "gpl" at its place.
 
-Rules are written once for each family and expanded over versions and forms (about 500).
-The base phrases are found besides and always reported.
+The rules, some five hundred, are written out in license_rules.py, each with a text that it is for.
+The base phrases are found besides and always reported. A rule without a keyword runs on every text.
 
 Defined cases. Null or empty text: no words, no places, null first and last word, empty
 labels, score 0. Repeated rows: each a row. Null doc_id: carried. Empty table: empty
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazette.llm import license_rules as written
 from gazette.llm.common import held
 from gazette.staging import small_batches
 
@@ -46,187 +47,40 @@ class Rule:
     keywords: tuple[str, ...]  # one of them must occur as a part of some word
 
 
-LICENCE = "licen[cs]e"
-
-#: label stem; name as words; short names; versions; whether "only" and "or later" occur.
-VERSIONED = [
-    ("gpl", "gnu general public license", "gnu gpl|gpl", "1.0 2.0 3.0", True),
-    ("lgpl", "gnu (?:lesser|library) general public license", "gnu lgpl|lgpl", "2.0 2.1 3.0", True),
-    ("agpl", "(?:gnu )?affero general public license", "gnu agpl|agpl", "1.0 3.0", True),
-    ("gfdl", "gnu free documentation license", "gnu fdl|gfdl|fdl", "1.1 1.2 1.3", True),
-    ("apache", "apache (?:software )?license", "apache|asl", "1.0 1.1 2.0", False),
-    ("mpl", "mozilla public license", "mpl", "1.0 1.1 2.0", False),
-    ("epl", "eclipse public license", "epl", "1.0 2.0", False),
-    ("cddl", "common development and distribution license", "cddl", "1.0 1.1", False),
-    ("eupl", "european union public licen[cs]e", "eupl", "1.0 1.1 1.2", False),
-    ("afl", "academic free license", "afl", "1.1 1.2 2.0 2.1 3.0", False),
-    ("osl", "open software license", "osl", "1.0 1.1 2.0 2.1 3.0", False),
-    ("artistic", "(?:perl )?artistic license", "artistic", "1.0 2.0", False),
-    ("bsl", "boost software license", "bsl", "1.0", False),
-    ("ofl", "(?:sil )?open font license", "ofl", "1.0 1.1", False),
-    ("ecl", "educational community license", "ecl", "1.0 2.0", False),
-    ("cpl", "common public license", "cpl", "1.0", False),
-    ("ipl", "ibm public license", "ipl", "1.0", False),
-    ("lppl", "latex project public license", "lppl", "1.0 1.1 1.2 1.3", False),
-    ("odbl", "open (?:data commons )?open database license|open database license", "odbl", "1.0", False),
-    ("odc-by", "open data commons attribution license", "odc by", "1.0", False),
-    ("pddl", "public domain dedication and license", "pddl", "1.0", False),
-    ("npl", "netscape public license", "npl", "1.0 1.1", False),
-    ("qpl", "q public license", "qpl", "1.0", False),
-    ("cecill", "cecill(?: free software license)?", "cecill", "1.0 1.1 2.0 2.1", False),
-    ("zpl", "zope public license", "zpl", "1.1 2.0 2.1", False),
-    ("php", "php license", "php license", "3.0 3.01", False),
-    ("psf", "python software foundation license", "psf license|psfl", "2.0", False),
-    ("apsl", "apple public source license", "apsl", "1.0 1.1 1.2 2.0", False),
-    ("rpl", "reciprocal public license", "rpl", "1.1 1.5", False),
-    ("sspl", "server side public license", "sspl", "1.0", False),
-    ("busl", "business source license", "busl|bsl", "1.1", False),
-    ("upl", "universal permissive license", "upl", "1.0", False),
-    ("mulan-psl", "mulan permissive software license", "mulan psl", "1.0 2.0", False),
-    ("ogl-uk", "open government licen[cs]e", "ogl", "1.0 2.0 3.0", False),
-    ("polyform", "polyform (?:noncommercial|shield|strict|small business) license", "polyform", "1.0", False),
-    ("openrail", "(?:creativeml )?open rail(?: m)?|openrail(?: m)?", "openrail", "1.0", False),
-    ("bigscience-rail", "bigscience rail license", "bigscience rail", "1.0", False),
-    ("cdla-permissive", "community data license agreement permissive", "cdla permissive", "1.0 2.0", False),
-    ("cdla-sharing", "community data license agreement sharing", "cdla sharing", "1.0", False),
-]
-#: label; names as words. Licenses without numbered versions.
-NAMED = [
-    ("mit", "mit license|expat license|the mit licence|released under mit|licensed under mit"),
-    ("mit-0", "mit no attribution|mit 0"),
-    ("x11", "x11 license|x consortium license"),
-    ("isc", "isc license"),
-    ("0bsd", "0bsd|bsd zero clause license|zero clause bsd"),
-    ("bsd-1-clause", "bsd 1 clause(?: license)?"),
-    ("bsd-2-clause", "bsd 2 clause(?: license)?|2 clause bsd(?: license)?|simplified bsd license|freebsd license"),
-    ("bsd-3-clause", "bsd 3 clause(?: license)?|3 clause bsd(?: license)?|new bsd license|modified bsd license|revised bsd license"),
-    ("bsd-4-clause", "bsd 4 clause(?: license)?|4 clause bsd(?: license)?|original bsd license"),
-    ("bsd", "bsd(?: style)? license"),
-    ("zlib", "zlib(?: libpng)? license"),
-    ("libpng", "libpng license|png reference library license"),
-    ("unlicense", "the unlicense|unlicense org"),
-    ("wtfpl", "wtfpl|do what the fuck you want to public license"),
-    ("cc0-1.0", "cc0(?: 1 0)?(?: universal)?|creative commons zero(?: v1 0)?"),
-    ("public-domain", "(?:dedicated|released|placed) (?:in|in to|into|to) the public domain|public domain dedication"),
-    ("json", "json license"),
-    ("beerware", "beer ?ware license"),
-    ("postgresql", "postgresql licen[cs]e"),
-    ("ncsa", "ncsa open source license|university of illinois ncsa open source license"),
-    ("ms-pl", "microsoft public license|ms pl"),
-    ("ms-rl", "microsoft reciprocal license|ms rl"),
-    ("w3c", "w3c software (?:notice and )?license|w3c license"),
-    ("vim", "vim license"),
-    ("ruby", "ruby license"),
-    ("curl", "curl license"),
-    ("openssl", "openssl license|ssleay license"),
-    ("icu", "icu license|unicode license(?: agreement)?"),
-    ("ftl", "freetype (?:project )?license"),
-    ("ijg", "independent jpeg group license|ijg license"),
-    ("hpnd", "historical permission notice and disclaimer"),
-    ("sleepycat", "sleepycat license"),
-    ("watcom", "sybase open watcom public license"),
-    ("intel", "intel open source license"),
-    ("nasa", "nasa open source agreement"),
-    ("eudatagrid", "eu datagrid software license"),
-    ("proprietary", "proprietary license|commercial license|end user licen[cs]e agreement"),
-    ("elastic", "elastic license(?: 2 0)?"),
-    ("llama", "llama (?:2|3|3 1|3 2|3 3)? ?community license(?: agreement)?"),
-    ("gemma", "gemma terms of use"),
-    ("source-available", "source available license|confluent community license|commons clause"),
-    ("all-rights-reserved", "all rights reserved|alle rechte vorbehalten|tous droits reserves|tous droits réservés|todos los derechos reservados"),
-]
-#: label; words of grants and conditions as they stand in the licenses' own texts.
-GRANTS = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-3-clause", "neither the name of (?:\\w+ ){1,12}may be used to endorse or promote products"),
-    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
-    ("apache-2.0", "you may not use this file except in compliance with the license(?: you may obtain a copy of the license at (?:https? )?(?:www )?apache org licenses license 2 0)?"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc", "this work is licensed under (?:a|the) creative commons"),
-    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer"),
-    ("wtfpl", "you just do what the fuck you want to"),
-]
-CC_PARTS = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nc": "attribution non ?commercial", "by-nd": "attribution no ?deriv(?:ative)?s?(?: works)?", "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"}
-CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-
-
-def _any(*options: str) -> str:
-    return "(?:" + "|".join(o for o in options if o) + ")"
-
-
-def _version(v: str) -> str:
-    """A version as words: "2.0" also as 2 and v2."""
-    whole = v.replace(".", " ")
-    short = "|" + v[:-2] if v.endswith(".0") else ""
-    return f"(?:version |ver |v ?)?(?:{whole}{short})"
+#: A group, what follows it as its number of times, or a literal character that may be missing, or one of several.
+_PART = re.compile(r"(?P<group>\((?:[^()]|\([^()]*\))*\))(?P<times>[?*+]|\{\d+,?\d*\})?|\[[^\]]*\][?*+]?|\\w[?*+]?|[\w ][?*]")
 
 
-def _keywords(pattern: str) -> tuple[str, ...]:
-    """For each alternative at the top of a pattern its longest literal word; all of them if one has none."""
+def _alternatives(pattern: str) -> list[str]:
     depth, start, parts = 0, 0, []
     for i, c in enumerate(pattern + "|"):
         depth += (c == "(") - (c == ")")
         if c == "|" and not depth:
             parts.append(pattern[start:i])
             start = i + 1
-    found = []
-    for p in parts:
-        outside = re.sub(r"\((?:[^()]|\([^()]*\))*\)[?*+]?(?:\{[^}]*\})?|\[[^\]]*\]\??", "\0", p)
-        words = [w for w in re.split(r"[ \0]", re.sub(r"[\w ]\?|\\w\+?", "\0", outside)) if len(w) > 1]
-        if not words:
+    return parts
+
+
+def _keywords(pattern: str) -> tuple[str, ...]:
+    """For each alternative of a pattern a word, or those of a group's alternatives, that every match holds; the longest there are. None if one has none."""
+    found: list[str] = []
+    for part in _alternatives(pattern):
+        choices = [(w,) for w in _PART.sub("\0", part).replace("\0", " ").split() if len(w) > 1]
+        for m in _PART.finditer(part):
+            if m["group"] and not (m["times"] or "+").startswith(("?", "*", "{0")):
+                choices.append(_keywords(m["group"][1:-1].removeprefix("?:")))
+        choices = [c for c in choices if c]
+        if not choices:
             return ()
-        found.append(max(words, key=len))
+        found += max(choices, key=lambda c: min(map(len, c)))
     return tuple(dict.fromkeys(found))
 
 
 @lru_cache(1)
 def rules() -> tuple[Rule, ...]:
     """All rules, the highest priority first."""
-    out: list[Rule] = []
-
-    def add(level: int, label: str, pattern: str, keywords: tuple[str, ...] = ()) -> None:
-        out.append(Rule(level, label, pattern, keywords or _keywords(pattern)))
-
-    for label, text in GRANTS:
-        add(GRANT, label, text)
-    for stem, name, short, versions, ways in VERSIONED:
-        keys = tuple(dict.fromkeys(_keywords(name) + tuple(max(x.split(), key=len) for x in short.split("|"))))
-        both = _any(name, short)
-        for v in versions.split():
-            dotted = v.replace(".", " ")
-            add(TAG, f"{stem}-{v}", f"spdx license identifier {stem.replace('-', ' ')} {dotted}", ("spdx",))
-            add(VERSION, f"{stem}-{v}", f"{both} {_version(v)}", keys)
-            if ways:
-                add(TAG, f"{stem}-{v}-or-later", f"(?:spdx license identifier )?{both} {_version(v)} (?:or (?:\\(?at your option\\)? )?(?:any )?(?:later|newer)|and later)(?: version)?", keys)
-                add(TAG, f"{stem}-{v}-only", f"(?:spdx license identifier )?{both} {_version(v)} only", keys)
-                add(TAG, f"{stem}-{v}-or-later", f"{stem}{v.replace('.0', '')} or later", (stem,))
-            compact = stem.replace("-", "") + "v?" + (f"{v[:-2]}(?: 0)?" if v.endswith(".0") else dotted)
-            add(VERSION, f"{stem}-{v}", compact, (stem.split("-")[0],))
-        add(NAME, stem, name)
-    for label, names in NAMED:
-        add(MENTION if label == "all-rights-reserved" else NAME, label, names)
-        add(TAG, label, f"spdx license identifier {label.replace('-', ' ').replace('.', ' ')}", ("spdx",))
-    for part, words in CC_PARTS.items():
-        code = part.replace("-", " ")
-        for v in CC_VERSIONS:
-            dotted = v.replace(".", " ")
-            add(VERSION, f"cc-{part}-{v}", f"cc {code} {_version(v)}", ("cc",))
-            add(VERSION, f"cc-{part}-{v}", f"creative commons {words} {_version(v)}(?: (?:international|generic|unported))?(?: public)?(?: licen[cs]e)?", ("commons",))
-            add(VERSION, f"cc-{part}-{v}", f"creativecommons org licenses {code} {dotted}", ("creativecommons",))
-            add(TAG, f"cc-{part}-{v}", f"spdx license identifier cc {code} {dotted}", ("spdx",))
-        add(NAME, f"cc-{part}", f"cc {code}", ("cc",))
-        add(NAME, f"cc-{part}", f"creative commons {words}", ("commons",))
-    add(MENTION, "cc", "creative commons(?: licen[cs]e)?")
-    add(MENTION, "license-mention", f"(?:licensed|released|distributed|published) under (?:the )?(?:terms of )?(?:the )?(?:\\w+ ){{1,6}}{LICENCE}", ("licensed", "released", "distributed", "published"))
-    return tuple(sorted(out, key=lambda r: r.level))
+    levels = ((GRANT, written.GRANTS), (TAG, written.TAGS), (VERSION, written.VERSIONS), (NAME, written.NAMES), (MENTION, written.MENTIONS))
+    return tuple(Rule(level, label, pattern, _keywords(pattern)) for level, own in levels for label, pattern, _ in own)
 
 
 class Scanner:
@@ -253,7 +107,7 @@ class Scanner:
         out = {"n_words": len(words), "places": [], "found": []}
         line = b" ".join([b"", *words, b""]).decode()
         present = {k for _, k in self.automaton.iter(line)}
-        if not present:
+        if not present and not self.always:
             return out
         index = _Index(line)
         for phrase, label in BASE.items():

@@ -57,6 +57,31 @@ def test_license_keywords_are_words():
     assert {d[3] for d in licenses.scanner().scan("a Beer-Ware License, or beerware license")["found"]} == {"beerware"}
 
 
+def test_each_written_rule():
+    """Every rule has a keyword that is a word of its text, matches there, and its label survives unless a rule of a higher level covers it."""
+    from gazette.llm import license_rules as written
+
+    scanner, at = licenses.scanner(), 0
+    for level, own in enumerate((written.GRANTS, written.TAGS, written.VERSIONS, written.NAMES, written.MENTIONS)):
+        for label, pattern, example in own:
+            rule, compiled = scanner.rules[at]
+            at += 1
+            assert (rule.level, rule.label, rule.pattern) == (level, label, pattern) and rule.keywords
+            line = b" ".join([b"", *[w for w in scanner.words(example) if w], b""]).decode()
+            m = compiled.search(line)
+            assert m and any(k in line for k in rule.keywords), (pattern, line)
+            found = scanner.scan(example)["found"]
+            span = (line.count(" ", 0, m.start()) - 1, line.count(" ", 0, m.end() + 1) - 1)
+            covering = [d for d in found if d[1] <= span[0] and d[2] >= span[1]]
+            assert any(d[3] == label for d in found) or any(d[0] < level or d[2] - d[1] > span[1] - span[0] for d in covering), (label, example, found)
+    assert at == len(scanner.rules)
+
+
+def test_rules_without_keywords_run():
+    scanner = licenses.Scanner((licenses.Rule(licenses.NAME, "digits", r"\d+ \d+", ()),))
+    assert [d[3] for d in scanner.scan("12 34")["found"]] == ["digits"]
+
+
 def test_license_settling():
     rules = licenses.rules()
     assert len(rules) > 400 and all(r.keywords for r in rules)
