@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gazette.operators.dedup import month_first
 
 RETENTION_DAYS = 90
+HEADLINES = "year_month string, date date, category string, seq long, title string, gist string, source string, link string"
 
 
 def expired(days: DataFrame, today: Column, keep: int = RETENTION_DAYS) -> DataFrame:
@@ -50,9 +51,7 @@ def compact(spark, snapshots: DataFrame, archive: str, today: Column, keep: int
     days = [r["date"].isoformat() for r in old.select("date").distinct().orderBy("date").collect()]  # days, not articles
     if not days:
         return []
-    schema = "year_month string, date date, category string, seq long, title string, gist string, source string, link string"
-    headlines = _table(spark, f"{archive}/headlines", schema)
-    merged = stage(new_headlines(articles(old), headlines), "archive-headlines")
+    merged = stage(new_headlines(articles(old), headlines(spark, archive)), "archive-headlines")
     kept = _table(spark, f"{archive}/picks", "year_month string, date string, market string, horizon string, symbol string, name string, reason string, price_at_pick double")
     fresh = picks(old).join(kept.select("date").distinct(), "date", "left_anti")
     all_picks = stage(kept.join(fresh.select("year_month").distinct(), "year_month", "left_semi").unionByName(fresh), "archive-picks")
@@ -73,10 +72,14 @@ def month_counts(headlines: DataFrame) -> DataFrame:
     return headlines.groupBy("year_month", "category").agg(F.count(F.lit(1)).alias("article_count"))
 
 
+def headlines(spark, archive: str) -> DataFrame:
+    """All headlines of the month tables; empty if there are none yet."""
+    return _table(spark, f"{archive}/headlines", HEADLINES)
+
+
 def month_summary(spark, archive: str, year_month: str) -> DataFrame:
     """A month's headlines, pruned to its partition; empty if there are none."""
-    schema = "year_month string, date date, category string, seq long, title string, gist string, source string, link string"
-    return _table(spark, f"{archive}/headlines", schema).where(F.col("year_month") == year_month)
+    return headlines(spark, archive).where(F.col("year_month") == year_month)
 
 
 INDEX = "date string, categories array<struct<name:string,path:string>>"

@@ -53,6 +53,26 @@ def _strip(sql: str) -> str:
     return f"regexp_replace({sql}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
+def _decoded(sql: str) -> str:
+    """DuckDB: the entities that the tables hold, as characters."""
+    for entity, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"')):
+        sql = f"replace({sql}, '{entity}', '{char}')"
+    return f"regexp_replace({sql}, '&amp;?', '&', 'g')"
+
+
+def _cleaned(sql: str) -> str:
+    """DuckDB: text.clean_html()."""
+    wrapper = "(?is)^\\s*<a[^>]*>.*?</a>\\s*(?:&nbsp;)+\\s*<font[^>]*>.*?</font>\\s*$"
+    return _decoded(f"CASE WHEN regexp_matches({sql}, '{wrapper}') THEN '' ELSE regexp_replace({sql}, '<[^<]+?>', '', 'g') END")
+
+
+def _without_title(summary: str, title: str) -> str:
+    """DuckDB: text.strip_title_prefix()."""
+    s, t = _strip(summary), _strip(title)
+    rest = _strip(f"regexp_replace(substr({s}, length({t}) + 1), '^[ \\x{{A0}}–—:·-]+', '')")
+    return f"CASE WHEN {summary} <> '' AND {t} <> '' AND starts_with({s}, {t}) THEN {rest} ELSE {summary} END"
+
+
 def _latest(df: DataFrame, column: str):
     """The latest value of a column of df, as a scalar subquery."""
     return df.agg(F.max(column)).scalar()
@@ -102,10 +122,9 @@ def prose_score(spark, d):
     return load(spark, d, "documents").select("doc_id", text.needs_body(t).alias("needs_body"), text.prose_score(t).alias("prose"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, text, {_TITLE} AS title FROM documents),
-                c AS (SELECT *, {_strip('title')} AS t, {_strip('text')} AS s FROM t)
-           SELECT doc_id, left(text, 80) AS gist, CASE WHEN t <> '' AND starts_with(s, t) THEN {_strip("regexp_replace(substr(s, length(t) + 1), '^[  –—:·-]+', '')")} ELSE text END AS rest,
-                  {_strip("regexp_replace(title || ' - ' || source, '[ \\t\\n\\x0B\\f\\r]+-[ \\t\\n\\x0B\\f\\r]+[^-]{1,30}$', '')")} AS title FROM c JOIN documents USING (doc_id, text)""")
+@query(f"""WITH t AS (SELECT doc_id, text, {_TITLE} AS title FROM documents)
+           SELECT doc_id, left(text, 80) AS gist, {_without_title('text', 'title')} AS rest,
+                  {_strip("regexp_replace(title || ' - ' || source, '[ \\t\\n\\x0B\\f\\r]+-[ \\t\\n\\x0B\\f\\r]+[^-]{1,30}$', '')")} AS title FROM t JOIN documents USING (doc_id, text)""")
 def gist_projection(spark, d):
     """The archive's gist (a prefix, as the archive keeps it), the text without its title, and the title without its source."""
     one = load(spark, d, "documents").withColumn("title", text.first_sentence(F.col("text")))
@@ -326,6 +345,25 @@ _ENTRIES = f"""WITH {_PRICES},
 _R = "floor({} * 10000 + 0.5) / 10000"
 
 
+@query(f"""WITH {_PRICES}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS i FROM p)
+           SELECT symbol, date::VARCHAR AS date, floor(close) AS close, volume FROM n WHERE i <= 30""")
+def price_pages(spark, d):
+    """The newest prices of each brand as pages of ten rows, in files; scanned page by page up to three, and read from their tables."""
+    from gazette.sinks import files
+    from gazette.sources import market
+
+    newest = Window.partitionBy("symbol").orderBy(F.col("date").desc())
+    p = _prices(spark, d).withColumn("n", F.row_number().over(newest) - 1).where("n < 40")  # a page more than is scanned
+    row = F.concat(F.lit("<tr><td>"), F.date_format("date", "yyyy.MM.dd"), F.lit('</td><td class="num"><span>'), F.format_number(F.floor("close"), 0), F.lit("</span></td><td>-</td><td>"), F.format_number("volume", 0), F.lit("</td></tr>"))
+    tables = p.groupBy("symbol", F.floor(F.col("n") / 10).alias("page")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("n", row.alias("r"))))["r"], "").alias("rows"))
+    code = F.replace("symbol", F.lit("Brand#"), F.lit("b"))
+    pages = tables.select(F.concat(code, F.lit("-"), (F.col("page") + 1).cast("string"), F.lit(".html")).alias("path"), F.concat(F.lit("<table><tr><th>date</th></tr>"), "rows", F.lit("</table>")).alias("content"))
+    folder = new_path(spark, "price-pages")
+    files.write_pages(pages, folder)
+    scanned = market.scan(p.select(code.alias("symbol")).distinct(), folder + "/{symbol}-{page}.html", at_once=4)
+    return market.price_rows(scanned).select(F.replace("symbol", F.lit("b"), F.lit("Brand#")).alias("symbol"), F.col("date").cast("string").alias("date"), "close", "volume")
+
+
 @query(f"{_ENTRIES} SELECT symbol, {_R.format('daily')} AS daily, {_R.format('weekly')} AS weekly, {_R.format('monthly')} AS monthly FROM e")
 def pct_change_clamped(spark, d):
     e = series.candidates(_prices(spark, d), ["symbol"])
@@ -387,15 +425,26 @@ def direction_label(spark, d):
 # --- archive
 
 
-@query("""WITH k AS (SELECT o_orderkey, o_orderpriority AS category, o_orderdate::DATE AS day, strftime(o_orderdate, '%Y-%m') AS ym, 'title ' || (o_custkey % 50)::VARCHAR AS title FROM orders
+@query("""WITH k AS (SELECT o_orderpriority AS category, o_orderdate::DATE AS day, strftime(o_orderdate, '%Y-%m') AS year_month, 'title' || (o_custkey % 50)::VARCHAR AS title FROM orders
                      WHERE o_orderdate::DATE < (SELECT max(o_orderdate)::DATE - 90 FROM orders)),
-          f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY ym, category, title ORDER BY day, o_orderkey) = 1)
-          SELECT ym, category, count(*) AS article_count, min(o_orderkey) AS first_key, count(DISTINCT day) AS days FROM f GROUP BY ym, category""")
+          f AS (SELECT year_month, category, title, min(day) AS day FROM k GROUP BY ALL)
+          SELECT year_month, category, count(*) AS article_count, count(DISTINCT day) AS days FROM f GROUP BY year_month, category""")
 def month_compaction(spark, d):
+    """Daily snapshots (of up to 256 orders a file) compacted into month tables, twice: the second run finds the days included and changes nothing."""
+    from gazette.plans import archive
+    from gazette.sources import snapshots
+
     o = _dated(spark, d)
-    old = o.where(F.col("day") < F.date_sub(_latest(o, "day"), 90)).select("o_orderkey", F.col("o_orderpriority").alias("category"), "day", dates.month_key(F.col("day")).alias("ym"), F.concat(F.lit("title "), (F.col("o_custkey") % 50).cast("string")).alias("title"))
-    first = dedup.month_first(old, ["ym", "category"], ["day", "o_orderkey"])
-    return first.groupBy("ym", "category").agg(F.count(F.lit(1)).alias("article_count"), F.min("o_orderkey").alias("first_key"), F.count_distinct("day").alias("days"))
+    item = F.struct(F.concat(F.lit("Title "), (F.col("o_custkey") % 50).cast("string")).alias("title"), F.concat(F.lit("https://x/"), F.col("o_orderkey").cast("string")).alias("link"))
+    entries = o.groupBy(F.col("day").alias("date"), F.expr("o_orderkey div 256").alias("file"), "o_orderpriority").agg(F.to_json(F.collect_list(item)).alias("entry"))
+    files = entries.groupBy("date", "file").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "entry"))).alias("categories"))
+    days = stage(files.select("date", "categories", F.lit(None).cast(f"map<string,map<string,array<{snapshots.PICK}>>>").alias("stock_picks")), "snapshots")
+    folder = new_path(spark, "archive")
+    for _ in range(2):
+        archive.compact(spark, days, folder, F.lit(o.agg(F.max("day")).first()[0]))
+    headlines = archive.headlines(spark, folder)
+    counts = archive.month_counts(headlines)
+    return counts.join(headlines.groupBy("year_month", "category").agg(F.count_distinct("date").alias("days")), ["year_month", "category"])
 
 
 @query("""WITH m AS (SELECT max(o_orderdate)::DATE - 90 AS cutoff FROM orders)
@@ -423,7 +472,7 @@ def html_strip(spark, d):
     return load(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
-@query()
+@query(f"SELECT page_id, {_cleaned('html')} AS text FROM pages")
 def html_clean(spark, d):
     return load(spark, d, "pages").select("page_id", text.clean_html(F.col("html")).alias("text"))
 
@@ -647,7 +696,33 @@ def _now(spark: SparkSession, d: str):
     return _latest(last, "t")
 
 
-@query()
+_EDITION = f"""WITH RECURSIVE {_ARTICLES},
+    fresh AS (SELECT * FROM a WHERE (article_seq % 1000 = 999 OR published >= (SELECT max(published) - INTERVAL 3 DAY FROM a))
+              AND NOT regexp_matches(title, '^\\s*[0-9]{{1,2}}월\\s*[0-9]{{1,2}}일\\s*(궂긴\\s*소식|인사|동정|부고|알림|일정)\\s*$')),
+    keyed AS (SELECT *, regexp_replace(lower({_strip('title')}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM fresh),
+    once AS (SELECT *, min(article_seq) OVER (PARTITION BY category, region, k) AS pos, length(summary) AS len, list_sort(list_distinct(regexp_extract_all(title, '[가-힣A-Za-z0-9]{{2,}}'))) AS w
+             FROM keyed QUALIFY row_number() OVER (PARTITION BY category, region, k ORDER BY length(summary) DESC, article_seq) = 1),
+    d AS (SELECT *, row_number() OVER (PARTITION BY category, region, source ORDER BY pos) AS i FROM once),
+    p AS (SELECT a.category, a.region, a.source, a.pos AS a, b.pos AS b FROM d a JOIN d b ON (a.category, a.region, a.source) = (b.category, b.region, b.source) AND a.pos < b.pos
+          WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.5 * len(list_distinct(list_concat(a.w, b.w)))),
+    s AS (SELECT category, region, source, 0 AS i, []::BIGINT[] AS kept FROM d GROUP BY ALL
+          UNION ALL SELECT s.category, s.region, s.source, s.i + 1, CASE WHEN EXISTS (SELECT 1 FROM p WHERE (p.category, p.region, p.source) = (s.category, s.region, s.source) AND p.b = d.pos AND list_contains(s.kept, p.a))
+              THEN s.kept ELSE list_append(s.kept, d.pos) END FROM s JOIN d ON (s.category, s.region, s.source) = (d.category, d.region, d.source) AND d.i = s.i + 1),
+    k AS (SELECT category, region, source, unnest(kept) AS kept_pos FROM s QUALIFY row_number() OVER (PARTITION BY category, region, source ORDER BY i DESC) = 1),
+    m AS (SELECT category, region, kept_pos, kept_pos AS pos FROM k
+          UNION ALL SELECT p.category, p.region, min(a), b FROM p JOIN k ON (k.category, k.region, k.source, k.kept_pos) = (p.category, p.region, p.source, p.a)
+              WHERE (p.category, p.region, b) NOT IN (SELECT (category, region, kept_pos) FROM k) GROUP BY p.category, p.region, p.source, b),
+    near AS (SELECT once.*, kept_pos FROM m JOIN once USING (category, region, pos) QUALIFY row_number() OVER (PARTITION BY category, region, source, kept_pos ORDER BY len DESC, pos) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY category, region, source ORDER BY published DESC, kept_pos) AS r, max(published) OVER (PARTITION BY category, region, source) AS newest,
+               min(kept_pos) OVER (PARTITION BY category, region, source) AS first FROM near),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY category, region ORDER BY r, newest DESC, first) AS position FROM ranked WHERE r <= 20 QUALIFY position <= 20),
+    clean AS (SELECT * REPLACE ({_cleaned('summary')} AS summary) FROM placed),
+    done AS (SELECT * REPLACE ({_without_title('summary', 'title')} AS summary) FROM clean)
+    SELECT article_seq, category, region, position::INT AS position, {_any_of([w for x in text.IMPORTANT.values() for w in x], "lower(title || ' ' || summary)")} AS is_important,
+           category = 'it' AND {_any_of(text.AI_WORDS, "lower(' ' || title || ' ' || summary || ' ')")} AS is_ai, true AS llm_failed, title, summary FROM done"""
+
+
+@query(_EDITION)
 def daily_edition(spark, d):
     """Filters, deduplication, balance and the rules in place of a model, over the articles of the last days."""
     from gazette.plans import daily
@@ -731,7 +806,11 @@ def stock_candidates(spark, d):
     return e.select("market", "symbol", F.count(F.lit(1)).over(Window.partitionBy("market")).alias("n"))
 
 
-@query()
+@query(f"""{_ENTRIES}, m AS (SELECT *, CASE WHEN symbol < 'Brand#3' THEN 'domestic' ELSE 'overseas' END AS market FROM e),
+           u AS (SELECT market, symbol, volume_ratio, 'daily' AS horizon, daily AS change_pct FROM m UNION ALL SELECT market, symbol, volume_ratio, 'weekly', weekly FROM m UNION ALL SELECT market, symbol, volume_ratio, 'monthly', monthly FROM m),
+           r AS (SELECT *, row_number() OVER (PARTITION BY market, horizon ORDER BY change_pct DESC, symbol) AS rank FROM u WHERE change_pct IS NOT NULL QUALIFY rank <= 2)
+           SELECT market, horizon, rank::INT AS rank, symbol, '최근 등락률 ' || printf('%+.1f%%', change_pct) || CASE WHEN volume_ratio IS NULL THEN '' ELSE ', 거래량 평균 대비 ' || (floor(volume_ratio * 100 + 0.5) / 100)::VARCHAR || '배' END
+                  || ' 흐름을 보이고 있습니다.' AS reason FROM r""")
 def stock_reasons(spark, d):
     from gazette.plans import model
 
