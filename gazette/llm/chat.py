@@ -116,9 +116,10 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
     template = template or Template()
     small_batches(turns.sparkSession)
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ready = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), escaped(role, template).alias("own"), escaped(text, template).alias("text"), text.alias("plain"))
-    # The order of ties needs the plain text; where turn numbers differ the sort never looks at it.
-    ordered = ready.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_last(), "role", "plain").drop("plain", "turn")
+    ready = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), escaped(role, template).alias("own"), escaped(text, template).alias("text"))
+    # Ties are in the order of the plain texts, which the sort makes of the escaped ones only where turns and roles are equal.
+    plain = F.regexp_replace("text", r"(?s)\\(.)", "$1")
+    ordered = ready.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_last(), "role", plain).drop("turn")
     return ordered.mapInArrow(_format(template), SEGMENTS)
 
 
