@@ -37,7 +37,7 @@ BASE = {
 #: Instances: tokens with digits. Their least length and number of digits.
 TOKEN, LENGTH, DIGITS = r"(?<!\S)\S*[0-9]\S*", 5, 2
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 500_000  # of a million
-#: Words beside instances that are broadcast at most (some 20 bytes each); more of them go by a filter of fixed size.
+#: Words beside instances whose hashes are broadcast at most (8 bytes each); more of them go by a filter of fixed size.
 BROADCAST_ROWS = 500_000
 _BLOCK = 32
 
@@ -108,10 +108,11 @@ def word_counts(docs: DataFrame, words: DataFrame) -> DataFrame:
     plain = F.regexp_replace(F.lower(text_of()), r"[^\p{L}\p{N}:#\s]+", "")
     each = docs.select(F.explode(F.split(plain, r"\s+")).alias("word"))
     if words.count() <= BROADCAST_ROWS:
-        each = each.join(F.broadcast(words), "word", "left_semi")
+        # Hashes, so that the size is bound whatever the words' lengths; a word let through by another's hash is sorted out below.
+        each = each.join(F.broadcast(words.select(F.xxhash64("word").alias("hash")).distinct()), F.xxhash64("word") == F.col("hash"), "left_semi")
     else:
-        each = mark_possible(each, stage(key_filter(words, "word"), "pii-filter"), "word", "near").where("near").join(words, "word", "left_semi")
-    return each.groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+        each = mark_possible(each, stage(key_filter(words, "word"), "pii-filter"), "word", "near").where("near").drop("near")
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("total")).join(words, "word", "left_semi")
 
 
 def accepted_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
