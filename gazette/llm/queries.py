@@ -82,6 +82,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, which would be one conversation with a real -1: its turns and that one's in their order."""
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -124,6 +125,16 @@ def _sql_words(table: str, key: str) -> str:
               FROM (SELECT DISTINCT {key}, coalesce(text, '') AS text FROM {table} WHERE {key} IS NOT NULL))"""
 
 
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1_licenses: its words and base phrases."""
+    return op1_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2_pii: how many spans of each base kind there are."""
+    return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_pii": op2_pii,
@@ -135,9 +146,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "license_places": license_places,
+    "pii_counts": pii_counts,
 }
 
 ORACLE: dict[str, str] = {
+    "license_places": r"""
+        WITH p(phrase, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+        w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        places AS (SELECT row, label, i - 1 AS place FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM w) JOIN p ON words[i : i + len(phrase) - 1] = phrase)
+        SELECT any_value(doc_id) AS doc_id, any_value(len(words)) AS n_words, count(label) AS n_base, min(place) AS first_word, max(place) AS last_word,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+        FROM w LEFT JOIN places USING (row) GROUP BY row""",
+    "pii_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ip,
+                  list_transform(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+                  list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM d)
+        SELECT doc_id, len(email) AS n_email,
+               len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS INTEGER), 0) > 255)) = 0)) AS n_ip,
+               len(list_filter(card, lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i:
+                   CASE WHEN i % 2 = 1 THEN substr(x, length(x) - i + 1, 1)::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(x, length(x) - i + 1, 1)::INT + 1] END)) % 10 = 0)) AS n_card,
+               len(list_filter(phone, lambda x: length(x) BETWEEN 10 AND 15)) AS n_phone FROM m""",
     # Each word of an item is laid on each equal one of a document; a window stands where all its words do.
     "op3_decontaminate": f"""
         WITH d AS ({_sql_words('documents', 'doc_id')}),

@@ -10,7 +10,8 @@ Workers remember the input projections of words, up to a bound; the recurrent pa
 thousands of windows at once. Memory follows the batch, not the text: windows are made in blocks.
 
 Training sample (a documented bound): at most MAX_POSITIVE and MAX_NEGATIVE labelled rows of
-up to MAX_CHARS characters, those with the smallest hashes of doc_id. Every document is scored, whole: words of more than
+up to MAX_CHARS characters, those with the smallest hashes of doc_id; of its words the VOCABULARY commonest and of its
+n-grams the NGRAMS commonest have weights, if two documents or more have them. Every document is scored, whole: words of more than
 LONG characters (scripts without spaces, glued text) are pieces that overlap, each a word of the windows.
 
 Defined cases. Null text: the empty text; empty texts get the score of an empty window. Null

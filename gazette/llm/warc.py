@@ -31,6 +31,8 @@ from gazette.staging import new_path, small_batches, stage
 MAGIC = 0x184D2A5D
 #: The dictionary: its size, and how many records and bytes it is built from at most.
 DICTIONARY, SAMPLES, SAMPLE_BYTES = 16_384, 200, 2_000_000
+#: Bytes of a record that the dictionary is trained on; records themselves are always whole.
+SAMPLED = 20_000
 #: Shorter payloads are always stored.
 LEAST_REVISIT = 100
 LEVEL, DATE = 3, "2000-01-01T00:00:00Z"
@@ -84,7 +86,7 @@ def write_archive(out, records: Iterator[bytes]) -> int:
         held += len(r)
         if len(first) >= SAMPLES or held >= SAMPLE_BYTES:
             break
-    built = dictionary([x[:20_000] for x in first])
+    built = dictionary([x[:SAMPLED] for x in first])
     packed = zstandard.ZstdCompressor(level=LEVEL).compress(built.as_bytes())
     out.write(struct.pack("<II", MAGIC, len(packed)) + packed)
     built.precompute_compress(level=LEVEL)

@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gazette.llm import licenses, pieces, pii, token_counts
-from gazette.llm.queries import op1_licenses, op2_pii, op4_sentencepiece, op5_token_counts, tokenizer
+from gazette.llm.queries import ORACLE, QUERIES, op1_licenses, op2_pii, op4_sentencepiece, op5_token_counts, tokenizer
+from tests.test_catalog import assert_same
 
 PIECES, BYTES = tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.tiktoken")
 MIXED = st.text(alphabet=st.sampled_from(list("aethiongr  \n\t.▁é中😀\x000")), max_size=60)
@@ -260,6 +261,11 @@ def test_pii_odd(odd, empty):
     assert pii.find_personal_data(odd).count() == 9 and pii.find_personal_data(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["license_places", "pii_counts"])
+def test_base_columns_against_sql(spark, sf, name):
+    assert_same(QUERIES[name](spark, sf), ORACLE[name], sf)
+
+
 # --- pieces
 
 
