@@ -731,6 +731,68 @@ def daily_edition(spark, d):
     return daily.edition(a, None, None, _now(spark, d)).select("article_seq", "category", "region", "position", "is_important", "is_ai", "llm_failed", "title", "summary")
 
 
+def _answers(rules: str, prompt: str) -> str:
+    """In place of a model: rewrites articles 1 and from 5 on, leaves 2 out, gives 3 no summary and 4 no number; the answer is cut off behind the last of them."""
+    import json
+
+    ids = [int(line.partition(".")[0]) for line in prompt.split("\n")]
+    items = [{"id": "four" if i == 4 else i, "paraphrased_title": f"item &amp; {i}", "summary_250": "" if i == 3 else "short", "is_important": i % 2 == 1, "exclude": i == 2} for i in ids]
+    return "Here: " + json.dumps(items)[:-1] + ', {"id": 9'
+
+
+def _again(rules: str, prompt: str) -> str:
+    import json
+
+    return json.dumps([{"id": int(line.partition(".")[0]), "paraphrased_title": "again", "summary_250": "later", "is_important": False} for line in prompt.split("\n")])
+
+
+@query(f"""WITH {_ARTICLES}, n AS (SELECT *, (row_number() OVER (PARTITION BY category, region ORDER BY article_seq) - 1) % CASE region WHEN 'overseas' THEN 3 ELSE 8 END + 1 AS id FROM a)
+           SELECT article_seq, CASE WHEN id IN (3, 4) THEN 'again' ELSE 'item & ' || id::VARCHAR END AS title, id NOT IN (3, 4) AND id % 2 = 1 AS is_important, false AS llm_failed, title AS original_title FROM n WHERE id <> 2""")
+def model_summaries(spark, d):
+    """All documents in requests of eight or three, answered by a function in place of a model; what fails is asked for once more."""
+    from gazette.plans import model
+
+    a = _articles(spark, d)
+    limits = {"clock": model.new_clock(spark), "at_once": 8}
+    done = stage(model.summarized(a, _answers, **limits), "summaries")
+    return model.with_retry(a, done, _again, **limits).select("article_seq", "title", "is_important", "llm_failed", "original_title")
+
+
+@query("""WITH e AS (SELECT event_id, event_type, ts::DATE AS day FROM events QUALIFY row_number() OVER (PARTITION BY ts::DATE, event_type ORDER BY ts DESC, event_id) <= 20), m AS (SELECT max(day) AS day FROM e)
+          SELECT DISTINCT 'https://x/e?id=' || (event_id // 2)::VARCHAR AS canonical_link, e.day::VARCHAR AS date FROM e, m WHERE e.day < m.day AND e.day >= m.day - 7""")
+def snapshot_links(spark, d):
+    """Daily snapshot files of the newest twenty events of each type, in both shapes and beside files that are none; the links of the last seven days before the newest."""
+    from gazette.sinks import files
+    from gazette.sources import snapshots
+
+    e = _events(spark, d).withColumn("day", F.to_date("ts"))
+    best = ranking.top_of_each(e, ["day", "event_type"], [F.col("ts").desc(), F.col("event_id")], 20)
+    item = F.struct(F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"), F.concat(F.lit("https://x/e/?utm_source=q&id="), F.expr("event_id div 2").cast("string"), F.lit("#top")).alias("link"))
+    lists = best.groupBy("day", "event_type").agg(F.collect_list(item).alias("l"))
+    entry = F.when(F.col("event_type") < "m", F.to_json("l")).otherwise(F.to_json(F.struct(F.col("l").alias("domestic"))))
+    cats = lists.select("day", F.concat(F.lit('"'), "event_type", F.lit('":'), entry).alias("c")).groupBy("day").agg(F.array_join(F.collect_list("c"), ",").alias("c"))
+    pages = cats.select(F.concat(F.date_format("day", "yyyy/MM/dd"), F.lit(".json")).alias("path"), F.concat(F.lit('{"date":"'), F.col("day").cast("string"), F.lit('","categories":{'), "c", F.lit("}}")).alias("content"))
+    odd = spark.createDataFrame([("notes.json", "{}"), ("2024/01/99.json", '{"categories":{}}'), ("2024/01/readme.txt", "x"), ("2023/12/31.json", "{broken")], "path string, content string")
+    folder = new_path(spark, "snapshot-tree")
+    files.write_pages(pages.unionByName(odd), folder)
+    last = _latest(e, "day")
+    return snapshots.recent_links(snapshots.read(spark, folder), last).select("canonical_link", F.col("date").cast("string").alias("date"))
+
+
+@query(f"""WITH {_ARTICLES}, i AS (SELECT *, {_any_of([w for x in text.IMPORTANT.values() for w in x], "lower(title || ' ' || summary)")} AS important FROM a),
+           b AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY category ORDER BY important DESC, published DESC, article_seq) <= 3)
+           SELECT row_number() OVER (ORDER BY published DESC, article_seq) AS place, category, title, summary, published FROM b""")
+def feed_document(spark, d):
+    """The day's RSS file, and its items as Spark reads them from the XML."""
+    from gazette.sinks import render
+
+    a = _articles(spark, d)
+    page = render.feed_xml(a.withColumn("is_important", text.is_important(F.col("title"), F.col("summary"))), "https://site.example")
+    body = F.regexp_extract("content", "(?s)(<channel>.*</channel>)", 1)
+    items = page.select(F.posexplode(F.from_xml(body, "item array<struct<title:string,description:string,category:string,pubDate:string>>", {"ignoreSurroundingSpaces": "false"})["item"]).alias("n", "i"))
+    return items.select((F.col("n") + 1).cast("long").alias("place"), "i.category", "i.title", F.col("i.description").alias("summary"), dates.parse_date(F.col("i.pubDate")).cast("timestamp_ntz").alias("published"))
+
+
 def _blurb(column: str, limit: int) -> str:
     """DuckDB: text.trim_at_boundary()."""
     t, w = _strip(column), f"left({_strip(column)}, {limit})"
@@ -863,13 +925,17 @@ def key_report(spark, d):
 
 
 @query("""WITH i AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders), gone AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderdate::DATE < (SELECT max(o_orderdate)::DATE - 90 FROM orders))
-          SELECT date FROM i WHERE date NOT IN (SELECT date FROM gone)""")
+          SELECT date, row_number() OVER (ORDER BY date DESC) AS place, date || '.html' AS path FROM i WHERE date NOT IN (SELECT date FROM gone)""")
 def archive_index_cleanup(spark, d):
+    """The archive's index file without the days that are past retention, read back in its order."""
     from gazette.plans import archive
+    from gazette.sinks import render
 
     o = _dated(spark, d)
-    index = o.select(F.col("day").cast("string").alias("date")).distinct()
-    return archive.without_days(index, archive.expired(o.select(F.col("day").alias("date")), _latest(o, "day")))
+    index = o.select(F.col("day").cast("string").alias("date")).distinct().withColumn("categories", F.array(F.struct(F.lit("it").alias("name"), F.concat("date", F.lit(".html")).alias("path"))))
+    page = render.archive_index(archive.without_days(index, archive.expired(o.select(F.col("day").alias("date")), _latest(o, "day"))))
+    read = page.select(F.posexplode(F.from_json("content", f"array<struct<{archive.INDEX.replace(' ', ':', 1).replace(', categories ', ',categories:')}>>")).alias("n", "e"))
+    return read.select("e.date", (F.col("n") + 1).cast("long").alias("place"), F.col("e.categories")[0]["path"].alias("path"))
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (value <= 0) AS empty, count(*) FILTER (event_type = 'view') AS views FROM events")

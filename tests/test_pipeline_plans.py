@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.plans import archive, daily, intraday, model
 from gazette.sinks import files, render
-from gazette.sources import market, registry, rss, snapshots
+from gazette.sources import market, pages, registry, rss, snapshots
 from gazette.streaming import refresh
 
 NOW = dt.datetime(2026, 8, 14, 0, 0)
@@ -248,6 +248,17 @@ def test_market_scan(spark):
     assert market.scan(series, "https://x/day?{symbol},{page}", fetch=fetch, encoding="euc-kr", budget=-1).count() == 0
 
 
+def test_pages_fail_alone(spark):
+    def fetch(url):
+        if url.endswith("2"):
+            raise OSError("down")
+        return f"<p>{url}</p>".encode()
+
+    links = spark.createDataFrame([(f"https://x/{i}",) for i in (1, 2, 3, 3)] + [("",), (None,)], "link string")
+    assert {r["link"]: r["html"] for r in pages.fetched(links, fetch).collect()} == {f"https://x/{i}": f"<p>https://x/{i}</p>" for i in (1, 3)}
+    assert pages.fetched(links, fetch, budget=-1).count() == 0
+
+
 def test_chart_rows(spark):
     one = {"meta": {"symbol": "AAPL"}, "timestamp": [1786600800, 1786687200], "indicators": {"quote": [{"close": [1.5, None], "volume": [10, 20]}]}}
     df = spark.createDataFrame([(json.dumps({"chart": {"result": [one]}}),), ("{",), ('{"chart": {"result": null}}',)], "json string")
