@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.staging import stage
+from gazette.staging import discard, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = stage(small.distinct(), "links")
+        discard(edges)
         # Done when every link is the only one of its upper node, and no lower node is an upper one.
         uppers = new.select("u")
         many = new.groupBy("u").count().where("count > 1").isEmpty()
