@@ -13,11 +13,12 @@ Defined cases. Null text: the empty text, fingerprint 0. Null doc_id: a row like
 other, never the smallest id. Repeated rows: same fingerprint, same component. Empty
 table: empty result. Other columns are ignored. Texts are read whole.
 
-drop_near_duplicates(), the pipeline's stage (rows that share a doc_id are one document to it, and stay or go together), has another contract: texts are near copies from a Jaccard similarity of
-SIMILAR of their sets of NEAR_SHINGLE-word shingles on. These often differ in 4 to 11 bits, a radius at which the tiles
-would rule out next to nothing. Its candidates are documents that agree in one of BANDS bands of MinHash values; each
-is linked to the smallest id of its band, and every link is verified on the whole texts. A pair at the threshold shares
-a band with a probability of 0.99995.
+drop_near_duplicates(), the pipeline's stage (rows that share a doc_id are one document to it, and stay or go together), has
+another contract: texts are near copies from a Jaccard similarity of SIMILAR of their sets of NEAR_SHINGLE-word shingles on.
+The tiles above give candidates within RADIUS bits; but near copies often differ in 4 to 11 bits, a radius at which tiles would
+rule out next to nothing. So documents that agree in one of BANDS bands of MinHash values are candidates too; a pair at the
+threshold shares a band with a probability of 0.99995. Candidates are links to the smallest id of a band or fingerprint, and
+every link is verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -213,12 +214,14 @@ def bands(own: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, BAND))]
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [np.unique(shingles(t.as_py() or b"", NEAR_SHINGLE)) for t in b.column("text").cast(pa.binary())]
+        texts = [t.as_py() or b"" for t in b.column("text").cast(pa.binary())]
+        sets = [np.unique(shingles(t, NEAR_SHINGLE)) for t in texts]
         keys = np.array([bands(x) for x in sets], np.uint64).reshape(-1).view(np.int64)
         keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), keys], ["doc_id", "n", "keys"])
+        prints = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), prints, keys], ["doc_id", "n", "fp", "keys"])
     tidy()
 
 
@@ -241,15 +244,27 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
+def near_candidates(sketches: DataFrame) -> DataFrame:
+    """a, b (doc_ids): what may be near copies: documents whose fingerprints are equal or within the radius, as the tiles find them, and
+    documents that agree in a band; both as links to the smallest id of a fingerprint or band, so that there are no more than documents times BANDS + 1."""
+    prints = stage(sketches.groupBy("fp").agg(F.min(F.struct("doc_id", "n")).alias("first")), "near-prints")
+    equal = sketches.join(prints, "fp").select("first", "doc_id", "n")
+    side = lambda x: prints.select(F.col("fp").alias(x), F.col("first").alias(f"of_{x}"))
+    tiled = links(prints.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.least("of_a", "of_b").alias("first"), F.greatest("of_a", "of_b").alias("other")).select("first", "other.doc_id", "other.n")
+    rows = sketches.select("doc_id", "n", F.explode("keys").alias("key"))
+    groups = stage(rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last").select("key", "first"), "near-groups")
+    banded = rows.join(groups, "key").select("first", "doc_id", "n")
+    # Sets whose sizes differ too much cannot be similar enough; the bound is a little lower, for the division.
+    near = equal.unionByName(tiled).unionByName(banded).where(f"doc_id <> first.doc_id and least(n, first.n) >= {SIMILAR - 1e-6} * greatest(n, first.n)")
+    return near.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame) -> DataFrame:
-    """a, b: verified links (doc_ids, a the smaller) between near copies, for each band they share at most one a document."""
+    """a, b: verified links (doc_ids, a the smaller) between near copies."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = stage(own.mapInArrow(_banded, "doc_id long, n long, keys array<long>").select("doc_id", "n", F.explode("keys").alias("key")), "near-bands")
-    groups = stage(rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last").select("key", "first"), "near-groups")
-    # Sets whose sizes differ too much cannot be similar enough; the bound is a little lower, for the division.
-    near = rows.join(groups, "key").where(f"doc_id <> first.doc_id and least(n, first.n) >= {SIMILAR - 1e-6} * greatest(n, first.n)")
-    pairs = stage(near.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-pairs")
+    sketches = stage(own.mapInArrow(_sketched, "doc_id long, n long, fp long, keys array<long>"), "near-sketches")
+    pairs = stage(near_candidates(sketches), "near-pairs")
     # The first text of a star goes out once for each STAR links, so that no task has to verify all of a large one.
     stars = stage(pairs.groupBy("a").agg(F.expr(f"count(*) div {STAR} + 1").alias("parts")), "near-stars")
     pairs = pairs.join(stars, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
