@@ -51,6 +51,10 @@ class Rule:
 _PART = re.compile(r"(?P<group>\((?:[^()]|\([^()]*\))*\))(?P<times>[?*+]|\{\d+,?\d*\})?|\[[^\]]*\][?*+]?|\\w[?*+]?|[\w ][?*]")
 
 
+#: Words that tell little of a license, as texts of all kinds hold them.
+ORDINARY = {"only", "later", "newer", "version", "license", "licence", "licen", "public", "software", "open", "general", "details", "under", "terms", "this"}
+
+
 def _alternatives(pattern: str) -> list[str]:
     depth, start, parts = 0, 0, []
     for i, c in enumerate(pattern + "|"):
@@ -62,7 +66,7 @@ def _alternatives(pattern: str) -> list[str]:
 
 
 def _keywords(pattern: str) -> tuple[str, ...]:
-    """For each alternative of a pattern a word, or those of a group's alternatives, that every match holds; the longest there are. None if one has none."""
+    """For each alternative of a pattern a word, or those of a group's alternatives, that every match holds; the longest there are, of ordinary words last. None if one has none."""
     found: list[str] = []
     for part in _alternatives(pattern):
         choices = [(w,) for w in _PART.sub("\0", part).replace("\0", " ").split() if len(w) > 1]
@@ -72,7 +76,7 @@ def _keywords(pattern: str) -> tuple[str, ...]:
         choices = [c for c in choices if c]
         if not choices:
             return ()
-        found += max(choices, key=lambda c: min(map(len, c)))
+        found += max(choices, key=lambda c: (not ORDINARY & {*c}, min(map(len, c))))
     return tuple(dict.fromkeys(found))
 
 
