@@ -25,6 +25,7 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ EPOCHS, BATCH, RATE = 10, 128, 0.02
 STEPS, MOST = 200, 4
 #: Words that a worker remembers, and windows that run at once.
 REMEMBERED, BLOCK = 250_000, 1024
+#: New words whose projections are made at once.
+LEARNT = 4096
 PAD = 0
 #: Characters of a word at most; texts without spaces are pieces of this length.
 LONG = 64
@@ -184,10 +187,11 @@ class Classifier:
 
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word rows, and n-gram rows of all words in a line with each one's count."""
-        grams = [[self.grams[x] for x in ngrams(w) if x in self.grams] or [0] for w in words]
+        row, known = self.grams.get, self.vocabulary.get
+        grams = [list(filter(None, map(row, ngrams(w)))) or [0] for w in words]  # rows of n-grams begin at 1
         sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-        flat = np.fromiter((x for g in grams for x in g), np.int32, int(sizes.sum()))
-        return np.array([self.vocabulary.get(w, 1) for w in words], np.int64), flat, sizes
+        flat = np.fromiter(chain.from_iterable(grams), np.int32, int(sizes.sum()))
+        return np.array([known(w, 1) for w in words], np.int64), flat, sizes
 
     def inputs(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         word, flat, sizes = rows
@@ -320,6 +324,7 @@ class Scorer:
 
         def flush() -> None:
             nonlocal held, owners, n
+            self._learn()
             if n:
                 scored = self.model.net.scores(self.table, np.concatenate(held))
                 np.maximum.at(best, np.concatenate(owners), scored)
@@ -328,7 +333,8 @@ class Scorer:
         for k, text in enumerate(texts):
             words = words_of(text)
             ids = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
-            if self.ids.new:
+            # New words of several texts are learnt together, at the latest when windows are scored.
+            if len(self.ids.new) >= LEARNT or self.ids.done + len(self.ids.new) >= len(self.uses):
                 self._learn()
             np.add.at(self.uses, ids, 1)
             ids = np.pad(ids, (0, max(0, WINDOW - len(ids))))
@@ -340,7 +346,7 @@ class Scorer:
                 n += len(part)
                 if n >= 2 * BLOCK:
                     flush()
-            if self.ids.done > REMEMBERED or len(self.ids) > 2 * REMEMBERED:
+            if self.ids.done + len(self.ids.new) > REMEMBERED or len(self.ids) > 2 * REMEMBERED:
                 flush()
                 self._forget()
         flush()
