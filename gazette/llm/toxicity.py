@@ -43,7 +43,7 @@ EPOCHS, BATCH, RATE = 10, 128, 0.02
 #: Small samples are gone through more often, until about so many steps are made, EPOCHS times MOST at most.
 STEPS, MOST = 200, 4
 #: Words that a worker remembers, and windows that run at once.
-REMEMBERED, BLOCK = 250_000, 1024
+REMEMBERED, BLOCK = 150_000, 1024
 #: New words whose projections are made at once.
 LEARNT = 4096
 PAD = 0
