@@ -38,7 +38,7 @@ from gazette.staging import small_batches, stage
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Nodes of a tile at most (on average, as they are dealt by hash): 1 MB.
 TILE = 1 << 17
-_BLOCK = 1 << 20  # pairs that are compared at once
+_BLOCK = 1 << 18  # pairs that are compared at once
 #: Near copies in the pipeline: words of a shingle, least similarity; bands of the MinHash values, values of a band.
 NEAR_SHINGLE, SIMILAR, BANDS, BAND = 5, 0.8, 25, 5
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
