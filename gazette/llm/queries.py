@@ -12,6 +12,7 @@ from gazette.llm.chat import format_conversations, read_back
 from gazette.llm.decontam import COMMON, NUMBERS, UNITS, contaminated
 from gazette.llm.exact_dedup import exact_duplicates
 from gazette.llm.licenses import scan_licenses
+from gazette.llm.middle import fill_in_middle, restored
 from gazette.llm.pii import find_personal_data
 from gazette.llm.pieces import encode_documents
 from gazette.llm.simhash import near_duplicates
@@ -111,6 +112,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(load(spark, sf_dir, "documents"))
+    back = restored(F.col("form"), F.col("output"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def _sql_words(table: str, key: str) -> str:
     """DuckDB: id (of a key and a text), key, raw and canon (words, and words with placeholders) of a table's different rows."""
     listed = lambda x: "(" + ", ".join(f"'{v}'" for v in x) + ")"
@@ -146,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "license_places": license_places,
     "pii_counts": pii_counts,
 }
@@ -235,4 +243,13 @@ ORACLE: dict[str, str] = {
                doc_id = min(doc_id) OVER (PARTITION BY s) AS kept,
                s AS text_sha256
         FROM n""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS g FROM documents),
+        h AS (SELECT doc_id, t, length(t) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(g, i, 8))::BIGINT) AS h FROM d),
+        c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                     CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256 FROM p""",
 }
