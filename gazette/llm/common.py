@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ def key_filter(keys: DataFrame, key: str) -> DataFrame:
     )
 
 
+def collected_filter(keys: DataFrame, key: str):
+    """A bitmap of the lowest FILTER_BITS bits of keys (long), as bytes for Python workers: 8 MB at any input, in the driver too."""
+    rows = (
+        keys.select((F.col(key).bitwiseAND((1 << FILTER_BITS) - 1) + 1).alias("bit"))
+        .groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+    )
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for bucket, bits in rows.collect():  # 2**FILTER_BITS / 32768 rows of 4 KB at most
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
 def mark_possible(df: DataFrame, bitmap: DataFrame, key: str, mark: str) -> DataFrame:
     """Adds the boolean column mark: false where the key is certainly not among the filter's keys.
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.common import text_of, tidy
+from gazette.llm.words import text_bytes
 
 #: Marks of prefix, suffix and middle.
 MARKS = ("<P>", "<S>", "<M>")
@@ -66,15 +67,6 @@ def class_runs(data: np.ndarray) -> Runs:
     return Runs(*(np.concatenate(x).astype(np.int64) for x in zip(*found)))
 
 
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column without nulls, and the place where each text begins and the last one ends."""
-    column = column.cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
-    return data, ends - ends[0]
-
-
 def _cut(marks: tuple[str, str, str]):
     p, s, m = (x.encode() for x in marks)
 
@@ -82,7 +74,7 @@ def _cut(marks: tuple[str, str, str]):
         for b in batches:
             if not b.num_rows:
                 continue
-            data, at = _texts(b.column("text"))
+            data, at = text_bytes(b.column("text"))
             runs = class_runs(data)
             first = runs.unit_at(at)
             n = np.diff(first)

@@ -14,6 +14,7 @@ from gazette.llm.exact_dedup import exact_duplicates
 from gazette.llm.licenses import scan_licenses
 from gazette.llm.middle import fill_in_middle, restored
 from gazette.llm.pii import find_personal_data
+from gazette.llm.phrases import collocations
 from gazette.llm.pieces import encode_documents
 from gazette.llm.simhash import near_duplicates
 from gazette.llm.token_counts import count_with_edits
@@ -118,6 +119,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(load(spark, sf_dir, "documents"))
+
+
 def _sql_words(table: str, key: str) -> str:
     """DuckDB: id (of a key and a text), key, raw and canon (words, and words with placeholders) of a table's different rows."""
     listed = lambda x: "(" + ", ".join(f"'{v}'" for v in x) + ")"
@@ -154,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_collocations": op13_collocations,
     "license_places": license_places,
     "pii_counts": pii_counts,
 }
@@ -252,4 +258,21 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
                sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
                sha256(t) AS restored_sha256 FROM p""",
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM p),
+        g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS s(size)),
+        f AS (SELECT lang, phrase, size, count(*) AS n, string_split(phrase, ' ') AS w FROM g GROUP BY ALL),
+        total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE size > 1 AND n >= 30),
+        cut AS (SELECT lang, phrase, n AS a, unnest(range(1, size)) AS k, w, size FROM c),
+        parts AS (SELECT cut.*, x.n AS l, y.n AS r, ((2000000::HUGEINT * a) // (x.n + y.n))::BIGINT AS score
+                  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.w[1 : k], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.w[k + 1 :], ' ')),
+        worst AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_size AS (SELECT lang, n, w, size, unnest(range(2, size)) AS s FROM c),
+        held AS (SELECT lang, phrase, max(n) AS n FROM (SELECT lang, n, unnest(list_transform(range(1, size - s + 2), lambda i: array_to_string(w[i : i + s - 1], ' '))) AS phrase FROM inner_size) GROUP BY 1, 2),
+        kept AS (SELECT worst.* FROM worst LEFT JOIN held USING (lang, phrase) WHERE held.n IS NULL OR 100 * held.n < 80 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, total.n AS n, score
+        FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""",
 }

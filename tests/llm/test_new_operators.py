@@ -1,6 +1,8 @@
 """Fill-in-the-middle, repeated passages and phrases, against brute force."""
 
 import hashlib
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -9,10 +11,12 @@ from hypothesis import strategies as st
 
 from gazette.llm import queries
 from gazette.llm.middle import BLOCK, class_runs, fill_in_middle, restored
+from gazette.llm.phrases import _summed, collocations
+from gazette.llm.words import hashes, places
 from tests.test_catalog import assert_same
 
 
-@pytest.mark.parametrize("name", ["op11_fill_in_middle"])
+@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op13_collocations"])
 def test_query_against_sql(spark, sf, name):
     assert_same(queries.QUERIES[name](spark, sf), queries.ORACLE[name], sf)
 
@@ -66,3 +70,66 @@ def test_middle_with_other_marks(spark):
     found = fill_in_middle(docs, marks, changed=100, suffix_first=50, salt="other")
     got = found.select("doc_id", "form", restored(found["form"], found["output"], marks).alias("t")).collect()
     assert {r["form"] for r in got} == {"psm", "spm"} and sorted(r["t"] for r in got) == sorted(f"def f{k}(x): return x" for k in range(50))
+
+
+def _phrases(rows, least, longest, share, top):
+    f = defaultdict(Counter)
+    for lang, text in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n-\r]", low):
+            w = re.findall("[^ \t]+", piece)
+            for n in range(1, longest + 1):
+                f["und" if lang is None else lang].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    out = []
+    for lang, c in f.items():
+        cands = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        kept = []
+        for p, a in cands.items():
+            if any(len(q) > len(p) and 100 * b >= share * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in cands.items()):
+                continue
+            score, k = min((2000000 * a // (c[p[:k]] + c[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        n = sum(x for p, x in c.items() if len(p) == 1)
+        out += [(lang, rank, p.decode(), -a, l, r, n, -s) for rank, (s, a, p, l, r) in enumerate(sorted(kept)[:top], 1)]
+    return sorted(out)
+
+
+def test_phrases_against_brute_force(spark, odd, empty):
+    rng = np.random.default_rng(3)
+    words = ["new", "YORK", "the", "city", "of", "ö", "漢字", "x" * 70000, "in", "per", "se"]
+    texts = [" ".join(rng.choice(words[:7], rng.integers(0, 30))) + rng.choice([".", "\t;", "\x0b", ""]) + " new york city\tcouncil, de facto per se" for _ in range(150)]
+    texts += ["new york city council"] * 40 + ["a b a b a b a"] * 9 + [words[7] + " end"] * 4
+    rows = [("en" if k % 3 else None if k % 2 else "und", t) for k, t in enumerate(texts)] + [("de", "nur das"), ("fr", None)]
+    docs = odd.select("lang", "text", "doc_id", "near").unionByName(spark.createDataFrame([(g, t, 1, "n") for g, t in rows], "lang string, text string, doc_id long, near string"))
+    rows = [(r["lang"], r["text"]) for r in docs.collect()]
+    for least, longest, share, top in ((3, 4, 80, 2000), (2, 3, 100, 25), (4, 2, 50, 10)):
+        got = collocations(docs, least, longest, share, top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+        assert sorted(map(tuple, got.collect())) == _phrases(rows, least, longest, share, top)
+    assert collocations(empty).collect() == []
+
+
+def test_scores_beyond_64_bits(spark):
+    from gazette.llm.phrases import scored
+
+    a = 3 * 10**15
+    counts = spark.createDataFrame([("en", "a", 1, 7 * a), ("en", "b", 1, a), ("en", "a b", 2, a)], "lang string, phrase string, words int, n long")
+    row = scored(counts, 4, 2_000_000).first()
+    assert (row["a"], row["l"], row["r"], row["score"], row["inside"]) == (a, 7 * a, a, 250_000, None)
+
+
+def test_colliding_hashes_stay_apart():
+    keys, weights, check = np.array([5, 5, 5, 2], np.uint64), np.array([1, 2, 4, 8]), np.array([1, 0, 1, 3], np.uint64)
+    _, sums, one = _summed(keys, weights, check)
+    assert sorted(zip(sums.tolist(), check[one].tolist())) == [(2, 0), (5, 1), (8, 3)]
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "bb", "é", "x" * 66000, "x" * 65999 + "y", "漢"]), max_size=6), max_size=8))
+@settings(max_examples=30, deadline=None)
+def test_word_hashes(texts):
+    raw = [" ".join(t).encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    begins, ends, text = places(data, at)
+    words = [data[b:e].tobytes().decode() for b, e in zip(begins, ends)]
+    assert words == [w for t in texts for w in t] and text.tolist() == [k for k, t in enumerate(texts) for _ in t]
+    h = hashes(data, begins, ends)
+    assert len(set(h.tolist())) == len(set(words)) and len(dict(zip(words, h.tolist()))) == len(set(h.tolist()))
