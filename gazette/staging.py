@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[str] = []
+#: Names of staged tables that the catalogue knows, by their paths.
+_TABLES: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +47,18 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, compr
     return out
 
 
+def stage_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """Write df to the shared folder in buckets of key, without a shuffle, and read it back; groups of key are then found without one."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = "gazette_" + path.rpartition("-")[2]
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+    _TABLES[path] = table
+    out = spark.table(table)
+    out.staged_at = path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of stage() that nothing reads any more, as those of earlier rounds of a loop."""
     for t in tables:
@@ -58,6 +72,8 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
+        if table := _TABLES.pop(p, None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
