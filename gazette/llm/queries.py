@@ -14,6 +14,7 @@ from gazette.llm.exact_dedup import exact_duplicates
 from gazette.llm.licenses import scan_licenses
 from gazette.llm.middle import fill_in_middle, restored
 from gazette.llm.pii import find_personal_data
+from gazette.llm.passages import without_repeats
 from gazette.llm.phrases import collocations
 from gazette.llm.pieces import encode_documents
 from gazette.llm.simhash import near_duplicates
@@ -119,6 +120,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(load(spark, sf_dir, "documents"))
 
@@ -159,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_collocations": op13_collocations,
     "license_places": license_places,
     "pii_counts": pii_counts,
@@ -258,6 +265,14 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
                sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
                sha256(t) AS restored_sha256 FROM p""",
+    "op12_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+        x AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+        f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1 AS later FROM x),
+        p AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        c AS (SELECT p.doc_id, p.i, p.word, max(s.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS last FROM p LEFT JOIN (SELECT * FROM f WHERE later) s ON s.doc_id = p.doc_id AND s.i = p.i),
+        k AS (SELECT doc_id, count(*) FILTER (last IS NOT NULL AND last > i - 20) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (last IS NULL OR last <= i - 20) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op13_collocations": r"""
         WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                        '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),

@@ -5,18 +5,22 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gazette.llm import queries
 from gazette.llm.middle import BLOCK, class_runs, fill_in_middle, restored
+from gazette.llm import passages
+from gazette.llm.exchange import answer, base_of, golomb_decode, golomb_encode, owner_of, questions
+from gazette.llm.passages import levels, without_repeats
 from gazette.llm.phrases import _summed, collocations
 from gazette.llm.words import hashes, places
 from tests.test_catalog import assert_same
 
 
-@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op13_collocations"])
+@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_substring_dedup", "op13_collocations"])
 def test_query_against_sql(spark, sf, name):
     assert_same(queries.QUERIES[name](spark, sf), queries.ORACLE[name], sf)
 
@@ -133,3 +137,90 @@ def test_word_hashes(texts):
     assert words == [w for t in texts for w in t] and text.tolist() == [k for k, t in enumerate(texts) for _ in t]
     h = hashes(data, begins, ends)
     assert len(set(h.tolist())) == len(set(words)) and len(dict(zip(words, h.tolist()))) == len(set(h.tolist()))
+
+
+def _without_repeats(rows, length):
+    """rows: (doc_id, text) in the order of the table."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    words = [re.findall("[^ \t-\r]+", t or "") for _, t in rows]
+    seen, out = set(), []
+    for (i, _), w in zip(rows, words):
+        gone = set()
+        for k in range(len(w) - length + 1):
+            window = tuple(w[k : k + length])
+            if window in seen:
+                gone.update(range(k, k + length))
+            seen.add(window)
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out, key=str)
+
+
+def test_levels():
+    assert levels(20) == [5, 10, 20] and levels(7) == [7] and levels(96) == [6, 12, 24, 48, 96]
+
+
+@pytest.mark.parametrize("length", [20, 6, 40])
+def test_repeats_against_brute_force(spark, odd, empty, length):
+    rng = np.random.default_rng(length)
+    vocabulary = [f"w{k}" for k in range(60)] + ["é", "漢字", "a" * 300]
+    passages_ = [" ".join(rng.choice(vocabulary, n)) for n in (19, 20, 21, 45, 90, 200)]
+    texts = []
+    for k in range(160):
+        parts = [" ".join(rng.choice(vocabulary, rng.integers(0, 25))) if rng.random() < 0.6 else passages_[rng.integers(0, 6)] for _ in range(rng.integers(0, 6))]
+        texts.append(rng.choice([" ", "\n", " \t "]).join(parts))
+    texts += [passages_[4]] * 60 + ["again and " * 50, "same " * 19, "same " * 41, None, ""]
+    docs = odd.select("doc_id", "text", "row", "sha").unionByName(spark.createDataFrame([(200 - k if k != 30 else None, t, "r", "s") for k, t in enumerate(texts)], "doc_id long, text string, row string, sha string").repartition(5))
+    want = _without_repeats([(r["doc_id"], r["text"]) for r in docs.collect()], length)
+    got = sorted((tuple(r) for r in without_repeats(docs, length, owners=7).select("doc_id", "n_words", "n_removed", "text").collect()), key=str)
+    assert got == want and sum(w[2] > 0 for w in want) > 50
+    assert without_repeats(empty, length).collect() == []
+
+
+def test_repeats_end_when_no_candidate_survives(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"{k}-{i}" for i in range(50))) for k in range(30)], "doc_id long, text string")
+    got = without_repeats(docs).collect()
+    assert len(got) == 30 and all(r["n_removed"] == 0 and r["n_words"] == 50 and r["longest"] == 0 for r in got)
+
+
+def test_texts_go_to_chunks_whole(monkeypatch):
+    monkeypatch.setattr(passages, "CHUNK", 100)
+    monkeypatch.setattr(passages.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda s: 3})())
+    texts = ["x" * n for n in (10, 60, 40, 250, 5, 5, 99, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])
+    found = pa.Table.from_batches(passages._chunked(iter([batch.slice(0, 3), batch.slice(3)]))).to_pydict()
+    assert found["text"] == texts and min(found["chunk"]) == 3 << 32
+    size = Counter()
+    for c, t in zip(found["chunk"], found["text"]):
+        size[c] += len(t)
+    assert all(n <= 100 or found["chunk"].count(c) == 1 for c, n in size.items())
+
+
+@given(st.lists(st.integers(0, (1 << 48) - 1), max_size=200), st.integers(1, 50))
+@settings(max_examples=60, deadline=None)
+def test_golomb_codes_come_back(values, owners):
+    values = np.unique(np.array(values, np.uint64))
+    for k in np.unique(owner_of(values, owners)):
+        own = values[owner_of(values, owners) == k]
+        base = base_of(int(k), owners)
+        assert (own >= base).all() and (golomb_decode(golomb_encode(own, base), base) == own).all()
+
+
+def test_owners_get_a_hot_fingerprint_once_a_sender():
+    """Senders of many equal fingerprints, and the last owner's bytes for each of its own."""
+    rng = np.random.default_rng(1)
+    owners, hot, sent = 16, np.uint64((1 << 48) - 7), []
+    for sender in range(4):
+        prints = np.concatenate([rng.integers(0, 1 << 48, 50_000, dtype=np.uint64), np.full(40_000, hot)])
+        different, counts = np.unique(prints, return_counts=True)
+        q = questions(different, counts > 1, owners)
+        sent.append((different, {"pid": [sender] * len(q["owner"]), **q}))
+    last = [(d, q["prints"][-1], q["many"][-1]) for d, q in sent]
+    for different, prints, _ in last:
+        n = int((owner_of(different, owners) == owners - 1).sum())
+        assert n < 4_000 and (golomb_decode(prints, base_of(owners - 1, owners)) == hot).sum() == 1
+        assert (len(prints) - 24) * 8 / n < np.log2((1 << 48) / 50_000) + 2.5
+    table = pa.table({"pid": [0, 1, 2, 3], "owner": pa.array([owners - 1] * 4, pa.int32()), "prints": [p for _, p, _ in last], "many": [m for _, _, m in last]})
+    for (different, _, _), bits in zip(last, answer(owners, "pid")(table).column("bits").to_pylist()):
+        own = different[owner_of(different, owners) == owners - 1]
+        told = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(own)].astype(bool)
+        assert own[told].tolist() == [hot]
