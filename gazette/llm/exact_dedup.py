@@ -1,7 +1,8 @@
 """Exact deduplication by a Golomb-coded fingerprint exchange.
 
 Every input partition sorts the 48-bit fingerprints of its texts and sends each
-owner (a range of fingerprints, OWNED of them at most) its share as Golomb-Rice coded gaps. The owner
+owner (a range of fingerprints, OWNED of them at most) the different ones of its share as Golomb-Rice coded gaps,
+with a bit for those that it has more than once (exchange.py). The owner
 answers with a bitmap of those that occur more than once anywhere. Only rows
 marked so, the suspects, have their texts shuffled: a map-side aggregate on
 (digest, text) verifies byte by byte that a digest stands for one text, and
@@ -26,40 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm.common import key_filter, mark_possible, text_of
+from gazette.llm.exchange import OWNED, PRINT_BITS, answer, marked, questions
 from gazette.staging import small_batches, stage
 
-FINGERPRINT_BITS = 48
-#: Fingerprints of an owner at most, on average: what one task sorts. There are as many owners as that takes.
-OWNED = 8_000_000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def golomb_encode(values: np.ndarray) -> bytes:
-    """Sorted unsigned values as gaps: quotients in unary, then remainders of k bits; k fits the mean gap."""
-    gaps = np.diff(values, prepend=np.uint64(0)).astype(np.uint64)
-    mean = int(values[-1]) // len(values) if len(values) else 0
-    k = max(0, mean.bit_length() - 1)
-    quotient = (gaps >> np.uint64(k)).astype(np.int64)
-    unary = np.zeros(int(quotient.sum()) + len(gaps), np.uint8)
-    unary[np.cumsum(quotient + 1) - 1] = 1
-    shifts = np.arange(k, dtype=np.uint64)
-    rest = ((gaps[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
-    head = np.array([len(values), k, len(unary)], "<u8").tobytes()
-    return head + np.packbits(unary).tobytes() + np.packbits(rest.ravel()).tobytes()
-
-
-def golomb_decode(data: bytes) -> np.ndarray:
-    n, k, bits = (int(x) for x in np.frombuffer(data, "<u8", 3))
-    body = np.frombuffer(data, np.uint8, offset=24)
-    cut = (bits + 7) // 8
-    ends = np.flatnonzero(np.unpackbits(body[:cut])[:bits])
-    quotient = np.diff(ends, prepend=-1) - 1
-    rest = np.unpackbits(body[cut:])[: n * k].reshape(n, k).astype(np.uint64)
-    gaps = (quotient.astype(np.uint64) << np.uint64(k)) + rest @ (np.uint64(1) << np.arange(k, dtype=np.uint64))
-    return np.cumsum(gaps.astype(np.uint64), dtype=np.uint64)
-
-
-ROWS = "kind int, pid int, seq long, doc_id long, sha binary, print long, owner int, message binary"
+ROWS = "kind int, pid int, seq long, doc_id long, sha binary, print long, owner int, prints binary, many binary"
 
 
 def _send(owners: int):
@@ -73,51 +47,27 @@ def _send(owners: int):
             prints.append(b.column("print").to_numpy(zero_copy_only=False))
             full = lambda v, t: pa.array(np.full(n, v), t)
             yield pa.RecordBatch.from_arrays(
-                [full(0, pa.int32()), full(pid, pa.int32()), pa.array(np.arange(seq, seq + n), pa.int64()), b.column("doc_id"), b.column("sha"), b.column("print"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
+                [full(0, pa.int32()), full(pid, pa.int32()), pa.array(np.arange(seq, seq + n), pa.int64()), b.column("doc_id"), b.column("sha"), b.column("print"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names
             )
             seq += n
-        own = np.sort(np.concatenate(prints)).astype(np.uint64) if prints else np.zeros(0, np.uint64)
-        who = _owner(own, owners)
-        cuts = np.searchsorted(who, np.arange(owners + 1))
-        to = [k for k in range(owners) if cuts[k] < cuts[k + 1]]
-        n = len(to)
+        different, counts = np.unique(np.concatenate(prints), return_counts=True) if prints else (np.zeros(0), np.zeros(0))
+        q = questions(different.astype(np.uint64), counts > 1, owners)
+        n = len(q["owner"])
         if n:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * n, pa.int32()), pa.array([pid] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(to, pa.int32()), pa.array([golomb_encode(own[cuts[k] : cuts[k + 1]]) for k in to], pa.binary())], names
+                [pa.array([1] * n, pa.int32()), pa.array([pid] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(q["owner"], pa.int32()), pa.array(q["prints"], pa.binary()), pa.array(q["many"], pa.binary())], names
             )
 
     return run
 
 
-def _owner(prints: np.ndarray, owners: int) -> np.ndarray:
-    return ((prints >> np.uint64(16)) * np.uint64(owners) >> np.uint64(FINGERPRINT_BITS - 16)).astype(np.int64)
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """One owner's messages in, one bitmap for each of them out."""
-    sent = [golomb_decode(m) for m in table.column("message").to_pylist()]
-    values, counts = np.unique(np.concatenate(sent), return_counts=True)
-    twice = values[counts > 1]
-    twice = np.append(twice, np.uint64(1 << FINGERPRINT_BITS))  # above every fingerprint, so that each has a place
-    marks = [np.packbits(twice[np.searchsorted(twice, s)] == s).tobytes() for s in sent]
-    return pa.table({"pid": table.column("pid"), "owner": table.column("owner"), "bitmap": pa.array(marks, pa.binary())})
-
-
 def _mark(owners: int):
     """A partition's rows and the bitmaps sent back to it: the rows with the column suspect."""
 
     def run(rows: pa.Table, maps: pa.Table) -> pa.Table:
-        prints = rows.column("print").to_numpy().astype(np.uint64)
-        order = np.argsort(prints, kind="stable")
-        who = _owner(prints[order], owners)
-        cuts = np.searchsorted(who, np.arange(owners + 1))
-        hit = np.zeros(len(prints), bool)
-        for k, bits in zip(maps.column("owner").to_pylist(), maps.column("bitmap").to_pylist()):
-            n = cuts[k + 1] - cuts[k]
-            hit[cuts[k] : cuts[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8))[:n].astype(bool)
-        suspect = np.zeros(len(prints), bool)
-        suspect[order] = hit
-        return pa.table({"doc_id": rows.column("doc_id"), "pid": rows.column("pid"), "seq": rows.column("seq"), "sha": rows.column("sha"), "suspect": pa.array(suspect)})
+        different, place = np.unique(rows.column("print").to_numpy().astype(np.uint64), return_inverse=True)
+        hit = marked(different, owners, dict(zip(maps.column("owner").to_pylist(), maps.column("bits").to_pylist())))
+        return pa.table({"doc_id": rows.column("doc_id"), "pid": rows.column("pid"), "seq": rows.column("seq"), "sha": rows.column("sha"), "suspect": pa.array(hit[place])})
 
     return run
 
@@ -132,10 +82,10 @@ def exchange(docs: DataFrame, owners: int | None = None) -> DataFrame:
     owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNED))
     small_batches(spark, 2048)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).select(
-        "doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.shiftrightunsigned(F.xxhash64("norm"), 64 - FINGERPRINT_BITS).alias("print")
+        "doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.shiftrightunsigned(F.xxhash64("norm"), 64 - PRINT_BITS).alias("print")
     )
     sent = stage(keyed.mapInArrow(_send(owners), ROWS), "exact-sent", ["kind"])
-    maps = sent.where("kind = 1").select("owner", "pid", "message").groupBy("owner").applyInArrow(_answer, "pid int, owner int, bitmap binary")
+    maps = sent.where("kind = 1").select("owner", "pid", "prints", "many").groupBy("owner").applyInArrow(answer(owners, "pid"), "pid int, owner int, bits binary")
     rows = sent.where("kind = 0").select("pid", "seq", "doc_id", "sha", "print")
     marked = rows.groupBy("pid").cogroup(maps.groupBy("pid")).applyInArrow(_mark(owners), "doc_id long, pid int, seq long, sha binary, suspect boolean")
     return stage(marked, "exact-marked")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gazette.llm import exact_dedup, simhash
+from gazette.llm import exact_dedup, exchange, simhash
 from gazette.llm.common import key_filter, mark_possible
 from gazette.llm.components import components
 from gazette.llm.queries import ORACLE, op7_simhash, op9_exact_dedup
@@ -19,7 +19,7 @@ from tests.test_catalog import assert_same
 @settings(max_examples=100, deadline=None)
 def test_golomb_round_trip(values):
     v = np.array(sorted(values), np.uint64)
-    assert (exact_dedup.golomb_decode(exact_dedup.golomb_encode(v)) == v).all()
+    assert (exchange.golomb_decode(exchange.golomb_encode(v)) == v).all()
 
 
 def test_exact_against_sql(spark, sf):
