@@ -36,7 +36,7 @@ from gazette.llm.words import gathered, hashes, mixed, places, text_bytes
 from gazette.staging import discard, stage
 
 #: Bytes of pieces that a task adds up before it sends, and words of all pieces that a bucket has on average at most.
-SHARE, BUCKET_WORDS = 12 << 20, 4_000_000
+SHARE, BUCKET_WORDS = 8 << 20, 4_000_000
 #: Memory of a bucket's aggregate, behind which it goes to disk.
 MEMORY = "256MB"
 #: Rows of a language are ranked in so many parts first.
@@ -151,13 +151,18 @@ def _count_hashes(least: int):
     return run
 
 
+PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+
+
 def _write_out(longest: int, buckets: int, passed, further):
-    """bucket, lang, phrase, words, n of the n-grams that may be frequent, equal ones of a share added up."""
+    """A message to each bucket: the n-grams that may be frequent as compressed Arrow rows, equal ones of a share added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = pa.ipc.IpcWriteOptions(compression="zstd")
         for table in gathered(batches, "piece", SHARE):
             grams = _Grams(table, longest)
             second = hashes(grams.data, grams.begins, grams.ends, 1)
+            raw, names = grams.data.tobytes(), np.array(grams.names, object)
             for n in range(1, longest + 1):
                 at = grams.fitting(n) if n < 3 else grams.pairs_may(n, passed.value)
                 at = at[_may((passed if n < 3 else further).value, grams.of[n][at])]
@@ -166,25 +171,28 @@ def _write_out(longest: int, buckets: int, passed, further):
                     check = mixed(check, second[at + k])
                 keys, sums, one = _summed(grams.of[n][at], grams.weight[at], check)
                 at = at[one]
-                raw, begins, ends = grams.data.tobytes(), grams.begins[at].tolist(), grams.ends[at + n - 1].tolist()
-                for cut in range(0, len(at), 100_000):
-                    own = slice(cut, cut + 100_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(_bucket(keys[own], buckets), pa.int32()), pa.array(np.array(grams.names, object)[grams.lang[at[own]]], pa.string()),
-                            pa.array([raw[b:e] for b, e in zip(begins[own], ends[own])], pa.binary()).cast(pa.string()), pa.array(np.full(len(at[own]), n), pa.int32()), pa.array(sums[own], pa.int64()),
-                        ], ["bucket", "lang", "phrase", "words", "n"],
-                    )
+                cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+                to = np.flatnonzero(np.diff(cuts))
+                sent = []
+                for k in to:
+                    own = at[cuts[k] : cuts[k + 1]]
+                    phrases = [raw[b:e] for b, e in zip(grams.begins[own].tolist(), grams.ends[own + n - 1].tolist())]
+                    rows = [pa.array(names[grams.lang[own]], pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(own), n, np.int32)), pa.array(sums[cuts[k] : cuts[k + 1]], pa.int64())]
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, PHRASES, options=packed) as stream:
+                        stream.write_batch(pa.RecordBatch.from_arrays(rows, schema=PHRASES))
+                    sent.append(out.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(sent, pa.binary())], ["bucket", "message"])
+            del grams
         tidy()
 
     return run
 
 
 def _count_phrases(least: int):
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _aggregated((b.cast(schema) for b in batches), schema, "lang, phrase, words", least)
+        shares = (rows for b in batches for m in b.column("message") for rows in pa.ipc.open_stream(m.as_buffer()))
+        yield from _aggregated(shares, PHRASES, "lang, phrase, words", least)
         tidy()
 
     return run
@@ -196,7 +204,7 @@ def frequent_phrases(own: DataFrame, least: int, longest: int) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = own.agg(F.sum(F.length("piece") - F.length(F.replace("piece", F.lit(" "))) + 1)).first()[0] or 0  # one number
     partitions = max(partitions, -(-total // BUCKET_WORDS))
-    buckets = 4 * partitions
+    buckets = 2 * partitions
 
     def counted(orders, passed):
         sent = own.mapInArrow(_send(orders, buckets, passed), "bucket int, rows long, message binary")
@@ -204,8 +212,8 @@ def frequent_phrases(own: DataFrame, least: int, longest: int) -> DataFrame:
 
     passed = counted((1, 2), None)
     further = counted(tuple(range(3, longest + 1)), passed) if longest > 2 else None
-    out = own.mapInArrow(_write_out(longest, buckets, passed, further), "bucket int, lang string, phrase string, words int, n long")
-    return out.repartition(partitions, "bucket").select("lang", "phrase", "words", "n").mapInArrow(_count_phrases(least), "lang string, phrase string, words int, n long")
+    out = own.mapInArrow(_write_out(longest, buckets, passed, further), "bucket int, message binary")
+    return out.repartition(partitions, "bucket").mapInArrow(_count_phrases(least), "lang string, phrase string, words int, n long")
 
 
 def scored(counts: DataFrame, longest: int, scale: int) -> DataFrame:
