@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazette.staging import discard, stage
@@ -14,31 +14,52 @@ def set_classes(df: DataFrame, group: list[str], id: str, words: str) -> DataFra
     return own.groupBy(*group, "words").agg(F.min(id).alias("rep"))
 
 
-def similar_pairs(classes: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """group, a, b (reps, a < b), jaccard of the different word sets of a group that reach the threshold (above 0).
+#: Longs of the bitmap that a prefix word carries of the words behind it.
+LONGS = 8
+
 
-    Two sets can reach it only if they share one of the rarest words of each, n - ceil(threshold n) + 1 of n in an order of
-    frequency that all share; the places of such a word, and the number of those they share, bound how many words the sets can
-    have in common. Only pairs within the bounds are verified on the whole sets. Nothing is lost, and no group is collected.
+def candidate_rows(classes: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """group, a, b of different sets of a group that may reach the threshold: a row for each word that may be the first one they share.
+
+    Words are ordered by how many sets have them. Sets of n and m words that reach the threshold t share t / (1 + t) * (n + m)
+    or more, so the first word that they share has as many behind it in both. The smaller set's can only lie in a
+    shorter prefix than the larger one's, and only such prefixes are joined. A prefix word also carries the parities of the words behind it, by
+    64 * LONGS hashes: where these differ in more places than the words behind may differ, the join keeps no row. The
+    further back the first shared word lies, the more frequent it is, and the fewer differences the bound allows.
     """
-    classes = stage(classes, "similar-sets")
     each = classes.select(*group, "rep", F.size("words").alias("n"), F.explode("words").alias("word"))
     often = each.groupBy(*group, "word").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     # Words that only one set has can never be shared: they take the first places of the order, without a row of their own.
-    shared = each.join(often, [*group, "word"]).groupBy(*group, "rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "word")))["word"].alias("shared"))
-    # Only the words that can stand in the prefix are looked at again.
-    first = f"cast(greatest(size(shared) - ceil({threshold} * n - 1e-9) + 1, 0) AS int)"
-    prefix = shared.select(*group, "rep", "n", F.expr("n - size(shared) + 1").alias("begin"), F.posexplode(F.expr(f"slice(shared, 1, {first})")).alias("at", "word"))
-    prefix = stage(prefix.select(*group, "rep", "n", F.xxhash64("word").alias("word"), (F.col("begin") + F.col("at")).alias("at")), "similar-prefixes")
-    left = prefix.select(*group, "word", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    right = prefix.select(*group, "word", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    possible = f"a < b AND least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-9 AND 1 + least(n_a - at_a, n_b - at_b) + least(at_a, at_b) - 1 >= {threshold} / (1 + {threshold}) * (n_a + n_b) - 1e-9"
-    # Words in common are those of both prefixes and at most the words behind one of the prefixes.
-    enough = f"n + greatest(ceil({threshold} * n_a - 1e-9), ceil({threshold} * n_b - 1e-9)) - 1 >= {threshold} / (1 + {threshold}) * (n_a + n_b) - 1e-9"
-    pairs = left.join(right, [*group, "word"]).where(possible).groupBy(*group, "a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n")).where(enough).select(*group, "a", "b")
-    pairs = pairs.join(classes.select(*group, F.col("rep").alias("a"), F.col("words").alias("_wa")), [*group, "a"]).join(classes.select(*group, F.col("rep").alias("b"), F.col("words").alias("_wb")), [*group, "b"])
-    both = F.size(F.array_intersect("_wa", "_wb"))
-    return pairs.select(*group, "a", "b", (both / (F.size("_wa") + F.size("_wb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    shared = each.join(often, [*group, "word"]).withColumn("key", F.xxhash64("word"))
+    whole = Window.partitionBy(*group, "rep")
+    upto = whole.orderBy("often", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parity = lambda k: F.expr(f"if(shiftrightunsigned(key, 58) % {LONGS} = {k}, shiftleft(1L, cast(key & 63 AS int)), 0L)")
+    behind = {f"p{k}": F.bit_xor(parity(k)).over(whole).bitwiseXOR(F.bit_xor(parity(k)).over(upto)) for k in range(LONGS)}
+    placed = shared.withColumns({"at": F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("often", "word")), **behind})
+    share = threshold / (1 + threshold)
+    prefix = placed.where(f"at <= n - ceil({threshold} * n - 1e-9) + 1").select(*group, "key", "rep", "n", "at", *behind)
+    prefix = stage(prefix, "similar-prefixes")
+    left = prefix.where(f"at <= n - ceil({2 * share} * n - 1e-9) + 1").select(*group, "key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "at", *behind)])
+    right = prefix.select(*group, "key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "at", *behind)])
+    least = f"ceil({share} * (n_a + n_b) - 1e-9)"
+    differ = " + ".join(f"bit_count(p{k}_a ^ p{k}_b)" for k in range(LONGS))
+    possible = f"""(n_a < n_b OR n_a = n_b AND rep_a < rep_b) AND n_a >= {threshold} * n_b - 1e-9 AND at_a <= n_a - {least} + 1 AND at_b <= n_b - {least} + 1
+        AND {differ} <= n_a - at_a + n_b - at_b - 2 * ({least} - 1)"""
+    return left.join(right, [*group, "key"]).where(possible).select(*group, F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
+def similar_pairs(classes: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """group, a, b (reps, a < b), jaccard of the different word sets of a group that reach the threshold (above 0).
+
+    Candidates are verified on the hashes of their words, and the few that pass on the words. Nothing is lost, and no group is collected.
+    """
+    classes = stage(classes, "similar-sets")
+    alike = lambda a, b: F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b) - F.size(F.array_intersect(a, b)))
+    pairs = candidate_rows(classes, group, threshold).distinct()
+    for column, kept in ((F.transform("words", lambda w: F.xxhash64(w)), "hashed"), (F.col("words"), "jaccard")):
+        a, b = (classes.select(*group, F.col("rep").alias(end), column.alias(f"_{end}")) for end in ("a", "b"))
+        pairs = pairs.select(*group, "a", "b").join(a, [*group, "a"]).join(b, [*group, "b"]).withColumn(kept, alike("_a", "_b")).where(F.col(kept) >= threshold - (1e-9 if kept == "hashed" else 0))
+    return pairs.select(*group, "a", "b", "jaccard")
 
 
 def first_kept(pairs: DataFrame, group: list[str]) -> DataFrame:

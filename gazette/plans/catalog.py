@@ -181,11 +181,11 @@ def insert_if_absent(spark, d):
     return joins.insert_if_absent(old, new, "day").withColumn("day", F.col("day").cast("string"))
 
 
-@query("""SELECT 'customer' AS side, c_custkey AS key, c_name AS name FROM customer WHERE c_acctbal < 0
-          UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier WHERE s_acctbal < 0""")
+@query("""SELECT 'customer' AS side, c_custkey AS key, c_name AS name FROM customer
+          UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier""")
 def union_regions(spark, d):
-    c = load(spark, d, "customer").where("c_acctbal < 0").select(F.lit("customer").alias("side"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    return c.unionByName(load(spark, d, "supplier").where("s_acctbal < 0").select(F.lit("supplier").alias("side"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")))
+    c = load(spark, d, "customer").select(F.lit("customer").alias("side"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return c.unionByName(load(spark, d, "supplier").select(F.lit("supplier").alias("side"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")))
 
 
 # --- deduplication
@@ -360,7 +360,7 @@ def price_pages(spark, d):
     pages = tables.select(F.concat(code, F.lit("-"), (F.col("page") + 1).cast("string"), F.lit(".html")).alias("path"), F.concat(F.lit("<table><tr><th>date</th></tr>"), "rows", F.lit("</table>")).alias("content"))
     folder = new_path(spark, "price-pages")
     files.write_pages(pages, folder)
-    scanned = market.scan(p.select(code.alias("symbol")).distinct(), folder + "/{symbol}-{page}.html", at_once=4)
+    scanned = market.scan(p.select(code.alias("symbol")).distinct(), folder + "/{symbol}-{page}.html", at_once=None)
     return market.price_rows(scanned).select(F.replace("symbol", F.lit("b"), F.lit("Brand#")).alias("symbol"), F.col("date").cast("string").alias("date"), "close", "volume")
 
 
@@ -607,15 +607,48 @@ def refresh_15m(spark, d):
     return refresh.latest_values(_events(spark, d), ["event_type"]).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "value")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+def _in_rounds(spark: SparkSession, d: str, name: str, flow: Callable[[DataFrame], DataFrame], out: str, rounds: int = 3) -> DataFrame:
+    """Events arrive in rounds, by time; after each the stream is started anew, runs to its end into a table, and stops."""
+    from gazette.streaming import memory
+
+    path = new_path(spark, name)
+    events = _events(spark, d)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(rounds):
+        place = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))) * rounds / (F.unix_micros(F.lit(last).cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp")) + 1))
+        events.where(place == k).write.mode("append").parquet(f"{path}/in")
+        memory.run_to_end(flow(spark.readStream.schema(events.schema).parquet(f"{path}/in")), f"{path}/rows", f"{path}/state")
+    return spark.read.schema(out).parquet(f"{path}/rows")
+
+
+@query("SELECT event_id, user_id, event_type FROM events QUALIFY coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > INTERVAL 7 DAY, true)")
 def stream_once(spark, d):
-    """The events as a stream, of which each key passes once within the time that keys are remembered; run to its end into a table."""
-    path = new_path(spark, "stream-once")
-    schema = _events(spark, d).schema
-    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    passed = refresh.once(events, ["user_id", "event_type"], ttl="3650 days").select("user_id", "event_type")
-    passed.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id bigint, event_type string").parquet(f"{path}/rows")
+    """The events as a stream that is stopped and started again: a key passes if it was not there for seven days, whichever run saw it last."""
+    from gazette.streaming import memory
+
+    return _in_rounds(spark, d, "stream-once", lambda e: memory.unseen(e, ["user_id", "event_type"]).select("event_id", "user_id", "event_type"), "event_id bigint, user_id bigint, event_type string")
+
+
+@query("""WITH RECURSIVE p AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2
+              UNION ALL SELECT p.user_id, p.event_type, (SELECT min(e.ts) FROM events e WHERE e.user_id = p.user_id AND e.event_type = p.event_type AND e.ts > p.ts + INTERVAL 7 DAY) FROM p WHERE p.ts IS NOT NULL)
+          SELECT user_id, event_type, count(*) AS passed, max(ts)::VARCHAR AS latest FROM p WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def stream_published(spark, d):
+    """The same with the memory of what was published: a key passes again seven days after it last passed, however often it was there meanwhile."""
+    from gazette.streaming import memory
+
+    passed = _in_rounds(spark, d, "stream-published", lambda e: memory.unseen(e, ["user_id", "event_type"], renew=False).select("user_id", "event_type", "ts"), "user_id bigint, event_type string, ts timestamp_ntz")
+    return passed.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("passed"), F.max("ts").cast("string").alias("latest"))
+
+
+@query("""WITH b AS (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS start, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2),
+          s AS (SELECT event_type, unnest(generate_series(min(start), (SELECT max(ts) - INTERVAL 75 MINUTE FROM events), INTERVAL 15 MINUTE)) AS start FROM b GROUP BY 1)
+          SELECT event_type, start, last_value(value IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY start) AS value FROM s LEFT JOIN b USING (event_type, start)""")
+def stream_last_known(spark, d):
+    """The last known value of each quarter of an hour, gaps filled by the one before them, told by timers over several runs."""
+    from gazette.streaming import memory
+
+    told = _in_rounds(spark, d, "stream-last-known", lambda e: memory.last_known(e, "event_type"), "event_type string, start timestamp, value double")
+    return told.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # --- formats
@@ -753,7 +786,7 @@ def model_summaries(spark, d):
     from gazette.plans import model
 
     a = _articles(spark, d)
-    limits = {"clock": model.new_clock(spark), "at_once": 8}
+    limits = {"at_once": 8}  # and no budget: all are asked
     done = stage(model.summarized(a, _answers, **limits), "summaries")
     return model.with_retry(a, done, _again, **limits).select("article_seq", "title", "is_important", "llm_failed", "original_title")
 

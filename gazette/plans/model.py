@@ -18,7 +18,7 @@ from gazette.staging import new_path
 #: Items of a request, by region: long answers need small requests. Candidates of each category; cards.
 SIZES, EACH, CARDS = {"domestic": 8, "overseas": 3}, 6, 10
 HEADLINE, BLURB = 40, 110
-#: Seconds of a run in which requests may begin; seconds to wait when a service is busy and doesn't say how long, and at most.
+#: Seconds of a live run in which requests may begin (no run has them by default); seconds to wait when a service is busy and doesn't say how long, and at most.
 BUDGET, BUSY, LONGEST = 900.0, (5.0, 15.0), 30
 #: Asked with instructions and a listing. Raises Refused for an answer that is an error, other exceptions for a broken connection.
 Call = Callable[[str, str], str | None]
@@ -97,24 +97,24 @@ class Clock:
         return now > self.began and now - self.began > budget * 1e9
 
 
-def ask(requests: DataFrame, call: Call | None, budget: float = BUDGET, retries: int = 2, at_once: int = 3, clock: str | None = None, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+def ask(requests: DataFrame, call: Call | None, budget: float | None = None, retries: int = 2, at_once: int = 3, clock: str | None = None, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """requests (keys, rules and prompt) with the raw answer. Without a callable every answer is null.
 
-    At most at_once requests run at a time (see concurrency()). One clock (a folder) holds for a run: beyond its budget answers
+    At most at_once requests run at a time (see concurrency()). Without a budget (seconds) all are asked. With one, a clock (a folder) holds for a run: beyond it answers
     are null. A busy or broken service is tried again, a refusal not; one bad request never takes others with it. An answer
     without an object that can be read is asked for once more.
     """
     if call is None:
         return requests.withColumn("raw", F.lit(None).cast("string"))
-    folder = clock or new_clock(requests.sparkSession)
+    folder = None if budget is None else clock or new_clock(requests.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Clock(folder)
+        late = (lambda: False) if budget is None else (lambda own=Clock(folder): own.late(budget))
         for f in frames:
             raw = []
             for rules, prompt in zip(f["rules"], f["prompt"]):
-                answer = None if own.late(budget) else answer_to(call, rules, prompt, retries, wait)
-                if answer and not jsonx.readable(answer) and not own.late(budget):
+                answer = None if late() else answer_to(call, rules, prompt, retries, wait)
+                if answer and not jsonx.readable(answer) and not late():
                     answer = answer_to(call, rules, prompt + "\n\nJSON only, without explanation.", 0, wait) or answer
                 raw.append(answer)
             yield f.assign(raw=raw)

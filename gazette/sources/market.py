@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gazette.functions.numeric import comma_number
 from gazette.sources import fetch as fetching
 
-#: Pages of a series at most, newest first; seconds for one page, and for the scan of all series.
+#: Pages of a series at most, newest first; seconds for one page, and what a live run gives the scan of all series (no scan has it by default).
 PAGES, TIMEOUT, BUDGET = 3, 10.0, 90.0
 Fetch = Callable[[str], bytes]
 _ROW = r"(?s)<tr[^>]*>.*?</tr>"
@@ -23,11 +23,12 @@ def _get(url: str) -> bytes:
     return fetching.fetch(url, TIMEOUT)
 
 
-def scan(series: DataFrame, url: str, pages: int = PAGES, fetch: Fetch = _get, encoding: str = "utf-8", budget: float = BUDGET, at_once: int = 1) -> DataFrame:
-    """symbol, page, html of the pages of each series (column symbol), page by page until one has no row of cells; url holds {symbol} and {page}.
+def scan(series: DataFrame, url: str, pages: int = PAGES, fetch: Fetch = _get, encoding: str = "utf-8", budget: float | None = None, at_once: int | None = 1) -> DataFrame:
+    """symbol, page, html, error of the pages of each series (column symbol), page by page until one has no row of cells; url holds {symbol} and {page}.
 
-    A series of which a page fails has no pages, and the others theirs. Series that would begin after the budget are left
-    out; each of the at_once tasks has a clock of its own.
+    A series of which a page fails has no pages but a row that says why, and the others theirs. Without a budget (seconds) all series are
+    scanned, however long that takes; with one, those that would begin after it have a row that says so. Each of the at_once
+    tasks has a clock of its own; at_once None: as many tasks as series has partitions, for files of one's own.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,21 +38,23 @@ def scan(series: DataFrame, url: str, pages: int = PAGES, fetch: Fetch = _get, e
         for f in frames:
             rows = []
             for symbol in f["symbol"]:
-                if time.monotonic() - began > budget:
-                    break
+                if budget is not None and time.monotonic() - began > budget:
+                    rows.append((symbol, None, None, "the budget was used up"))
+                    continue
                 own = []
                 try:
                     for page in range(1, pages + 1):
                         html = fetch(url.format(symbol=symbol, page=page)).decode(encoding, errors="replace")
                         if not re.search(r"<td[^>]*>[^<]*[0-9]", html):
                             break
-                        own.append((symbol, page, html))
-                except Exception:  # a series that cannot be had is left out
-                    continue
+                        own.append((symbol, page, html, None))
+                except Exception as why:  # whatever goes wrong with a series is told, and the others go on
+                    own = [(symbol, None, None, f"{type(why).__name__}: {why}")]
                 rows += own
-            yield pd.DataFrame(rows, columns=["symbol", "page", "html"])
+            yield pd.DataFrame(rows, columns=["symbol", "page", "html", "error"]).astype({"page": "Int32"})
 
-    return series.select("symbol").repartition(at_once).mapInPandas(run, "symbol string, page int, html string")
+    own = series.select("symbol")
+    return (own if at_once is None else own.repartition(at_once)).mapInPandas(run, "symbol string, page int, html string, error string")
 
 
 def _cells(pages: DataFrame, html: str) -> DataFrame:

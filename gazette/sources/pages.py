@@ -18,20 +18,21 @@ def _get(url: str) -> bytes:
     return fetching.fetch(url, TIMEOUT)
 
 
-def fetched(links: DataFrame, fetch: Callable[[str], bytes] = _get, budget: float = BUDGET, at_once: int = AT_ONCE, encoding: str = "utf-8") -> DataFrame:
-    """link, html of the different links (column link) whose page could be had before its task's budget was used up; no row for the others."""
+def fetched(links: DataFrame, fetch: Callable[[str], bytes] = _get, budget: float | None = None, at_once: int = AT_ONCE, encoding: str = "utf-8") -> DataFrame:
+    """link, html, error of the different links (column link): the page, or why it could not be had. With a budget (seconds), each task begins no page after it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         began = time.monotonic()
         for f in frames:
             rows = []
             for link in f["link"]:
-                if time.monotonic() - began > budget:
-                    break
-                try:
-                    rows.append((link, fetch(link).decode(encoding, errors="replace")))
-                except Exception:  # a page that cannot be had leaves its article as it is
+                if budget is not None and time.monotonic() - began > budget:
+                    rows.append((link, None, "the budget was used up"))
                     continue
-            yield pd.DataFrame(rows, columns=["link", "html"])
+                try:
+                    rows.append((link, fetch(link).decode(encoding, errors="replace"), None))
+                except Exception as why:  # a page that cannot be had leaves its article as it is
+                    rows.append((link, None, f"{type(why).__name__}: {why}"))
+            yield pd.DataFrame(rows, columns=["link", "html", "error"])
 
-    return links.where("link <> ''").select("link").distinct().repartition(at_once, "link").mapInPandas(run, "link string, html string")
+    return links.where("link <> ''").select("link").distinct().repartition(at_once, "link").mapInPandas(run, "link string, html string, error string")

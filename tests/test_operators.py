@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gazette.operators import dedup, joins, metrics, ranking, series
+from gazette.functions import text
+from gazette.operators import dedup, joins, metrics, ranking, series, similar
 from gazette.staging import release, stage
 
 
@@ -110,3 +111,12 @@ def test_staging(spark):
     df = stage(spark.createDataFrame([(1, "a")], "x int, y string").where("x > 5"), "nothing")
     assert df.count() == 0 and df.columns == ["x", "y"]
     release(spark)
+
+
+def test_similarity_join_keeps_few_rows(spark):
+    """Rows that the join keeps are a small share of all pairs, however long the texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", text.tokens(F.col("text")).alias("w"))
+    classes = similar.set_classes(docs, ["source"], "doc_id", "w").cache()
+    pairs = sum(r["count"] * (r["count"] - 1) // 2 for r in classes.groupBy("source").count().collect())
+    assert similar.candidate_rows(classes, ["source"], 0.3).count() < 0.1 * pairs
+    classes.unpersist()

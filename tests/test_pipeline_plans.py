@@ -77,6 +77,12 @@ def test_model_answers_and_isolation(spark):
     assert again.where("llm_failed").count() == 0
 
 
+def test_model_without_budget(spark, monkeypatch):
+    monkeypatch.setattr(model, "BUDGET", -1.0)
+    calls = spark.createDataFrame([("r", str(i)) for i in range(3)], "rules string, prompt string")
+    assert [r["raw"] for r in model.ask(calls, lambda r, p: "[{}]", at_once=1).collect()] == ["[{}]"] * 3
+
+
 def test_model_budget(spark):
     calls = spark.createDataFrame([("k", "", f"p{i}") for i in range(3)], "k string, rules string, prompt string")
     clock = model.new_clock(spark)
@@ -225,7 +231,7 @@ def test_intraday_keeps_last_good(spark, tmp_path):
     assert (tmp_path / "indicators.json").read_text() == first
 
 
-def test_market_scan(spark):
+def test_market_scan(spark, monkeypatch):
     """Pages until an empty one; a series of which a page fails is left out."""
 
     def page(rows):
@@ -241,11 +247,13 @@ def test_market_scan(spark):
 
     series = spark.createDataFrame([("long",), ("short",), ("down",)], "symbol string")
     pages = market.scan(series, "https://x/day?{symbol},{page}", fetch=fetch, encoding="euc-kr")
-    assert sorted((r["symbol"], r["page"]) for r in pages.collect()) == [("long", 1), ("long", 2), ("long", 3), ("short", 1)]
+    assert sorted((r["symbol"], r["page"] or 0, r["error"]) for r in pages.collect()) == [("down", 0, "OSError: down"), ("long", 1, None), ("long", 2, None), ("long", 3, None), ("short", 1, None)]
     prices = {(r["symbol"], str(r["date"])): (r["close"], r["volume"]) for r in market.price_rows(pages).collect()}
     assert prices[("long", "2026-08-07")] == (1300.0, 5000.0) and len(prices) == 4
     assert market.index_rows(pages).where("symbol = 'short'").first()["value"] == 1100.0
-    assert market.scan(series, "https://x/day?{symbol},{page}", fetch=fetch, encoding="euc-kr", budget=-1).count() == 0
+    assert market.scan(series, "https://x/day?{symbol},{page}", fetch=fetch, encoding="euc-kr", budget=-1).where("error = 'the budget was used up' AND html IS NULL").count() == 3
+    monkeypatch.setattr(market, "BUDGET", -1.0)  # no scan has it unless it is given
+    assert market.scan(series, "https://x/day?{symbol},{page}", fetch=fetch, encoding="euc-kr").where("html IS NOT NULL").count() == 4
 
 
 def test_pages_fail_alone(spark):
@@ -255,8 +263,8 @@ def test_pages_fail_alone(spark):
         return f"<p>{url}</p>".encode()
 
     links = spark.createDataFrame([(f"https://x/{i}",) for i in (1, 2, 3, 3)] + [("",), (None,)], "link string")
-    assert {r["link"]: r["html"] for r in pages.fetched(links, fetch).collect()} == {f"https://x/{i}": f"<p>https://x/{i}</p>" for i in (1, 3)}
-    assert pages.fetched(links, fetch, budget=-1).count() == 0
+    assert {(r["link"], r["html"], r["error"]) for r in pages.fetched(links, fetch).collect()} == {("https://x/2", None, "OSError: down")} | {(f"https://x/{i}", f"<p>https://x/{i}</p>", None) for i in (1, 3)}
+    assert {r["error"] for r in pages.fetched(links, fetch, budget=-1).collect()} == {"the budget was used up"}
 
 
 def test_chart_rows(spark):
