@@ -16,14 +16,15 @@ def expired(days: DataFrame, today: Column, keep: int = RETENTION_DAYS) -> DataF
     return days.where(F.col("date") < F.date_sub(today, keep))
 
 
-def new_headlines(snapshots: DataFrame, headlines: DataFrame) -> DataFrame:
-    """Headlines of a month table after taking in snapshots (date, category, seq, title, summary, source, link).
+def new_headlines(snapshots: DataFrame, headlines: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Headlines of a month table after taking in snapshots (date, category, seq, title, summary, source, link); headlines: those of their months at least.
 
-    Days that a month already includes are not taken again, so a second run changes nothing; then the first of
+    Days (date) that are in already, by their headlines or by days, are not taken again, so a second run changes nothing; then the first of
     each normalised title within month and category stays.
     """
+    known = headlines.select("date") if days is None else headlines.select("date").unionByName(days.select("date"))
     fresh = snapshots.withColumns({"year_month": F.date_format("date", "yyyy-MM"), "gist": F.substring(F.coalesce("summary", F.lit("")), 1, 80)})
-    fresh = fresh.join(headlines.select("date").distinct(), "date", "left_anti").select(*headlines.columns)
+    fresh = fresh.join(known.distinct(), "date", "left_anti").select(*headlines.columns)
     months = fresh.select("year_month").distinct()
     touched = headlines.join(months, "year_month", "left_semi").unionByName(fresh)
     return month_first(touched, ["year_month", "category"], ["date", "seq"])
@@ -51,12 +52,35 @@ def compact(spark, snapshots: DataFrame, archive: str, today: Column, keep: int
     days = [r["date"].isoformat() for r in old.select("date").distinct().orderBy("date").collect()]  # days, not articles
     if not days:
         return []
-    merged = stage(new_headlines(articles(old), headlines(spark, archive)), "archive-headlines")
-    kept = _table(spark, f"{archive}/picks", "year_month string, date string, market string, horizon string, symbol string, name string, reason string, price_at_pick double")
+    # Only the months of these days are read: what other months hold costs nothing.
+    months = F.col("year_month").isin(sorted({d[:7] for d in days}))
+    there = included(spark, archive).where(months)
+    merged = stage(new_headlines(articles(old), headlines(spark, archive).where(months), there), "archive-headlines")
+    all_days = stage(there.unionByName(old.select(F.date_format("date", "yyyy-MM").alias("year_month"), "date")).distinct(), "archive-days")
+    kept = _table(spark, f"{archive}/picks", "year_month string, date string, market string, horizon string, symbol string, name string, reason string, price_at_pick double").where(months)
     fresh = picks(old).join(kept.select("date").distinct(), "date", "left_anti")
     all_picks = stage(kept.join(fresh.select("year_month").distinct(), "year_month", "left_semi").unionByName(fresh), "archive-picks")
     replace_partitions(merged, f"{archive}/headlines", ["year_month"])
     replace_partitions(all_picks, f"{archive}/picks", ["year_month"])
+    replace_partitions(all_days, f"{archive}/days", ["year_month"])  # last: a day is in when all of it is
+    return days
+
+
+def retire(spark, folder: str, archive: str, today: Column, keep: int = RETENTION_DAYS) -> list[str]:
+    """Moves the snapshot files of days before the retention into the archive, and deletes a day's file once the archive holds the day. Returns the days.
+
+    Files are deleted only after every one of these days can be read from the archive's list of days again.
+    """
+    from gazette.sinks.files import drop_files
+    from gazette.sources.snapshots import read
+
+    snapshots = read(spark, folder)
+    days = compact(spark, snapshots, archive, today, keep)
+    if days:
+        there = included(spark, archive).where(F.col("year_month").isin(sorted({d[:7] for d in days})) & F.col("date").cast("string").isin(days))
+        if there.count() < len(days):
+            raise RuntimeError("days are not in the archive; no file was deleted")
+        drop_files(snapshots, [f"{folder}/{d.replace('-', '/')}.json" for d in days])
     return days
 
 
@@ -77,6 +101,11 @@ def headlines(spark, archive: str) -> DataFrame:
     return _table(spark, f"{archive}/headlines", HEADLINES)
 
 
+def included(spark, archive: str) -> DataFrame:
+    """year_month, date of all days that the archive has taken in, those without a headline of their own too."""
+    return _table(spark, f"{archive}/days", "year_month string, date date")
+
+
 def month_summary(spark, archive: str, year_month: str) -> DataFrame:
     """A month's headlines, pruned to its partition; empty if there are none."""
     return headlines(spark, archive).where(F.col("year_month") == year_month)

@@ -791,6 +791,17 @@ def model_summaries(spark, d):
     return model.with_retry(a, done, _again, **limits).select("article_seq", "title", "is_important", "llm_failed", "original_title")
 
 
+def _snapshot_files(spark: SparkSession, d: str) -> DataFrame:
+    """path, content: daily snapshots of the newest twenty events of each type, in both shapes."""
+    e = _events(spark, d).withColumn("day", F.to_date("ts"))
+    best = ranking.top_of_each(e, ["day", "event_type"], [F.col("ts").desc(), F.col("event_id")], 20)
+    item = F.struct(F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"), F.concat(F.lit("https://x/e/?utm_source=q&id="), F.expr("event_id div 2").cast("string"), F.lit("#top")).alias("link"))
+    lists = best.groupBy("day", "event_type").agg(F.collect_list(item).alias("l"))
+    entry = F.when(F.col("event_type") < "m", F.to_json("l")).otherwise(F.to_json(F.struct(F.col("l").alias("domestic"))))
+    cats = lists.select("day", F.concat(F.lit('"'), "event_type", F.lit('":'), entry).alias("c")).groupBy("day").agg(F.array_join(F.collect_list("c"), ",").alias("c"))
+    return cats.select(F.concat(F.date_format("day", "yyyy/MM/dd"), F.lit(".json")).alias("path"), F.concat(F.lit('{"date":"'), F.col("day").cast("string"), F.lit('","categories":{'), "c", F.lit("}}")).alias("content"))
+
+
 @query("""WITH e AS (SELECT event_id, event_type, ts::DATE AS day FROM events QUALIFY row_number() OVER (PARTITION BY ts::DATE, event_type ORDER BY ts DESC, event_id) <= 20), m AS (SELECT max(day) AS day FROM e)
           SELECT DISTINCT 'https://x/e?id=' || (event_id // 2)::VARCHAR AS canonical_link, e.day::VARCHAR AS date FROM e, m WHERE e.day < m.day AND e.day >= m.day - 7""")
 def snapshot_links(spark, d):
@@ -798,18 +809,30 @@ def snapshot_links(spark, d):
     from gazette.sinks import files
     from gazette.sources import snapshots
 
-    e = _events(spark, d).withColumn("day", F.to_date("ts"))
-    best = ranking.top_of_each(e, ["day", "event_type"], [F.col("ts").desc(), F.col("event_id")], 20)
-    item = F.struct(F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("title"), F.concat(F.lit("https://x/e/?utm_source=q&id="), F.expr("event_id div 2").cast("string"), F.lit("#top")).alias("link"))
-    lists = best.groupBy("day", "event_type").agg(F.collect_list(item).alias("l"))
-    entry = F.when(F.col("event_type") < "m", F.to_json("l")).otherwise(F.to_json(F.struct(F.col("l").alias("domestic"))))
-    cats = lists.select("day", F.concat(F.lit('"'), "event_type", F.lit('":'), entry).alias("c")).groupBy("day").agg(F.array_join(F.collect_list("c"), ",").alias("c"))
-    pages = cats.select(F.concat(F.date_format("day", "yyyy/MM/dd"), F.lit(".json")).alias("path"), F.concat(F.lit('{"date":"'), F.col("day").cast("string"), F.lit('","categories":{'), "c", F.lit("}}")).alias("content"))
+    pages = _snapshot_files(spark, d)
     odd = spark.createDataFrame([("notes.json", "{}"), ("2024/01/99.json", '{"categories":{}}'), ("2024/01/readme.txt", "x"), ("2023/12/31.json", "{broken")], "path string, content string")
     folder = new_path(spark, "snapshot-tree")
     files.write_pages(pages.unionByName(odd), folder)
-    last = _latest(e, "day")
-    return snapshots.recent_links(snapshots.read(spark, folder), last).select("canonical_link", F.col("date").cast("string").alias("date"))
+    last = _events(spark, d).agg(F.max(F.to_date("ts"))).first()[0]
+    return snapshots.links_before(spark, folder, last).select("canonical_link", F.col("date").cast("string").alias("date"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type, ts::DATE AS day FROM events QUALIFY row_number() OVER (PARTITION BY ts::DATE, event_type ORDER BY ts DESC, event_id) <= 20),
+          m AS (SELECT max(day) - 10 AS cut FROM e)
+          SELECT day::VARCHAR AS day, event_type AS category, count(*) AS articles, day < any_value(cut) AS archived FROM e, m GROUP BY e.day, 2""")
+def snapshot_retirement(spark, d):
+    """Snapshot files of which those older than ten days are moved into the month tables and then deleted: articles by day, and where they are now."""
+    from gazette.plans import archive
+    from gazette.sinks import files
+    from gazette.sources import snapshots
+
+    folder = new_path(spark, "snapshot-tree")
+    files.write_pages(_snapshot_files(spark, d), folder)
+    last = _events(spark, d).agg(F.max(F.to_date("ts"))).first()[0]
+    for _ in range(2):  # the second run finds nothing to move
+        archive.retire(spark, folder, f"{folder}-archive", F.lit(last), keep=10)
+    counts = lambda rows, archived: rows.groupBy("date", "category").agg(F.count(F.lit(1)).alias("articles")).select(F.col("date").cast("string").alias("day"), "category", "articles", F.lit(archived).alias("archived"))
+    return counts(archive.headlines(spark, f"{folder}-archive"), True).unionByName(counts(snapshots.articles(snapshots.read(spark, folder)), False))
 
 
 @query(f"""WITH {_ARTICLES}, i AS (SELECT *, {_any_of([w for x in text.IMPORTANT.values() for w in x], "lower(title || ' ' || summary)")} AS important FROM a),

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+#: Names of a job's files before they count, and of its number of files; files that the driver moves at a time.
+_PENDING, _COUNT, MOVES = ".pending-", ".count-", 16
 
 
 def put_in_place(store: pyarrow.fs.FileSystem, own: str, final: str) -> None:
@@ -20,22 +27,82 @@ def put_in_place(store: pyarrow.fs.FileSystem, own: str, final: str) -> None:
         store.move(own, final)
 
 
-def write_pages(pages: DataFrame, folder: str) -> int:
-    """Writes each row's content to its path below folder (a URI); a file is renamed into place whole. Returns how many."""
+@dataclass
+class Written(WriterCommitMessage):
+    """What one task has written: the folder of its attempt, and how many files are in it."""
+
+    folder: str
+    files: int
+
+
+class PagesWriter(DataSourceArrowWriter):
+    """Each attempt of a task writes into a folder of its own beside the target; the driver moves the files of those that count into place, or drops all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pyarrow.fs.FileSystem.from_uri(folder)
-        for b in batches:
+    def __init__(self, options):
+        self.target, self.job = options["path"].rstrip("/"), options["job"]
+
+    def _store(self) -> tuple[pyarrow.fs.FileSystem, str]:
+        return pyarrow.fs.FileSystem.from_uri(self.target)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, base = self._store()
+        own, n = f"{base}/{_PENDING}{self.job}/{uuid.uuid4().hex}", 0
+        for b in iterator:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                target = f"{base}/{path}"
-                store.create_dir(target.rpartition("/")[0])
-                with store.open_output_stream(target + ".part", compression=None) as out:
+                store.create_dir(f"{own}/{path}".rpartition("/")[0])
+                with store.open_output_stream(f"{own}/{path}", compression=None) as out:
                     out.write(content.encode())
-                put_in_place(store, target + ".part", target)
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+                n += 1
+        return Written(own, n)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, base = self._store()
+        done = [m for m in messages if m]
+
+        def move(own: str, file: str) -> None:
+            final = base + file.removeprefix(own)
+            store.create_dir(final.rpartition("/")[0])
+            put_in_place(store, file, final)
+
+        moves = [(m.folder, f.path) for m in done if m.files for f in store.get_file_info(pyarrow.fs.FileSelector(m.folder, recursive=True)) if f.type == pyarrow.fs.FileType.File]
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda x: move(*x), moves))
+        self.abort(messages)
+        store.create_dir(base)
+        with store.open_output_stream(f"{base}/{_COUNT}{self.job}", compression=None) as out:
+            out.write(str(sum(m.files for m in done)).encode())
+
+    def abort(self, messages: list[Written | None]) -> None:
+        """Nothing of the job stays but what was moved, files of attempts that failed or were not needed included."""
+        store, base = self._store()
+        if store.get_file_info(f"{base}/{_PENDING}{self.job}").type != pyarrow.fs.FileType.NotFound:
+            store.delete_dir(f"{base}/{_PENDING}{self.job}")
+
+
+class PagesSink(DataSource):
+    """df.write.format("gazette_pages").option("job", id).save(folder); columns path and content."""
+
+    @classmethod
+    def name(cls):
+        return "gazette_pages"
+
+    def writer(self, schema, overwrite):
+        return PagesWriter(self.options)
+
+
+def write_pages(pages: DataFrame, folder: str) -> int:
+    """Writes each row's content to its path below folder (a URI), all or nothing: files are moved into place once every task is done. Returns how many.
 
-    done = pages.select("path", "content").mapInArrow(run, "n long")
-    return done.groupBy().sum("n").first()[0] or 0
+    A job that fails leaves none; the driver's own moves are the only ones that a crash can interrupt, each of whole files.
+    """
+    spark, job = pages.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(PagesSink)
+    pages.select("path", "content").write.format("gazette_pages").mode("append").option("job", job).save(folder)
+    store, base = pyarrow.fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{base.rstrip('/')}/{_COUNT}{job}", compression=None) as f:
+        n = int(f.read())
+    store.delete_file(f"{base.rstrip('/')}/{_COUNT}{job}")
+    return n
 
 
 def write_if_any(page: DataFrame, folder: str) -> bool:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterable, Iterator
+
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from gazette.functions import jsonx, urls
 
@@ -12,6 +17,79 @@ PICK = "struct<symbol:string,name:string,price:double,reason:string,daily_change
 _SHAPE = f"date string, categories map<string,string>, stock_picks map<string,map<string,array<{PICK}>>>"
 
 
+class Days(InputPartition):
+    def __init__(self, days: list[dt.date]):
+        self.days = days
+
+
+class DayReader(DataSourceReader):
+    """The files of the days that a query asks for, by their names: the tree is never listed."""
+
+    def __init__(self, options):
+        self.folder, self.tasks = options["path"].rstrip("/"), int(options.get("tasks", 64))
+        self.first, self.last, self.only = None, None, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        one = dt.timedelta(days=1)
+        for f in filters:
+            if getattr(f, "attribute", None) != ("date",):
+                yield f
+            elif isinstance(f, (EqualTo, In)):
+                days = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only = days if self.only is None else self.only & days
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                begin = f.value + one if isinstance(f, GreaterThan) else f.value
+                self.first = begin if self.first is None else max(self.first, begin)
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                end = f.value - one if isinstance(f, LessThan) else f.value
+                self.last = end if self.last is None else min(self.last, end)
+            else:
+                yield f
+
+    def days(self) -> list[dt.date]:
+        if self.only is None and (self.first is None or self.last is None):
+            raise ValueError("days are read by their names: ask for a first and a last date, or for some dates")
+        if self.only is None:
+            return [self.first + dt.timedelta(days=k) for k in range((self.last - self.first).days + 1)]
+        return sorted(d for d in self.only if d and (self.first is None or d >= self.first) and (self.last is None or d <= self.last))
+
+    def partitions(self) -> list[Days]:
+        days = self.days()
+        size = max(1, -(-len(days) // self.tasks))
+        return [Days(days[k : k + size]) for k in range(0, len(days), size)] or [Days([])]
+
+    def read(self, partition: Days) -> Iterator[tuple]:
+        store, base = pyarrow.fs.FileSystem.from_uri(self.folder)
+        for day in partition.days:
+            try:
+                with store.open_input_stream(f"{base}/{day:%Y/%m/%d}.json") as f:
+                    yield day, f.read().decode(errors="replace")
+            except FileNotFoundError:  # no edition on that day
+                continue
+
+
+class DaySource(DataSource):
+    """spark.read.format("gazette_days").load(folder): date, value of YYYY/MM/DD.json; a query must bound the dates."""
+
+    @classmethod
+    def name(cls):
+        return "gazette_days"
+
+    def schema(self):
+        return "date date, value string"
+
+    def reader(self, schema):
+        return DayReader(self.options)
+
+
+def read_days(spark: SparkSession, folder: str, first: dt.date, last: dt.date) -> DataFrame:
+    """read() of the days from first to last, of which nothing but their own files is opened; folder is a URI."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(DaySource)
+    raw = spark.read.format("gazette_days").load(folder).where(F.col("date").between(F.lit(first), F.lit(last)))
+    return raw.select("date", F.from_json("value", _SHAPE).alias("s")).where("s.categories is not null").select("date", "s.categories", "s.stock_picks")
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """date, categories (JSON text by category), stock_picks of each snapshot; files with other names or without valid JSON are left out."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
@@ -35,5 +113,14 @@ def picks(snapshots: DataFrame) -> DataFrame:
 
 def recent_links(snapshots: DataFrame, today: Column, days: int = 7) -> DataFrame:
     """canonical_link, date of articles of the days before today."""
-    recent = snapshots.where((F.col("date") < today) & (F.col("date") >= F.date_sub(today, days)))
-    return articles(recent).select(urls.canonical(F.col("link")).alias("canonical_link"), "date").where("canonical_link <> ''").distinct()
+    return links(snapshots.where((F.col("date") < today) & (F.col("date") >= F.date_sub(today, days))))
+
+
+def links(snapshots: DataFrame) -> DataFrame:
+    """canonical_link, date of the articles of snapshots."""
+    return articles(snapshots).select(urls.canonical(F.col("link")).alias("canonical_link"), "date").where("canonical_link <> ''").distinct()
+
+
+def links_before(spark: SparkSession, folder: str, today: dt.date, days: int = 7) -> DataFrame:
+    """links() of the days before today, by opening their files alone."""
+    return links(read_days(spark, folder, today - dt.timedelta(days=days), today - dt.timedelta(days=1)))

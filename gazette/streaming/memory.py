@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -21,43 +22,25 @@ def _micros(c) -> F.Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-class _Seen(StatefulProcessor):
-    """The time (in microseconds) that a key's memory counts from; an event-time timer forgets it once it is over."""
+def _seen(ttl: int, renew: bool, columns: list[str]):
+    """A step for one key: the state is the time (in microseconds) that its memory counts from; an event-time timeout forgets it once it is over."""
 
-    def __init__(self, ttl: int, renew: bool, columns: list[str]):
-        self.ttl, self.renew, self.columns = ttl, renew, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "at bigint")
-
-    def _remind(self, at: int) -> None:
-        self.handle.registerTimer((at + self.ttl) // 1000 + 1)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["own_at", "own_id"], kind="stable")
-        held = self.last.get()
-        last, known, passed = (held[0] if held else None), held is not None, []
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = pd.concat(list(frames)).sort_values(["own_at", "own_id"], kind="stable")
+        last, passed = (state.get[0] if state.exists else None), []
         for at in own["own_at"].tolist():
-            new = last is None or at - last > self.ttl
+            new = last is None or at - last > ttl
             passed.append(new)
-            if new or self.renew:
+            if new or renew:
                 last = at if last is None else max(last, at)
-        if held is None or held[0] != last:
-            self.last.update((last,))
-        if not known:
-            self._remind(last)  # one timer a key: it is set again when it is due and the memory is not over
-        yield own.loc[passed, self.columns]
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield own.loc[passed, columns]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.last.get()
-        if held and (held[0] + self.ttl) // 1000 + 1 > expiredTimerInfo.getExpiryTimeInMs():
-            self._remind(held[0])
-        elif held:
-            self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    return run
 
 
 def unseen(events: DataFrame, keys: list[str], ts: str = "ts", id: str = "event_id", days: int = 7, renew: bool = True, delay: str = "0 seconds") -> DataFrame:
@@ -67,10 +50,9 @@ def unseen(events: DataFrame, keys: list[str], ts: str = "ts", id: str = "event_
     that passed does, as links are remembered that were published. Events older than the watermark are dropped; ties on time
     go by id. Keys with a null are keys like any other.
     """
-    with_store(events)
     own = events.withColumns({"own_at": _micros(ts), "own_time": F.col(ts).cast("timestamp"), "own_id": F.col(id), **{f"own_key{n}": F.col(k) for n, k in enumerate(keys)}}).withWatermark("own_time", delay)
     one = own.groupBy(*[f"own_key{n}" for n in range(len(keys))])
-    return one.transformWithStateInPandas(_Seen(days * 86_400_000_000, renew, events.columns), events.schema, "append", "eventTime")
+    return one.applyInPandasWithState(_seen(days * 86_400_000_000, renew, events.columns), events.schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class _Held(StatefulProcessor):

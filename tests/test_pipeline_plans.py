@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,84 @@ def test_recent_links(spark, tmp_path):
     assert links == {"https://x/1", "https://x/2"}
 
 
+def test_look_back_opens_only_the_days_asked_for(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, LessThan
+
+    for k in range(1, 29):
+        _write(tmp_path, f"2026-08-{k:02d}", _snapshot(f"2026-08-{k:02d}", [(f"t{k}", f"https://x/{k}")]))
+    (tmp_path / "2026" / "08" / "11.json").write_text("{broken")
+    folder = f"file://{tmp_path}"
+    got = snapshots.links_before(spark, folder, dt.date(2026, 8, 14)).collect()
+    assert {r["canonical_link"] for r in got} == {f"https://x/{k}" for k in (7, 8, 9, 10, 12, 13)}  # the broken one is left out
+    reader = snapshots.DayReader({"path": folder})
+    day = lambda k: dt.date(2026, 8, k)
+    rest = list(reader.pushFilters([IsNotNull(("date",)), GreaterThanOrEqual(("date",), day(7)), LessThan(("date",), day(14)), EqualTo(("value",), "x")]))
+    assert [type(f).__name__ for f in rest] == ["IsNotNull", "EqualTo"]
+    opened, local = [], snapshots.pyarrow.fs.LocalFileSystem()
+
+    class Counting:
+        def open_input_stream(self, path):
+            opened.append(path)
+            return local.open_input_stream(path)
+
+    monkeypatch.setattr(snapshots, "pyarrow", SimpleNamespace(fs=SimpleNamespace(FileSystem=SimpleNamespace(from_uri=lambda uri: (Counting(), str(tmp_path))))))
+    assert sum(len(list(reader.read(p))) for p in reader.partitions()) == 7 == len(opened)
+    some = snapshots.DayReader({"path": folder})
+    assert not list(some.pushFilters([In(("date",), (day(3), day(5), dt.date(2020, 1, 1)))])) and len(some.days()) == 3
+    with pytest.raises(ValueError):
+        snapshots.DayReader({"path": folder}).partitions()
+
+
+def test_archive_reads_only_the_months_of_new_days(spark, tmp_path, monkeypatch):
+    raw, arc = tmp_path / "raw", str(tmp_path / "arc")
+    _write(raw, "2026-03-05", _snapshot("2026-03-05", [("A", "u1")]))
+    archive.compact(spark, snapshots.read(spark, str(raw)), arc, F.lit(dt.date(2026, 8, 1)))
+    plans, merge = [], archive.new_headlines
+    monkeypatch.setattr(archive, "new_headlines", lambda *a: plans.append(merge(*a)) or plans[-1])
+    _write(raw, "2026-04-05", _snapshot("2026-04-05", [("A", "u1")]))
+    new = snapshots.read(spark, str(raw)).where("date >= '2026-04-01'")
+    archive.compact(spark, new, arc, F.lit(dt.date(2026, 8, 1)))
+    plan = plans[0]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert plan.count("PartitionFilters: [isnotnull(year_month") >= 2 and "2026-03" not in plan
+    assert spark.read.parquet(f"{arc}/headlines").count() == 2
+
+
+def test_retirement_deletes_only_what_is_archived(spark, tmp_path, monkeypatch):
+    raw, arc = tmp_path / "raw", str(tmp_path / "arc")
+    _write(raw, "2026-04-05", _snapshot("2026-04-05", [("A", "u1")]))
+    _write(raw, "2026-04-06", _snapshot("2026-04-06", [("a!", "u1")]))  # no headline of its own is left of this day
+    _write(raw, "2026-07-30", _snapshot("2026-07-30", [("B", "u2")]))
+    today = F.lit(dt.date(2026, 8, 1))
+    with monkeypatch.context() as m:
+        m.setattr(archive, "included", lambda spark, a: spark.createDataFrame([], "year_month string, date date"))
+        with pytest.raises(RuntimeError):
+            archive.retire(spark, str(raw), arc, today)
+    assert len(list(raw.rglob("*.json"))) == 3
+    assert archive.retire(spark, str(raw), arc, today) == ["2026-04-05", "2026-04-06"]
+    assert [p.name for p in raw.rglob("*.json")] == ["30.json"] and archive.retire(spark, str(raw), arc, today) == []
+    assert spark.read.parquet(f"{arc}/headlines").count() == 1 and archive.included(spark, arc).count() == 2
+
+
+def test_pages_are_written_all_or_nothing(spark, tmp_path):
+    folder = f"file://{tmp_path}/site"
+    assert files.write_pages(spark.createDataFrame([("old/a.html", "1"), ("b.html", "1")], "path string, content string"), folder) == 2
+    rows = spark.range(40).select(F.concat(F.lit("n/"), F.col("id").cast("string")).alias("path"), F.when(F.col("id") == 37, F.raise_error(F.lit("no such page"))).otherwise("x").alias("content"))
+    with pytest.raises(Exception, match="no such page"):
+        files.write_pages(rows.repartition(4), folder)
+    there = lambda: sorted(str(p.relative_to(tmp_path / "site")) for p in (tmp_path / "site").rglob("*") if p.is_file())
+    assert there() == ["b.html", "old/a.html"]
+    # Two attempts of one task, of which one counts, and a third that broke off.
+    import pyarrow as pa
+
+    writer = files.PagesWriter({"path": folder, "job": "j"})
+    batch = lambda x: iter([pa.RecordBatch.from_arrays([pa.array(["c.html"]), pa.array([x])], ["path", "content"])])
+    first, second = writer.write(batch("first")), writer.write(batch("second"))
+    assert first.folder != second.folder
+    writer.commit([second, None])
+    assert (tmp_path / "site" / "c.html").read_text() == "second" and there() == [".count-j", "b.html", "c.html", "old/a.html"]
+    assert files.write_pages(spark.createDataFrame([], "path string, content string"), folder) == 0
+
+
 def test_archive(spark, tmp_path):
     raw, arc = tmp_path / "raw", str(tmp_path / "arc")
     _write(raw, "2026-04-05", _snapshot("2026-04-05", [("A", "u1"), ("dup", "u2")]))
