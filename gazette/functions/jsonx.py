@@ -5,61 +5,51 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_MARKS = re.compile(r'["\\{}]')
+#: A whole string, a brace, a quote that opens a string without an end, or what lies between these.
+_TOKENS = r'"(?:[^"\\]++|\\.)*+"|[{}]|"|[^"{}]++'
 
 
-def complete_objects(text: str | None) -> list[str] | None:
-    """The whole objects at the top of the first array in text, as JSON; null if there are none.
+def salvage(raw: Column) -> Column:
+    """The whole objects of the first array in a text, as JSON; null if there are none. Objects that are not valid JSON are left out.
 
-    Quotes and braces drive a small automaton: within a string only its end matters. Objects that are not valid JSON are left out.
+    The text is cut into strings, braces and the rest; a string without an end ends it. Depth is counted over these tokens, and an object ends where it is back at none.
     """
-    if not text or (begin := text.find("[")) < 0:
-        return None
-    found, depth, start, quoted, skip = [], 0, -1, False, -1
-    for m in _MARKS.finditer(text, begin + 1):
-        at, mark = m.start(), m.group()
-        if at == skip:
-            continue
-        if quoted:
-            if mark == "\\":
-                skip = at + 1
-            elif mark == '"':
-                quoted = False
-        elif mark == '"':
-            quoted = True
-        elif mark == "{":
-            start = at if not depth else start
-            depth += 1
-        elif mark == "}":
-            depth -= 1
-            if not depth and start >= 0:
-                try:
-                    found.append(json.dumps(json.loads(text[start : at + 1]), ensure_ascii=False, separators=(",", ":")))
-                except ValueError:
-                    pass
-                start = -1
-    return found or None
+    begin = F.instr(raw, F.lit("["))
+    tokens = F.regexp_extract_all(F.substr(raw, begin + 1), F.lit("(?s)" + _TOKENS), F.lit(0))
+    open_ = F.array_position(tokens, '"')
+    tokens = F.when(open_ > 0, F.slice(tokens, 1, F.greatest(open_ - 1, F.lit(0)).cast("int"))).otherwise(tokens)
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t == "{", 1).when((t == "}") & (s["depth"] > 0), -1).otherwise(0)
+        own = F.when(s["depth"] + depth > 0, F.concat(s["own"], t)).otherwise("")
+        done = (depth == 0) & (s["depth"] > 0)
+        return F.struct(depth.cast("int").alias("depth"), F.when(done, "").otherwise(own).alias("own"), F.when(done, F.array_append(s["found"], own)).otherwise(s["found"]).alias("found"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("own"), F.array().cast("array<string>").alias("found"))
+    found = F.aggregate(tokens, start, step, lambda s: s["found"])
+    valid = F.filter(F.transform(found, lambda o: F.to_json(F.try_parse_json(o))), lambda o: o.isNotNull())
+    return F.when((begin > 0) & (F.size(valid) > 0), valid)
 
 
 def readable(text: str | None) -> bool:
-    """Whether items() finds an object in a text."""
+    """Whether items() finds an object in a text: Python's own parser, tried where one may begin."""
     for part in filter(None, (text, (m := re.search(r"\[.*\]|\{.*\}", text or "", re.S)) and m.group())):
         try:
             if isinstance(found := json.loads(part), list) and found:
                 return True
         except ValueError:
             pass
-    return complete_objects(text) is not None
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def salvage(s: pd.Series) -> pd.Series:
-    return s.map(complete_objects)
+    at = (text or "").find("[")
+    while at >= 0 and (at := text.find("{", at + 1)) >= 0:
+        try:
+            json.JSONDecoder().raw_decode(text, at)
+            return True
+        except ValueError:
+            continue
+    return False
 
 
 def json_block(c: Column) -> Column:

@@ -1,13 +1,11 @@
-"""Text functions as column expressions; only entity decoding needs Python, and goes by Arrow batches."""
+"""Text functions as column expressions."""
 
 from __future__ import annotations
 
-import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Keywords of importance, in Korean and English, by subject.
 IMPORTANT = {
@@ -28,7 +26,7 @@ AI_LABELS = {"release": "신규 모델 출시", "pricing": "가격 정책 변경
 BADGE = '<span class="badge badge-important">⚠️ 중요</span>'
 # Fixed value: titles of routine bulletins.
 BULLETIN = r"^\s*[0-9]{1,2}월\s*[0-9]{1,2}일\s*(궂긴\s*소식|인사|동정|부고|알림|일정)\s*$"
-#: A description that only wraps a link and a source name.
+# A description that only wraps a link and a source name; a word of a title.
 WRAPPER = r"(?is)^\s*<a[^>]*>.*?</a>\s*(?:&nbsp;)+\s*<font[^>]*>.*?</font>\s*$"
 TOKEN = "[가-힣A-Za-z0-9]{2,}"
 #: The first sentence or line of a text.
@@ -46,15 +44,43 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    """HTML entities decoded; only for rows that hold an ampersand, see decoded()."""
-    return s.map(html.unescape, na_action="ignore")
+#: What may be an entity behind an ampersand, as HTML's own rules have it.
+_ENTITY = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Names that HTML also reads without a semicolon, so that other letters may follow; all of them are short.
+_SHORT = {k: v for k, v in html5.items() if not k.endswith(";")}
+#: Numbers that stand for other characters: those of Windows' code page, as far as it has them, and two more.
+_NUMBERS = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+
+def _literal(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
 def decoded(c: Column) -> Column:
-    """Entities decoded where there are any."""
-    return F.when(c.contains("&"), unescape(c)).otherwise(c)
+    """Entities decoded where there are any: the text is cut at ampersands, and each piece's begin looked up."""
+
+    def numbered(found: Column) -> Column:
+        digits = F.regexp_replace(found, "^#[xX]?0*|;$", "")
+        hexed = found.rlike("^#[xX]")
+        # More digits than any character takes are too many, whatever they say.
+        value = F.when(digits == "", F.lit("0")).when(F.length(digits) > 9, F.lit("2000000")).when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        one = F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
+        nothing = value.between(1, 8) | (value == 11) | value.between(14, 31) | value.between(127, 159) | value.between(64976, 65007) | (value % 65536 >= 65534)
+        beyond = value.between(0xD800, 0xDFFF) | (value > 0x10FFFF)
+        return F.coalesce(F.element_at(_literal(_NUMBERS), value.cast("int")), F.when(beyond, "\ufffd").when(nothing, "").otherwise(one))
+
+    def named(found: Column) -> Column:
+        longest = max(map(len, _SHORT))
+        tries = [F.when(F.length(found) > k, F.concat(F.element_at(_literal(_SHORT), F.left(found, F.lit(k))), F.substr(found, F.lit(k + 1)))) for k in range(longest, 1, -1)]
+        return F.coalesce(F.element_at(_literal(html5), found), *tries, F.concat(F.lit("&"), found))
+
+    def piece(p: Column) -> Column:
+        found = F.regexp_extract(p, _ENTITY, 1)
+        text = F.when(found == "", "&").when(found.startswith("#"), numbered(found)).otherwise(named(found))
+        return F.concat(text, F.substr(p, F.length(found) + 1))
+
+    pieces = F.split(c, "&", -1)
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), piece)
+    return F.when(c.contains("&"), F.concat(pieces[0], F.array_join(rest, ""))).otherwise(c)
 
 
 def strip_tags(c: Column) -> Column:

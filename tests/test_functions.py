@@ -161,3 +161,36 @@ def test_broken_pages_take_no_others_with_them(spark):
 def test_first_sentence(spark):
     for t, first, rest in (("One. Two", "One.", " Two"), (" \nHead line\nBody.", "Head line", "\nBody."), ("no end", "no end", ""), ("", "", ""), (None, "", ""), ("?!", "?", "!")):
         assert one(spark, text.first_sentence(F.col("t")), t=t) == first and one(spark, text.after_first_sentence(F.col("t")), t=t) == rest
+
+
+def test_entities_as_the_standard_library_has_them(spark):
+    from html.entities import html5
+
+    ends = ["", ";", "x", " ", ";;", "&", "=1", "\u00e9"]
+    cases = [f"a&{k}{e}b" for k in html5 for e in ("", " ")] + [f"&{k.rstrip(';')}{e}" for k in list(html5)[::7] for e in ends]
+    cases += [f"&#{n}{e}" for n in [*range(0, 200), 8364, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 10**9, 10**30] for e in ("", ";", "a")]
+    cases += [f"&#{x}{n:x};" for n in (0, 9, 0x41, 0x80, 0x9F, 0x20AC, 0x1F600, 0x10FFFF, 0x110000, 2**70) for x in "xX"] + ["&#0000000000065;", "&#x0000000041", "&", "&&", "a & b", "&#;", "&#x;", "&;", "&notit;", "&notin;", "&ampamp;", "&" + "a" * 40, "", "none", "\t&\n&\f& "]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    out = df.select("i", text.decoded(F.col("t")).alias("u"))
+    assert "Python" not in out._jdf.queryExecution().toString()
+    wrong = [(cases[r["i"]], r["u"]) for r in out.collect() if r["u"] != htmllib.unescape(cases[r["i"]])]
+    assert wrong == []
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(text.decoded(F.col("t"))).first()[0] is None
+
+
+def test_salvage(spark):
+    cases = {
+        '[{"a": 1}, {"b": {"c": [1, {"d": 2}]}}, {"e": ': ['{"a":1}', '{"b":{"c":[1,{"d":2}]}}'],
+        'so: [{"a": "} { \\" ]"}, {"b": "cut': ['{"a":"} { \\" ]"}'],
+        '[{"a": 1}, {bad}, {"b": 2}': ['{"a":1}', '{"b":2}'],
+        '[} {"a": 1} }, {"b": 2}': ['{"a":1}', '{"b":2}'],
+        '[{"a": "line\nbreak"': None, "no array {}": None, "[": None, "": None, "[{": None, None: None,
+        '["x", {"a": "\\\\"}, 3': ['{"a":"\\\\"}'],
+    }
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "i int, t string")
+    out = df.select("i", jsonx.salvage(F.col("t")).alias("s"))
+    assert "Python" not in out._jdf.queryExecution().toString()
+    assert {list(cases)[r["i"]]: r["s"] for r in out.collect()} == cases
+    assert [jsonx.readable(k) for k in cases] == [v is not None for v in cases.values()]
+    long = "[" + ", ".join(f'{{"id": {i}, "t": "x{{{i}"}}' for i in range(3000)) + ', {"id": '
+    assert len(one(spark, jsonx.salvage(F.col("a")), a=long)) == 3000
