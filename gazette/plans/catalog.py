@@ -1025,3 +1025,6 @@ def observed_counts(spark, d):
     df, seen = metrics.observed(_events(spark, d).select("value", "event_type"), "events", {"empty": F.col("value") <= 0, "views": F.col("event_type") == "view"})
     df.write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([tuple(seen.get[k] for k in ("rows", "empty", "views"))], "rows long, empty long, views long")
+
+
+from gazette.plans import catalog_services  # noqa: E402, F401  its queries register themselves here
