@@ -615,8 +615,7 @@ def _in_rounds(spark: SparkSession, d: str, name: str, flow: Callable[[DataFrame
     events = _events(spark, d)
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     for k in range(rounds):
-        place = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))) * rounds / (F.unix_micros(F.lit(last).cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp")) + 1))
-        events.where(place == k).write.mode("append").parquet(f"{path}/in")
+        events.where(_round_of(events, first, last, rounds) == k).write.mode("append").parquet(f"{path}/in")
         memory.run_to_end(flow(spark.readStream.schema(events.schema).parquet(f"{path}/in")), f"{path}/rows", f"{path}/state")
     return spark.read.schema(out).parquet(f"{path}/rows")
 
@@ -657,24 +656,60 @@ def stream_last_known(spark, d):
 @query("""WITH b AS (SELECT event_type, event_id, value, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 15)
           SELECT event_type, 'Item & <' || event_id::VARCHAR || '>' AS title, 'https://site.example/e?id=' || event_id::VARCHAR AS link, date_trunc('second', ts) AS published FROM b""")
 def feed_roundtrip(spark, d):
-    """Feeds of the newest items written as XML files, and read again by the feed source; one more feed is broken and gives nothing."""
-    from gazette.sinks import files
+    """Feeds of the newest items saved as XML files, and read again by Spark's XML reader; one more feed is broken and gives nothing. No Python worker takes part."""
     from gazette.sources import rss
 
     best = ranking.top_of_each(_events(spark, d), ["event_type"], [F.col("ts").desc(), F.col("event_id")], 15)
-    title = text.escape_html(F.concat(F.lit("Item & <"), F.col("event_id").cast("string"), F.lit(">")))
-    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://site.example/e?id="), F.col("event_id").cast("string"), F.lit("</link><pubDate>"), dates.rfc822(F.col("ts").cast("timestamp")), F.lit("</pubDate></item>"))
-    xml = best.groupBy("event_type").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.sort_array(F.collect_list(F.struct("rank", item.alias("x"))))["x"], ""), F.lit("</channel></rss>")).alias("content"))
+    xml = _feed_xml(best, "rank")
     broken = spark.createDataFrame([("broken", "<rss><channel><item>")], "event_type string, content string")
     folder = new_path(spark, "feeds")
-    pages = stage(xml.unionByName(broken).withColumn("path", F.concat("event_type", F.lit(".xml"))), "feed-pages")
-    files.write_pages(pages, folder)
-    seq = F.row_number().over(Window.orderBy("event_type"))  # five types
-    feeds = pages.select(F.lit(0).alias("source_seq"), seq.alias("feed_seq"), F.lit(15).alias("entry_limit"), F.concat(F.lit(f"{folder}/"), "path").alias("url"), "event_type")
-    entries = rss.read_feeds(spark, feeds).join(F.broadcast(feeds.select("feed_seq", "event_type")), "feed_seq")
+    xml.unionByName(broken).write.partitionBy("event_type").text(folder)
+    entries = rss.read_saved(spark, folder, 15).where("broken IS NULL")
     return entries.select("event_type", "title", "link", dates.parse_date(F.col("date")).cast("timestamp_ntz").alias("published"))
 
 
+def _feed_xml(items: DataFrame, order: str) -> DataFrame:
+    """event_type, content: an RSS document of each type's items (event_id, ts) in their order."""
+    title = text.escape_html(F.concat(F.lit("Item & <"), F.col("event_id").cast("string"), F.lit(">")))
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://site.example/e?id="), F.col("event_id").cast("string"), F.lit("</link><pubDate>"), dates.rfc822(F.col("ts").cast("timestamp")), F.lit("</pubDate></item>"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.struct(order, item.alias("x"))))["x"], "")
+    return items.groupBy("event_type").agg(F.concat(F.lit("<rss><channel>"), listed, F.lit("</channel></rss>")).alias("content"))
+
+
+def _round_of(events: DataFrame, first, last, rounds: int) -> F.Column:
+    """The round in which an event arrives, of as many equal spans of time."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    return F.floor((us(F.col("ts")) - us(F.lit(first))) * rounds / (us(F.lit(last)) - us(F.lit(first)) + 1))
+
+
+@query("""WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events), p AS (SELECT event_id, event_type, date_trunc('second', ts) AS s, ts, floor((epoch_us(ts) - epoch_us(lo)) * 3 / (epoch_us(hi) - epoch_us(lo) + 1.0)) AS round FROM events, b),
+          shown AS (SELECT * FROM (SELECT k, event_type, event_id, s, row_number() OVER (PARTITION BY k, event_type ORDER BY ts DESC, event_id) AS n FROM p JOIN (SELECT unnest([0, 1, 2]) AS k) ON round <= k) WHERE n <= 12
+                    UNION ALL SELECT 2, event_type, event_id, s, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM p) WHERE n <= 2),
+          f AS (SELECT event_type, event_id, s, min(k) AS poll FROM shown GROUP BY 1, 2, 3), m AS (SELECT k, (SELECT max(s) FROM f WHERE poll < k) AS latest FROM (SELECT unnest([0, 1, 2]) AS k))
+          SELECT event_type, event_id, poll::BIGINT AS poll, coalesce(s < latest - INTERVAL 3 DAY, false) AS late FROM f JOIN m ON k = poll""")
+def feed_polls(spark, d):
+    """Feeds that change between three polls, read as a stream which is stopped and started again: each entry once, late ones apart."""
+    from gazette.sinks import files
+    from gazette.sources import feed_stream
+
+    folder = new_path(spark, "feed-polls")
+    e = _events(spark, d).select("event_id", "event_type", "ts")
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    e = e.withColumn("round", _round_of(e, first, last, 3))
+    oldest = ranking.top_of_each(e, ["event_type"], [F.col("ts"), F.col("event_id")], 2)
+    for k in range(3):
+        shown = ranking.top_of_each(e.where(F.col("round") <= k), ["event_type"], [F.col("ts").desc(), F.col("event_id")], 12)
+        shown = shown if k < 2 else shown.unionByName(oldest).dropDuplicates(["event_id"])
+        files.write_pages(_feed_xml(shown.withColumn("age", -F.unix_micros(F.col("ts").cast("timestamp"))), "age").withColumn("path", F.concat("event_type", F.lit(".xml"))), folder)
+        if not k:
+            names = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # five types
+            feeds = spark.createDataFrame([(0, n, f"{folder}/{t}.xml", 50, t) for n, t in enumerate(names)], "source_seq int, feed_seq int, url string, entry_limit int, event_type string")
+        entries = feed_stream.feed_stream(spark, feeds, f"{folder}/kept").withColumn("ts", dates.parse_date(F.col("date")))
+        refresh.write_with_late(entries, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows").join(feeds.select("feed_seq", "event_type"), "feed_seq")
+    return rows.select("event_type", F.regexp_extract("link", "([0-9]+)$", 1).cast("long").alias("event_id"), F.col("batch").cast("long").alias("poll"), F.col("late").cast("boolean").alias("late"))
+
+
 @query("SELECT event_id, date_trunc('second', ts) AS utc, date_trunc('second', ts) AS shifted, event_id % 5 = 0 AS approximate FROM events")
 def parsed_dates(spark, d):
     e = _events(spark, d).withColumn("s", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"))

@@ -90,6 +90,21 @@ def read_feeds(spark: SparkSession, feeds: DataFrame) -> DataFrame:
     return spark.read.format("gazette_feeds").option("feeds", json.dumps([r.asDict() for r in rows])).load()
 
 
+_FEED = "channel struct<lastBuildDate string, item array<struct<title string, link string, description string, pubDate string>>>, broken string"
+
+
+def read_saved(spark: SparkSession, folder: str, limit: int) -> DataFrame:
+    """entry_seq, title, link, description, date, feed_date, broken of saved RSS files, parsed by Spark's own XML reader, with the columns that the folder's names give.
+
+    A file that is not well-formed has one row with its text as broken, and no entries.
+    """
+    raw = spark.read.format("xml").option("rowTag", "rss").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").schema(_FEED).load(folder)
+    item = F.slice("channel.item", 1, limit)
+    own = [c for c in raw.columns if c not in ("channel", "broken")]
+    each = raw.select(*own, F.posexplode_outer(item).alias("entry_seq", "i"), F.col("channel.lastBuildDate").alias("feed_date"), "broken")
+    return each.where("entry_seq IS NOT NULL OR broken IS NOT NULL").select(*own, "entry_seq", "i.title", F.trim("i.link").alias("link"), "i.description", F.col("i.pubDate").alias("date"), "feed_date", "broken")
+
+
 def articles(entries: DataFrame, feeds: DataFrame, now) -> DataFrame:
     """Entries as articles: cleaned, dated, with the language, region and category of their feed. now: a timestamp column."""
     title = text.strip_suffix(text.decoded(F.coalesce("title", F.lit(""))))

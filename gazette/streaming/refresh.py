@@ -33,3 +33,22 @@ def write_last_good(stream: DataFrame, folder: str, checkpoint: str, mode: str =
             batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def write_with_late(stream: DataFrame, folder: str, checkpoint: str, ts: str = "ts", days: int = 3):
+    """Each batch goes to folder under its number, rows that are more than days behind the latest time of all batches before to late=true, the others to late=false.
+
+    A batch that is run again replaces its own rows, and is judged by the same batches as before. Rows without a time are not late.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        latest = None
+        if number:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+                latest = spark.read.option("basePath", folder).parquet(folder).where(F.col("batch") < number).agg(F.max(ts)).first()[0]
+        late = F.lit(False) if latest is None else F.coalesce(F.col(ts) < F.lit(latest) - F.expr(f"INTERVAL {int(days)} DAYS"), F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{folder}/batch={number}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()

@@ -475,3 +475,55 @@ def test_entry_survives_what_is_missing():
     code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'balanced_top20' in q and 'op1_licenses' not in q and set(e.oracle_sql()) <= set(q)"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=root)
+
+
+def test_polls_give_each_entry_once_also_when_run_again(tmp_path, monkeypatch):
+    from gazette.sources import feed_stream
+
+    file = tmp_path / "a.xml"
+    show = lambda ids: file.write_text(feed([(f"t{i}", f"https://x/{i}", "", "") for i in ids]))
+    feeds_ = [{"source_seq": 0, "feed_seq": 0, "url": f"file://{file}", "limit": 9}, {"source_seq": 0, "feed_seq": 1, "url": f"file://{tmp_path}/none.xml", "limit": 9}]
+    reader = feed_stream.FeedStreamReader({"feeds": json.dumps(feeds_), "kept": f"file://{tmp_path}/kept"})
+    links = lambda start, end: sorted(row[4] for p in reader.partitions({"poll": start}, {"poll": end}) for row in reader.read(p))
+    assert reader.initialOffset() == {"poll": 0} and reader.latestOffset() == {"poll": 1}
+    show([1, 2])
+    assert links(0, 1) == ["https://x/1", "https://x/2"]
+    show([2, 3])
+    assert links(0, 1) == ["https://x/1", "https://x/2"]  # the batch is run again: what it found counts, not what the feed has now
+    assert reader.latestOffset() == {"poll": 2} and reader.latestOffset() == {"poll": 3}  # a poll that no batch got
+    assert links(1, 3) == ["https://x/3"] and links(3, 3) == []
+    file.unlink()
+    assert links(3, 4) == []  # it cannot be had
+    show([1, 4])
+    assert links(4, 5) == ["https://x/4"]  # what was known before is not new
+    monkeypatch.setattr(feed_stream, "KEEP", 1)
+    reader.commit({"poll": 5})
+    assert links(5, 6) == ["https://x/1"] or links(5, 6) == []  # of older polls nothing is known any more
+
+
+def test_broken_saved_feed_is_told_apart(spark, tmp_path):
+    (tmp_path / "kind=good").mkdir()
+    (tmp_path / "kind=bad").mkdir()
+    (tmp_path / "kind=none").mkdir()
+    (tmp_path / "kind=good" / "f.xml").write_text(feed([("a &amp; b", " https://x/1 ", "&lt;p&gt;d&lt;/p&gt;", "Thu, 13 Aug 2026 20:00:00 +0000"), ("c", "https://x/2", "", "")]))
+    (tmp_path / "kind=bad" / "f.xml").write_text("<rss><channel><item><title>x</item></channel></rss>")
+    (tmp_path / "kind=none" / "f.xml").write_text(feed([]))
+    rows = rss.read_saved(spark, str(tmp_path), 1).collect()
+    assert {(r["kind"], r["entry_seq"], r["title"], r["link"], r["description"], r["feed_date"]) for r in rows if not r["broken"]} == {("good", 0, "a & b", "https://x/1", "<p>d</p>", "Fri, 14 Aug 2026 00:00:00 GMT")}
+    assert [r["kind"] for r in rows if r["broken"]] == ["bad"]
+
+
+def test_memory_over_runs_of_a_stream(spark, tmp_path):
+    """Keys with nulls, ties, and keys that come again within and after the days, whichever run saw them last."""
+    from gazette.streaming import memory
+
+    t0 = dt.datetime(2026, 8, 1)
+    rounds = [[(1, "a", 0), (2, "a", 0), (3, None, 1), (4, "b", 2)], [(5, "a", 6.5), (6, None, 9), (7, "b", 8.9)], [(8, "a", 13.6), (9, "b", 16.5), (10, "c", 17)]]
+    for renew, want in ((True, {1, 3, 4, 6, 8, 9, 10}), (False, {1, 3, 4, 6, 8, 9, 10})):
+        base = tmp_path / str(renew)
+        for rows in rounds:
+            spark.createDataFrame([(i, k, t0 + dt.timedelta(days=d)) for i, k, d in rows], "event_id long, k string, ts timestamp").write.mode("append").parquet(f"{base}/in")
+            events = spark.readStream.schema("event_id long, k string, ts timestamp").parquet(f"{base}/in")
+            memory.run_to_end(memory.unseen(events, ["k"], renew=renew), f"{base}/out", f"{base}/state")
+        got = {r["event_id"] for r in spark.read.parquet(f"{base}/out").collect()}
+        assert got == (want if not renew else want - ({7} & want)), (renew, got)
