@@ -16,7 +16,8 @@ read again, and shuffled.
 Defined cases. Null or empty text: no windows, never reported. Null doc_id: cannot be reported, kept. Repeated doc_ids: each row is
 searched by itself, and the document is reported if one of its rows is. Repeated item_ids: each text is searched, and the
 item is reported if one of its texts is found; the counts are those of the fullest place. Null item_id: not searched.
-Items of fewer than LEAST words: not searched, as ordinary prose has their like. Empty tables: empty result. Other columns are ignored, or kept by drop_contaminated().
+Items of fewer than LEAST words: found where all their words stand unchanged, and reported as kind "short"; as ordinary prose has their
+like, drop_contaminated() keeps such documents. Items without words: not searched. Empty tables: empty result. Other columns are ignored, or kept by drop_contaminated().
 """
 
 from __future__ import annotations
@@ -98,14 +99,14 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """item (of an id and a text), item_id, raw, canon, width (of its windows) of the items that are searched."""
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("item_id is not null").distinct()
     items = own.select(F.xxhash64("item_id", "text").alias("item"), "item_id", words(F.col("text")).alias("raw")).withColumn("canon", canonical("raw"))
-    return items.where(f"size(canon) >= {LEAST}").withColumn("width", F.least(F.size("canon"), F.lit(WINDOW)))
+    return items.where("size(canon) > 0").withColumn("width", F.least(F.size("canon"), F.lit(WINDOW)))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """item, own (from 1), hash: each item's different windows with enough literal words; short items are one window.
 
     A first window that begins with a name is given once more with that word in lower case."""
-    slices = items.select("item", "raw", F.posexplode(F.expr("transform(sequence(1, size(canon) - width + 1), i -> slice(canon, i, width))")).alias("at", "part"))
+    slices = items.where(f"size(canon) >= {LEAST}").select("item", "raw", F.posexplode(F.expr("transform(sequence(1, size(canon) - width + 1), i -> slice(canon, i, width))")).alias("at", "part"))
     slices = slices.where(F.expr(f"size(filter(part, w -> w NOT IN ('#', '@', '%'))) >= least({LITERAL}, size(part))"))
     lower = slices.where("at = 0 and part[0] = '@'").withColumn("part", F.expr("concat(array(substring(raw[0], 2)), slice(part, 2, size(part)))"))
     return slices.unionByName(lower).groupBy("item", F.xxhash64("part").alias("hash")).agg((F.min("at") + 1).alias("own"))
@@ -119,10 +120,10 @@ def _joined(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item, at the fullest place), item_windows, n_slots (checked there), kind (copy or reparameterised) of each document and item it holds."""
+    """doc_id, item_id, n_windows (of the item, at the fullest place), item_windows, n_slots (checked there), kind (copy, reparameterised or short) of each document and item it holds."""
     items = stage(benchmark_items(benchmark), "bench-items")
     known = stage(benchmark_windows(items), "bench-windows")
-    sizes = [r[0] for r in items.where(f"width < {WINDOW}").select("width").distinct().collect()]  # at most WINDOW - LEAST values
+    sizes = [r[0] for r in items.where(f"width BETWEEN {LEAST} AND {WINDOW - 1}").select("width").distinct().collect()]  # at most WINDOW - LEAST values
     hits = _joined(_windows(_tokens(docs), "canon", [WINDOW, *sorted(sizes)]), known, known.count())
     hits = hits.select("doc_id", "print", "item", "own", (F.col("at") - F.col("own")).alias("shift"))
     total = known.groupBy("item").agg(F.count_distinct("own").alias("item_windows"))
@@ -144,8 +145,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n = rest.count()
     if n:
         out = out.unionByName(_verbatim(docs, rest, n))
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "n_slots", "item_windows")).alias("best"), F.bool_or("same").alias("same")).select(
-        "doc_id", "item_id", "best.n_windows", "best.item_windows", "best.n_slots", F.when(F.col("same"), "copy").otherwise("reparameterised").alias("kind")
+    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "n_slots", "item_windows")).alias("best"), F.bool_or("same").alias("same"), F.bool_and("short").alias("short")).select(
+        "doc_id", "item_id", "best.n_windows", "best.item_windows", "best.n_slots", F.when(F.col("short"), "short").when(F.col("same"), "copy").otherwise("reparameterised").alias("kind")
     )
 
 
@@ -156,7 +157,7 @@ def _bare() -> Column:
 def _verbatim(docs: DataFrame, rest: DataFrame, n: int) -> DataFrame:
     """Places of the n items without any window of enough literal words, whose words must all stand in the document as they are."""
     first = rest.select("item", F.expr(f"slice(bare, 1, {WINDOW})").alias("part"))
-    sizes = [r[0] for r in first.select(F.size("part")).distinct().collect()]  # at most WINDOW - LEAST + 1 values
+    sizes = [r[0] for r in first.select(F.size("part")).distinct().collect()]  # at most WINDOW values
     tokens = _tokens(docs).select("doc_id", "print", _bare())
     hits = _joined(_windows(tokens, "bare", sorted(sizes)), first.select("item", F.xxhash64("part").alias("hash")), n)
     places = stage(hits.groupBy("doc_id", "print", "item").agg(F.collect_set("at").alias("places")), "bench-places")
@@ -165,7 +166,7 @@ def _verbatim(docs: DataFrame, rest: DataFrame, n: int) -> DataFrame:
     pairs = pairs.where("exists(places, at -> slice(bare, at, size(item_bare)) = item_bare)")
     slots = F.expr("cast(size(filter(canon, w -> w IN ('#', '@', '%'))) AS bigint)")
     one = F.lit(1).cast("long")
-    return pairs.select("doc_id", "item_id", one.alias("n_windows"), slots.alias("n_slots"), one.alias("item_windows"), F.lit(True).alias("same"))
+    return pairs.select("doc_id", "item_id", one.alias("n_windows"), slots.alias("n_slots"), one.alias("item_windows"), F.lit(True).alias("same"), (F.size("canon") < LEAST).alias("short"))
 
 
 def _checked(pairs: DataFrame) -> DataFrame:
@@ -181,10 +182,10 @@ def _checked(pairs: DataFrame) -> DataFrame:
     out = out.withColumn("judged", F.expr(f"filter(judged, j -> {consistent})")).where("size(judged) > 0")
     best = F.expr("array_max(transform(judged, j -> struct(j.n_windows AS n_windows, cast(size(array_distinct(j.slots.k)) AS bigint) AS n_slots)))")
     same = F.expr("exists(judged, j -> forall(j.slots, s -> s.theirs = s.ours))").alias("same")
-    return out.withColumn("best", best).select("doc_id", "item_id", "best.n_windows", "best.n_slots", "item_windows", same)
+    return out.withColumn("best", best).select("doc_id", "item_id", "best.n_windows", "best.n_slots", "item_windows", same, F.lit(False).alias("short"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item of the benchmark, all columns as they are."""
-    gone = stage(contaminated(docs, benchmark).select("doc_id").distinct(), "bench-gone")
+    """The rows of docs that hold no item of the benchmark, all columns as they are; mere short items don't count."""
+    gone = stage(contaminated(docs, benchmark).where("kind <> 'short'").select("doc_id").distinct(), "bench-gone")
     return without(docs, gone)

@@ -193,8 +193,8 @@ ORACLE: dict[str, str] = {
     # Each word of an item is laid on each equal one of a document; a window stands where all its words do.
     "op3_decontaminate": f"""
         WITH d AS ({_sql_words('documents', 'doc_id')}),
-        b AS (SELECT *, least(8, len(canon)) AS width FROM ({_sql_words('benchmark', 'item_id')}) WHERE len(canon) >= 5),
-        cut AS (SELECT id AS item, width, unnest(range(1, len(canon) - width + 2)) AS k, canon FROM b),
+        b AS (SELECT *, least(8, len(canon)) AS width FROM ({_sql_words('benchmark', 'item_id')}) WHERE len(canon) >= 1),
+        cut AS (SELECT id AS item, width, unnest(range(1, len(canon) - width + 2)) AS k, canon FROM b WHERE len(canon) >= 5),
         windows AS (SELECT item, min(k) AS k FROM cut WHERE len(list_filter(canon[k : k + width - 1], lambda w: w NOT IN ('#', '@', '%'))) >= least(5, width)
                     GROUP BY item, canon[k : k + width - 1]),
         total AS (SELECT item, count(*) AS item_windows FROM windows GROUP BY item),
@@ -213,12 +213,12 @@ ORACLE: dict[str, str] = {
                    GROUP BY ALL HAVING count(DISTINCT CASE WHEN k IS NOT NULL THEN [word, theirs, ours] END) = count(DISTINCT CASE WHEN k IS NOT NULL THEN [word, theirs] END)
                        AND count(DISTINCT theirs) FILTER (word = '@') = count(DISTINCT ours) FILTER (word = '@')),
         line AS (SELECT id, doc_id, ' ' || replace(array_to_string(raw, ' '), chr(57344), '') || ' ' AS t FROM d),
-        bare AS (SELECT item_id, ' ' || replace(array_to_string(raw, ' '), chr(57344), '') || ' ' AS t, len(list_filter(canon, lambda w: w IN ('#', '@', '%'))) AS n_slots
+        bare AS (SELECT item_id, ' ' || replace(array_to_string(raw, ' '), chr(57344), '') || ' ' AS t, len(list_filter(canon, lambda w: w IN ('#', '@', '%'))) AS n_slots, len(canon) < 5 AS short
                  FROM b WHERE id NOT IN (SELECT item FROM total)),
-        found AS (SELECT doc_id, item_id, n_windows, item_windows, n_slots, equal FROM judged JOIN d ON d.id = doc JOIN b ON b.id = item
-                  UNION ALL SELECT doc_id, item_id, 1, 1, n_slots, true FROM line JOIN bare ON contains(line.t, bare.t))
+        found AS (SELECT doc_id, item_id, n_windows, item_windows, n_slots, equal, false AS short FROM judged JOIN d ON d.id = doc JOIN b ON b.id = item
+                  UNION ALL SELECT doc_id, item_id, 1, 1, n_slots, true, short FROM line JOIN bare ON contains(line.t, bare.t))
         SELECT doc_id, item_id, max(n_windows) AS n_windows, max(struct_pack(n := n_windows, s := n_slots, i := item_windows)).i AS item_windows,
-               max(struct_pack(n := n_windows, s := n_slots, i := item_windows)).s AS n_slots, CASE WHEN bool_or(equal) THEN 'copy' ELSE 'reparameterised' END AS kind
+               max(struct_pack(n := n_windows, s := n_slots, i := item_windows)).s AS n_slots, CASE WHEN bool_and(short) THEN 'short' WHEN bool_or(equal) THEN 'copy' ELSE 'reparameterised' END AS kind
         FROM found GROUP BY doc_id, item_id""",
     "op6_chat_format": r"""
         WITH rows_in AS (

@@ -102,12 +102,25 @@ def test_planted_variants_against_sql(spark, tmp_path):
     assert kinds["copy"] > 60 and kinds["reparameterised"] > 20
 
 
+def test_items_of_few_words(spark, tmp_path):
+    """Items too short for a window are found word for word, as a kind of their own, and drop no document."""
+    items = [(1, "Who wrote Hamlet?"), (2, "who painted the ceiling"), (3, "Yes"), (4, "???"), (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi")]
+    docs = [(1, "they asked: who wrote HAMLET, and why"), (2, "Who painted the walls? who painted the ceiling"), (3, "yesterday yes no"), (4, "who wrote the play Hamlet"), (5, items[4][1]), (None, "yes"), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    found = op3_decontaminate(spark, str(tmp_path))
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found.collect()} == {(1, 1, "short"), (2, 2, "short"), (3, 3, "short"), (5, 5, "copy")}
+    assert_same(found, ORACLE["op3_decontaminate"], str(tmp_path))
+    kept = decontam.drop_contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()
+    assert len(kept) == 6 and 5 not in {r["doc_id"] for r in kept}
+
+
 def test_short_items_and_shuffled_join(spark, monkeypatch):
     b = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "too short"), (3, None), (4, " ".join(f"w{chr(97 + i)}" for i in range(20)))], "item_id long, text string")
     d = spark.createDataFrame([(1, "x alpha beta gamma delta epsilon zeta y"), (2, "too short"), (3, "q " + " ".join(f"w{chr(97 + i)}" for i in range(15)))], "doc_id long, text string")
     for limit in (decontam.BROADCAST_ROWS, 0):
         monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
-        assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()} == {(1, 1), (3, 4)}
+        assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()} == {(1, 1), (2, 2), (3, 4)}
 
 
 def test_decontamination_odd(spark, odd, empty):
