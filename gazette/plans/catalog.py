@@ -1014,11 +1014,18 @@ def key_status(spark, d):
     return s.groupBy("status", model.usable_status(F.col("status")).alias("usable")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT source_id, count(*) AS feeds, min(place) AS first_job FROM (VALUES " + ", ".join(f"({i}, '{r[2]}')" for i, r in enumerate(registry.feed_rows())) + ") v(place, source_id) GROUP BY source_id")
+_FEED_VALUES = ", ".join(f"({i}, '{r[2]}')" for i, r in enumerate(registry.feed_rows()))
+
+
+@query(f"""WITH f AS (SELECT * FROM (VALUES {_FEED_VALUES}) v(place, source_id)),
+           e AS (SELECT event_id % {len(registry.feed_rows())} AS place, count(*) AS n, max(ts) AS newest FROM events GROUP BY 1)
+           SELECT source_id, count(*) AS feeds, min(place) AS first_job, coalesce(sum(n), 0)::BIGINT AS entries, max(newest) AS newest FROM f LEFT JOIN e USING (place) GROUP BY source_id""")
 def registry_feeds(spark, d):
-    """Scan jobs of every source of the registry, in order."""
+    """Scan jobs of every source of the registry, in order, and what they brought: events are dealt out over the jobs as their entries."""
     place = F.row_number().over(Window.orderBy("source_seq", "feed_seq")) - 1  # some dozens of feeds
-    return registry.feeds(spark).withColumn("place", place).groupBy("source_id").agg(F.count(F.lit(1)).alias("feeds"), F.min("place").alias("first_job"))
+    jobs = registry.feeds(spark).withColumn("place", place.cast("long"))
+    brought = _events(spark, d).groupBy((F.col("event_id") % len(registry.feed_rows())).alias("place")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("newest"))
+    return jobs.join(brought, "place", "left").groupBy("source_id").agg(F.count(F.lit(1)).alias("feeds"), F.min("place").alias("first_job"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.max("newest").alias("newest"))
 
 
 @query(f"""{_ENTRIES}, w AS (SELECT symbol, (row_number() OVER (ORDER BY symbol))::INT AS seq FROM (SELECT DISTINCT p_brand AS symbol FROM part)),
