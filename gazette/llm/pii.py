@@ -2,9 +2,10 @@
 
 Fixed expressions find e-mail and IP addresses, card and telephone numbers; these base spans always stand and are the
 seeds. The words beside seeds are lexical patterns. A graph of patterns and instances (identifier-like tokens)
-is scored in ROUNDS rounds: a pattern's confidence is the share of all its word's occurrences in the corpus that
-stand beside instances, weighted by their scores; an instance's score is its best accepted pattern's
-confidence, a seed's is 1. Patterns that end with CONFIDENCE and SUPPORT discover the other instances beside
+is scored in ROUNDS rounds: a pattern's confidence is the mean score of the instances beside it; an instance's score is its
+best accepted pattern's confidence, a seed's is 1. What a word stands beside elsewhere counts less: the scores must only make
+up SPECIFIC of all the word's occurrences in the corpus, so that cues which also occur in prose hold, and words of prose
+that happen to precede an address do not. Patterns that end with CONFIDENCE, SPECIFIC and SUPPORT discover the other instances beside
 them as spans of kind "id". Sums are of whole millionths, so that results don't depend on the order of addition.
 
 Instances are tokens of LENGTH characters or more with DIGITS digits or more; others are never discovered. Only (pattern,
@@ -36,7 +37,7 @@ BASE = {
 }
 #: Instances: tokens with digits. Their least length and number of digits.
 TOKEN, LENGTH, DIGITS = r"(?<!\S)\S*[0-9]\S*", 5, 2
-ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 500_000  # of a million
+ROUNDS, SUPPORT, CONFIDENCE, SPECIFIC = 3, 3, 500_000, 200_000  # the last two of a million
 #: Words beside instances whose hashes are broadcast at most (8 bytes each); more of them go by a filter of fixed size.
 BROADCAST_ROWS = 500_000
 _BLOCK = 32
@@ -133,9 +134,9 @@ def accepted_patterns(found: DataFrame, docs: DataFrame) -> DataFrame:
         else:
             best = edges.join(held, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
             scored = edges.join(best, "value", "left").select("pattern", "value", "n", "total", F.when(F.col("seed") == 1, 1_000_000).otherwise(F.coalesce("best", F.lit(0))).cast("long").alias("score"))
-        confidence = F.expr("sum(n * score) div max(greatest(total, n))")
-        rated = scored.groupBy("pattern").agg(F.least(confidence, F.lit(1_000_000)).alias("confidence"), F.count_if(F.col("score") >= CONFIDENCE).alias("support"))
-        held = stage(rated.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "confidence"), "pii-patterns")
+        confidence, specific = F.expr("sum(n * score) div sum(n)"), F.expr("sum(n * score) div max(greatest(total, n))")
+        rated = scored.groupBy("pattern").agg(confidence.alias("confidence"), specific.alias("specific"), F.count_if(F.col("score") >= CONFIDENCE).alias("support"))
+        held = stage(rated.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE) & (F.col("specific") >= SPECIFIC)).select("pattern", "confidence"), "pii-patterns")
     return held
 
 

@@ -180,8 +180,8 @@ def test_pii_finds_planted_identifiers(spark):
     planted, found = sum(len(h) for _, _, h in docs), sum(len(v) for v in got.values())
     right = sum(len([v for v in got[i] if bare(v) in set(map(bare, h))]) for i, _, h in docs)
     print("recall", right / planted, "precision", right / found)
-    # Two of the five cues stand beside addresses in less than half of their places, so 39 % of the identifiers are out of reach by definition.
-    assert right / planted >= 0.55 and right / found >= 0.95
+    # Cues that stand beside addresses in less than half of their places hold too: what counts is what else they introduce.
+    assert right / planted >= 0.9 and right / found >= 0.95
 
 
 def brute_pii(docs):
@@ -224,13 +224,14 @@ def brute_pii(docs):
         for (s, v), _ in edges.items():
             if held and s in held:
                 best[v] = max(best[v], held[s])
-        rate, support, count = defaultdict(int), defaultdict(int), defaultdict(int)
+        rate, support, count, beside = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
         for (s, v), (n, seed) in edges.items():
             score = 1_000_000 if seed else best[v]
             rate[s] += n * score
+            beside[s] += n
             count[s] = max(count[s], totals[s[2:]], n)
             support[s] += score >= pii.CONFIDENCE
-        held = {s: c for s in rate if totals[s[2:]] and support[s] >= pii.SUPPORT and (c := min(rate[s] // count[s], 1_000_000)) >= pii.CONFIDENCE}
+        held = {s: c for s in rate if totals[s[2:]] and support[s] >= pii.SUPPORT and (c := rate[s] // beside[s]) >= pii.CONFIDENCE and rate[s] // count[s] >= pii.SPECIFIC}
     return {(i, a, z) for i, seed, _, a, z, sides in seen if not seed and any(s in held for s in sides)}
 
 
