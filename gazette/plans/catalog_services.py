@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions import dates, numeric, text
 from gazette.operators import ranking, series
-from gazette.plans.catalog import _ARTICLES, _ENTRIES, _PRICES, _any_of, _articles, _events, _prices, _snapshot_files, query
+from gazette.plans.catalog import _ARTICLES, _ENTRIES, _PRICES, _any_of, _articles, _blurb, _events, _prices, _snapshot_files, query
 from gazette.staging import new_path
 from gazette.tables import load
 
@@ -210,3 +210,59 @@ def first_failures(spark, d):
     said = F.concat(F.lit("E"), F.col("o_orderkey").cast("string"), F.lit(": "), "o_orderpriority", F.repeat(F.lit("x"), F.lit(200)))
     own = load(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", said).alias("error"))
     return metrics.first_errors(own, "error", "o_orderkey")
+
+
+def _esc(sql: str) -> str:
+    """DuckDB: text.escape_html()."""
+    for char, entity in (("'&'", "&amp;"), ("'<'", "&lt;"), ("'>'", "&gt;"), ("'\"'", "&#34;"), ("chr(39)", "&#39;")):
+        sql = f"replace({sql}, {char}, '{entity}')"
+    return sql
+
+
+def _token(sql: str) -> str:
+    """DuckDB: pagekey.page_token() of the parts joined by |, behind the salt."""
+    return (
+        f"list_aggregate(list_transform(range(0, 10), lambda i: substr('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', (('0x' || substr(sha256('salt|' || {sql}), (i * 2 + 1)::INT, 2))::INT % 62 + 1)::INT, 1)), 'string_agg', '')"
+    )
+
+
+def _head(title: str, description: str, url: str) -> str:
+    """DuckDB: the head of every page."""
+    return (
+        f"'<!doctype html><html lang=\"ko\"><head><meta charset=\"utf-8\"><title>' || {title} || '</title><meta property=\"og:title\" content=\"' || {title} || '\"><meta property=\"og:description\" content=\"' || {description}"
+        f" || '\"><meta property=\"og:url\" content=\"' || {url} || '\"><link rel=\"stylesheet\" href=\"/style.css\"><script src=\"/site.js\" defer></script></head><body>'"
+    )
+
+
+_LINK_OF = "CASE WHEN article_seq % 1000 = 999 THEN '' ELSE 'https://site.example/a?id=' || article_seq::VARCHAR END"
+_MINUTE = "strftime(published + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M')"
+
+
+@query(f"""WITH {_ARTICLES}, o AS (SELECT *, {_LINK_OF} AS link FROM a WHERE region = 'overseas' AND trim(summary, chr(32)) <> '' AND article_seq % 1000 <> 999),
+           p AS (SELECT *, '2026/08/14/a-' || {_token("'2026-08-14|' || link")} || '.html' AS path,
+                        coalesce(list_aggregate(list_transform(list_filter(list_transform(string_split(summary, chr(10)), lambda x: trim(x, chr(32))), lambda x: x <> ''), lambda x: '<p>' || {_esc('x')} || '</p>'), 'string_agg', chr(10)), '') AS body FROM o)
+           SELECT article_seq, path, md5({_head(_esc('title'), _esc(_blurb('summary', 160)), "'https://site.example/' || path")} || '<article><h1>' || {_esc('title')} || '</h1><span class="news-date">' || {_MINUTE} || '</span><div class="article-body">' || body
+                  || '</div><a href="' || {_esc('link')} || '" rel="noopener">원문 보기 (' || {_esc('source')} || ')</a></article></body></html>') AS content_md5 FROM p""")
+def detail_page_contents(spark, d):
+    """The page of each overseas article: its whole text in paragraphs, date, source and head, under a name that cannot be guessed."""
+    from gazette.sinks import render
+
+    a = _articles(spark, d).withColumns({"detail_summary": F.when(F.col("region") == "overseas", F.col("summary")), "original_title": F.lit(None).cast("string")})
+    named = render.with_detail_paths(a, "salt", "2026-08-14")
+    pages = render.detail_pages(named, "https://site.example").select("path", F.md5("content").alias("content_md5"))
+    # Articles without a link would share one path.
+    return named.where("detail_rel <> ''").where("link <> ''").select("article_seq", F.col("detail_rel").alias("path")).join(pages, "path")
+
+
+@query(f"""WITH {_ARTICLES}, i AS (SELECT *, {_LINK_OF} AS link, {_any_of([w for x in text.IMPORTANT.values() for w in x], "lower(title || ' ' || summary)")} AS important FROM a),
+           r AS (SELECT *, '<article class="news"><h3><a href="' || {_esc('link')} || '">' || {_esc('title')} || '</a>' || CASE WHEN important THEN '{text.BADGE}' ELSE '' END || '</h3><p>' || {_esc('summary')} || '</p><span>' || {_esc('source')} || ' · ' || {_MINUTE} || '</span></article>' AS item FROM i),
+           c AS (SELECT category, '2026/08/14/' || category || '-' || {_token("'2026-08-14|' || category || '.html'")} || '.html' AS path, string_agg(item, chr(10) ORDER BY region, important DESC, published DESC, article_seq) AS items FROM r GROUP BY category)
+           SELECT category, path, md5({_head('category', "'2026-08-14 · ' || category", "'https://site.example/' || path")} || items || '</body></html>') AS content_md5, length(items) AS chars FROM c""")
+def category_page_contents(spark, d):
+    """The page of each category with all its articles in order, important ones marked."""
+    from gazette.sinks import render
+
+    a = _articles(spark, d).withColumns({"is_important": text.is_important(F.col("title"), F.col("summary")), "is_ai": F.lit(False), "ai_subtype_label": F.lit(None).cast("string")})
+    pages = render.category_pages(a, "salt", "2026-08-14", "https://site.example")
+    items = F.regexp_replace("content", r"(?s)^.*?<body>|</body></html>$", "")
+    return pages.select("category", "path", F.md5("content").alias("content_md5"), F.length(items).cast("long").alias("chars"))
