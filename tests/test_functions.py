@@ -194,3 +194,7 @@ def test_salvage(spark):
     assert [jsonx.readable(k) for k in cases] == [v is not None for v in cases.values()]
     long = "[" + ", ".join(f'{{"id": {i}, "t": "x{{{i}"}}' for i in range(3000)) + ', {"id": '
     assert len(one(spark, jsonx.salvage(F.col("a")), a=long)) == 3000
+
+
+def test_paragraphs(spark):
+    assert one(spark, text.paragraphs(F.col("a")), a=" 0 first \n\n10 second\n   \n12 of 12 ") == ["0 first", "10 second", "12 of 12"]
