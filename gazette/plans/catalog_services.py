@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gazette.functions import dates, numeric, text
 from gazette.operators import ranking, series
 from gazette.plans.catalog import _ARTICLES, _ENTRIES, _PRICES, _any_of, _articles, _blurb, _events, _prices, _snapshot_files, query
+from gazette.sources import registry
 from gazette.staging import new_path
 from gazette.tables import load
 
@@ -266,3 +267,23 @@ def category_page_contents(spark, d):
     pages = render.category_pages(a, "salt", "2026-08-14", "https://site.example")
     items = F.regexp_replace("content", r"(?s)^.*?<body>|</body></html>$", "")
     return pages.select("category", "path", F.md5("content").alias("content_md5"), F.length(items).cast("long").alias("chars"))
+
+
+_PLACES = ", ".join(f"('{c[0]}', {i})" for i, c in enumerate(registry.CATEGORIES))
+
+
+@query(f"""WITH {_ARTICLES}, i AS (SELECT *, {_LINK_OF} AS link, {_any_of([w for x in text.IMPORTANT.values() for w in x], "lower(title || ' ' || summary)")} AS important FROM a),
+           b AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY important DESC, published DESC, article_seq) AS place FROM i QUALIFY place <= 5),
+           r AS (SELECT o.seq, place, '<article class="news"><h3><a href="' || {_esc('link')} || '">' || {_esc('title')} || '</a>' || CASE WHEN important THEN '{text.BADGE}' ELSE '' END || '</h3><p>' || {_esc(_blurb('summary', 120))} || '</p><span>' || {_esc('source')} || ' · ' || {_MINUTE} || '</span></article>' AS item
+                 FROM b LEFT JOIN (VALUES {_PLACES}) o(category, seq) USING (category)),
+           k AS (SELECT region, row_number() OVER (PARTITION BY region ORDER BY article_seq) AS rank, '<li><b>' || {_esc(_blurb('title', 40))} || '</b> ' || {_esc('source')} || ' <i>' || category || '</i></li>' AS card FROM a QUALIFY rank <= 10)
+           SELECT 'index.html' AS path, md5({_head("'오늘의 기사 2026-08-14'", "'2026-08-14의 기사를 한눈에'", "'https://site.example'")} || '<ol>' || (SELECT string_agg(card, chr(10) ORDER BY region, rank) FROM k) || '</ol>'
+                  || (SELECT string_agg(item, chr(10) ORDER BY seq NULLS FIRST, place) FROM r) || '</body></html>') AS content_md5""")
+def home_page_contents(spark, d):
+    """The home page: cards by region and rank, and the first five articles of each category in the registry's order."""
+    from gazette.sinks import render
+
+    a = _articles(spark, d).withColumns({"is_important": text.is_important(F.col("title"), F.col("summary")), "is_ai": F.lit(False), "ai_subtype_label": F.lit(None).cast("string")})
+    first = ranking.top_of_each(a.select("region", "article_seq", "title", "source", "category"), ["region"], [F.col("article_seq")], 10)
+    cards = first.select("region", "rank", text.trim_at_boundary(F.col("title"), 40).alias("card_headline"), F.col("source").alias("card_blurb"), F.col("category").alias("category_name"))
+    return render.home_page(a, cards, "2026-08-14", "https://site.example").select("path", F.md5("content").alias("content_md5"))
