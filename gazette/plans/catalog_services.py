@@ -287,3 +287,50 @@ def home_page_contents(spark, d):
     first = ranking.top_of_each(a.select("region", "article_seq", "title", "source", "category"), ["region"], [F.col("article_seq")], 10)
     cards = first.select("region", "rank", text.trim_at_boundary(F.col("title"), 40).alias("card_headline"), F.col("source").alias("card_blurb"), F.col("category").alias("category_name"))
     return render.home_page(a, cards, "2026-08-14", "https://site.example").select("path", F.md5("content").alias("content_md5"))
+
+
+@query(f"""WITH {_ARTICLES}, i AS (SELECT *, {_any_of([w for x in text.IMPORTANT.values() for w in x], "lower(title || ' ' || summary)")} AS important FROM a)
+           SELECT '2026-08-14' AS date, category, row_number() OVER (PARTITION BY category ORDER BY region, article_seq) - 1 AS seq, title, {_LINK_OF} AS link, strftime(published, '%Y-%m-%dT%H:%M:%SZ') AS published, md5(summary) AS summary_md5, source, important FROM i""")
+def snapshot_roundtrip(spark, d):
+    """The day's snapshot written as one file, by category and region, and read back by its day: every article in its place with its fields."""
+    import datetime as dt
+
+    from gazette.sinks import files, render
+    from gazette.sources import snapshots
+
+    a = _articles(spark, d).withColumn("is_important", text.is_important(F.col("title"), F.col("summary")))
+    e = series.candidates(_prices(spark, d), ["symbol"]).withColumn("market", F.when(F.col("symbol") < "Brand#3", "domestic").otherwise("overseas"))
+    picks = series.picks(e, ["market"], "symbol").withColumns({"name": F.col("symbol"), "reason": F.lit("moved")})
+    folder = new_path(spark, "snapshot")
+    files.write_pages(render.snapshot_json(a, picks, "2026-08-14"), folder)
+    day = dt.date(2026, 8, 14)
+    back = snapshots.articles(snapshots.read_days(spark, folder, day, day))
+    return back.select(F.col("date").cast("string").alias("date"), "category", "seq", "title", "link", "published", F.md5("summary").alias("summary_md5"), "source", F.col("is_important").alias("important"))
+
+
+@query(f"""{_ENTRIES}, m AS (SELECT *, CASE WHEN symbol < 'Brand#3' THEN 'domestic' ELSE 'overseas' END AS market FROM e),
+           u AS (SELECT market, symbol, price, 'daily' AS horizon, daily AS change_pct FROM m UNION ALL SELECT market, symbol, price, 'weekly', weekly FROM m UNION ALL SELECT market, symbol, price, 'monthly', monthly FROM m),
+           r AS (SELECT *, row_number() OVER (PARTITION BY market, horizon ORDER BY change_pct DESC, symbol) AS rank FROM u WHERE change_pct IS NOT NULL QUALIFY rank <= 2)
+           SELECT '2026-08' AS year_month, market, horizon, symbol, floor(price * 10000 + 0.5) / 10000 AS price_at_pick FROM r""")
+def archived_picks(spark, d):
+    """The day's picks in its snapshot file, moved into the archive, and their history read from the month that holds them."""
+    import datetime as dt
+
+    from gazette.plans import archive
+    from gazette.sinks import files, render
+    from gazette.sources import snapshots
+
+    e = series.candidates(_prices(spark, d), ["symbol"]).withColumn("market", F.when(F.col("symbol") < "Brand#3", "domestic").otherwise("overseas"))
+    picks = series.picks(e, ["market"], "symbol").withColumns({"name": F.col("symbol"), "reason": F.lit("moved")})
+    articles = _articles(spark, d).withColumn("is_important", F.lit(False))
+    folder = new_path(spark, "picks-tree")
+    files.write_pages(render.snapshot_json(articles, picks, "2026-08-14"), folder)
+    archive.compact(spark, snapshots.read(spark, folder), f"{folder}-archive", F.lit(dt.date(2026, 12, 31)))
+    table = spark.read.parquet(f"{folder}-archive/picks").withColumn("year_month", F.date_format(F.to_date("year_month", "yyyy-MM"), "yyyy-MM"))
+    names = [r[0] for r in picks.select("symbol").distinct().orderBy("symbol").collect()]  # twelve at most
+    out = None
+    for symbol in names:
+        for market in ("domestic", "overseas"):
+            one = archive.stock_history(table, symbol, market, "2026-08-01")
+            out = one if out is None else out.unionByName(one)
+    return out.select("year_month", "market", "horizon", "symbol", numeric.round_half_up(F.col("price_at_pick"), 4).alias("price_at_pick"))
