@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -52,7 +53,8 @@ _SHORT = {k: v for k, v in html5.items() if not k.endswith(";")}
 _NUMBERS = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 
 def _literal(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    """A map of texts as one literal, which the optimizer parses once."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
 
 def decoded(c: Column) -> Column:
@@ -66,7 +68,7 @@ def decoded(c: Column) -> Column:
         one = F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
         nothing = value.between(1, 8) | (value == 11) | value.between(14, 31) | value.between(127, 159) | value.between(64976, 65007) | (value % 65536 >= 65534)
         beyond = value.between(0xD800, 0xDFFF) | (value > 0x10FFFF)
-        return F.coalesce(F.element_at(_literal(_NUMBERS), value.cast("int")), F.when(beyond, "\ufffd").when(nothing, "").otherwise(one))
+        return F.coalesce(F.element_at(_literal(_NUMBERS), value.cast("string")), F.when(beyond, "\ufffd").when(nothing, "").otherwise(one))
 
     def named(found: Column) -> Column:
         longest = max(map(len, _SHORT))
