@@ -12,7 +12,7 @@ of word marks) are merged outright, as ties are settled by place there.
 Defined cases. Null or empty text: no ids, empty decoded text. Null doc_id and
 repeated rows: rows like any other. Characters outside the vocabulary: byte pieces. A word
 mark U+2581 in a text is a space after decoding, as in the library. Empty table:
-empty result. Other columns are ignored by encode(), carried by encode_column().
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
