@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -182,6 +184,16 @@ def test_repeats_end_when_no_candidate_survives(spark):
     assert len(got) == 30 and all(r["n_removed"] == 0 and r["n_words"] == 50 and r["longest"] == 0 for r in got)
 
 
+def test_a_fresh_worker_has_all_that_chunks_need():
+    """Nothing else in a worker may have loaded pyarrow's functions."""
+    batch = pa.RecordBatch.from_arrays([pa.array([2, None, 1]), pa.array(["b b", "c", "a"])], ["doc_id", "text"])
+    with pa.ipc.new_stream(out := pa.BufferOutputStream(), batch.schema) as stream:
+        stream.write_batch(batch)
+    code = "import sys, pyarrow as pa; from gazette.llm.passages import _Chunk; print(_Chunk(pa.ipc.open_stream(sys.stdin.buffer.read()).read_all(), 1).table['doc_id'].to_pylist())"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, input=out.getvalue().to_pybytes(), cwd=passages.__file__.rpartition("/gazette/")[0])
+    assert done.stdout.strip() == b"[1, 2, None]", done.stderr
+
+
 def test_texts_go_to_chunks_whole(monkeypatch):
     monkeypatch.setattr(passages, "CHUNK", 100)
     monkeypatch.setattr(passages.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda s: 3})())
