@@ -7,13 +7,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions import jsonx, numeric, text
 from gazette.operators import joins, ranking
-from gazette.staging import new_path
+from gazette.staging import new_path, small_batches
 
 #: Items of a request, by region: long answers need small requests. Candidates of each category; cards.
 SIZES, EACH, CARDS = {"domestic": 8, "overseas": 3}, 6, 10
@@ -108,18 +109,21 @@ def ask(requests: DataFrame, call: Call | None, budget: float | None = None, ret
         return requests.withColumn("raw", F.lit(None).cast("string"))
     folder = None if budget is None else clock or new_clock(requests.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = (lambda: False) if budget is None else (lambda own=Clock(folder): own.late(budget))
-        for f in frames:
+        for b in batches:
             raw = []
-            for rules, prompt in zip(f["rules"], f["prompt"]):
+            for rules, prompt in zip(b.column("rules"), b.column("prompt")):
+                rules, prompt = rules.as_py(), prompt.as_py()
                 answer = None if late() else answer_to(call, rules, prompt, retries, wait)
                 if answer and not jsonx.readable(answer) and not late():
                     answer = answer_to(call, rules, prompt + "\n\nJSON only, without explanation.", 0, wait) or answer
                 raw.append(answer)
-            yield f.assign(raw=raw)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.string())], [*b.schema.names, "raw"])
 
-    return requests.repartition(at_once).mapInPandas(run, requests.schema.simpleString()[7:-1].replace(":", " ") + ", raw string")
+    # Prompts hold whole texts: few go to a worker at a time, however many there are.
+    small_batches(requests.sparkSession)
+    return requests.repartition(at_once).mapInArrow(run, requests.schema.simpleString()[7:-1].replace(":", " ") + ", raw string")
 
 
 def new_clock(spark) -> str:
