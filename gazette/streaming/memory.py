@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,23 +23,34 @@ def _micros(c) -> F.Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def _seen(ttl: int, renew: bool, columns: list[str]):
-    """A step for one key: the state is the time (in microseconds) that its memory counts from; an event-time timeout forgets it once it is over."""
+#: Keys share the state of a part, so that a batch costs a call for each part, not for each key.
+PARTS = 1024
+
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+def _seen(ttl: int, renew: bool, columns: list[str]):
+    """A step for one part of the keys: the state is each key (JSON on a line) and the time (in microseconds) that its memory counts from; an event-time timeout forgets those that are over."""
+
+    def run(part, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names, times = state.get if state.exists else ("", b"")
+        held = dict(zip(names.split("\n"), np.frombuffer(times, np.int64).tolist()))
+        own = None if state.hasTimedOut else pd.concat(list(frames)).sort_values(["own_at", "own_id"], kind="stable")
+        if own is not None:
+            passed = []
+            for key, at in zip(own["own_key"].tolist(), own["own_at"].tolist()):
+                last = held.get(key)
+                new = last is None or at - last > ttl
+                passed.append(new)
+                if new or renew:
+                    held[key] = at if last is None else max(last, at)
+        watermark = state.getCurrentWatermarkMs()
+        held = {k: last for k, last in held.items() if (last + ttl) // 1000 + 1 >= watermark}  # what still comes is newer than any other
+        if held:
+            state.update(("\n".join(held), np.fromiter(held.values(), np.int64, len(held)).tobytes()))
+            state.setTimeoutTimestamp(max((min(held.values()) + ttl) // 1000, watermark) + 1)
+        elif state.exists:
             state.remove()
-            return
-        own = pd.concat(list(frames)).sort_values(["own_at", "own_id"], kind="stable")
-        last, passed = (state.get[0] if state.exists else None), []
-        for at in own["own_at"].tolist():
-            new = last is None or at - last > ttl
-            passed.append(new)
-            if new or renew:
-                last = at if last is None else max(last, at)
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield own.loc[passed, columns]
+        if own is not None:
+            yield own.loc[passed, columns]
 
     return run
 
@@ -50,9 +62,10 @@ def unseen(events: DataFrame, keys: list[str], ts: str = "ts", id: str = "event_
     that passed does, as links are remembered that were published. Events older than the watermark are dropped; ties on time
     go by id. Keys with a null are keys like any other.
     """
-    own = events.withColumns({"own_at": _micros(ts), "own_time": F.col(ts).cast("timestamp"), "own_id": F.col(id), **{f"own_key{n}": F.col(k) for n, k in enumerate(keys)}}).withWatermark("own_time", delay)
-    one = own.groupBy(*[f"own_key{n}" for n in range(len(keys))])
-    return one.applyInPandasWithState(_seen(days * 86_400_000_000, renew, events.columns), events.schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    key = F.to_json(F.struct(*[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)]))
+    own = events.withColumns({"own_at": _micros(ts), "own_time": F.col(ts).cast("timestamp"), "own_id": F.col(id), "own_key": key}).withWatermark("own_time", delay)
+    one = own.withColumn("own_part", F.pmod(F.xxhash64("own_key"), F.lit(PARTS))).groupBy("own_part")
+    return one.applyInPandasWithState(_seen(days * 86_400_000_000, renew, events.columns), events.schema, "names string, times binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class _Held(StatefulProcessor):

@@ -527,3 +527,45 @@ def test_memory_over_runs_of_a_stream(spark, tmp_path):
             memory.run_to_end(memory.unseen(events, ["k"], renew=renew), f"{base}/out", f"{base}/state")
         got = {r["event_id"] for r in spark.read.parquet(f"{base}/out").collect()}
         assert got == (want if not renew else want - ({7} & want)), (renew, got)
+
+
+def test_stream_memory_calls_grow_with_parts_not_with_keys(spark):
+    """One call holds many keys, forgets what is over, and goes on from what it held."""
+    from gazette.streaming import memory
+
+    class State:
+        def __init__(self):
+            self.get, self.exists, self.hasTimedOut, self.watermark, self.timeout = None, False, False, 0, None
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def remove(self):
+            self.get, self.exists = None, False
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+        def getCurrentWatermarkMs(self):
+            return self.watermark
+
+    import pandas as pd
+
+    state, step = State(), memory._seen(1000, True, ["id"])
+    frame = lambda rows: iter([pd.DataFrame(rows, columns=["own_key", "own_at", "own_id"]).assign(id=lambda f: f["own_id"])])
+    seen = lambda rows: [i for f in step((0,), frame(rows), state) for i in f["id"].tolist()]
+    assert seen([(f"k{k}", 5000 + k, k) for k in range(50)]) == list(range(50))
+    assert seen([("k0", 5900, 50), ("k1", 6002, 51), ("k0", 6890, 52)]) == [51]
+    state.watermark = 8
+    assert seen([("k2", 8000, 53)]) == [53] and sorted(state.get[0].split("\n")) == ["k0", "k1", "k2"]
+    state.watermark, state.hasTimedOut = 20, True
+    assert list(step((0,), iter([]), state)) == [] and not state.exists
+
+
+def test_requests_reach_a_worker_in_small_batches(spark):
+    from gazette.plans import model
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    requests = spark.range(1000).select("id", F.lit("r").alias("rules"), F.lit("p").alias("prompt"))
+    assert model.ask(requests, lambda r, p: "[{}]", at_once=1).where("raw = '[{}]'").count() == 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
