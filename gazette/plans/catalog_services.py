@@ -261,12 +261,12 @@ def detail_page_contents(spark, d):
            SELECT category, path, md5({_head('category', "'2026-08-14 · ' || category", "'https://site.example/' || path")} || items || '</body></html>') AS content_md5, length(items) AS chars FROM c""")
 def category_page_contents(spark, d):
     """The page of each category with all its articles in order, important ones marked."""
-    from gazette.sinks import render
+    from gazette.sinks import files, render
 
     a = _articles(spark, d).withColumns({"is_important": text.is_important(F.col("title"), F.col("summary")), "is_ai": F.lit(False), "ai_subtype_label": F.lit(None).cast("string")})
-    pages = render.category_pages(a, "salt", "2026-08-14", "https://site.example")
-    items = F.regexp_replace("content", r"(?s)^.*?<body>|</body></html>$", "")
-    return pages.select("category", "path", F.md5("content").alias("content_md5"), F.length(items).cast("long").alias("chars"))
+    pieces = render.category_pieces(a, "salt", "2026-08-14", "https://site.example")
+    names = pieces.where("part = 0").select("category", "path")
+    return files.digests(pieces, render.PAGE_ORDER).join(F.broadcast(names), "path").select("category", "path", "content_md5", "chars")
 
 
 _PLACES = ", ".join(f"('{c[0]}', {i})" for i, c in enumerate(registry.CATEGORIES))
@@ -302,7 +302,7 @@ def snapshot_roundtrip(spark, d):
     e = series.candidates(_prices(spark, d), ["symbol"]).withColumn("market", F.when(F.col("symbol") < "Brand#3", "domestic").otherwise("overseas"))
     picks = series.picks(e, ["market"], "symbol").withColumns({"name": F.col("symbol"), "reason": F.lit("moved")})
     folder = new_path(spark, "snapshot")
-    files.write_pages(render.snapshot_json(a, picks, "2026-08-14"), folder)
+    files.write_pieces(render.snapshot_pieces(a, picks, "2026-08-14"), folder, render.SNAPSHOT_ORDER)
     day = dt.date(2026, 8, 14)
     back = snapshots.articles(snapshots.read_days(spark, folder, day, day))
     return back.select(F.col("date").cast("string").alias("date"), "category", "seq", "title", "link", "published", F.md5("summary").alias("summary_md5"), "source", F.col("is_important").alias("important"))
@@ -324,7 +324,7 @@ def archived_picks(spark, d):
     picks = series.picks(e, ["market"], "symbol").withColumns({"name": F.col("symbol"), "reason": F.lit("moved")})
     articles = _articles(spark, d).withColumn("is_important", F.lit(False))
     folder = new_path(spark, "picks-tree")
-    files.write_pages(render.snapshot_json(articles, picks, "2026-08-14"), folder)
+    files.write_pieces(render.snapshot_pieces(articles, picks, "2026-08-14"), folder, render.SNAPSHOT_ORDER)
     archive.compact(spark, snapshots.read(spark, folder), f"{folder}-archive", F.lit(dt.date(2026, 12, 31)))
     table = spark.read.parquet(f"{folder}-archive/picks").withColumn("year_month", F.date_format(F.to_date("year_month", "yyyy-MM"), "yyyy-MM"))
     names = [r[0] for r in picks.select("symbol").distinct().orderBy("symbol").collect()]  # twelve at most

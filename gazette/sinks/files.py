@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -12,6 +13,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from gazette.staging import small_batches
+
 #: Names of a job's files before they count, and of its number of files; files that the driver moves at a time.
 _PENDING, _COUNT, MOVES = ".pending-", ".count-", 16
 
@@ -39,20 +42,27 @@ class PagesWriter(DataSourceArrowWriter):
     """Each attempt of a task writes into a folder of its own beside the target; the driver moves the files of those that count into place, or drops all."""
 
     def __init__(self, options):
-        self.target, self.job = options["path"].rstrip("/"), options["job"]
+        self.target, self.job, self.pieces = options["path"].rstrip("/"), options["job"], options.get("pieces") == "true"
 
     def _store(self) -> tuple[pyarrow.fs.FileSystem, str]:
         return pyarrow.fs.FileSystem.from_uri(self.target)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, base = self._store()
-        own, n = f"{base}/{_PENDING}{self.job}/{uuid.uuid4().hex}", 0
-        for b in iterator:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                store.create_dir(f"{own}/{path}".rpartition("/")[0])
-                with store.open_output_stream(f"{own}/{path}", compression=None) as out:
-                    out.write(content.encode())
-                n += 1
+        own, n, last, out = f"{base}/{_PENDING}{self.job}/{uuid.uuid4().hex}", 0, None, None
+        try:
+            for b in iterator:
+                for path, content in zip(b.column("path"), b.column("content")):
+                    path = path.as_py()
+                    if not (self.pieces and path == last and out):
+                        if out:
+                            out.close()
+                        store.create_dir(f"{own}/{path}".rpartition("/")[0])
+                        last, out, n = path, store.open_output_stream(f"{own}/{path}", compression=None, buffer_size=1 << 20), n + 1
+                    out.write(content.as_py().encode())
+        finally:
+            if out:
+                out.close()
         return Written(own, n)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -90,14 +100,46 @@ class PagesSink(DataSource):
         return PagesWriter(self.options)
 
 
-def write_pages(pages: DataFrame, folder: str) -> int:
+def in_order(pieces: DataFrame, order: list[str]) -> DataFrame:
+    """The pieces of each path in one task, in order, as a stream: no file is ever one row. Large ones are sorted on disk."""
+    small_batches(pieces.sparkSession)
+    return pieces.repartition("path").sortWithinPartitions("path", *order)
+
+
+def write_pieces(pieces: DataFrame, folder: str, order: list[str]) -> int:
+    """write_pages() of files whose content comes in pieces, rows of path, the columns in order, and content."""
+    return write_pages(in_order(pieces, order).select("path", "content"), folder, pieces=True)
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, digest, chars = None, hashlib.md5(), 0
+    one = lambda: pa.RecordBatch.from_arrays([pa.array([last]), pa.array([digest.hexdigest()]), pa.array([chars], pa.int64())], ["path", "content_md5", "chars"])
+    for b in batches:
+        for path, inner, content in zip(b.column("path"), b.column("inner"), b.column("content")):
+            if path.as_py() != last:
+                if last is not None:
+                    yield one()
+                last, digest, chars = path.as_py(), hashlib.md5(), 0
+            text = content.as_py()
+            digest.update(text.encode())
+            chars += len(text) if inner.as_py() else 0
+    if last is not None:
+        yield one()
+
+
+def digests(pieces: DataFrame, order: list[str]) -> DataFrame:
+    """path, content_md5, chars (of the pieces that are inner) of the files that write_pieces() would write."""
+    return in_order(pieces, order).select("path", "inner", "content").mapInArrow(_digested, "path string, content_md5 string, chars long")
+
+
+def write_pages(pages: DataFrame, folder: str, pieces: bool = False) -> int:
     """Writes each row's content to its path below folder (a URI), all or nothing: files are moved into place once every task is done. Returns how many.
 
     A job that fails leaves none; the driver's own moves are the only ones that a crash can interrupt, each of whole files.
     """
     spark, job = pages.sparkSession, uuid.uuid4().hex
     spark.dataSource.register(PagesSink)
-    pages.select("path", "content").write.format("gazette_pages").mode("append").option("job", job).save(folder)
+    pages.select("path", "content").write.format("gazette_pages").mode("append").option("job", job).option("pieces", str(pieces).lower()).save(folder)
     store, base = pyarrow.fs.FileSystem.from_uri(folder)
     with store.open_input_stream(f"{base.rstrip('/')}/{_COUNT}{job}", compression=None) as f:
         n = int(f.read())

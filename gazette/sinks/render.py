@@ -103,17 +103,28 @@ def economy_dashboard(picks: DataFrame) -> DataFrame:
     return box.select(F.concat(F.lit("<section><p>⚠️ 투자 자문이 아닌 정보입니다.</p>"), "box", F.lit("</section>")).alias("box"))
 
 
-def category_pages(articles: DataFrame, salt: str, date: str, base: str) -> DataFrame:
-    """category, path, content: the page of each category, regions in order; IT has its articles on AI first, in a section of their own."""
-    ranked = articles.withColumn("_ai", F.when((F.col("category") == "it") & F.coalesce("is_ai", F.lit(False)), 0).otherwise(1))
-    order = Window.partitionBy("category", "region").orderBy("_ai", F.col("is_important").desc(), F.col("published").desc(), "article_seq")
-    ranked = ranked.withColumn("_n", F.row_number().over(order))
-    ai = F.col("_ai") == 0
-    one = ranked.groupBy("category").agg(_ordered(F.when(~ai, _item()), ["region", "_n"], "\n").alias("items"), _ordered(F.when(ai, _item()), ["region", "_n"], "\n").alias("ai_items"))
-    section = F.when(F.col("ai_items") != "", _fill("<section><h2>🤖 AI</h2>{a}</section>", a=F.col("ai_items"))).otherwise("")
+def category_pieces(articles: DataFrame, salt: str, date: str, base: str) -> DataFrame:
+    """category, path, part, region, n, inner (between the page's head and its end), content: the pieces of each category's page, which follow each other by part, region and n.
+
+    Regions are in order; IT has its articles on AI first, in a section of their own. A page is never one row: see files.write_pieces().
+    """
+    on_ai = (F.col("category") == "it") & F.coalesce("is_ai", F.lit(False))
+    own = articles.select("category", "region", F.when(on_ai, 1).otherwise(3).alias("part"), "is_important", "published", "article_seq", _item().alias("item")).where("item is not null")
+    order = Window.partitionBy("category", "part").orderBy("region", F.col("is_important").desc(), F.col("published").desc(), "article_seq")
+    first = F.when(F.col("part") == 1, "<section><h2>🤖 AI</h2>").otherwise("")
+    items = own.withColumn("n", F.row_number().over(order)).select("category", "part", "region", "n", F.concat(F.when(F.col("n") > 1, "\n").otherwise(first), "item").alias("content"))
+    pages = articles.groupBy("category").agg(F.max(on_ai & _item().isNotNull()).alias("_ai"))
     path = F.concat(F.lit(date.replace("-", "/") + "/"), pagekey.obfuscated(F.concat("category", F.lit(".html")), salt, F.lit(date)))
-    page = _fill(_HEAD + "{i}</body></html>", t=text.escape_html(F.col("category")), x=F.concat(F.lit(f"{date} · "), text.escape_html(F.col("category"))), u=urls.joined(F.lit(base), F.col("path")), i=F.concat(section, "items"))
-    return one.withColumn("path", path).select("category", "path", page.alias("content"))
+    pages = pages.withColumn("path", path)
+    head = _fill(_HEAD, t=text.escape_html(F.col("category")), x=F.concat(F.lit(f"{date} · "), text.escape_html(F.col("category"))), u=urls.joined(F.lit(base), F.col("path")))
+    ends = F.array(*[F.struct(F.lit(k).alias("part"), c.alias("content")) for k, c in ((0, head), (2, F.when(F.col("_ai"), "</section>").otherwise("")), (4, F.lit("</body></html>")))])
+    ends = pages.select("category", F.inline(ends)).select("category", "part", F.lit(None).cast("string").alias("region"), F.lit(0).alias("n"), "content")
+    return items.unionByName(ends).join(F.broadcast(pages.select("category", "path")), "category").select("category", "path", "part", "region", "n", F.col("part").between(1, 3).alias("inner"), "content")
+
+
+def category_pages(articles: DataFrame, salt: str, date: str, base: str) -> DataFrame:
+    """category, path, content: category_pieces() put together, for pages that a row can hold."""
+    return category_pieces(articles, salt, date, base).groupBy("category", "path").agg(_ordered(F.col("content"), ["part", "region", "n"]).alias("content"))
 
 
 def previews(articles: DataFrame, each: int = PREVIEW, of_ai: int = AI_PREVIEW) -> DataFrame:
@@ -151,17 +162,37 @@ def feed_xml(articles: DataFrame, base: str, each: int = 3) -> DataFrame:
     return one.select(F.lit("feed.xml").alias("path"), page.alias("content"))
 
 
-def snapshot_json(articles: DataFrame, picks: DataFrame, date: str) -> DataFrame:
-    """path, content: the day's articles by category and region, and picks by market and horizon, in a file named by the day, so that a second run replaces it."""
+def snapshot_pieces(articles: DataFrame, picks: DataFrame, date: str) -> DataFrame:
+    """path, part, category, region, place, n, content: the pieces of the day's snapshot_json(), which follow each other by part, category, region, place and n. Articles stand on lines of their own."""
     art = F.struct("title", "link", F.date_format("published", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("published"), "summary", "source", "category", "is_important")
-    lists = articles.groupBy("category", "region").agg(F.sort_array(F.collect_list(F.struct("article_seq", art.alias("a"))))["a"].alias("l"))
-    cats = lists.groupBy("category").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("region", "l")))).alias("r")).groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", F.to_json("r").alias("r"))))).alias("c"))
+    named = F.when(F.col("category").isNull() | F.col("region").isNull(), F.raise_error(F.lit("an article needs a category and a region")).cast("string")).otherwise(F.col("category"))
+    own = articles.select(named.alias("category"), "region", "article_seq", art.alias("a"))
+    numbered = own.withColumn("n", F.row_number().over(Window.partitionBy("category", "region").orderBy("article_seq", "a")))
+    piece = lambda part, place, n, content: [F.lit(part).alias("part"), "category", "region", F.lit(place).alias("place"), n, content.alias("content")]
+    items = numbered.select(*piece(1, 1, "n", F.concat(F.when(F.col("n") > 1, ",\n").otherwise("\n"), F.to_json("a"))))
+    # A row for each region of each category: what opens and closes its list.
+    lists = own.select("category", "region").distinct()
+    lists = lists.withColumns({"_first": F.row_number().over(Window.partitionBy("category").orderBy("region")) == 1, "_any": F.col("category") == F.min("category").over(Window.partitionBy())})
+    name = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")  # noqa: E731  a JSON string
+    begin = F.when(~F.col("_first"), ",").otherwise(F.concat(F.when(F.col("_any"), "").otherwise("},"), name("category"), F.lit(":{")))
+    none = F.lit(0).alias("n")
+    opened, closed = lists.select(*piece(1, 0, none, F.concat(begin, name("region"), F.lit(":[")))), lists.select(*piece(1, 2, none, F.lit("]")))
     horizons = picks.groupBy("market", "horizon").agg(F.sort_array(F.collect_list(F.struct("rank", F.struct("symbol", "name", "price", "reason").alias("p"))))["p"].alias("l"))
     markets = horizons.groupBy("market").agg(F.map_from_entries(F.collect_list(F.struct("horizon", "l"))).alias("h")).groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("market", "h"))))).scalar()
-    name = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")  # noqa: E731  a JSON string
-    inner = F.array_join(F.transform(F.map_entries("c"), lambda kv: F.concat(name(kv["key"]), F.lit(":"), kv["value"])), ",")
-    body = F.concat(F.lit('{"date":"' + date + '","categories":{'), F.coalesce(inner, F.lit("")), F.lit('},"stock_picks":'), F.coalesce(markets, F.lit("{}")), F.lit("}"))
-    return cats.select(F.lit(date.replace("-", "/") + ".json").alias("path"), body.alias("content"))
+    whole = lists.groupBy().agg(F.count(F.lit(1)).alias("lists")).withColumns({"category": F.lit(None).cast("string"), "region": F.lit(None).cast("string")})
+    head = whole.select(*piece(0, 0, none, F.lit('{"date":"' + date + '","categories":{')))
+    tail = whole.select(*piece(2, 0, none, F.concat(F.when(F.col("lists") > 0, "}").otherwise(""), F.lit('},"stock_picks":'), F.coalesce(markets, F.lit("{}")), F.lit("}"))))
+    pieces = head.unionByName(opened).unionByName(items).unionByName(closed).unionByName(tail)
+    return pieces.withColumn("path", F.lit(date.replace("-", "/") + ".json"))
+
+
+#: What pieces of a page or snapshot are ordered by.
+PAGE_ORDER, SNAPSHOT_ORDER = ["part", "region", "n"], ["part", "category", "region", "place", "n"]
+
+
+def snapshot_json(articles: DataFrame, picks: DataFrame, date: str) -> DataFrame:
+    """path, content: the day's articles by category and region, and picks by market and horizon, in a file named by the day, so that a second run replaces it; for days that a row can hold."""
+    return snapshot_pieces(articles, picks, date).groupBy("path").agg(_ordered(F.col("content"), SNAPSHOT_ORDER).alias("content"))
 
 
 def archive_index(index: DataFrame) -> DataFrame:

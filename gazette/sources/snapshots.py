@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import datetime as dt
+import json
+import re
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +21,133 @@ PICK = "struct<symbol:string,name:string,price:double,reason:string,daily_change
 _SHAPE = f"date string, categories map<string,string>, stock_picks map<string,map<string,array<{PICK}>>>"
 
 
+#: Bytes of a file that are read at once; characters of the articles that a row holds, about.
+READ, PIECE = 4 << 20, 1 << 20
+_JSON = json.JSONDecoder()
+
+
+class _Text:
+    """A stream of JSON text, of which as much is held as its next value takes."""
+
+    def __init__(self, stream, text: bytes):
+        self.stream, self.decoder, self.at, self.ended = stream, codecs.getincrementaldecoder("utf-8")("replace"), 0, False
+        self.text = self.decoder.decode(text)
+
+    def more(self) -> bool:
+        if self.ended:
+            return False
+        self.text, self.at = self.text[self.at :], 0
+        got = self.stream.read(max(READ, len(self.text)))
+        self.ended = not got
+        self.text += self.decoder.decode(got, final=self.ended)
+        return True
+
+    def peek(self) -> str:
+        while True:
+            rest = self.text[self.at : self.at + 64]
+            self.at += len(rest) - len(rest.lstrip(" \t\r\n"))
+            if rest.strip(" \t\r\n"):
+                return self.text[self.at]
+            if not rest and not self.more():
+                raise ValueError("the text ends too early")
+
+    def take(self, any_of: str) -> str:
+        c = self.peek()
+        if c not in any_of:
+            raise ValueError(f"{c} where one of {any_of} is due")
+        self.at += 1
+        return c
+
+    def value(self) -> str:
+        """The next value as it stands."""
+        self.peek()
+        while True:
+            try:
+                end = _JSON.raw_decode(self.text, self.at)[1]
+                if end < len(self.text) or not self.more():  # a number may go on
+                    own, self.at = self.text[self.at : end], end
+                    return own
+            except ValueError:
+                if not self.more():
+                    raise
+
+    def entries(self) -> Iterator[str]:
+        """The keys of an object as they stand; after each its value must be taken."""
+        self.take("{")
+        if self.peek() == "}":
+            self.take("}")
+            return
+        while True:
+            if self.peek() != '"':
+                raise ValueError("no key")
+            key = self.value()
+            self.take(":")
+            yield key
+            if self.take(",}") == "}":
+                return
+
+    def elements(self) -> Iterator[str]:
+        self.take("[")
+        if self.peek() == "]":
+            self.take("]")
+            return
+        while True:
+            yield self.value()
+            if self.take(",]") == "]":
+                return
+
+
+def _pieces(stream, text: bytes) -> Iterator[tuple[str, int]]:
+    """A snapshot as several smaller ones: the articles of a category in lists, each with the place that it begins at; then all else. ValueError if it is no JSON."""
+    t = _Text(stream, text)
+    other, there = [], False
+    for key in t.entries():
+        if json.loads(key) != "categories" or t.peek() != "{":
+            other.append(f"{key}:{t.value()}")
+            continue
+        there = True
+        for category in t.entries():
+            begin, own, size = 0, [], 0
+            if t.peek() not in "[{":
+                yield f'{{"categories":{{{category}:{t.value()}}}}}', 0
+                continue
+            for a in t.elements() if t.peek() == "[" else (a for _ in t.entries() for a in t.elements()):
+                own.append(a)
+                size += len(a)
+                if size >= PIECE:
+                    yield f'{{"categories":{{{category}:[{",".join(own)}]}}}}', begin
+                    begin, own, size = begin + len(own), [], 0
+            if own:
+                yield f'{{"categories":{{{category}:[{",".join(own)}]}}}}', begin
+    if there:
+        yield "{" + ",".join([*[o for o in other if not o.startswith('"categories":')], '"categories":{}']) + "}", 0
+
+
+def _snapshot(store, path: str) -> Iterator[tuple[str, int]]:
+    """value, begin: the text of a file, of a large one in pieces; none if a large one is no JSON."""
+    with store.open_input_stream(path) as f:
+        start = f.read(READ)
+        rest = f.read(1) if len(start) == READ else b""
+        if not rest:
+            yield start.decode(errors="replace"), 0
+            return
+        try:
+            for _ in _pieces(f, start + rest):  # all of it is read before any of it counts
+                pass
+        except ValueError:
+            return
+    with store.open_input_stream(path) as f:
+        yield from _pieces(f, f.read(READ))
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for uri in b.column("path").to_pylist():
+            store, path = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+            for value, begin in _snapshot(store, path):
+                yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([value]), pa.array([begin], pa.int64())], ["path", "value", "begin"])
+
+
 class Days(InputPartition):
     def __init__(self, days: list[dt.date]):
         self.days = days
@@ -62,21 +193,21 @@ class DayReader(DataSourceReader):
         store, base = pyarrow.fs.FileSystem.from_uri(self.folder)
         for day in partition.days:
             try:
-                with store.open_input_stream(f"{base}/{day:%Y/%m/%d}.json") as f:
-                    yield day, f.read().decode(errors="replace")
+                for value, begin in _snapshot(store, f"{base}/{day:%Y/%m/%d}.json"):
+                    yield day, value, begin
             except FileNotFoundError:  # no edition on that day
                 continue
 
 
 class DaySource(DataSource):
-    """spark.read.format("gazette_days").load(folder): date, value of YYYY/MM/DD.json; a query must bound the dates."""
+    """spark.read.format("gazette_days").load(folder): date, value, begin (rows of _snapshot()) of YYYY/MM/DD.json; a query must bound the dates."""
 
     @classmethod
     def name(cls):
         return "gazette_days"
 
     def schema(self):
-        return "date date, value string"
+        return "date date, value string, begin long"
 
     def reader(self, schema):
         return DayReader(self.options)
@@ -87,22 +218,27 @@ def read_days(spark: SparkSession, folder: str, first: dt.date, last: dt.date) -
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(DaySource)
     raw = spark.read.format("gazette_days").load(folder).where(F.col("date").between(F.lit(first), F.lit(last)))
-    return raw.select("date", F.from_json("value", _SHAPE).alias("s")).where("s.categories is not null").select("date", "s.categories", "s.stock_picks")
+    return raw.select("date", "begin", F.from_json("value", _SHAPE).alias("s")).where("s.categories is not null").select("date", "s.categories", "s.stock_picks", "begin")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """date, categories (JSON text by category), stock_picks of each snapshot; files with other names or without valid JSON are left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    """date, categories (JSON text by category), stock_picks, begin of each snapshot; files with other names or without valid JSON are left out.
+
+    A large file comes in several rows, each with a part of a category's articles and the place (begin) of its first one.
+    """
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder).select("path")
+    raw = paths.where(r"path rlike '/[0-9]{4}/[0-9]{2}/[0-9]{2}\\.json$'").mapInArrow(_files, "path string, value string, begin long")
     day = F.regexp_extract("path", r"/([0-9]{4}/[0-9]{2}/[0-9]{2})\.json$", 1)
-    named = raw.withColumn("d", F.nullif(day, F.lit(""))).select(F.expr("try_to_date(d, 'yyyy/MM/dd')").alias("date"), F.from_json("value", _SHAPE).alias("s"))
-    return named.where("date is not null and s.categories is not null").select("date", "s.categories", "s.stock_picks")
+    named = raw.withColumn("d", F.nullif(day, F.lit(""))).select("begin", F.expr("try_to_date(d, 'yyyy/MM/dd')").alias("date"), F.from_json("value", _SHAPE).alias("s"))
+    return named.where("date is not null and s.categories is not null").select("date", "s.categories", "s.stock_picks", "begin")
 
 
 def articles(snapshots: DataFrame) -> DataFrame:
     """date, category, seq and the fields of each article."""
-    one = snapshots.select("date", F.explode("categories").alias("category", "entry"))
-    flat = one.select("date", "category", F.posexplode(jsonx.flattened(F.col("entry"), ARTICLE)).alias("seq", "a"))
-    return flat.select("date", "category", F.col("seq").cast("long"), "a.title", "a.summary", "a.source", "a.link", "a.published", "a.is_important")
+    begin = F.col("begin") if "begin" in snapshots.columns else F.lit(0)
+    one = snapshots.select("date", begin.alias("begin"), F.explode("categories").alias("category", "entry"))
+    flat = one.select("date", "category", "begin", F.posexplode(jsonx.flattened(F.col("entry"), ARTICLE)).alias("seq", "a"))
+    return flat.select("date", "category", (F.col("seq") + F.col("begin")).cast("long").alias("seq"), "a.title", "a.summary", "a.source", "a.link", "a.published", "a.is_important")
 
 
 def picks(snapshots: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 import os
 from types import SimpleNamespace
@@ -569,3 +570,37 @@ def test_requests_reach_a_worker_in_small_batches(spark):
     requests = spark.range(1000).select("id", F.lit("r").alias("rules"), F.lit("p").alias("prompt"))
     assert model.ask(requests, lambda r, p: "[{}]", at_once=1).where("raw = '[{}]'").count() == 1000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+
+
+def test_large_snapshots_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """No row holds a large file; every article keeps its place, and a broken file gives nothing."""
+    import io
+
+    one = {"date": "d", "categories": {'a"é': {"domestic": [{"t": 'é한국 \\ " ] }', "n": k * 1.5} for k in range(9)], "overseas": [{"t": "z"}]}, "b": [{"t": 1}], "c": [], "e": {}}, "stock_picks": {"m": {}}, "z": 12345678901}
+    text = json.dumps(one, indent=1, ensure_ascii=False).encode()
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "READ", 7)
+        m.setattr(snapshots, "PIECE", 40)
+        found, rows = {}, list(snapshots._pieces(io.BytesIO(text[7:]), text[:7]))
+        for value, begin in rows:
+            for category, articles in json.loads(value)["categories"].items():
+                assert len(found.setdefault(category, [])) == begin
+                found[category] += articles
+        assert found == {'a"é': one["categories"]['a"é']["domestic"] + [{"t": "z"}], "b": [{"t": 1}]} and json.loads(rows[-1][0])["stock_picks"] == {"m": {}}
+        for k in range(8, len(text) - 1, 5):
+            with pytest.raises(ValueError):
+                list(snapshots._pieces(io.BytesIO(text[7:k]), text[:7]))
+    big = [(f"t{k}", f"https://x/{k}" + "y" * 1000) for k in range(6000)]
+    _write(tmp_path, "2026-08-13", _snapshot("2026-08-13", big))
+    s = snapshots.read(spark, str(tmp_path))
+    got = snapshots.articles(s).select("seq", "title").collect()
+    assert s.count() > 5 and sorted((r["seq"], r["title"]) for r in got) == [(k, f"t{k}") for k in range(6000)]
+
+
+def test_files_are_written_in_pieces(spark, tmp_path):
+    pieces = spark.createDataFrame([(f"p{p}", k, f"{p}-{k};", k > 0) for p in range(3) for k in range(40)], "path string, n int, content string, inner boolean").repartition(5)
+    want = {f"p{p}": "".join(f"{p}-{k};" for k in range(40)) for p in range(3)}
+    assert files.write_pieces(pieces, f"file://{tmp_path}/out", ["n"]) == 3
+    assert {p: (tmp_path / "out" / p).read_text() for p in want} == want
+    got = {r["path"]: (r["content_md5"], r["chars"]) for r in files.digests(pieces, ["n"]).collect()}
+    assert got == {p: (hashlib.md5(x.encode()).hexdigest(), len(x) - 4) for p, x in want.items()}
