@@ -17,8 +17,8 @@ drop_near_duplicates(), the pipeline's stage (rows that share a doc_id are one d
 another contract: texts are near copies from a Jaccard similarity of SIMILAR of their sets of NEAR_SHINGLE-word shingles on.
 The tiles above give candidates within RADIUS bits; but near copies often differ in 4 to 11 bits, a radius at which tiles would
 rule out next to nothing. So documents that agree in one of BANDS bands of MinHash values are candidates too; a pair at the
-threshold shares a band with a probability of 0.99995. Candidates are links to the smallest id of a band or fingerprint, and
-every link is verified on the whole texts.
+threshold shares a band with a probability of 0.99995. Candidates are links to the smallest id of a band or fingerprint, then
+pairs of a band whose documents these links leave in different components, and every link is verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -259,12 +259,31 @@ def near_candidates(sketches: DataFrame) -> DataFrame:
     return near.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
+def cross_candidates(sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b (doc_ids): documents that agree in a band but are in different components (roots: node, root) of the links to its smallest id.
+
+    Links within a component add nothing. What only agrees with other members of a band than the smallest is found here.
+    """
+    rows = sketches.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.explode("keys").alias("key"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rows = stage(rows.join(mixed, "key"), "near-mixed")
+    side = lambda x: rows.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"))
+    near = side("a").join(side("b"), "key").where(f"a < b and root_a <> root_b and least(n_a, n_b) >= {SIMILAR - 1e-6} * greatest(n_a, n_b)")
+    return near.select("a", "b").distinct()
+
+
 def near_links(docs: DataFrame) -> DataFrame:
-    """a, b: verified links (doc_ids, a the smaller) between near copies."""
+    """a, b: verified links (doc_ids, a the smaller) between near copies: those to the smallest of a band or fingerprint, then those between what these leave apart."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sketches = stage(own.mapInArrow(_sketched, "doc_id long, n long, fp long, keys array<long>"), "near-sketches")
-    pairs = stage(near_candidates(sketches), "near-pairs")
+    first = stage(_verified_links(own, near_candidates(sketches)), "near-first")
+    return first.unionByName(_verified_links(own, cross_candidates(sketches, components(first))))
+
+
+def _verified_links(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose whole texts reach the least similarity."""
+    pairs = stage(pairs, "near-pairs")
     # The first text of a star goes out once for each STAR links, so that no task has to verify all of a large one.
     stars = stage(pairs.groupBy("a").agg(F.expr(f"count(*) div {STAR} + 1").alias("parts")), "near-stars")
     pairs = pairs.join(stars, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))

@@ -187,3 +187,14 @@ def test_near_copies_of_the_table(docs, texts):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == {i for i in texts if up[i] == i}
+
+
+def test_near_links_between_others_than_the_smallest_of_a_band(spark):
+    """2 and 3 are alike and share a band with 1, which is like neither, but for no band of their own."""
+    from gazette.llm.simhash import cross_candidates
+
+    sketches = spark.createDataFrame([(1, 90, 1, [7]), (2, 100, 2, [7]), (3, 99, 3, [7]), (4, 100, 4, [8]), (5, 30, 5, [7])], "doc_id long, n long, fp long, keys array<long>")
+    roots = spark.createDataFrame([], "node long, root long")
+    assert {tuple(r) for r in cross_candidates(sketches, roots).collect()} == {(1, 2), (1, 3), (2, 3)}
+    roots = spark.createDataFrame([(2, 1), (1, 1)], "node long, root long")
+    assert {tuple(r) for r in cross_candidates(sketches, roots).collect()} == {(1, 3), (2, 3)}
