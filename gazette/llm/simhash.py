@@ -19,6 +19,8 @@ The tiles above give candidates within RADIUS bits; but near copies often differ
 rule out next to nothing. So documents that agree in one of BANDS bands of MinHash values are candidates too; a pair at the
 threshold shares a band with a probability of 0.99995. Candidates are links to the smallest id of a band or fingerprint, then
 pairs of a band whose documents these links leave in different components, and every link is verified on the whole texts.
+The second kind are rows for bands of up to CROWD documents only; documents of larger bands are compared, all with all, in tiles
+of their shingles (operators/set_tiles.py), which report a spanning forest of the components that they join.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import key_filter, mark_possible, tidy
 from gazette.llm.components import components
+from gazette.operators import set_tiles
 from gazette.staging import small_batches, stage
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -44,6 +47,10 @@ NEAR_SHINGLE, SIMILAR, BANDS, BAND = 5, 0.8, 25, 5
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Links of one document that are verified in one group of rows.
 STAR = 500
+#: Documents of a band whose pairs are made one by one, at most; those of larger bands are compared in tiles.
+CROWD = 32
+#: Shingles of such a tile: 4 MB. Sizes of its sets are within this factor.
+_CROWD_TILE, _CROWD_SIZES = 1 << 19, 1.3
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -259,26 +266,78 @@ def near_candidates(sketches: DataFrame) -> DataFrame:
     return near.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
-def cross_candidates(sketches: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b (doc_ids): documents that agree in a band but are in different components (roots: node, root) of the links to its smallest id.
+def mixed_bands(sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, size, doc_id, n, root: the documents of bands that hold documents of different components (roots: node, root)."""
+    rows = sketches.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.explode("keys").alias("key"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
+    return rows.join(mixed, "key")
+
+
+def cross_candidates(sketches: DataFrame, roots: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """a, b (doc_ids): documents that agree in a band of at most CROWD but are in different components (roots: node, root) of the links to its smallest id.
 
     Links within a component add nothing. What only agrees with other members of a band than the smallest is found here.
     """
-    rows = sketches.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.explode("keys").alias("key"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = stage(rows.join(mixed, "key"), "near-mixed")
+    rows = (stage(mixed_bands(sketches, roots), "near-mixed") if rows is None else rows).where(F.col("size") <= CROWD)
     side = lambda x: rows.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"))
     near = side("a").join(side("b"), "key").where(f"a < b and root_a <> root_b and least(n_a, n_b) >= {SIMILAR - 1e-6} * greatest(n_a, n_b)")
     return near.select("a", "b").distinct()
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.unique(shingles(t.as_py() or b"", NEAR_SHINGLE)).view(np.int64) for t in b.column("text").cast(pa.binary())]
+        ends = np.cumsum([0] + [len(x) for x in sets], dtype=np.int32)
+        members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("root"), pa.array(np.diff(ends)), members], ["id", "tag", "n", "members"])
+    tidy()
+
+
+def _joined(pair: pa.Table) -> pa.Table:
+    """Verified links between documents of different components of a pair of tiles: as many as join what they join, not more."""
+    sides = [(i, tag, np.cumsum(n) - n, n, own.view(np.uint64)) for i, tag, n, own in set_tiles.unpacked(pair, np.int64)]
+    tiles = [set_tiles.Tile(n, own.astype(np.uint16)) for _, _, _, n, own in sides]
+    first, second = sides[0], sides[-1]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    a, b = [], []
+    for x, y in set_tiles.may_be_alike(tiles[0], tiles[1] if len(tiles) > 1 else None, SIMILAR):
+        apart = first[1][x] != second[1][y]
+        for i, j in zip(x[apart].tolist(), y[apart].tolist()):
+            u, v = top(int(first[1][i])), top(int(second[1][j]))
+            if u != v and similar(*(side[4][side[2][k] : side[2][k] + side[3][k]] for side, k in ((first, i), (second, j)))):
+                up[max(u, v)] = min(u, v)
+                a.append(min(first[0][i], second[0][j]))
+                b.append(max(first[0][i], second[0][j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def crowd_links(own: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b: verified links that join components, among all documents of bands (rows: mixed_bands) of more than CROWD."""
+    crowd = stage(rows.where(F.col("size") > CROWD).select("doc_id", "root").distinct(), "near-crowd")
+    found = stage(key_filter(crowd, "doc_id"), "crowd-filter")
+    texts = mark_possible(own, found, "doc_id", "near").where("near").select("doc_id", "text").join(crowd, "doc_id")
+    sets = stage(texts.mapInArrow(_shingled, "id long, tag long, n int, members array<long>").where("n > 0"), "crowd-sets")
+    sets = sets.withColumns({"cell": F.lit(0).cast("long"), "class": set_tiles.size_class(F.col("n"), _CROWD_SIZES)})
+    met = set_tiles.meetings(sets, SIMILAR, _CROWD_SIZES, _CROWD_TILE, "crowd")
+    return met.groupBy("cell", "p", "q", "s", "t").applyInArrow(_joined, "a long, b long")
+
+
 def near_links(docs: DataFrame) -> DataFrame:
     """a, b: verified links (doc_ids, a the smaller) between near copies: those to the smallest of a band or fingerprint, then those between what these leave apart."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sketches = stage(own.mapInArrow(_sketched, "doc_id long, n long, fp long, keys array<long>"), "near-sketches")
     first = stage(_verified_links(own, near_candidates(sketches)), "near-first")
-    return first.unionByName(_verified_links(own, cross_candidates(sketches, components(first))))
+    roots = components(first)
+    rows = stage(mixed_bands(sketches, roots), "near-mixed")
+    return first.unionByName(_verified_links(own, cross_candidates(sketches, roots, rows))).unionByName(crowd_links(own, rows))
 
 
 def _verified_links(own: DataFrame, pairs: DataFrame) -> DataFrame:

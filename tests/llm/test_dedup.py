@@ -198,3 +198,28 @@ def test_near_links_between_others_than_the_smallest_of_a_band(spark):
     assert {tuple(r) for r in cross_candidates(sketches, roots).collect()} == {(1, 2), (1, 3), (2, 3)}
     roots = spark.createDataFrame([(2, 1), (1, 1)], "node long, root long")
     assert {tuple(r) for r in cross_candidates(sketches, roots).collect()} == {(1, 3), (2, 3)}
+
+
+def test_pairs_of_a_large_band_are_not_rows(spark):
+    """Documents that share a band but are mostly unlike are compared in tiles: no row for each pair, and no link lost."""
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(60)]
+    texts = {0: " ".join(common)}
+    for k in range(1, 161, 2):
+        own = [*common, *(f"o{k}x{rng.randrange(10**6)}" for _ in range(60))]
+        texts[k] = " ".join(own)
+        texts[k + 1] = " ".join([*own[:-2], "last", "words"])
+    sets = five_word_sets(texts)
+    like = {(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert like == {(k, k + 1) for k in range(1, 161, 2)}
+    sketches = spark.createDataFrame([(i, len(x), i, [7]) for i, x in sets.items()], "doc_id long, n long, fp long, keys array<long>")
+    rows = simhash.mixed_bands(sketches, spark.createDataFrame([], "node long, root long")).cache()
+    assert rows.count() == len(texts) and simhash.cross_candidates(sketches, None, rows).count() == 0
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {tuple(r) for r in simhash.crowd_links(docs, rows).collect()} == like
+    met = simhash.set_tiles.meetings(rows.selectExpr("0L AS cell", "cast(doc_id % 3 AS int) AS class", "doc_id AS id", "root AS tag", "cast(n AS int) AS n", "array(1L) AS members"), 0.8, 1.3, 2000, "test")
+    pairs = {}
+    for r in met.select("p", "q", "s", "t", "second").collect():
+        pairs.setdefault(tuple(r)[:4], []).append(r["second"])
+    assert all(sorted(x) == ([False] if k[0] == k[1] and k[2] == k[3] else [False, True]) for k, x in pairs.items()) and all(k[1] - k[0] in (0, 1) for k in pairs)
+    rows.unpersist()
