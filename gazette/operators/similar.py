@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazette.operators.set_tiles import Tile, may_be_alike, meetings, size_class, unpacked
 from gazette.staging import discard, stage
 
 
@@ -14,52 +17,55 @@ def set_classes(df: DataFrame, group: list[str], id: str, words: str) -> DataFra
     return own.groupBy(*group, "words").agg(F.min(id).alias("rep"))
 
 
-#: Longs of the bitmap that a prefix word carries of the words behind it.
-LONGS = 8
+#: Members of a tile (2 bytes each), and of groups that share tiles with others; sizes of a tile's sets are within a factor.
+TILE, SMALL, SIZES = 1 << 23, 1 << 17, 2.1
+
+
+def _candidates(threshold: float):
+    def compare(pair: pa.Table) -> pa.Table:
+        sides = unpacked(pair, np.uint16)
+        tiles = [Tile(n, buckets) for _, _, n, buckets in sides]
+        (one, tag, *_), (other, tags, *_) = sides[0], sides[-1]
+        found = [(np.zeros(0, np.int64),) * 3]
+        for x, y in may_be_alike(tiles[0], tiles[1] if len(tiles) > 1 else None, threshold):
+            same = tag[x] == tags[y]
+            x, y = x[same], y[same]
+            found.append((tag[x], np.minimum(one[x], other[y]), np.maximum(one[x], other[y])))
+        return pa.table(dict(zip(("tag", "a", "b"), map(np.concatenate, zip(*found)))))
+
+    return compare
 
 
 def candidate_rows(classes: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    """group, a, b of different sets of a group that may reach the threshold: a row for each word that may be the first one they share.
+    """group, a, b of different sets of a group that may reach the threshold, by their words' 16-bit hashes: few others pass.
 
-    Words are ordered by how many sets have them. Sets of n and m words that reach the threshold t share t / (1 + t) * (n + m)
-    or more, so the first word that they share has as many behind it in both. The smaller set's can only lie in a
-    shorter prefix than the larger one's, and only such prefixes are joined. A prefix word also carries the parities of the words behind it, by
-    64 * LONGS hashes: where these differ in more places than the words behind may differ, the join keeps no row. The
-    further back the first shared word lies, the more frequent it is, and the fewer differences the bound allows.
+    Groups are compared tile by tile (operators/set_tiles.py); small ones share tiles. The work is that of all pairs of near
+    sizes, but a pair costs a column of a product of matrices, and only pairs that pass are rows. A group that is null in part has no pairs.
     """
-    each = classes.select(*group, "rep", F.size("words").alias("n"), F.explode("words").alias("word"))
-    often = each.groupBy(*group, "word").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # Words that only one set has can never be shared: they take the first places of the order, without a row of their own.
-    shared = each.join(often, [*group, "word"]).withColumn("key", F.xxhash64("word"))
-    whole = Window.partitionBy(*group, "rep")
-    upto = whole.orderBy("often", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parity = lambda k: F.expr(f"if(shiftrightunsigned(key, 58) % {LONGS} = {k}, shiftleft(1L, cast(key & 63 AS int)), 0L)")
-    behind = {f"p{k}": F.bit_xor(parity(k)).over(whole).bitwiseXOR(F.bit_xor(parity(k)).over(upto)) for k in range(LONGS)}
-    placed = shared.withColumns({"at": F.col("n") - F.count(F.lit(1)).over(whole) + F.row_number().over(whole.orderBy("often", "word")), **behind})
-    share = threshold / (1 + threshold)
-    prefix = placed.where(f"at <= n - ceil({threshold} * n - 1e-9) + 1").select(*group, "key", "rep", "n", "at", *behind)
-    prefix = stage(prefix, "similar-prefixes")
-    left = prefix.where(f"at <= n - ceil({2 * share} * n - 1e-9) + 1").select(*group, "key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "at", *behind)])
-    right = prefix.select(*group, "key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "at", *behind)])
-    least = f"ceil({share} * (n_a + n_b) - 1e-9)"
-    differ = " + ".join(f"bit_count(p{k}_a ^ p{k}_b)" for k in range(LONGS))
-    possible = f"""(n_a < n_b OR n_a = n_b AND rep_a < rep_b) AND n_a >= {threshold} * n_b - 1e-9 AND at_a <= n_a - {least} + 1 AND at_b <= n_b - {least} + 1
-        AND {differ} <= n_a - at_a + n_b - at_b - 2 * ({least} - 1)"""
-    return left.join(right, [*group, "key"]).where(possible).select(*group, F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    rep = classes.schema["rep"].dataType
+    own = classes.dropna(subset=group).select(F.xxhash64(*group).alias("tag"), F.col("rep").cast("long").alias("id"), F.size("words").alias("n"), F.transform("words", lambda w: F.shiftright(F.xxhash64(w), 48).cast("smallint")).alias("members"))
+    groups = stage(own.groupBy("tag").agg(F.sum("n").alias("all")), "similar-groups")
+    bins = -(-(groups.where(F.col("all") <= SMALL).agg(F.sum("all")).first()[0] or 1) // SMALL)
+    small = F.col("all") <= SMALL
+    cell = F.when(small, F.pmod("tag", F.lit(bins))).otherwise(F.col("tag"))
+    dealt = own.join(groups, "tag").withColumns({"cell": cell, "class": F.when(small, 0).otherwise(size_class(F.col("n"), SIZES))})
+    met = meetings(dealt.select("cell", "class", "id", "tag", "n", "members"), threshold, SIZES, TILE, "similar")
+    found = met.groupBy("cell", "p", "q", "s", "t").applyInArrow(_candidates(threshold), "tag long, a long, b long")
+    names = classes.dropna(subset=group).select(*group).distinct().withColumn("tag", F.xxhash64(*group))
+    return found.join(names, "tag").select(*group, F.col("a").cast(rep).alias("a"), F.col("b").cast(rep).alias("b"))
 
 
 def similar_pairs(classes: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """group, a, b (reps, a < b), jaccard of the different word sets of a group that reach the threshold (above 0).
 
-    Candidates are verified on the hashes of their words, and the few that pass on the words. Nothing is lost, and no group is collected.
+    Candidates are verified on the words. Nothing is lost, and no group is collected.
     """
     classes = stage(classes, "similar-sets")
-    alike = lambda a, b: F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b) - F.size(F.array_intersect(a, b)))
-    pairs = candidate_rows(classes, group, threshold).distinct()
-    for column, kept in ((F.transform("words", lambda w: F.xxhash64(w)), "hashed"), (F.col("words"), "jaccard")):
-        a, b = (classes.select(*group, F.col("rep").alias(end), column.alias(f"_{end}")) for end in ("a", "b"))
-        pairs = pairs.select(*group, "a", "b").join(a, [*group, "a"]).join(b, [*group, "b"]).withColumn(kept, alike("_a", "_b")).where(F.col(kept) >= threshold - (1e-9 if kept == "hashed" else 0))
-    return pairs.select(*group, "a", "b", "jaccard")
+    pairs = stage(candidate_rows(classes, group, threshold), "similar-candidates")
+    a, b = (classes.select(*group, F.col("rep").alias(end), F.col("words").alias(f"_{end}")) for end in ("a", "b"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    found = pairs.join(a, [*group, "a"]).join(b, [*group, "b"]).withColumn("_both", both)
+    return found.select(*group, "a", "b", (F.col("_both") / (F.size("_a") + F.size("_b") - F.col("_both"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def first_kept(pairs: DataFrame, group: list[str]) -> DataFrame:

@@ -113,6 +113,17 @@ def test_staging(spark):
     release(spark)
 
 
+def test_long_unlike_sets_are_no_candidates(spark):
+    """Sets of 400 words that share some 130 of them are far from a similarity of 0.3: no row is made for their pairs."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, "g", [f"c{k}" for k in range(100)] + [f"w{k}" for k in rng.sample(range(3000), 300)]) for i in range(150)]
+    rows.append((150, "g", rows[0][2][50:]))
+    classes = similar.set_classes(spark.createDataFrame(rows, "id long, g string, w array<string>"), ["g"], "id", "w")
+    assert [(r["a"], r["b"]) for r in similar.candidate_rows(classes, ["g"], 0.3).collect()] == [(0, 150)]
+
+
 def test_similarity_join_keeps_few_rows(spark):
     """Rows that the join keeps are a small share of all pairs, however long the texts."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", text.tokens(F.col("text")).alias("w"))
