@@ -23,6 +23,10 @@ def exact_longest(df: DataFrame, keys: list[str], title: str = "title", summary:
     return own.groupBy(*keys, "_key").agg(best.alias("row"), F.min(seq).alias("pos")).select("row.*", "pos")
 
 
+def _digest(words: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.size(words).cast("string"), words), 256)
+
+
 def near_greedy(df: DataFrame, group: list[str], title: str = "title", summary: str = "summary", pos: str = "pos", threshold: float = NEAR, words: Column | None = None, length: Column | None = None) -> DataFrame:
     """In the order of pos (unique), each row joins the first kept row of its group with a Jaccard similarity of threshold or more, or is kept.
 
@@ -31,13 +35,19 @@ def near_greedy(df: DataFrame, group: list[str], title: str = "title", summary:
     """
     words = tokens(F.col(title)) if words is None else words
     length = F.length(F.coalesce(F.col(summary), F.lit(""))) if length is None else length
-    own = stage(df.withColumns({"_words": F.array_sort(words), "_length": length}), "greedy-rows")
+    words = F.array_sort(words)
+    own = stage(df.withColumns({"_words": words, "_key": _digest(words), "_length": length}), "greedy-rows")
     classes = stage(set_classes(own, group, pos, "_words"), "greedy-sets")
     moved = first_kept(similar_pairs(classes, group, threshold), group)
-    openers = classes.join(moved.withColumnRenamed("b", "rep"), [*group, "rep"], "left").select(*group, F.col("words").alias("_words"), F.coalesce("a", "rep").alias("_opener"))
-    placed = own.join(openers, [*group, "_words"], "left").withColumn("kept_pos", F.coalesce("_opener", F.col(pos)))
-    best = F.max_by(F.struct(*[c for c in df.columns if c not in group]), F.struct("_length", -F.col(pos)))
-    return placed.groupBy(*group, "kept_pos").agg(best.alias("row")).select(*group, "row.*", "kept_pos")
+    # Only digests of the words and positions are shuffled from here on, whole rows when the last of each group is known.
+    openers = classes.select(*group, "rep", _digest(F.col("words")).alias("_key")).join(moved.withColumnRenamed("b", "rep"), [*group, "rep"], "left").select(*group, "_key", F.coalesce("a", "rep").alias("_opener"))
+    placed = own.select(*group, pos, "_key", "_length").join(openers, [*group, "_key"], "left").withColumn("kept_pos", F.coalesce("_opener", F.col(pos)))
+    last = placed.groupBy(*group, "kept_pos").agg(F.max_by(pos, F.struct("_length", -F.col(pos))).alias("_last"))
+    last = last.select(*[F.col(c).alias(f"_of_{c}") for c in group], "kept_pos", "_last")
+    same = F.col(pos) == F.col("_last")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return own.join(last, same).select(*group, *[c for c in df.columns if c not in group], "kept_pos")
 
 
 def month_first(df: DataFrame, keys: list[str], order: list[str], title: str = "title") -> DataFrame:

@@ -60,7 +60,8 @@ def similar_pairs(classes: DataFrame, group: list[str], threshold: float) -> Dat
 
     Candidates are verified on the words. Nothing is lost, and no group is collected.
     """
-    classes = stage(classes, "similar-sets")
+    if not hasattr(classes, "staged_at"):
+        classes = stage(classes, "similar-sets")
     pairs = stage(candidate_rows(classes, group, threshold), "similar-candidates")
     a, b = (classes.select(*group, F.col("rep").alias(end), F.col("words").alias(f"_{end}")) for end in ("a", "b"))
     both = F.size(F.array_intersect("_a", "_b"))

@@ -124,6 +124,24 @@ def test_long_unlike_sets_are_no_candidates(spark):
     assert [(r["a"], r["b"]) for r in similar.candidate_rows(classes, ["g"], 0.3).collect()] == [(0, 150)]
 
 
+def test_near_greedy_writes_little(spark):
+    """What is staged stays near the size of the texts, as words are no rows of their own."""
+    import glob
+    import os
+    import random
+
+    from gazette import staging
+
+    rng = random.Random(4)
+    rows = [(i, "g", " ".join([f"c{k}" for k in range(100)] + [f"w{k}" for k in rng.sample(range(3000), 300)])) for i in range(300)]
+    rows += [(300, None, rows[0][2]), (301, "g", rows[0][2] + " more"), (302, "g", "")]
+    before = len(staging._STAGED)
+    out = dedup.near_greedy(spark.createDataFrame(rows, "pos long, g string, title string"), ["g"], summary="title")
+    wrote = sum(os.path.getsize(f) for path in staging._STAGED[before:] for f in glob.glob(path.removeprefix("file://") + "/**/*.parquet", recursive=True))
+    assert wrote < 2 * sum(len(r[2]) for r in rows)
+    assert sorted((r["pos"], r["kept_pos"], r["g"]) for r in out.collect()) == sorted([(i, i, "g") for i in range(1, 300)] + [(301, 0, "g"), (300, 300, None), (302, 302, "g")], key=lambda r: r[0])
+
+
 def test_similarity_join_keeps_few_rows(spark):
     """Rows that the join keeps are a small share of all pairs, however long the texts."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source", text.tokens(F.col("text")).alias("w"))
